@@ -35,7 +35,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs:
     Targets share the sum of all sizes by weight; what a target would have over ``max_epochs`` times its source's
     size is reshared by weight. That ends in a common level: target = min(cap, level * weight). In order of
     cap / weight the level for which the first k sources are capped is (total - caps of those k) / (weights of the
-    rest), and the right k is the first whose next source stays below its cap.
+    rest); the right k is the first whose next source stays below its cap, and later ones give lower levels.
     """
     w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("rank"), F.lit(len(weights))) + 1).cast("int"))
     ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
@@ -50,7 +50,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs:
         .withColumn("caps", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
         .withColumn("rest", F.sum("weight").over(ahead))
         .withColumn("level", F.when(level * F.col("weight") <= F.col("cap"), level))
-        .withColumn("level", F.min("level").over(everything))
+        .withColumn("level", F.max("level").over(everything))
         .select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), "cap")).alias("target"))
     )
 
