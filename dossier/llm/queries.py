@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, simhash, toxicity
-from .common import table
+from . import decontaminate, html_extract, licenses, mixing, pii, simhash, toxicity, warc
+from .common import shared_dir, table
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,11 +39,38 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.main_text(pages, html_extract.learn(pages))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences whose wording every document holds."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all pages to archives and reads them back."""
+    folder = f"{shared_dir(spark)}/warc/{uuid.uuid4().hex}"
+    manifest = warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.read(manifest, folder).drop("html", "url")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
     "op3_mix": op3_mix,
     "op4_toxicity": op4_toxicity,
+    "op5_html": op5_html,
+    "op6_pii": op6_pii,
+    "op7_licenses": op7_licenses,
+    "op8_warc": op8_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {}
