@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, licenses, mixing, pii, simhash, toxicity, warc
+from . import decontaminate, embeddings, html_extract, licenses, mixing, pii, simhash, suffix_dedup, toxicity, warc
 from .common import shared_dir, table
 
 
@@ -62,6 +62,16 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(manifest, folder).drop("html", "url")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of 50 bytes that an earlier document holds."""
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"), return_kept=False).drop("kept", "spans")
+
+
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and classes of all vectors at a cosine of 0.95 or more."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
@@ -71,6 +81,8 @@ QUERIES = {
     "op6_pii": op6_pii,
     "op7_licenses": op7_licenses,
     "op8_warc": op8_warc,
+    "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_embeddings": op10_embeddings,
 }
 
 ORACLE_SQL: dict[str, str] = {}
