@@ -7,6 +7,7 @@ every template's bounds before any bigram is made. Only DataFrame functions run
 
 from __future__ import annotations
 
+import math
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
@@ -63,6 +64,31 @@ def bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
+def guard(grams: list[list[str]], threshold: float) -> tuple[list[str], list[str]]:
+    """Words and bigrams of which a text must hold at least one to hold a unit that reaches the threshold.
+
+    A unit that reaches t shares at least t / (2 - t) of a template's bigrams. So if more than the rest of them touch
+    some chosen words, one of those words occurs. Long words come first, as few texts hold them; where they do not
+    suffice, bigrams are chosen themselves. A word inside of which another chosen word lies adds nothing.
+    """
+    words: set[str] = set()
+    pairs: set[str] = set()
+    for own in grams:
+        spare = len(own) - math.ceil(threshold / (2.0 - threshold) * len(own) - 1e-9)
+        left = set(own)
+        for w in sorted({w for g in own for w in g.split() if len(w) > 5}, key=lambda w: (w not in words, -len(w), w)):
+            if len(own) - len(left) > spare:
+                break
+            words.add(w)
+            left -= {g for g in left if w in g.split()}
+        for g in sorted(left, key=lambda g: (-len(g), g)):
+            if len(own) - len(left) > spare:
+                break
+            pairs.add(g)
+            left.discard(g)
+    return sorted(w for w in words if not any(x != w and x in w for x in words)), sorted(pairs)
+
+
 def _words(text: Column) -> Column:
     return F.filter(F.split(F.translate(text, ascii_uppercase, ascii_lowercase), "[^a-z0-9]+"), lambda w: w != "")
 
@@ -80,14 +106,23 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold
     most = max(len(g) for _, g in grams) * room
     text = F.col("text")
     whole = F.array(text)
+    words, pairs = guard([g for _, g in grams], threshold)
+    may = F.lit(False)
+    for w in words:
+        may |= F.col("low").contains(w)
+    if pairs:
+        may |= text.rlike("(?i)" + "|".join(p.replace(" ", "[^A-Za-z0-9]+") for p in pairs))
     units = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, r"\n[ \t]*\n"), whole))
     # A unit of n characters has fewer than n / 2 + 1 words; a bigram set is at most as large as the words. Units too
     # short for the smallest template go before they are split into words.
     units = F.filter(units, lambda u: F.length(u) >= int(least))
-    found = docs.where(text.isNotNull()).select("doc_id", F.explode(units).alias("unit"))
+    # The generator makes the lower-case text once; a plain column would be made anew for every word.
+    lowered = docs.where(text.isNotNull()).select("doc_id", "text", F.explode(F.array(F.lower(text))).alias("low"))
+    found = lowered.where(may).select("doc_id", F.explode(units).alias("unit"))
     found = found.select("doc_id", _words(F.col("unit")).alias("words")).where(F.size("words") > least)
     n = F.size("words")
-    pairs = F.zip_with(F.slice("words", F.lit(1), n - 1), F.slice("words", F.lit(2), n - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    last = F.greatest(n - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("words", F.lit(1), last), F.slice("words", F.lit(2), last), lambda a, b: F.concat(a, F.lit(" "), b))
     found = found.where(n >= 2).select("doc_id", F.array_distinct(pairs).alias("grams"))
     size = F.size("grams")
     found = found.where(size.between(least, most))
