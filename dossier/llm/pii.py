@@ -11,8 +11,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from itertools import islice
 
 import pyarrow as pa
 import xxhash
@@ -88,8 +88,8 @@ def _hash(*parts: str) -> int:
     return xxhash.xxh64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass")) >> 1
 
 
-def terms_of(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str, int]]:
-    """(start, end, term, context) of the words outside base spans; the context hashes the two neighbours on each side."""
+def _words_outside(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """(start, end, word in lower case) of the words that no base span touches."""
     found: list[tuple[int, int, str]] = []
     rest = iter(sorted((a, b) for a, b, _ in spans))
     span = next(rest, None)
@@ -98,8 +98,12 @@ def terms_of(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, in
             span = next(rest, None)
         if not span or m.end() <= span[0]:
             found.append((m.start(), m.end(), m.group().lower()))
-    words = ["", "", *(t for _, _, t in found), "", ""]
-    return [(a, b, t, _hash(*words[n : n + 5])) for n, (a, b, t) in enumerate(found)]
+    return found
+
+
+def _context(words: list[str], n: int) -> int:
+    """Hash of a word with its two neighbours on each side."""
+    return _hash(*("" if not 0 <= k < len(words) else words[k] for k in range(n - 2, n + 3)))
 
 
 def _around(text: str) -> Iterator[tuple[int, str, int]]:
@@ -107,12 +111,14 @@ def _around(text: str) -> Iterator[tuple[int, str, int]]:
     spans = base_spans(text)
     if not spans:
         return
-    terms = terms_of(text, spans)
+    terms = _words_outside(text, spans)
+    words = [w for _, _, w in terms]
+    starts, ends = [a for a, _, _ in terms], [b for _, b, _ in terms]
     for a, b, kind in spans:
         entity = _hash(kind, re.sub(r"[\s().-]", "", text[a:b].lower()))
-        before = [t for t in terms if t[1] <= a][-WINDOW:]
-        for _, _, term, context in (*before, *islice((t for t in terms if t[0] >= b), WINDOW)):
-            yield entity, term, context
+        left, right = bisect_right(ends, a), bisect_left(starts, b)
+        for n in (*range(max(0, left - WINDOW), left), *range(right, min(len(terms), right + WINDOW))):
+            yield entity, words[n], _context(words, n)
 
 
 def disclosing(docs: DataFrame, least: int = LEAST_CONTEXTS, share: float = GENERALISE, block_terms: int = BLOCK_TERMS) -> DataFrame:
@@ -127,35 +133,57 @@ def disclosing(docs: DataFrame, least: int = LEAST_CONTEXTS, share: float = GENE
     met = docs.select("text").mapInArrow(near, "entity long, term string, context long").distinct()
     met = met.groupBy("entity", "term").count().where(F.col("count") >= least).groupBy("term").agg(F.max("count").alias("met"))
     met = stash(met, "pii-terms")
-    out = None
-    held: list[str] = []
+    parts: list[DataFrame] = []
+    held: dict[str, int] = {}
 
-    def seen(names: list[str]) -> DataFrame:
-        wanted = docs.sparkSession.sparkContext.broadcast(frozenset(names))
+    def seen(limits: dict[str, int]) -> DataFrame:
+        """Distinct contexts of terms over all documents: (term, all); terms that exceed their limit are left out.
+
+        More distinct contexts in one slice than the limit prove that a term's share is too small; it is reported as
+        over once and its contexts are not sent.
+        """
+        wanted = docs.sparkSession.sparkContext.broadcast(limits)
 
         def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            alive, found, over = dict(wanted.value), {}, []
             for batch in small_batches(batches):
-                rows = set()
                 for t in batch.column(0):
                     text = t.as_py()
-                    if text and not wanted.value.isdisjoint(x.lower() for x in TERM.findall(text)):
-                        rows.update((term, context) for _, _, term, context in terms_of(text, base_spans(text)) if term in wanted.value)
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["term", "context"])
+                    if not text:
+                        continue
+                    spans = base_spans(text)
+                    if spans:
+                        words = [w for _, _, w in _words_outside(text, spans)]
+                    else:
+                        words = [w.lower() for w in TERM.findall(text)]
+                    for n, w in enumerate(words):
+                        if w in alive:
+                            contexts = found.setdefault(w, set())
+                            contexts.add(_context(words, n))
+                            if len(contexts) > alive[w]:
+                                del alive[w], found[w]
+                                over.append(w)
+            rows = [(w, c) for w, contexts in found.items() for c in contexts] + [(w, None) for w in over]
+            for at in range(0, len(rows), 50_000):
+                part = rows[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.string()), pa.array([r[1] for r in part], pa.int64())], ["term", "context"])
 
         found = docs.select("text").mapInArrow(occurrences, "term string, context long").distinct()
-        return found.groupBy("term").agg(F.count("*").alias("all"))
+        return found.groupBy("term").agg(F.count("context").alias("all"), F.count("*").alias("rows")).where(F.col("all") == F.col("rows"))
 
-    for row in met.select("term").toLocalIterator():
-        held.append(row[0])
+    for term, n in met.toLocalIterator():
+        held[term] = int(n / share)
         if len(held) == block_terms:
-            out = seen(held) if out is None else out.unionByName(seen(held))
-            held = []
+            parts.append(seen(held))
+            held = {}
     if held:
-        out = seen(held) if out is None else out.unionByName(seen(held))
-    if out is None:
+        parts.append(seen(held))
+    if not parts:
         return met.select("term", F.lit(0.0).alias("share")).limit(0)
-    joined = met.join(out, "term").select("term", (F.col("met") / F.col("all")).alias("share"))
+    counted = parts[0]
+    for part in parts[1:]:
+        counted = counted.unionByName(part)
+    joined = met.join(counted, "term").select("term", (F.col("met") / F.col("all")).alias("share"))
     return joined.where(F.col("share") >= share)
 
 
@@ -188,7 +216,7 @@ def all_spans(docs: DataFrame, terms: DataFrame, block_terms: int = BLOCK_TERMS)
                     if shared.value and not shared.value.keys().isdisjoint(x.lower() for x in TERM.findall(text)):
                         new = new + [
                             {"start": a, "end": b, "kind": "term", "share": shared.value[w]}
-                            for a, b, w, _ in terms_of(text, spans)
+                            for a, b, w in _words_outside(text, spans)
                             if w in shared.value
                         ]
                     extra.append(new)
