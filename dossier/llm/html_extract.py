@@ -170,7 +170,12 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 def learn(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Weights:
     """Weights from labelled pages, at most ``sample_pages``; the defaults if there is none."""
     marked = pages.where(F.regexp_count("html", F.lit("(?i)<(article|main)[ >]")) == 1)
-    marked = marked.select(F.xxhash64("page_id", "html").alias("h"), "html").orderBy("h").limit(sample_pages).select("html")
+    # The hashes alone are sorted; the pages at or below the last one are read where they lie.
+    h = F.xxhash64("page_id", "html")
+    last = marked.select(h.alias("h")).orderBy("h").limit(sample_pages).agg(F.max("h")).first()[0]
+    if last is None:
+        return Weights()
+    marked = marked.where(h <= last).select("html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
