@@ -55,7 +55,7 @@ def json_resume(docs: DataFrame, key: str = "cv_id", text: str = "text") -> Data
     profiles = F.coalesce(F.filter(F.transform(b["profiles"], lambda p: p["url"]), has_text), F.array().cast("array<string>"))
     slot = lambda s: F.get(F.filter(profiles, lambda u: profile_slot(u) == s), F.lit(0))
     names = split_names(F.coalesce(b["name"], F.lit("")))
-    place = F.array_join(F.filter(F.array(b["location.city"], b["location.region"], b["location.countryCode"]), has_text), ", ")
+    place = F.array_join(F.filter(F.array(*(b["location"][c] for c in ("city", "region", "countryCode"))), has_text), ", ")
     personal = F.struct(
         names["first_name"].alias("first_name"), names["last_name"].alias("last_name"), first_text(b["label"]).alias("title"), first_text(b["email"]).alias("email"),
         first_text(b["phone"]).alias("phone"), place.alias("location"), first_text(slot("linkedin_url")).alias("linkedin_url"), first_text(slot("github_url")).alias("github_url"),
