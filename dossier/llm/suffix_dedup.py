@@ -37,8 +37,8 @@ ANCHOR = 16
 SLICE_BYTES = 2 << 20
 #: Bytes of segments in a collection, and of one anchor's segments in it at most.
 COLLECTION_BYTES, ANCHOR_BYTES = 1 << 20, 8 << 20
-#: Elements of a block of the range minimum structure.
-BLOCK = 32
+#: Ranges of the anchor's place in a window that are told apart before sorting.
+RANGES = 4
 A1, A2, A3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0x100000001B3)
 
 
@@ -70,8 +70,25 @@ def _eights(data: bytes) -> np.ndarray:
     return out
 
 
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 .. n - 1 of the hash base and of its inverse, kept up to the size of a slice."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        one, inverse = np.ones(1, dtype=np.uint64), np.uint64(pow(int(A3), -1, 1 << 64))
+        made = [np.cumprod(np.concatenate([one, np.full(n - 1, x, dtype=np.uint64)])) for x in (A3, inverse)]
+        if n > 2 * SLICE_BYTES:
+            return made[0], made[1]
+        _POWERS[:] = made
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
 def segments(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """Segments of whole texts: (text number, start, bytes, anchor hash, hash of the bytes), by text and start."""
+    """Segments of whole texts: (text number, start, shape, anchor hash, hash of the bytes), by text and start.
+
+    shape is the number of bytes (below 256) and, times 256, the place of the anchor in the segment.
+    """
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     ends = np.cumsum(sizes)
     total = int(sizes.sum())
@@ -106,13 +123,12 @@ def segments(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]
     start, owner = window[first], text[window[first]]
     size = window[last] + length - start
     # Hash of a segment: a polynomial over its mixed eights, from running sums, scaled back to position zero.
-    power = np.cumprod(np.concatenate([np.ones(1, dtype=np.uint64), np.full(total, A3, dtype=np.uint64)]))
-    inverse = np.uint64(pow(int(A3), -1, 1 << 64))
-    back = np.cumprod(np.concatenate([np.ones(1, dtype=np.uint64), np.full(total, inverse, dtype=np.uint64)]))
+    power, back = _powers(total + 1)
     sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mixed[:total] * power[:total])])
     stop = start + size - 7
     digest = _mix((sums[stop] - sums[start]) * back[start] + size.astype(np.uint64))
-    return owner, start - (ends[owner] - sizes[owner]), size, h[chosen[first]].view(np.int64), digest.view(np.int64)
+    shape = size | (chosen[first] - start) << 8
+    return owner, start - (ends[owner] - sizes[owner]), shape, h[chosen[first]].view(np.int64), digest.view(np.int64)
 
 
 class _Scratch:
@@ -135,95 +151,89 @@ class _Scratch:
         self.file.close()
 
 
-def _range_min(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Smallest of values[lo..hi], both included, for each query."""
-    pad = -len(values) % BLOCK
-    blocks = np.append(values, np.full(pad, 255, dtype=values.dtype)).reshape(-1, BLOCK)
-    table = [blocks.min(axis=1)]
-    while 2 << (len(table) - 1) <= len(blocks):
-        t = table[-1]
-        table.append(np.minimum(t[: -(1 << (len(table) - 1))], t[1 << (len(table) - 1) :]))
-    flat, reach = blocks.reshape(-1), np.arange(BLOCK)
-    a, b = lo // BLOCK, hi // BLOCK
-    left = lo[:, None] + reach
-    out = np.where(left <= np.minimum(hi, (a + 1) * BLOCK - 1)[:, None], flat[np.minimum(left, len(flat) - 1)], 255).min(axis=1)
-    right = hi[:, None] - reach
-    out = np.minimum(out, np.where(right >= np.maximum(lo, b * BLOCK)[:, None], flat[np.maximum(right, 0)], 255).min(axis=1))
-    inner = np.flatnonzero(b - a > 1)
-    if len(inner):
-        x, y = a[inner] + 1, b[inner] - 1
-        level = np.frexp(y - x + 1)[1] - 1
-        for k in np.unique(level):
-            own = inner[level == k]
-            t = table[k]
-            out[own] = np.minimum(out[own], np.minimum(t[a[own] + 1], t[b[own] - (1 << int(k))]))
+def _minima(values: np.ndarray) -> list[np.ndarray]:
+    """Smallest of every run of 1, 2, 4, ... values; a byte a value, so the levels stay small and fast to make."""
+    table = [values]
+    while 2 << (len(table) - 1) <= len(values):
+        t, step = table[-1], 1 << (len(table) - 1)
+        table.append(np.minimum(t[:-step], t[step:]))
+    return table
+
+
+def _range_min(table: list[np.ndarray], lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Smallest of the values lo..hi, both included, for each query."""
+    level = np.frexp(hi - lo + 1)[1] - 1
+    out = np.empty(len(lo), dtype=np.int64)
+    for k in np.unique(level):
+        own = np.flatnonzero(level == k)
+        out[own] = np.minimum(table[k][lo[own]], table[k][hi[own] + 1 - (1 << int(k))])
     return out
 
 
 def collection(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Suffixes of all texts in order: (text number, suffix length, preceding symbol, common prefix with the suffix before).
 
-    Symbols are bytes plus one; 0 stands before a whole text. Suffixes that are equal follow the texts' order. Common
-    prefixes are counted up to 254. Round j inserts the suffix of length j of every text that long: its place follows
-    from the place of its suffix of length j - 1 and the symbols before it, and its common prefix is one more than the
-    smallest since the last suffix with the same preceding symbol.
+    Texts are UTF-8 of at most 255 bytes; symbols are bytes plus one, 0 stands before a whole text. Suffixes that are
+    equal follow the texts' order. Common prefixes are counted up to 254. Round j inserts the suffix of length j of
+    every text that long: its place follows from the place of its suffix of length j - 1 and the symbols before it, and
+    its common prefix is one more than the smallest since the last suffix with the same preceding symbol.
     """
     m = len(texts)
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    flat = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    flat = np.append(np.frombuffer(b"".join(texts), dtype=np.uint8), np.uint8(0)) + np.uint8(1)
     ends = np.cumsum(sizes)
-    bwt, lcp, owner, depth = (_Scratch(k) for k in (np.uint16, np.uint8, np.int32, np.uint16))
+    bwt, lcp, names = (_Scratch(k) for k in (np.uint8, np.uint8, np.int32))
     try:
 
         def symbols(who: np.ndarray, length: int) -> np.ndarray:
-            at = ends[who] - 1 - length
-            return np.where(length < sizes[who], flat[np.maximum(at, 0)].astype(np.uint16) + 1, 0) if len(flat) else np.zeros(len(who), np.uint16)
+            return np.where(length < sizes[who], flat[np.maximum(ends[who] - 1 - length, 0)], np.uint8(0))
 
-        everyone = np.arange(m)
+        everyone = np.arange(m, dtype=np.int32)
         bwt.write(symbols(everyone, 0))
         lcp.write(np.zeros(m))
-        owner.write(everyone)
-        depth.write(np.zeros(m))
+        names.write(everyone << 8)  # text number and suffix length in one
         who, place = everyone[sizes > 0], np.flatnonzero(sizes > 0)
         for length in range(1, int(sizes.max(initial=0)) + 1):
             old_b, old_l = bwt.read(), lcp.read()
+            minima = _minima(old_l)
             total = len(old_b)
             order = np.argsort(old_b, kind="stable")
-            rank = np.empty(total, dtype=np.int64)
-            rank[order] = np.arange(total)
-            open_ = int((old_b == 0).sum())
-            r = rank[place]
+            rank = np.empty(total, dtype=np.int32)
+            rank[order] = np.arange(total, dtype=np.int32)
+            r = rank[place].astype(np.int64)
             symbol = old_b[place]
-            target = m + r - open_  # suffixes that start with a symbol follow the m empty ones, in this order
+            target = m + r - int((old_b == 0).sum())  # suffixes that start with a symbol follow the m empty ones
             active = np.zeros(total, dtype=bool)
             active[place] = True
             before, after = order[np.maximum(r - 1, 0)], order[np.minimum(r + 1, total - 1)]
             has_before = (r > 0) & (old_b[before] == symbol)
             has_after = (r + 1 < total) & (old_b[after] == symbol) & ~active[after]
-            own = np.zeros(len(place), dtype=np.int64)
+            own = np.zeros(len(place), dtype=np.uint8)
             k = np.flatnonzero(has_before)
             if len(k):
-                own[k] = np.minimum(254, 1 + _range_min(old_l, before[k] + 1, place[k]).astype(np.int64))
-            size = total + len(place)
-            fresh = np.zeros(size, dtype=bool)
-            fresh[target] = True
-            moved = np.flatnonzero(~fresh)
-            new_b, new_l = np.empty(size, dtype=np.uint16), np.empty(size, dtype=np.uint8)
-            new_o, new_d = np.empty(size, dtype=np.int32), np.empty(size, dtype=np.uint16)
-            new_b[moved], new_l[moved], new_o[moved], new_d[moved] = old_b, old_l, owner.read(), depth.read()
-            new_b[target], new_l[target], new_o[target], new_d[target] = symbols(who, length), own, who, length
+                own[k] = np.minimum(254, 1 + _range_min(minima, before[k] + 1, place[k]))
+            kept = np.ones(total + len(place), dtype=bool)
+            kept[target] = False
+
+            def merged(old: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+                out = np.empty(len(kept), dtype=old.dtype)
+                out[kept] = old
+                out[target] = fresh
+                return out
+
+            new_l = merged(old_l, own)
             k = np.flatnonzero(has_after)
             if len(k):
-                new_l[target[k] + 1] = np.minimum(254, 1 + _range_min(old_l, place[k] + 1, after[k]).astype(np.int64))
-            bwt.write(new_b)
+                new_l[target[k] + 1] = np.minimum(254, 1 + _range_min(minima, place[k] + 1, after[k]))
+            bwt.write(merged(old_b, symbols(who, length)))
             lcp.write(new_l)
-            owner.write(new_o)
-            depth.write(new_d)
+            names.write(merged(names.read(), who << 8 | length))
             goes_on = sizes[who] > length
             who, place = who[goes_on], target[goes_on]
-        return owner.read(), depth.read(), bwt.read(), lcp.read()
+        found = names.read()
+        return found >> 8, found & 255, bwt.read(), lcp.read()
     finally:
-        for s in (bwt, lcp, owner, depth):
+        for s in (bwt, lcp, names):
             s.close()
 
 
@@ -243,38 +253,39 @@ def repeated_windows(texts: list[bytes], ids: np.ndarray, length: int = LENGTH)
     return who[hit], sizes[who[hit]] - depth[hit]
 
 
+#: A segment, the smallest id that holds it, its places (sub, start) there, and the place of its anchor in it.
+Part = tuple[bytes, int, list[tuple[int, int]], int]
+SEGMENT = "doc_id long, sub long, start int, shape int"
 FLAGS = "doc_id long, sub long, start int, size int"
 
 
 def _scan(docs: DataFrame, length: int) -> DataFrame:
-    """Segments of all documents, a row each, folded inside a slice: (anchor, digest, doc_id, sub, start, size).
+    """Segments of all documents, a row each, folded inside a slice: (anchor, digest, doc_id, sub, start, shape).
 
-    size is negative for a segment that is known to go: a document with a smaller id in the same slice holds it.
+    shape is negative for a segment that is known to go: a document with a smaller id in the same slice holds it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, subs, texts in _slices(batches):
-            owner, start, size, anchor, digest = segments(texts, length)
+            owner, start, shape, anchor, digest = segments(texts, length)
             if not len(owner):
                 continue
             doc = ids[owner]
-            order = np.lexsort((start, doc, digest, anchor))
-            a, g, d = anchor[order], digest[order], doc[order]
-            first = np.append(True, (a[1:] != a[:-1]) | (g[1:] != g[:-1]))
-            least = d[first][np.cumsum(first) - 1]
-            known = d > least
-            a, g = a.copy(), g.copy()
+            order = np.argsort(digest, kind="stable")
+            first = np.flatnonzero(np.append(True, digest[order][1:] != digest[order][:-1]))
+            least = np.empty(len(doc), dtype=np.int64)
+            least[order] = np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.append(first, len(doc))))
+            known = doc > least
             # Known segments need not meet their like again; they ride along, spread by a number of their own.
-            a[known] = _mix((start[order][known].astype(np.uint64) << np.uint64(20)) ^ d[known].view(np.uint64)).view(np.int64)
-            g[known] = 0
-            signed = np.where(known, -size[order], size[order])
-            keep = np.lexsort((start[order], owner[order]))
+            anchor[known] = _mix((start[known].astype(np.uint64) << np.uint64(20)) ^ doc[known].view(np.uint64)).view(np.int64)
+            digest[known] = 0
+            shape[known] *= -1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x[keep]) for x in (a, g, d, subs[owner[order]])] + [pa.array(x[keep].astype(np.int32)) for x in (start[order], signed)],
-                ["anchor", "digest", "doc_id", "sub", "start", "size"],
+                [pa.array(x) for x in (anchor, digest, doc, subs[owner])] + [pa.array(x.astype(np.int32)) for x in (start, shape)],
+                ["anchor", "digest", "doc_id", "sub", "start", "shape"],
             )
 
-    return docs.select("doc_id", "sub", "text").mapInArrow(run, "anchor long, digest long, doc_id long, sub long, start int, size int")
+    return docs.select("doc_id", "sub", "text").mapInArrow(run, "anchor long, digest long, doc_id long, sub long, start int, shape int")
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
@@ -294,7 +305,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
 
 
 def _judge(scanned: DataFrame) -> DataFrame:
-    """(doc_id, sub, start, size, anchor): segments that go (anchor null), and those whose bytes are needed.
+    """(doc_id, sub, start, shape, anchor): segments that go (anchor null), and those whose bytes are needed.
 
     Rows come by anchor, then segment, then document. An anchor is held back only while it has shown one segment of
     one document.
@@ -308,8 +319,8 @@ def _judge(scanned: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, g, d, s, at, size = (batch.column(n).to_numpy() for n in range(6))
-            known = size < 0
+            a, g, d, s, at, shape = (batch.column(n).to_numpy() for n in range(6))
+            known = shape < 0
             if tail is None or tail["a"] != a[0]:
                 tail, joins = None, False
             else:
@@ -332,9 +343,9 @@ def _judge(scanned: DataFrame) -> DataFrame:
                 n_segments[0] += 2 if tail["many"] else 1
             many = n_segments[anchor_of] > 1
             need = many & ~whole
-            out = [(x[whole | need]) for x in (d, s, at)] + [np.abs(size)[whole | need]]
+            out = [(x[whole | need]) for x in (d, s, at)] + [np.abs(shape)[whole | need]]
             marks = pa.array(a[whole | need], mask=whole[whole | need])
-            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in out), marks], ["doc_id", "sub", "start", "size", "anchor"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in out), marks], ["doc_id", "sub", "start", "shape", "anchor"])
             if joins and not tail["many"] and n_segments[0] > 1 and tail["held"]:
                 yield from tail["held"]
             last = anchor_of == anchor_of[-1]
@@ -344,16 +355,52 @@ def _judge(scanned: DataFrame) -> DataFrame:
             if not several:
                 k = last & ~whole
                 held.append(
-                    pa.RecordBatch.from_arrays([*(pa.array(x[k]) for x in (d, s, at, size)), pa.array(a[k])], ["doc_id", "sub", "start", "size", "anchor"])
+                    pa.RecordBatch.from_arrays([*(pa.array(x[k]) for x in (d, s, at, shape)), pa.array(a[k])], ["doc_id", "sub", "start", "shape", "anchor"])
                 )
             tail = {"a": a[-1], "g": g[-1], "least": int(least[-1]), "many": several, "held": held}
 
-    return dealt.mapInArrow(run, f"{FLAGS}, anchor long")
+    return dealt.mapInArrow(run, f"{SEGMENT}, anchor long")
+
+
+def _may_match(group: list[Part], length: int) -> list[Part]:
+    """Of one anchor's segments, the parts that may share a window with another segment.
+
+    A window has its anchor at some place; for places from a to b it holds at least a bytes before the anchor and at
+    least as many after it as one with place b. So two segments that share such a window agree in those bytes. What no
+    other segment agrees with is cut off, and a segment shorter than a window goes.
+    """
+    rest = length - ANCHOR
+    edges = [rest * n // RANGES for n in range(RANGES)]
+    ranges = list(zip(edges, [*(e - 1 for e in edges[1:]), rest], strict=True))
+    seen: dict[tuple[int, bytes], int] = {}
+    keys: list[list[tuple[int, bytes] | None]] = []
+    for part, _, _, at in group:
+        own: list[tuple[int, bytes] | None] = []
+        after = len(part) - at - ANCHOR
+        for n, (a, b) in enumerate(ranges):
+            if a <= at and rest - b <= after:
+                k = (n, part[at - a : at + ANCHOR + rest - b])
+                seen[k] = seen.get(k, 0) + 1
+                own.append(k)
+            else:
+                own.append(None)
+        keys.append(own)
+    out = []
+    for (part, doc, places, at), own in zip(group, keys, strict=True):
+        hits = [r for r, k in zip(ranges, own, strict=True) if k is not None and seen[k] > 1]
+        if not hits:
+            continue
+        # Windows with the anchor at hits[0][0] .. hits[-1][1] may match: bytes from the largest place before it on.
+        first = max(0, at - hits[-1][1])
+        last = min(len(part), at - hits[0][0] + length)
+        if last - first >= length:
+            out.append((part[first:last], doc, [(sub, start + first) for sub, start in places], at - first))
+    return out
 
 
 def _compare(needed: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     """(doc_id, sub, start, size, window): runs of windows that go, or single windows of anchors with too many segments."""
-    wanted = needed.groupBy("doc_id", "sub").agg(F.collect_list(F.struct("start", "size", "anchor")).alias("parts"))
+    wanted = needed.groupBy("doc_id", "sub").agg(F.collect_list(F.struct("start", "shape", "anchor")).alias("parts"))
     joined = docs.join(wanted, ["doc_id", "sub"]).select("doc_id", "sub", "text", "parts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,20 +408,20 @@ def _compare(needed: DataFrame, docs: DataFrame, length: int) -> DataFrame:
             rows = []
             for i, s, t, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 data = t.as_py().encode("utf-8", "surrogatepass")
-                starts, sizes, anchors = (parts.values.field(n).to_pylist() for n in range(3))
-                rows.extend((a, data[b : b + n], i, s, b) for b, n, a in zip(starts, sizes, anchors, strict=True))
+                starts, shapes, anchors = (parts.values.field(n).to_pylist() for n in range(3))
+                rows.extend((a, data[b : b + (x & 255)], i, s, b, x >> 8) for b, x, a in zip(starts, shapes, anchors, strict=True))
             if rows:
-                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["anchor", "part", "doc_id", "sub", "start"])
+                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["anchor", "part", "doc_id", "sub", "start", "place"])
 
-    parts = joined.mapInArrow(cut, "anchor long, part binary, doc_id long, sub long, start int")
+    parts = joined.mapInArrow(cut, "anchor long, part binary, doc_id long, sub long, start int, place int")
     dealt = parts.repartition("anchor").sortWithinPartitions("anchor", "part", "doc_id")
     schema = pa.schema([("doc_id", pa.int64()), ("sub", pa.int64()), ("start", pa.int32()), ("size", pa.int32()), ("window", pa.binary())])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[bytes, int, list[tuple[int, int]]]] = []  # segment, its smallest id, its places there
+        held: list[Part] = []  # segment, its smallest id, its places there
         held_bytes = 0
-        group: list[tuple[bytes, int, list[tuple[int, int]]]] = []
+        group: list[Part] = []
         group_bytes, anchor, spilling = 0, None, False
 
         def flush() -> pa.RecordBatch | None:
@@ -389,19 +436,20 @@ def _compare(needed: DataFrame, docs: DataFrame, length: int) -> DataFrame:
             rows = [(held[w][1], sub, at + x, y - x + length, None) for w, x, y in zip(who[a].tolist(), start[a].tolist(), start[b].tolist(), strict=True) for sub, at in held[w][2]]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-        def windows(of: list[tuple[bytes, int, list[tuple[int, int]]]]) -> Iterator[pa.RecordBatch]:
-            rows = [(doc, sub, at + k, length, part[k : k + length]) for part, doc, places in of for k in range(len(part) - length + 1) for sub, at in places]
+        def windows(of: list[Part]) -> Iterator[pa.RecordBatch]:
+            rows = [(doc, sub, at + k, length, part[k : k + length]) for part, doc, places, _ in of for k in range(len(part) - length + 1) for sub, at in places]
             for n in range(0, len(rows), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[n : n + 50_000], strict=True), schema, strict=True)], schema=schema)
 
         for batch in small_batches(batches, 4096):
-            for a, part, doc, sub, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for a, part, doc, sub, start, place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if a != anchor:
                     if spilling:
                         yield from windows(group)
                     elif len(group) > 1:
-                        held.extend(group)
-                        held_bytes += group_bytes
+                        met = _may_match(group, length)
+                        held.extend(met)
+                        held_bytes += sum(len(x[0]) for x in met)
                         if held_bytes >= COLLECTION_BYTES:
                             if (found := flush()) is not None:
                                 yield found
@@ -414,13 +462,13 @@ def _compare(needed: DataFrame, docs: DataFrame, length: int) -> DataFrame:
                 if spilling and len(group) >= 1000:
                     yield from windows(group[:-1])
                     group = group[-1:]
-                group.append((part, doc, [(sub, start)]))
+                group.append((part, doc, [(sub, start)], place))
                 group_bytes += len(part)
                 spilling = spilling or group_bytes >= ANCHOR_BYTES
         if spilling:
             yield from windows(group)
         elif len(group) > 1:
-            held.extend(group)
+            held.extend(_may_match(group, length))
         if held and (found := flush()) is not None:
             yield found
 
@@ -456,7 +504,7 @@ def removed_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         usable = keyed.where("doc_id is not null and text is not null")
         judged = stash(_judge(_scan(usable, length)), "dedup-segments")
         compared = stash(_compare(judged.where("anchor is not null"), usable, length), "dedup-windows")
-        flags = judged.where("anchor is null").select("doc_id", "sub", "start", "size")
+        flags = judged.where("anchor is null").select("doc_id", "sub", "start", F.col("shape").bitwiseAND(255).alias("size"))
         flags = flags.unionByName(compared.where("window is null").drop("window")).unionByName(_windows(compared.where("window is not null")))
         runs = stash(flags.groupBy("doc_id", "sub").agg(F.collect_list(F.struct("start", "size")).alias("runs")), "dedup-runs")
     return keyed.join(runs, ["doc_id", "sub"], "left")
