@@ -31,11 +31,13 @@ CELL = 1.0
 #: Directions whose windows are counted, and half the width of a window.
 COUNTED, WINDOW = 24, 0.5
 #: Rows that a cell holds by chance, about; more directions a cell keep it there.
-CELL_ROWS = 16
+CELL_ROWS = 32
 #: Rows of a block; larger cells are compared block by block.
 BLOCK_ROWS = 4096
-#: Pairs counted at a time in a task.
-PAIRS = 1 << 18
+#: Pairs counted at a time in a task, and rows of cells gathered before counting.
+PAIRS, GATHERED = 1 << 18, 1 << 14
+#: Distance between cells on the line where the windows of many cells are sought at once; projections are far smaller.
+APART = 1024.0
 SEED = 20240229
 
 
@@ -97,31 +99,26 @@ def _cells(unit: np.ndarray, plan: Plan) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _vectors(column: pa.Array) -> list[np.ndarray | None]:
-    """Length-one vectors in double precision; None for null, zero or non-finite ones and those with null parts."""
-    out: list[np.ndarray | None] = []
-    for x in column:
-        v = None
-        if x.is_valid and len(x.values) and not x.values.null_count:
-            v = x.values.to_numpy(zero_copy_only=False).astype(np.float64)
-            top = np.abs(v).max()
-            if not np.isfinite(v).all() or top == 0.0:
-                v = None
-            else:
-                v = v / top
-                v = v / np.sqrt(v @ v)
-        out.append(v)
-    return out
+def _units(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, length-one vectors in double precision) of a column without nulls, by length of the vectors."""
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    starts = np.cumsum(sizes) - sizes
+    for n in np.unique(sizes):
+        rows = np.flatnonzero(sizes == n)
+        v = values[starts[rows][:, None] + np.arange(n)]
+        v = v / np.abs(v).max(axis=1, keepdims=True)
+        yield rows, v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
 
 
-def _forest(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Links that span the classes of pairs (i, j) among n rows."""
-    parent = list(range(n))
+def _forest(i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """Links that span the classes of pairs (i, j)."""
+    parent: dict[int, int] = {}
 
     def top(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
         return x
 
     out = []
@@ -133,54 +130,56 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
     return out
 
 
-def _candidates(first: np.ndarray, second: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs whose sorted projections lie in each other's window; each unordered pair once if the sides are the same."""
-    order = np.argsort(second, kind="stable")
-    ranked = second[order]
-    lo = np.searchsorted(ranked, first - WINDOW, "left")
-    hi = np.searchsorted(ranked, first + WINDOW, "right")
+def _candidates(line: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of a sorted line that lie in each other's window, each once."""
+    end = np.searchsorted(line, line + WINDOW, "right")
+    n = end - np.arange(len(line)) - 1
     at = 0
-    while at < len(first):
-        size = np.cumsum(hi[at:] - lo[at:])
-        end = at + max(1, int(np.searchsorted(size, PAIRS, "right")))
-        n = hi[at:end] - lo[at:end]
-        i = np.repeat(np.arange(at, min(end, len(first))), n)
-        start = np.repeat(lo[at:end], n)
-        j = order[start + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)]
-        if same:
-            keep = i < j
-            i, j = i[keep], j[keep]
-        yield i, j
-        at = end
-
-
-def compare(a: np.ndarray, b: np.ndarray, table: int, plan: Plan, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs between two blocks of a cell of a table that no earlier table has found: count, then verify."""
-    _, _, counted = _directions(a.shape[1], plan)
-    pa_, pb = a @ counted, (b @ counted)
+    while at < len(line):
+        last = at + max(1, int(np.searchsorted(np.cumsum(n[at:]), PAIRS, "right")))
+        part = n[at:last]
+        i = np.repeat(np.arange(at, at + len(part)), part)
+        yield i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(part) - part, part)
+        at = last
+
+
+def compare(unit: np.ndarray, group: np.ndarray, table: np.ndarray, side: np.ndarray, crossed: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs of rows inside each group (part of a cell) that no earlier table has found: count, then verify.
+
+    The groups are laid out apart on one line by the first counted projection, so all windows are sought at once. In
+    a crossed group only rows of different sides are compared.
+    """
+    _, _, counted = _directions(unit.shape[1], plan)
+    spots = unit @ counted
+    line = group * APART + spots[:, 0]
+    order = np.argsort(line, kind="stable")
+    spots, line = spots[order], line[order]
+    side, crossed, table = side[order], crossed[order], table[order]
     out_i, out_j = [], []
-    for i, j in _candidates(pa_[:, 0], pb[:, 0], same):
-        hits = np.ones(len(i), dtype=np.int64)
+    for i, j in _candidates(line):
+        use = ~crossed[i] | (side[i] != side[j])
+        i, j = i[use], j[use]
+        hits = np.ones(len(i), dtype=np.int16)
         for k in range(1, COUNTED):
-            hits += np.abs(pa_[i, k] - pb[j, k]) <= WINDOW
-            if k % 6 == 0:  # pairs that cannot reach the count any more go early
+            hits += np.abs(spots[i, k] - spots[j, k]) <= WINDOW
+            if k % 4 == 0:  # pairs that cannot reach the count any more go early
                 alive = hits + (COUNTED - 1 - k) >= plan.least
                 i, j, hits = i[alive], j[alive], hits[alive]
         keep = hits >= plan.least
         i, j = i[keep], j[keep]
-        keep = np.einsum("ij,ij->i", a[i], b[j]) >= plan.threshold
+        keep = np.einsum("ij,ij->i", unit[order[i]], unit[order[j]]) >= plan.threshold
         out_i.append(i[keep])
         out_j.append(j[keep])
     i, j = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (out_i, out_j))
-    if table and len(i):
-        rows_a, at_a = np.unique(i, return_inverse=True)
-        rows_b, at_b = np.unique(j, return_inverse=True)
-        ka, kb = _cells(a[rows_a], plan)[:, :table], _cells(b[rows_b], plan)[:, :table]
-        new = np.ones(len(i), dtype=bool)
-        for t in range(table):
-            new &= ka[at_a, t] != kb[at_b, t]
-        i, j = i[new], j[new]
-    return i, j
+    if not len(i):
+        return i, j
+    rows = np.unique(np.concatenate([i, j]))
+    cells = _cells(unit[order[rows]], plan)
+    a, b, t = np.searchsorted(rows, i), np.searchsorted(rows, j), table[i]
+    new = np.ones(len(i), dtype=bool)
+    for k in range(plan.tables):
+        new &= (cells[a, k] != cells[b, k]) | (k >= t)
+    return order[i[new]], order[j[new]]
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.95, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -190,7 +189,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
     is the smallest vec_id reachable over links, kept says whether that is the row's own. Vectors that are null, empty
     or zero, or hold null or non-finite parts, link with nothing; vectors link only with vectors of their length. Rows
     with a null vec_id link with nothing and have a null component. Rows that repeat a vec_id count as rows, so each
-    may link with the other. An empty table gives an empty result; other columns are ignored.
+    may link with the other, and their vectors' classes are one. An empty table gives an empty result; other columns are ignored.
     """
     given = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"))
     good = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)
@@ -201,15 +200,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 1024):
-            unit = _vectors(batch.column("v"))
-            by_length: dict[int, list[int]] = {}
-            for n, u in enumerate(unit):
-                by_length.setdefault(len(u), []).append(n)
-            for rows in by_length.values():
-                keys = _cells(np.stack([unit[n] for n in rows]), plan)
-                part = batch.take(pa.array(np.repeat(rows, plan.tables)))
+            for rows, unit in _units(batch.column("v")):
+                keys = _cells(unit, plan)
+                rep = batch.column("rep").take(pa.array(np.repeat(rows, plan.tables)))
                 tables = np.tile(np.arange(plan.tables, dtype=np.int32), len(rows))
-                yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array(keys.reshape(-1)), pa.array(tables)], ["rep", "cell", "t"])
+                yield pa.RecordBatch.from_arrays([rep, pa.array(keys.reshape(-1)), pa.array(tables)], ["rep", "cell", "t"])
 
     keyed = folded.select("rep", "v").mapInArrow(spread, "rep long, cell long, t int")
     keyed = stash(keyed, "vector-cells")
@@ -228,50 +223,47 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
     met = dealt.join(folded, "rep").select("cell", "t", "x", "y", "own", "rep", "weight", "v")
     met = met.repartition("cell", "t", "x", "y").sortWithinPartitions("cell", "t", "x", "y", "own", "rep")
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-
-        def finish() -> pa.RecordBatch | None:
-            if not held or len(held) < 2:
-                return None
-            _, t, x, y = key
-            own = np.array([r[0] for r in held])
-            rep = np.array([r[1] for r in held], dtype=np.int64)
-            weight = np.array([r[2] for r in held], dtype=np.int64)
-            unit = np.stack([r[3] for r in held])
-            at_a = np.flatnonzero(own == x)
-            at_b = at_a if x == y else np.flatnonzero(own == y)
-            if not len(at_a) or not len(at_b):
-                return None
-            i, j = compare(unit[at_a], unit[at_b], t, plan, x == y)
+    def judge(held: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Links of whole groups: (rep, rep, n) with the row's new links, and (rep, rep, 0) for links that span classes."""
+        held = held.combine_chunks()
+        cell, t, x, y, own, rep, weight = (held.column(c).to_numpy() for c in ("cell", "t", "x", "y", "own", "rep", "weight"))
+        new = np.append(True, (cell[1:] != cell[:-1]) | (t[1:] != t[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
+        group = np.cumsum(new)
+        for rows, unit in _units(held.column("v").chunk(0) if held.column("v").num_chunks else held.column("v")):
+            i, j = compare(unit, group[rows], t[rows], own[rows], (x != y)[rows], plan)
             if not len(i):
-                return None
-            i, j = at_a[i], at_b[j]
-            links = np.zeros(len(held), dtype=np.int64)
-            np.add.at(links, i, weight[j])
-            np.add.at(links, j, weight[i])
-            hit = np.flatnonzero(links)
-            edges = _forest(i, j, len(held))
-            a = np.concatenate([rep[hit], rep[[e[0] for e in edges]]])
-            b = np.concatenate([rep[hit], rep[[e[1] for e in edges]]])
-            n = np.concatenate([links[hit], np.zeros(len(edges), dtype=np.int64)])
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], ["a", "b", "n"])
-
-        for batch in small_batches(batches, 2048):
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("cell", "t", "x", "y")), strict=True))
-            unit = _vectors(batch.column("v"))
-            rows = zip(batch.column("own").to_pylist(), batch.column("rep").to_pylist(), batch.column("weight").to_pylist(), unit, strict=True)
-            for k, row in zip(keys, rows, strict=True):
-                if k != key:
-                    if (found := finish()) is not None:
-                        yield found
-                    key, held = k, []
-                held.append(row)
-        if (found := finish()) is not None:
-            yield found
+                continue
+            i, j = rows[i], rows[j]
+            hit, at = np.unique(rep[np.concatenate([i, j])], return_inverse=True)
+            links = np.bincount(at, weights=np.concatenate([weight[j], weight[i]])).astype(np.int64)
+            edges = np.array(_forest(rep[i], rep[j]), dtype=np.int64).reshape(-1, 2)
+            a, b = np.concatenate([hit, edges[:, 0]]), np.concatenate([hit, edges[:, 1]])
+            n = np.concatenate([links, np.zeros(len(edges), dtype=np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], ["a", "b", "n"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in small_batches(batches, 4096):
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < GATHERED:
+                continue
+            # The last group may go on in the next batch; it is held back whole.
+            whole = pa.Table.from_batches(held)
+            keys = [whole.column(c).to_numpy() for c in ("cell", "t", "x", "y")]
+            same = np.logical_and.reduce([k == k[-1] for k in keys])
+            cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+            if cut:
+                yield from judge(whole.slice(0, cut))
+            held, rows = whole.slice(cut).to_batches(), len(same) - cut
+        if rows:
+            yield from judge(pa.Table.from_batches(held))
 
     found = stash(met.mapInArrow(search, "a long, b long, n long"), "vector-links")
-    roots = components(found.where("n = 0").select("a", "b")).withColumnRenamed("node", "rep")
+    # A vec_id with several vectors joins their classes.
+    several = given.where(good).groupBy("vec_id").agg(F.count_distinct("v").alias("n")).where("n > 1").select("vec_id")
+    joined = given.where(good).join(several, "vec_id").join(folded, "v").select(F.col("vec_id").alias("a"), F.col("rep").alias("b"))
+    roots = components(found.where("n = 0").select("a", "b").unionByName(joined)).withColumnRenamed("node", "rep")
     counts = found.where("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     result = folded.join(counts, "rep", "left").join(roots, "rep", "left")
     result = result.select(
