@@ -51,9 +51,10 @@ class Weights:
     tag: dict[str, float] = field(default_factory=dict)
     word: dict[str, float] = field(default_factory=dict)
 
-    def of_tag(self, kind: str, name: str, boilerplate: bool) -> float:
+    def of_tag(self, kind: str, name: str, boilerplate: bool, inside: bool) -> float:
+        """Boilerplate ends a region, but not where a page marks the element around it as content."""
         if boilerplate:
-            return -20.0
+            return -0.1 if inside or kind[0] == "/" else -20.0
         return self.tag.get(kind, self.tag.get(name, -0.5))
 
     def of_word(self, name: str, boilerplate: bool) -> float:
@@ -134,9 +135,9 @@ def extract(page: str | None, weights: Weights) -> str:
         return ""
     tokens: list[tuple[str, str, str, bool]] = []
     scores: list[float] = []
-    for what, name, text, bad, _ in pieces(page):
+    for what, name, text, bad, inside in pieces(page):
         if what:
-            scores.append(weights.of_tag(text, name, bad and what == "<"))
+            scores.append(weights.of_tag(text, name, bad, inside))
         else:
             words = len(text.split())
             scores.append(words * weights.of_word(name, bad))

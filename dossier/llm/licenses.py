@@ -101,7 +101,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold
     that repeat a doc_id add up; null doc_ids form one document. An empty table gives an empty result.
     """
     grams = [(name, bigrams(t)) for name, texts in templates.items() for t in texts]
-    room = (2.0 - threshold) / threshold
+    room = (2.0 - threshold) / threshold + 1e-9  # sizes at the bound itself stay in
     least = min(len(g) for _, g in grams) / room
     most = max(len(g) for _, g in grams) * room
     text = F.col("text")

@@ -2,7 +2,7 @@
 
 Base spans (emails, addresses, cards, phones) are the protected entities. Corpus co-occurrence tells how strongly a
 term reveals one: of all the distinct contexts in which the term occurs anywhere, the share that lies around the
-entity is the estimate of P(entity | term). Terms at or above the disclosure threshold are generalised, those at or
+entity is the estimate of P(entity | term), taken at the lower end of its confidence interval. Terms at or above the disclosure threshold are generalised, those at or
 above the removal threshold removed, wherever they occur. Contexts (a term's neighbours) count once, so copies of a
 document do not make its rare words look revealing.
 """
@@ -122,7 +122,7 @@ def _around(text: str) -> Iterator[tuple[int, str, int]]:
 
 
 def disclosing(docs: DataFrame, least: int = LEAST_CONTEXTS, share: float = GENERALISE, block_terms: int = BLOCK_TERMS) -> DataFrame:
-    """(term, share): terms whose contexts lie around one entity to at least ``share``, over all documents."""
+    """(term, share): terms whose contexts, over all documents, surely lie around one entity to at least ``share``."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -183,8 +183,11 @@ def disclosing(docs: DataFrame, least: int = LEAST_CONTEXTS, share: float = GENE
     counted = parts[0]
     for part in parts[1:]:
         counted = counted.unionByName(part)
-    joined = met.join(counted, "term").select("term", (F.col("met") / F.col("all")).alias("share"))
-    return joined.where(F.col("share") >= share)
+    # The lower end of a 90 % interval (Wilson), so that a few chance meetings do not condemn a common word.
+    p, n, z = F.col("met") / F.col("all"), F.col("all"), 1.645
+    low = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    joined = met.join(counted, "term").select("term", p.alias("share"), low.alias("low"))
+    return joined.where(F.col("low") >= share).select("term", "share")
 
 
 def all_spans(docs: DataFrame, terms: DataFrame, block_terms: int = BLOCK_TERMS) -> DataFrame:

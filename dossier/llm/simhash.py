@@ -136,13 +136,16 @@ def near_duplicates(docs: DataFrame, max_bits: int = 2, list_cap: int = 256) ->
 
     component_id is the smallest doc_id reachable over links of at most ``max_bits`` differing bits, the row itself
     included. Null, empty and wordless texts have fingerprint zero and link like any other. Rows with a null doc_id
-    get a fingerprint, take no part in linking and have a null component. Rows that repeat a doc_id are kept, each
-    with its own text's class. An empty table gives an empty result; other columns are ignored.
+    get a fingerprint, take no part in linking and have a null component. Rows that repeat a doc_id are kept; their
+    texts' classes are one, as the id is in all of them. An empty table gives an empty result; other columns are ignored.
     """
     prints = stash(fingerprints(docs), "fingerprints")
     reps = prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
     reps = stash(reps, "fingerprint-classes")
-    roots = components(links(reps, max_bits, list_cap))
+    # A doc_id with several texts is one document, so it joins their classes.
+    several = prints.where("doc_id is not null").groupBy("doc_id").agg(F.count_distinct("fp").alias("n")).where("n > 1")
+    joined = prints.join(several, "doc_id").join(reps, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    roots = components(links(reps, max_bits, list_cap).unionByName(joined))
     classes = stash(
         reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
             "fp", F.coalesce("root", "rep").alias("component")

@@ -161,7 +161,7 @@ def plan(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     shared = stash(shared.select("sha", "size", "first"), "warc-firsts")
     marked = pages.select("page_id", "url", "html", F.sha1(payload).alias("sha"), F.octet_length(payload).cast("long").alias("size"))
     joined = marked.join(shared, ["sha", "size"], "left")
-    return joined.select("page_id", "url", "html", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to"))
+    return joined.select("page_id", "url", "html", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"))
 
 
 def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
