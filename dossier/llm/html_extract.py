@@ -183,10 +183,12 @@ def learn(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Weights:
         for batch in small_batches(batches):
             for page in batch.column(0):
                 for what, name, text, bad, inside in pieces(page.as_py()):
+                    if bad:  # boilerplate has weights of its own
+                        continue
                     if what:
-                        seen[inside and not bad].update([f"t:{text}", f"t:{name}"] if text not in (name, "/" + name) else [f"t:{text}"])
+                        seen[inside].update([f"t:{text}", f"t:{name}"] if text not in (name, "/" + name) else [f"t:{text}"])
                     elif words := len(text.split()):
-                        seen[inside and not bad][f"w:{name}"] += words
+                        seen[inside][f"w:{name}"] += words
         keys = sorted(seen[0].keys() | seen[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in (seen[1], seen[0]))], ["kind", "inside", "outside"])
 
