@@ -30,8 +30,8 @@ SAMPLE_ROWS = 4000
 LEXICON = 4096
 #: Lengths of word stems that may carry weight.
 STEMS = (4, 5, 6)
-#: An entry needs this many training documents of the toxic class, and this log odds ratio.
-LEAST_DOCS, LEAST_ODDS = 6, 2.5
+#: An entry needs this many toxic training documents (a twentieth of them where that is less), and this log odds ratio.
+LEAST_DOCS, LEAST_ODDS = 24, 2.5
 
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;:\n\"“”«»]")
 ENDS = frozenset(".!?;\n")
@@ -240,7 +240,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Gramma
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.float64()) for c in zip(*rows, strict=True)), batch.column(1)], ["a", "b", "c", "d", "toxic"])
 
     seen = chosen.select("text", "toxic").mapInArrow(measure, "a double, b double, c double, d double, toxic int")
-    points = np.array([tuple(r) for r in seen.orderBy("toxic", "a", "b", "c", "d").collect()], dtype=np.float64)
+    points = np.array(sorted(tuple(r) for r in seen.collect()), dtype=np.float64)
     grammar.beta = _logistic(points[:, :4], points[:, 4])
     return grammar
 
