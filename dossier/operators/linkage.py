@@ -105,10 +105,10 @@ def dismissed_key(hint_id: Column, entry: Column, field: Column) -> Column:
 
 def ancestors(nodes: DataFrame, key: str = "id", parent: str = "parent", most: int = 32) -> DataFrame:
     """(key, ancestor, depth) of a tree by pointer doubling; ``most`` bounds the depth."""
-    step = nodes.where(F.col(parent).isNotNull()).select(F.col(key), F.col(parent).alias("ancestor"), F.lit(1).alias("depth"))
-    out, reach = step, 1
+    out = nodes.where(F.col(parent).isNotNull()).select(F.col(key), F.col(parent).alias("ancestor"), F.lit(1).alias("depth"))
+    reach = 1
     while reach < most:
-        up = step.select(F.col(key).alias("u"), F.col("ancestor").alias("up"), F.col("depth").alias("d"))
+        up = out.select(F.col(key).alias("u"), F.col("ancestor").alias("up"), F.col("depth").alias("d"))
         more = out.join(up, F.col("ancestor") == F.col("u")).select(key, F.col("up").alias("ancestor"), (F.col("depth") + F.col("d")).alias("depth"))
         out = out.unionByName(more).distinct()
         reach *= 2
