@@ -22,6 +22,14 @@ MAX_EPOCHS = 3
 #: Rows a slice holds on average.
 SLICE_ROWS = 2048
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bits of a row's hash-random key.
+KEY_BITS = 60
+
+
+def random_key() -> Column:
+    """The first 60 bits of the MD5 of doc_id and text."""
+    said = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
+    return F.conv(F.substring(F.md5(said), 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
 def size_of(text: Column) -> Column:
@@ -72,11 +80,11 @@ def mix(
     """
     own = [F.col(c).alias(f"keep_{c}") for c in keep]
     sized = docs.select(
-        F.col("doc_id"), "source", size_of(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("key"), *own
+        F.col("doc_id"), "source", size_of(F.col("text")).alias("size"), random_key().alias("key"), *own
     )
     n = max(1, docs.select(F.lit(1).alias("one")).count())
     bits = min(40, max(0, math.ceil(math.log2(n / slice_rows)))) if n > slice_rows else 0
-    slice_of = F.shiftrightunsigned(F.col("key"), 64 - bits) if bits else F.lit(0).cast("long")
+    slice_of = F.shiftrightunsigned(F.col("key"), KEY_BITS - bits) if bits else F.lit(0).cast("long")
     sized = sized.withColumn("slice", slice_of)
 
     slices = stash(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, embeddings, html_extract, licenses, mixing, pii, simhash, suffix_dedup, toxicity, warc
 from .common import shared_dir, table
+from .oracles import ORACLE_SQL
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,4 +86,4 @@ QUERIES = {
     "op10_embeddings": op10_embeddings,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
