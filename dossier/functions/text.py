@@ -237,3 +237,28 @@ def content_hash(*cs: Column | str) -> Column:
     """SHA-256 of the parts, upper-case hex; parts are joined by a unit separator, null counts as empty."""
     joined = F.concat_ws("\x1f", *(F.coalesce(_col(c).cast("string"), F.lit("")) for c in cs))
     return F.upper(F.sha2(joined, 256))
+
+
+def locale_of(culture: Column | str, supported: tuple[str, ...], default: str = "en") -> Column:
+    """Supported language of a culture name: itself, Chinese by script, its parent, the default; case does not matter."""
+    c = F.lower(trim_ws(_col(culture)))
+    parent = F.split_part(c, F.lit("-"), F.lit(1))
+    named = {s.lower(): s for s in supported}
+    table = F.create_map(*(F.lit(x) for kv in named.items() for x in kv))
+    chinese = F.when((parent == "zh") & c.rlike("hant|tw|hk|mo"), F.element_at(table, F.lit("zh-hant"))).when(parent == "zh", F.coalesce(F.element_at(table, F.lit("zh-hans")), F.element_at(table, F.lit("zh"))))
+    return F.coalesce(F.element_at(table, c), chinese, F.element_at(table, parent), F.lit(default))
+
+
+def ocr_languages(culture: Column | str, installed: tuple[str, ...] = ("eng", "slk", "ces")) -> Column:
+    """Language packs of a culture, joined by a plus: its own where installed, and English."""
+    parent = F.split_part(F.lower(_col(culture)), F.lit("-"), F.lit(1))
+    own = F.when(parent == "sk", "slk").when(parent == "cs", "ces")
+    return F.concat_ws("+", F.lit("eng"), F.when(own.isin(*installed), own))
+
+
+def model_json(raw: Column | str) -> Column:
+    """struct<json, retry> of a model's answer: the object inside a code fence; retry where there is none."""
+    t = strip_fence(_col(raw))
+    body = F.regexp_extract(t, r"(?s)(\{.*\})", 1)
+    good = F.json_object_keys(body).isNotNull()
+    return F.struct(F.when(good, body).alias("json"), F.coalesce(~good, F.lit(True)).alias("retry"))

@@ -115,7 +115,8 @@ def orphan_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def first_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = jobs(spark, sf_dir).select("cv_id", "pos", F.col("company").alias("field_key"))
-    ordered = j.select("cv_id").distinct().crossJoin(F.broadcast(spark.createDataFrame([(0, "1-URGENT"), (1, "3-MEDIUM")], "pos int, field_key string")))
+    fields = F.array(*(F.struct(F.lit(n).alias("pos"), F.lit(f).alias("field_key")) for n, f in ((0, "1-URGENT"), (1, "3-MEDIUM"))))
+    ordered = j.select("cv_id").distinct().select("cv_id", F.inline(fields))
     return linkage.first_invalid(ordered, j, "cv_id")
 
 

@@ -10,10 +10,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from dossier.functions import cues, entries
+from dossier.functions import cues, entries, text
 from dossier.operators import extract, folds, layout, linkage
 from dossier.sources import formats, structured, writers
 from dossier.sources import extract as readers
+from dossier.sources.importer import import_files, project
 from dossier.streaming import progress
 
 
@@ -154,3 +155,35 @@ def test_recovery(spark):
     df = spark.sql("select timestamp'2020-01-01' as p, timestamp'2020-01-02' as r")
     x = [progress.recovery(F.col("p"), F.col("r"), F.lit(True)), progress.recovery(F.col("r"), F.col("p"), F.lit(True)), progress.recovery(F.col("p"), F.col("r"), F.lit(False)), progress.recovery(F.col("p"), F.lit(None), F.lit(True))]
     assert list(df.select(*x).first()) == ["offer", "discard_stale", "discard_invalid", "none"]
+
+
+def test_import_files(spark, tmp_path):
+    (tmp_path / "cv.txt").write_text("Jane Doe\njane@example.com\n\nWork Experience\nDev at Acme\n01/2019 - 02/2020\n")
+    (tmp_path / "cv.html").write_text("<p>Max Muster</p><p>max@example.com</p><a href='https://max.example'>me</a>")
+    (tmp_path / "cv.json").write_text('{"basics": {"name": "Ann Lee"}, "work": [{"name": "B", "position": "C"}]}')
+    (tmp_path / "cv.yaml").write_text("basics:\n  name: Yan Li\nwork:\n- company: D\n")
+    (tmp_path / "cv.tsv").write_text("Name\tCity\nTom Ray\tBrno\n")
+    (tmp_path / "cv.xml").write_text("<SkillsPassport><FirstName>Eva</FirstName><Surname>Mala</Surname></SkillsPassport>")
+    (tmp_path / "own.dossier.json").write_text('{"dossierVersion": 1, "personal": {"first_name": "Own"}}')
+    (tmp_path / "bad.docx").write_bytes(b"junk")
+    (tmp_path / "empty.txt").write_text(" ")
+    got = {r["path"].rsplit("/", 1)[1]: r for r in import_files(spark, f"file://{tmp_path}").collect()}
+    names = {k: (r["format"], (r["personal"] or {"first_name": None})["first_name"], r["error"]) for k, r in got.items()}
+    assert names == {
+        "cv.txt": ("PlainText", "Jane", None), "cv.html": ("Html", "Max", None), "cv.json": ("JsonResume", "Ann", None), "cv.yaml": ("Yaml", "Yan", None), "cv.tsv": ("Csv", "Tom", None),
+        "cv.xml": ("EuropassXml", "Eva", None), "own.dossier.json": ("OwnJson", "Own", None), "bad.docx": ("Docx", None, "unreadable"), "empty.txt": ("PlainText", None, "empty_text"),
+    }
+    assert got["cv.txt"]["work"][0]["company"] == "Acme" and got["cv.json"]["work"][0]["job_title"] == "C" and got["cv.html"]["links"][0]["url"] == "https://max.example"
+
+
+def test_project_settings(spark):
+    docs = spark.createDataFrame([("a", '{"dossierVersion": 1, "projectSettings": {"template": "x"}}'), ("b", '{"dossierVersion": 1, "projectSettings": {"template": "x", "odd": 1}}'), ("c", "{")], "path string, text string")
+    got = {r["path"]: (r["settings"]["template"] if r["settings"] else None, r["partially_ignored"], r["malformed"]) for r in project(docs, "struct<template:string>").collect()}
+    assert got == {"a": ("x", False, False), "b": ("x", True, False), "c": (None, False, True)}
+
+
+def test_locales(spark):
+    known = ("en", "sk", "zh-Hans", "zh-Hant", "pt-BR")
+    assert ask(spark, lambda c: text.locale_of(c, known), "SK", "sk-SK", "zh-TW", "zh-CN", "pt-br", "xx") == ["sk", "sk", "zh-Hant", "zh-Hans", "pt-BR", "en"]
+    assert ask(spark, text.ocr_languages, "sk-SK", "de") == ["eng+slk", "eng"]
+    assert [tuple(x) for x in ask(spark, text.model_json, "```json\n{\"a\": 1}\n```", "no object")] == [('{"a": 1}', False), (None, True)]
