@@ -25,6 +25,16 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def stash_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/stash/{spark.sparkContext.applicationId}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes all tables that this application has stashed; call it when their results have been written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stash_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the shared folder; for small, iterated tables."""
     shared_dir(df.sparkSession)
@@ -32,9 +42,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table that several later steps read into the shared folder, compressed, and returns it reread."""
+    """Writes a table that several later steps read into the shared folder, compressed, and returns it reread.
+
+    Results are lazy and may read it long after, so nothing here deletes it; ``sweep`` does, for the application.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stash/{name}-{uuid.uuid4().hex}"
+    path = f"{stash_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
