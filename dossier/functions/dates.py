@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import trim_ws
+from .text import let, trim_ws
 
 # The shape of a date range in running text, and the words for "until now".
 TOKEN = r"\d{1,2}\s*/\s*\d{4}|[A-Za-z]{3,9}\s+\d{4}|\d{4}"
@@ -21,17 +21,21 @@ def _int(c: Column) -> Column:
 
 def parse_token(token: Column) -> Column:
     """struct<month, year> of '2020', '3/2020' or 'Mar 2020'; null fields where it is none of them."""
-    t = trim_ws(token)
-    plain = F.when(t.rlike(r"^[+-]?\d+$"), _int(t))
-    plain = F.when(plain.between(FIRST_YEAR, LAST_YEAR), plain)
-    slash_m = _int(F.regexp_extract(t, r"^(\d{1,2})\s*/\s*(\d{4})$", 1))
-    slash_y = _int(F.regexp_extract(t, r"^(\d{1,2})\s*/\s*(\d{4})$", 2))
-    named = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.regexp_extract(t, r"^([A-Za-z]{3}) (\d{4})$", 1)))
-    named_y = _int(F.regexp_extract(t, r"^([A-Za-z]{3}) (\d{4})$", 2))
-    slash = slash_m.between(1, 12)
-    month = F.when(plain.isNotNull(), F.lit(None)).when(slash, slash_m).when(named > 0, named.cast("int"))
-    year = F.when(plain.isNotNull(), plain).when(slash, slash_y).when(named > 0, named_y)
-    return F.struct(month.cast("int").alias("month"), year.cast("int").alias("year"))
+
+    def of(t: Column) -> Column:
+        plain = F.when(t.rlike(r"^[+-]?\d+$"), _int(t))
+        slash_m = _int(F.regexp_extract(t, r"^(\d{1,2})\s*/\s*(\d{4})$", 1))
+        named = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.regexp_extract(t, r"^([A-Za-z]{3}) (\d{4})$", 1)))
+        tail = _int(F.right(t, F.lit(4)))
+        parts = F.struct(F.when(plain.between(FIRST_YEAR, LAST_YEAR), plain).alias("plain"), slash_m.alias("slash"), named.cast("int").alias("named"), tail.alias("tail"))
+        return let(parts, pick)
+
+    def pick(p: Column) -> Column:
+        month = F.when(p["plain"].isNotNull(), F.lit(None)).when(p["slash"].between(1, 12), p["slash"]).when(p["named"] > 0, p["named"])
+        year = F.coalesce(p["plain"], F.when(p["slash"].between(1, 12) | (p["named"] > 0), p["tail"]))
+        return F.struct(month.cast("int").alias("month"), year.cast("int").alias("year"))
+
+    return let(trim_ws(token), of)
 
 
 def is_present(token: Column) -> Column:
@@ -43,17 +47,24 @@ def parse_segment(c: Column) -> Column:
 
     The pattern finds a range; whether its ends are dates is judged apart, so an end can stand without its start.
     """
-    start, end = F.regexp_extract(c, RANGE, 1), F.regexp_extract(c, RANGE, 2)
-    a, b, now = parse_token(start), parse_token(end), is_present(end)
-    found = a["year"].isNotNull() | now | b["year"].isNotNull()
-    value = F.struct(
-        a["month"].alias("start_month"),
-        a["year"].alias("start_year"),
-        F.when(~now, b["month"]).alias("end_month"),
-        F.when(~now, b["year"]).alias("end_year"),
-        now.alias("is_present"),
-    )
-    return F.when(found, value)
+
+    def of(m: Column) -> Column:
+        start, end = F.regexp_extract(m, RANGE, 1), F.regexp_extract(m, RANGE, 2)
+        return let(F.struct(parse_token(start).alias("a"), parse_token(end).alias("b"), is_present(end).alias("now")), build)
+
+    def build(x: Column) -> Column:
+        a, b, now = x["a"], x["b"], x["now"]
+        value = F.struct(
+            a["month"].alias("start_month"),
+            a["year"].alias("start_year"),
+            F.when(~now, b["month"]).alias("end_month"),
+            F.when(~now, b["year"]).alias("end_year"),
+            now.alias("is_present"),
+        )
+        return F.when(a["year"].isNotNull() | now | b["year"].isNotNull(), value)
+
+    # Only four digits in a row can make a range, which most lines lack.
+    return F.when(c.rlike(r"\d{4}"), let(F.regexp_extract(c, RANGE, 0), of))
 
 
 def parse_range(line: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.functions import dates
-from dossier.functions.text import has_text, lines_of, trim_ws
+from dossier.functions.text import has_text, let, lines_of, trim_ws
 from dossier.functions.urls import URL
 
 EMAIL = r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
@@ -47,15 +47,23 @@ def heading_of(line: Column) -> Column:
     an address, a URL or a date, and sub-headings of entries, head nothing. The headings are 59 literals, so the theta
     join with them is one expression.
     """
-    b = bare(line)
-    low = F.lower(b)
-    found = F.lit(None).cast("string")
     order = [(len(k), -n, s, k) for n, (s, k) in enumerate((s, k) for s, ks in HEADINGS.items() for k in ks)]
-    tests = [(low.contains(k) & (F.length(b) <= n + SLACK), s) for n, _, s, k in sorted(order, reverse=True)]
-    for test, section in reversed(tests):
-        found = F.when(test, section).otherwise(found)
-    possible = has_text(b) & (F.length(b) <= LONGEST) & ~b.rlike(EMAIL) & ~b.rlike(URL) & dates.parse_range(b).isNull()
-    return F.when(possible & ~low.isin(*NOT_HEADINGS), found)
+
+    def named(b: Column) -> Column:
+        return let(F.lower(b), lambda low: F.when(~low.isin(*NOT_HEADINGS), best(low, F.length(b))))
+
+    def best(low: Column, size: Column) -> Column:
+        found = F.lit(None).cast("string")
+        for n, _, section, k in sorted(order):
+            found = F.when((size <= n + SLACK) & low.contains(k), section).otherwise(found)
+        return found
+
+    def head(b: Column) -> Column:
+        return let(named(b), lambda s: F.when(s.isNotNull() & ~b.rlike(EMAIL) & ~b.rlike(URL) & dates.parse_range(b).isNull(), s))
+
+    # No heading is longer than the longest keyword with its slack, so most lines end here.
+    longest = min(LONGEST, max(n for n, *_ in order) + SLACK)
+    return F.when(F.length(bare(line)).between(1, longest), let(bare(line), head))
 
 
 def segment(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
