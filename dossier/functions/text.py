@@ -140,7 +140,8 @@ def language_signal(c: Column | str, fallback: str = "en") -> Column:
     It counts letters only, so it is a signal and no identification of the language.
     """
     both = letters_of(c, CZECH_ONLY + SLOVAK)
-    signal = F.when(both < 2, fallback).when(_col(c).rlike(f"[{CZECH_ONLY}]"), "cs").otherwise("sk")
+    # All of them lie in one range of code points, which is quick to look for and often absent.
+    signal = F.when(~_col(c).rlike(r"[\x{C0}-\x{17F}]") | (both < 2), fallback).when(_col(c).rlike(f"[{CZECH_ONLY}]"), "cs").otherwise("sk")
     return F.coalesce(signal, F.lit(fallback))
 
 

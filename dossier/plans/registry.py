@@ -23,5 +23,15 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+#: Tables of texts: much work a row.
+TEXTS = ("documents", "pages", "conversations")
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A table; one of texts is dealt out to all cores if its files give fewer tasks than there are cores.
+
+    Large tables have more row groups than a cluster has cores and are read where they lie.
+    """
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in TEXTS and df.rdd.getNumPartitions() < cores else df
