@@ -13,8 +13,8 @@ work is cut so that equal strings always meet and nothing else is sorted:
    are equal where the common prefix is ``length`` or more, and all but those of the smallest id go.
 
 Equal segments met inside one slice of a map task are folded at once, so a passage that a third of all documents
-share leaves each slice as one row. An anchor with more segments than a collection may hold is not sorted: its windows
-are dealt out one by one and compared whole.
+share leaves each slice as one row. An anchor with more segments than a collection may hold (a line before or after
+which many documents differ) is not brought together: its windows are dealt out by their own bytes and compared whole.
 """
 
 from __future__ import annotations
@@ -34,9 +34,9 @@ from .common import small_batches, stash
 LENGTH = 50
 ANCHOR = 16
 #: Bytes of text that are hashed at a time.
-SLICE_BYTES = 2 << 20
-#: Bytes of segments in a collection, and of one anchor's segments in it at most.
-COLLECTION_BYTES, ANCHOR_BYTES = 1 << 20, 8 << 20
+SLICE_BYTES = 1 << 20
+#: Bytes of segments in a collection, about, and segments of one anchor that one may hold (two megabytes).
+COLLECTION_BYTES, ANCHOR_ROWS = 1 << 20, 32_768
 #: Ranges of the anchor's place in a window that are told apart before sorting.
 RANGES = 4
 A1, A2, A3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0x100000001B3)
@@ -260,10 +260,12 @@ FLAGS = "doc_id long, sub long, start int, size int"
 
 
 def _scan(docs: DataFrame, length: int) -> DataFrame:
-    """Segments of all documents, a row each, folded inside a slice: (anchor, digest, doc_id, sub, start, shape).
+    """Segments of all documents, a row each, folded inside a slice: (anchor, digest, doc_id, code) and sub if docs has it.
 
-    shape is negative for a segment that is known to go: a document with a smaller id in the same slice holds it.
+    code holds the start, whether the segment is known to go (a document with a smaller id in the same slice holds it)
+    and the shape, see ``_unpack``. These rows are the bulk of what is shuffled, so they have no column to spare.
     """
+    repeated = "sub" in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, subs, texts in _slices(batches):
@@ -279,19 +281,25 @@ def _scan(docs: DataFrame, length: int) -> DataFrame:
             # Known segments need not meet their like again; they ride along, spread by a number of their own.
             anchor[known] = _mix((start[known].astype(np.uint64) << np.uint64(20)) ^ doc[known].view(np.uint64)).view(np.int64)
             digest[known] = 0
-            shape[known] *= -1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (anchor, digest, doc, subs[owner])] + [pa.array(x.astype(np.int32)) for x in (start, shape)],
-                ["anchor", "digest", "doc_id", "sub", "start", "shape"],
-            )
+            columns = [anchor, digest, doc, start << 16 | known.astype(np.int64) << 15 | shape]
+            if repeated:
+                columns.append(subs[owner])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["anchor", "digest", "doc_id", "code", "sub"][: len(columns)])
 
-    return docs.select("doc_id", "sub", "text").mapInArrow(run, "anchor long, digest long, doc_id long, sub long, start int, shape int")
+    schema = "anchor long, digest long, doc_id long, code long" + ", sub long" * repeated
+    return docs.select("doc_id", *["sub"] * repeated, "text").mapInArrow(run, schema)
+
+
+def _unpack(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, known to go, shape) of a packed segment."""
+    return (code >> 16).astype(np.int32), code >> 15 & 1 == 1, (code & 0x7FFF).astype(np.int32)
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
     ids, subs, texts, held = [], [], [], 0
     for batch in small_batches(batches):
-        for i, s, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+        repeated = batch.column(1).to_pylist() if batch.num_columns == 3 else [0] * batch.num_rows
+        for i, s, t in zip(batch.column(0).to_pylist(), repeated, batch.column(batch.num_columns - 1), strict=True):
             data = (t.as_py() or "").encode("utf-8", "surrogatepass")
             ids.append(i)
             subs.append(s)
@@ -319,8 +327,9 @@ def _judge(scanned: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, g, d, s, at, shape = (batch.column(n).to_numpy() for n in range(6))
-            known = shape < 0
+            a, g, d, code = (batch.column(n).to_numpy() for n in range(4))
+            s = batch.column(4).to_numpy() if batch.num_columns == 5 else np.zeros(len(a), dtype=np.int64)
+            at, known, shape = _unpack(code)
             if tail is None or tail["a"] != a[0]:
                 tail, joins = None, False
             else:
@@ -343,7 +352,7 @@ def _judge(scanned: DataFrame) -> DataFrame:
                 n_segments[0] += 2 if tail["many"] else 1
             many = n_segments[anchor_of] > 1
             need = many & ~whole
-            out = [(x[whole | need]) for x in (d, s, at)] + [np.abs(shape)[whole | need]]
+            out = [(x[whole | need]) for x in (d, s, at)] + [shape[whole | need]]
             marks = pa.array(a[whole | need], mask=whole[whole | need])
             yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in out), marks], ["doc_id", "sub", "start", "shape", "anchor"])
             if joins and not tail["many"] and n_segments[0] > 1 and tail["held"]:
@@ -398,31 +407,38 @@ def _may_match(group: list[Part], length: int) -> list[Part]:
     return out
 
 
-def _compare(needed: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """(doc_id, sub, start, size, window): runs of windows that go, or single windows of anchors with too many segments."""
+def _bytes_of(needed: DataFrame, docs: DataFrame, length: int, single: bool) -> DataFrame:
+    """(anchor, part, doc_id, sub, start, place) of segments, or of all their single windows (part a window, place 0)."""
     wanted = needed.groupBy("doc_id", "sub").agg(F.collect_list(F.struct("start", "shape", "anchor")).alias("parts"))
     joined = docs.join(wanted, ["doc_id", "sub"]).select("doc_id", "sub", "text", "parts")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 64):
             rows = []
             for i, s, t, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 data = t.as_py().encode("utf-8", "surrogatepass")
                 starts, shapes, anchors = (parts.values.field(n).to_pylist() for n in range(3))
-                rows.extend((a, data[b : b + (x & 255)], i, s, b, x >> 8) for b, x, a in zip(starts, shapes, anchors, strict=True))
+                for b, x, a in zip(starts, shapes, anchors, strict=True):
+                    if single:
+                        rows.extend((a, data[k : k + length], i, s, k, 0) for k in range(b, b + (x & 255) - length + 1))
+                    else:
+                        rows.append((a, data[b : b + (x & 255)], i, s, b, x >> 8))
             if rows:
                 kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["anchor", "part", "doc_id", "sub", "start", "place"])
 
-    parts = joined.mapInArrow(cut, "anchor long, part binary, doc_id long, sub long, start int, place int")
+    return joined.mapInArrow(run, "anchor long, part binary, doc_id long, sub long, start int, place int")
+
+
+def _compare(parts: DataFrame, length: int) -> DataFrame:
+    """(doc_id, sub, start, size): runs of windows that go, of segments whose anchors a collection may hold."""
     dealt = parts.repartition("anchor").sortWithinPartitions("anchor", "part", "doc_id")
-    schema = pa.schema([("doc_id", pa.int64()), ("sub", pa.int64()), ("start", pa.int32()), ("size", pa.int32()), ("window", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("sub", pa.int64()), ("start", pa.int32()), ("size", pa.int32())])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[Part] = []  # segment, its smallest id, its places there
-        held_bytes = 0
+        held: list[Part] = []
         group: list[Part] = []
-        group_bytes, anchor, spilling = 0, None, False
+        held_bytes, anchor = 0, None
 
         def flush() -> pa.RecordBatch | None:
             who, start = repeated_windows([x[0] for x in held], np.array([x[1] for x in held], dtype=np.int64), length)
@@ -433,20 +449,13 @@ def _compare(needed: DataFrame, docs: DataFrame, length: int) -> DataFrame:
             fresh = np.append(True, (who[1:] != who[:-1]) | (start[1:] != start[:-1] + 1))
             a = np.flatnonzero(fresh)
             b = np.append(a[1:], len(who)) - 1
-            rows = [(held[w][1], sub, at + x, y - x + length, None) for w, x, y in zip(who[a].tolist(), start[a].tolist(), start[b].tolist(), strict=True) for sub, at in held[w][2]]
+            rows = [(held[w][1], sub, at + x, y - x + length) for w, x, y in zip(who[a].tolist(), start[a].tolist(), start[b].tolist(), strict=True) for sub, at in held[w][2]]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-        def windows(of: list[Part]) -> Iterator[pa.RecordBatch]:
-            rows = [(doc, sub, at + k, length, part[k : k + length]) for part, doc, places, _ in of for k in range(len(part) - length + 1) for sub, at in places]
-            for n in range(0, len(rows), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[n : n + 50_000], strict=True), schema, strict=True)], schema=schema)
-
         for batch in small_batches(batches, 4096):
             for a, part, doc, sub, start, place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if a != anchor:
-                    if spilling:
-                        yield from windows(group)
-                    elif len(group) > 1:
+                    if len(group) > 1:
                         met = _may_match(group, length)
                         held.extend(met)
                         held_bytes += sum(len(x[0]) for x in met)
@@ -454,31 +463,30 @@ def _compare(needed: DataFrame, docs: DataFrame, length: int) -> DataFrame:
                             if (found := flush()) is not None:
                                 yield found
                             held, held_bytes = [], 0
-                    group, group_bytes, anchor, spilling = [], 0, a, False
+                    group, anchor = [], a
                 if group and group[-1][0] == part:
                     if group[-1][1] == doc:
                         group[-1][2].append((sub, start))
                     continue  # later ids are known to go whole
-                if spilling and len(group) >= 1000:
-                    yield from windows(group[:-1])
-                    group = group[-1:]
                 group.append((part, doc, [(sub, start)], place))
-                group_bytes += len(part)
-                spilling = spilling or group_bytes >= ANCHOR_BYTES
-        if spilling:
-            yield from windows(group)
-        elif len(group) > 1:
+        if len(group) > 1:
             held.extend(_may_match(group, length))
         if held and (found := flush()) is not None:
             yield found
 
-    return dealt.mapInArrow(build, f"{FLAGS}, window binary")
+    return dealt.mapInArrow(build, FLAGS)
 
 
-def _windows(single: DataFrame) -> DataFrame:
-    """Of equal single windows, those of a document with a larger id than the smallest."""
-    least = stash(single.groupBy("window").agg(F.min("doc_id").alias("least")), "dedup-window-ids")
-    return single.join(least, "window").where(F.col("doc_id") > F.col("least")).select("doc_id", "sub", "start", "size")
+def _windows(single: DataFrame, length: int) -> DataFrame:
+    """Of equal single windows, those of a document with a larger id than the smallest.
+
+    The minima are combined before they are shuffled and written before they join back, so a window that many
+    documents hold is split like any large join key.
+    """
+    single = stash(single, "dedup-single")
+    least = stash(single.groupBy("part").agg(F.min("doc_id").alias("least")), "dedup-window-ids")
+    found = single.join(least, "part").where(F.col("doc_id") > F.col("least"))
+    return found.select("doc_id", "sub", "start", F.lit(length).alias("size"))
 
 
 def _union(starts: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
@@ -499,13 +507,21 @@ def removed_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     with _freeing(spark):
         twice = stash(own.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(1).alias("twice")), "dedup-ids")
-        # sub tells rows apart that repeat a doc_id; 0 otherwise.
-        keyed = own.join(twice, "doc_id", "left").select("doc_id", F.when(F.col("twice") == 1, F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("sub"), "text")
+        # sub tells rows apart that repeat a doc_id; without such rows it is 0 throughout and not carried along.
+        keyed = own.withColumn("sub", F.lit(0).cast("long"))
+        repeated = bool(twice.limit(1).count())
+        if repeated:
+            keyed = own.join(twice, "doc_id", "left").select("doc_id", F.when(F.col("twice") == 1, F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("sub"), "text")
         usable = keyed.where("doc_id is not null and text is not null")
-        judged = stash(_judge(_scan(usable, length)), "dedup-segments")
-        compared = stash(_compare(judged.where("anchor is not null"), usable, length), "dedup-windows")
+        judged = stash(_judge(_scan(usable if repeated else usable.drop("sub"), length)), "dedup-segments")
+        needed = judged.where("anchor is not null")
+        hot = stash(needed.groupBy("anchor").count().where(F.col("count") > ANCHOR_ROWS).select("anchor"), "dedup-hot-anchors")
         flags = judged.where("anchor is null").select("doc_id", "sub", "start", F.col("shape").bitwiseAND(255).alias("size"))
-        flags = flags.unionByName(compared.where("window is null").drop("window")).unionByName(_windows(compared.where("window is not null")))
+        if hot.limit(1).count():
+            apart = _bytes_of(needed.join(hot, "anchor", "left_semi"), usable, length, single=True)
+            flags = flags.unionByName(_windows(apart, length))
+            needed = needed.join(hot, "anchor", "left_anti")
+        flags = flags.unionByName(stash(_compare(_bytes_of(needed, usable, length, single=False), length), "dedup-runs-compared"))
         runs = stash(flags.groupBy("doc_id", "sub").agg(F.collect_list(F.struct("start", "size")).alias("runs")), "dedup-runs")
     return keyed.join(runs, ["doc_id", "sub"], "left")
 
