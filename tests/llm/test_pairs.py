@@ -154,8 +154,8 @@ def test_suffix_dedup_odd_rows(spark):
     assert suffix_dedup.deduplicate(docs_of(spark, [])).count() == 0
 
 
-def test_suffix_dedup_spilled_anchors(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "ANCHOR_BYTES", 1)
+def test_suffix_dedup_hot_anchors(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "ANCHOR_ROWS", 2)
     rng = random.Random(5)
     core = "the common middle part of these texts 0123456789 " * 2
     rows = [(i, "".join(rng.choice("uvwxyz") for _ in range(20)) + core[: 60 + i % 30] + "".join(rng.choice("uvwxyz") for _ in range(20))) for i in range(30)]
