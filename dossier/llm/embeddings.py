@@ -3,10 +3,11 @@
 Vectors are scaled to length one and projected on many random directions. Two vectors at cosine c lie within a known
 spread of each other on every direction, so a query's window around its own projection catches its neighbours. Pairs
 are sought inside cells: a table's cell is the combination of a few quantised projections, and several tables make up
-for pairs that a cell border separates. In a cell the rows are sorted by one projection, each row looks at those in its
-window, and the windows of the remaining projections that the pair shares are counted. Pairs that reach the calibrated
-count are verified with the exact cosine. Cell width, directions a cell, tables and the count follow from the number of
-rows and the wanted recall at the threshold itself, so cells stay small as the corpus grows.
+for pairs that a cell border separates. In a cell the rows are sorted by one projection, which differs from table to
+table, each row looks at those in its window, and the windows of all projections that the pair shares are counted. Pairs
+that reach the calibrated count are verified with the exact cosine. Directions a cell, tables and the count follow from
+the number of rows and the wanted recall at the threshold itself, the sought window included, so cells stay small as the
+corpus grows.
 
 Equal vectors are folded into one row with a weight first. A cell with more rows than a block is cut into blocks, and
 every pair of its blocks is a task of its own, so a large group is spread over the cluster and still compared in full.
@@ -38,6 +39,8 @@ BLOCK_ROWS = 4096
 PAIRS, GATHERED = 1 << 18, 1 << 14
 #: Distance between cells on the line where the windows of many cells are sought at once; projections are far smaller.
 APART = 1024.0
+#: What windows are sought wider by, as the line rounds; the window itself is then tested.
+SLACK = 1e-6
 SEED = 20240229
 
 
@@ -55,7 +58,8 @@ def calibrate(rows: int, threshold: float = 0.95, recall: float = 0.95) -> Plan:
     """Directions a cell, tables and the least count for a wanted recall of pairs exactly at the threshold.
 
     On one direction the projections of a pair at distance d differ by a normal variable of spread d, those of an
-    unrelated pair by one of spread about 1.41.
+    unrelated pair by one of spread about 1.41. A pair is found if it reaches the count and shares, in some table, both
+    the cell and the window of the direction that the table seeks on.
     """
     d = math.sqrt(2.0 * (1.0 - threshold))
 
@@ -66,15 +70,28 @@ def calibrate(rows: int, threshold: float = 0.95, recall: float = 0.95) -> Plan:
 
     near, far = same_cell(d), same_cell(math.sqrt(2.0))
     per_cell = max(2, math.ceil(math.log(max(2.0, rows / CELL_ROWS)) / -math.log(far)))
-    half = math.sqrt(recall)
-    tables = math.ceil(math.log(1.0 - half) / math.log(1.0 - near**per_cell))
     inside = math.erf(WINDOW / d / math.sqrt(2.0))
-    least, tail = COUNTED, 0.0
-    while least > 0:
-        tail += math.comb(COUNTED, least) * inside**least * (1.0 - inside) ** (COUNTED - least)
-        if tail >= half:
-            break
+    shares = [math.comb(COUNTED, k) * inside**k * (1.0 - inside) ** (COUNTED - k) for k in range(COUNTED + 1)]
+    least = COUNTED
+    while least > 0 and sum(shares[least:]) < math.sqrt(recall):
         least -= 1
+
+    def found(tables: int) -> float:
+        each, more = divmod(tables, COUNTED)
+        total = 0.0
+        for k in range(least, COUNTED + 1):
+            # Of k shared windows, j are among the directions that one more table than the others seeks on.
+            for j in range(max(0, k + more - COUNTED), min(k, more) + 1):
+                odds = math.comb(more, j) * math.comb(COUNTED - more, k - j) / math.comb(COUNTED, k)
+                total += shares[k] * odds * -math.expm1((each * k + j) * math.log1p(-(near**per_cell)))
+        return total
+
+    low, tables = 0, 1
+    while found(tables) < recall:
+        low, tables = tables, 2 * tables
+    while tables - low > 1:
+        middle = (low + tables) // 2
+        low, tables = (low, middle) if found(middle) >= recall else (middle, tables)
     return Plan(threshold, per_cell, tables, least)
 
 
@@ -82,6 +99,7 @@ def _directions(dim: int, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarra
     """Directions of the cells (dim, tables * per_cell), their offsets, and the counted directions (dim, COUNTED)."""
     rng = np.random.default_rng([SEED, dim])
     counted = rng.standard_normal((dim, COUNTED))
+    counted *= math.sqrt(dim) / np.sqrt(np.einsum("ij,ij->j", counted, counted))  # the spread of calibrate() on each
     rng = np.random.default_rng([SEED, dim, plan.tables, plan.per_cell])
     cells = rng.standard_normal((dim, plan.tables * plan.per_cell))
     return cells, rng.random(plan.tables * plan.per_cell) * CELL, counted
@@ -131,8 +149,8 @@ def _forest(i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _candidates(line: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of a sorted line that lie in each other's window, each once."""
-    end = np.searchsorted(line, line + WINDOW, "right")
+    """Index pairs of a sorted line that lie in each other's window, or at most SLACK beyond, each once."""
+    end = np.searchsorted(line, line + WINDOW + SLACK, "right")
     n = end - np.arange(len(line)) - 1
     at = 0
     while at < len(line):
@@ -146,21 +164,22 @@ def _candidates(line: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def compare(unit: np.ndarray, group: np.ndarray, table: np.ndarray, side: np.ndarray, crossed: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs of rows inside each group (part of a cell) that no earlier table has found: count, then verify.
 
-    The groups are laid out apart on one line by the first counted projection, so all windows are sought at once. In
-    a crossed group only rows of different sides are compared.
+    The groups are laid out apart on one line by the projection that their table seeks on, so all windows are sought at
+    once. In a crossed group only rows of different sides are compared.
     """
     _, _, counted = _directions(unit.shape[1], plan)
     spots = unit @ counted
-    line = group * APART + spots[:, 0]
+    sought = table % COUNTED
+    line = group * APART + spots[np.arange(len(spots)), sought]
     order = np.argsort(line, kind="stable")
     spots, line = spots[order], line[order]
-    side, crossed, table = side[order], crossed[order], table[order]
+    side, crossed, table, sought = side[order], crossed[order], table[order], sought[order]
     out_i, out_j = [], []
     for i, j in _candidates(line):
-        use = ~crossed[i] | (side[i] != side[j])
+        use = (~crossed[i] | (side[i] != side[j])) & (np.abs(spots[i, sought[i]] - spots[j, sought[i]]) <= WINDOW)
         i, j = i[use], j[use]
-        hits = np.ones(len(i), dtype=np.int16)
-        for k in range(1, COUNTED):
+        hits = np.zeros(len(i), dtype=np.int16)
+        for k in range(COUNTED):
             hits += np.abs(spots[i, k] - spots[j, k]) <= WINDOW
             if k % 4 == 0:  # pairs that cannot reach the count any more go early
                 alive = hits + (COUNTED - 1 - k) >= plan.least
@@ -178,7 +197,8 @@ def compare(unit: np.ndarray, group: np.ndarray, table: np.ndarray, side: np.nda
     a, b, t = np.searchsorted(rows, i), np.searchsorted(rows, j), table[i]
     new = np.ones(len(i), dtype=bool)
     for k in range(plan.tables):
-        new &= (cells[a, k] != cells[b, k]) | (k >= t)
+        apart = np.abs(spots[i, k % COUNTED] - spots[j, k % COUNTED]) > WINDOW
+        new &= (cells[a, k] != cells[b, k]) | apart | (k >= t)
     return order[i[new]], order[j[new]]
 
 

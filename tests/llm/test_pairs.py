@@ -212,6 +212,19 @@ def test_embeddings_against_brute_force(spark, block):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_recall_at_the_threshold(spark):
+    """Pairs planted at a cosine of 0.95 to 0.951, which the calibration is for; each counts once, whatever tables it meets in."""
+    rng = np.random.default_rng(6)
+    a, b = rng.standard_normal((2, 1500, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= np.sum(a * b, axis=1, keepdims=True) * a
+    c = rng.uniform(0.95001, 0.951, (1500, 1))
+    near = c * a + np.sqrt(1 - c * c) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate([*a, *near])], "vec_id long, embedding array<double>")
+    links = [r["n_links"] for r in embeddings.near_duplicates(df).collect()]
+    assert sum(links) >= 0.93 * len(links) and max(links) == 1
+
+
 def test_calibration_follows_size():
     small, large = embeddings.calibrate(1000), embeddings.calibrate(10**9)
     assert large.per_cell > small.per_cell and large.tables > small.tables and small.least == large.least
