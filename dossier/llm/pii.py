@@ -1,10 +1,12 @@
 """Personal data: fixed base patterns, and information-theoretic sanitisation of terms that give entities away.
 
 Base spans (emails, addresses, cards, phones) are the protected entities. Corpus co-occurrence tells how strongly a
-term reveals one: of all the distinct contexts in which the term occurs anywhere, the share that lies around the
-entity is the estimate of P(entity | term), taken at the lower end of its confidence interval. Terms at or above the disclosure threshold are generalised, those at or
-above the removal threshold removed, wherever they occur. Contexts (a term's neighbours) count once, so copies of a
-document do not make its rare words look revealing.
+term reveals one: of all documents that hold the term, the share in which it lies around the entity estimates
+P(entity | term). Copies count once on both sides: the share is the lesser of that of distinct texts and that of
+distinct fingerprints (SimHash), so near copies do not make a word look revealing, and neither does one form filled in
+for many entities. A share counts at the lower end of its confidence interval, unless the term is exclusive to the
+entity: then two fingerprints suffice, or one if the term is written as a name (a capital inside a sentence). Terms at or
+above the disclosure threshold are generalised, those at or above the removal threshold removed, wherever they occur.
 """
 
 from __future__ import annotations
@@ -20,13 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, stash
+from .simhash import fingerprint
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Words before and after an entity that count as its surroundings.
 WINDOW = 6
-#: Distinct contexts in which a term must surround an entity before its share means anything.
-LEAST_CONTEXTS = 3
-#: Shares of a term's contexts from which it is generalised or removed.
+#: Fingerprints in which a term that is no name must surround an entity before its share means anything.
+LEAST_CLASSES = 2
+#: Shares of a term's documents from which it is generalised or removed.
 GENERALISE, REMOVE = 0.5, 0.9
 #: Terms that one broadcast block holds; more terms take more passes.
 BLOCK_TERMS = 500_000
@@ -101,46 +104,67 @@ def _words_outside(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[i
     return found
 
 
-def _context(words: list[str], n: int) -> int:
-    """Hash of a word with its two neighbours on each side."""
-    return _hash(*("" if not 0 <= k < len(words) else words[k] for k in range(n - 2, n + 3)))
+def _document(text: str) -> int:
+    """Hash that copies of a text share, whatever their case and white space."""
+    return _hash(" ".join(text.lower().split()))
 
 
-def _around(text: str) -> Iterator[tuple[int, str, int]]:
-    """(entity, term, context) of the words around each base span of a text."""
+def _class(text: str) -> int:
+    """The text's fingerprint as a signed number; near copies mostly share it."""
+    print_ = fingerprint(text)
+    return print_ - (1 << 64) if print_ >> 63 else print_
+
+
+def _is_name(text: str, start: int) -> bool:
+    """Whether a capital starts the word and no sentence or text does."""
+    before = text[max(0, start - 8) : start].rstrip(" \t\r\n\"'([{")
+    return text[start].isupper() and bool(before) and before[-1] not in ".!?"
+
+
+def _around(text: str) -> Iterator[tuple[int, str, bool]]:
+    """(entity, term, whether it is written as a name) of the words around each base span of a text."""
     spans = base_spans(text)
     if not spans:
         return
     terms = _words_outside(text, spans)
-    words = [w for _, _, w in terms]
     starts, ends = [a for a, _, _ in terms], [b for _, b, _ in terms]
     for a, b, kind in spans:
         entity = _hash(kind, re.sub(r"[\s().-]", "", text[a:b].lower()))
         left, right = bisect_right(ends, a), bisect_left(starts, b)
         for n in (*range(max(0, left - WINDOW), left), *range(right, min(len(terms), right + WINDOW))):
-            yield entity, words[n], _context(words, n)
+            yield entity, terms[n][2], _is_name(text, starts[n])
 
 
-def disclosing(docs: DataFrame, least: int = LEAST_CONTEXTS, share: float = GENERALISE, block_terms: int = BLOCK_TERMS) -> DataFrame:
-    """(term, share): terms whose contexts, over all documents, surely lie around one entity to at least ``share``."""
+def disclosing(docs: DataFrame, least: int = LEAST_CLASSES, share: float = GENERALISE, block_terms: int = BLOCK_TERMS) -> DataFrame:
+    """(term, share): terms whose documents surely hold them around one entity to at least ``share``."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            rows = [row for t in batch.column(0) if t.is_valid for row in _around(t.as_py())]
+            rows = []
+            for t in batch.column(0):
+                found = list(_around(t.as_py())) if t.is_valid else []
+                if found:
+                    own = _document(t.as_py()), _class(t.as_py())
+                    rows += [(*own, *f) for f in found]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["entity", "term", "context"])
-
-    met = docs.select("text").mapInArrow(near, "entity long, term string, context long").distinct()
-    met = met.groupBy("entity", "term").count().where(F.col("count") >= least).groupBy("term").agg(F.max("count").alias("met"))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["document", "class", "entity", "term", "name"])
+
+    met = docs.select("text").mapInArrow(near, "document long, class long, entity long, term string, name boolean")
+    # A term that is a name in one place and lower case in another of the same text is no name.
+    met = met.groupBy("entity", "term", "class", "document").agg(F.min("name").alias("name"))
+    met = met.groupBy("entity", "term", "class").agg(F.count("*").alias("documents"), F.min("name").alias("name"))
+    met = met.groupBy("entity", "term").agg(F.sum("documents").alias("met"), F.count("*").alias("met_classes"), F.min("name").alias("name"))
+    met = met.where((F.col("met_classes") >= least) | F.col("name")).drop("entity")
     met = stash(met, "pii-terms")
+    most = met.groupBy("term").agg(F.max("met").alias("met"))
     parts: list[DataFrame] = []
     held: dict[str, int] = {}
 
     def seen(limits: dict[str, int]) -> DataFrame:
-        """Distinct contexts of terms over all documents: (term, all); terms that exceed their limit are left out.
+        """Distinct documents and classes of terms: (term, all, all_classes); terms that exceed their limit are left out.
 
-        More distinct contexts in one slice than the limit prove that a term's share is too small; it is reported as
-        over once and its contexts are not sent.
+        More distinct documents in one slice than the limit prove that a term's share is too small; it is reported as
+        over once and its documents are not sent.
         """
         wanted = docs.sparkSession.sparkContext.broadcast(limits)
 
@@ -156,22 +180,29 @@ def disclosing(docs: DataFrame, least: int = LEAST_CONTEXTS, share: float = GENE
                         words = [w for _, _, w in _words_outside(text, spans)]
                     else:
                         words = [w.lower() for w in TERM.findall(text)]
-                    for n, w in enumerate(words):
-                        if w in alive:
-                            contexts = found.setdefault(w, set())
-                            contexts.add(_context(words, n))
-                            if len(contexts) > alive[w]:
-                                del alive[w], found[w]
-                                over.append(w)
-            rows = [(w, c) for w, contexts in found.items() for c in contexts] + [(w, None) for w in over]
+                    held_here = alive.keys() & set(words)
+                    if not held_here:
+                        continue
+                    document, kind = _document(text), _class(text)
+                    for w in held_here:
+                        documents = found.setdefault(w, set())
+                        documents.add((document, kind))
+                        if len(documents) > alive[w]:
+                            del alive[w], found[w]
+                            over.append(w)
+            rows = [(w, *d) for w, documents in found.items() for d in documents] + [(w, None, None) for w in over]
             for at in range(0, len(rows), 50_000):
                 part = rows[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.string()), pa.array([r[1] for r in part], pa.int64())], ["term", "context"])
+                kinds = (pa.string(), pa.int64(), pa.int64())
+                columns = zip(*part, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["term", "document", "class"])
 
-        found = docs.select("text").mapInArrow(occurrences, "term string, context long").distinct()
-        return found.groupBy("term").agg(F.count("context").alias("all"), F.count("*").alias("rows")).where(F.col("all") == F.col("rows"))
+        found = docs.select("text").mapInArrow(occurrences, "term string, document long, class long").distinct()
+        found = found.groupBy("term", "class").agg(F.count("document").alias("documents"), F.count("*").alias("rows"))
+        found = found.groupBy("term").agg(F.sum("documents").alias("all"), F.sum("rows").alias("rows"), F.count("class").alias("all_classes"))
+        return found.where(F.col("all") == F.col("rows")).drop("rows")
 
-    for term, n in met.toLocalIterator():
+    for term, n in most.toLocalIterator():
         held[term] = int(n / share)
         if len(held) == block_terms:
             parts.append(seen(held))
@@ -184,10 +215,11 @@ def disclosing(docs: DataFrame, least: int = LEAST_CONTEXTS, share: float = GENE
     for part in parts[1:]:
         counted = counted.unionByName(part)
     # The lower end of a 90 % interval (Wilson), so that a few chance meetings do not condemn a common word.
-    p, n, z = F.col("met") / F.col("all"), F.col("all"), 1.645
+    n, z = F.col("all_classes"), 1.645
+    p = F.least(F.col("met") / F.col("all"), F.col("met_classes") / n)
     low = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
     joined = met.join(counted, "term").select("term", p.alias("share"), low.alias("low"))
-    return joined.where(F.col("low") >= share).select("term", "share")
+    return joined.where((F.col("low") >= share) | (F.col("share") == 1.0)).groupBy("term").agg(F.max("share").alias("share"))
 
 
 def all_spans(docs: DataFrame, terms: DataFrame, block_terms: int = BLOCK_TERMS) -> DataFrame:

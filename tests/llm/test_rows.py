@@ -179,6 +179,27 @@ def test_pii_terms_and_mask(spark):
     assert pii.find(docs.limit(0)).count() == 0
 
 
+def test_pii_terms_of_fixed_signatures_and_rare_entities(spark):
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60)]
+    noise = lambda n=40: " ".join(rng.choice(vocabulary) for _ in range(n))
+    rows = [(i, f"{noise()} regards Jane Doe sales jane@x.com", "s") for i in range(20)]  # one context, many documents
+    rows += [(20, f"{noise()} doe alone", "s")]
+    rows += [(30, f"{noise()} ask Mr Quillfeather at +420 900 123 456 {noise()}", "s")]  # a number that occurs once
+    rows += [(40 + i, f"{noise()} see brindlewick ref 10.20.30.40 {noise()}", "s") for i in range(2)]  # an address that occurs twice
+    form = noise(80)
+    rows += [(50 + i, f"{form} your Newsletter from list{i}@y.org {form}", "s") for i in range(6)]  # a form for many entities
+    rows += [(60 + i, f"{form} bulletin by info@z.org {form}{' x' * i}", "s") for i in range(6)] + [(70 + i, f"{noise()} bulletin {noise()}", "s") for i in range(4)]
+    rows += [(80 + i, f"{noise()} regards {noise()}", "s") for i in range(60)] + [(200 + i, f"sales see ask your {noise()} from ref", "s") for i in range(60)]
+    found = {r["term"]: r["share"] for r in pii.disclosing(docs_of(spark, rows)).collect()}
+    assert {"jane", "doe", "quillfeather", "brindlewick"} <= found.keys() and not found.keys() & {"newsletter", "bulletin", "regards", "sales", "ask", *vocabulary}
+    assert found["jane"] == 1.0 and found["doe"] == pytest.approx(20 / 21)
+    copied = {r["term"]: r["share"] for r in pii.disclosing(docs_of(spark, rows * 3), block_terms=7).collect()}
+    assert copied == found
+    spans = {r["doc_id"]: r["spans"] for r in pii.find(docs_of(spark, rows)).collect()}
+    assert "term:" in spans[20] and "term:" in spans[30]
+
+
 def slow_scan(rows, threshold=0.8):
     out = {}
     for i, t, _ in rows:
