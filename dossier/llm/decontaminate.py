@@ -1,10 +1,11 @@
 """Benchmark decontamination by greedy string tiling with running Karp-Rabin.
 
 Test items are a stated query set: they are fetched in blocks of a bounded number of words, each block is broadcast,
-and every document passes each block once. A document's words are looked up in the block's vocabulary; runs of
-``seed`` words are hashed (Karp-Rabin) and joined to the items' seeds through a sorted index. Every (document, item)
-pair that shares a seed is tiled: the longest common match not overlapping a tile is marked, again and again, until no
-match of ``min_tile`` words is left. Tiles may lie in any order, so reordered passages count in full.
+and every document passes each block once. A document's words are looked up in the block's vocabulary; its runs of
+``min_tile`` words are hashed (Karp-Rabin) and joined to those of the items through a sorted index. Tiles consist of
+shared runs, so the words of an item that its shared runs cover bound what any tiling can cover: every pair whose bound
+reaches the threshold is tiled, and no other can qualify. The longest common match not overlapping a tile is marked,
+again and again, until no match of ``min_tile`` words is left. Tiles may lie in any order, so reordered passages count in full.
 """
 
 from __future__ import annotations
@@ -43,39 +44,47 @@ def _roll(ids: np.ndarray, k: int) -> np.ndarray:
 
 
 class Block:
-    """Test items with their vocabulary and a sorted index of seeds."""
+    """Test items with their vocabulary and, by length of run, a sorted index of the items' runs."""
 
-    def __init__(self, items: list[tuple[int, str]], seed: int) -> None:
+    def __init__(self, items: list[tuple[int, str]], min_tile: int) -> None:
         self.vocabulary: dict[str, int] = {}
-        self.ids, self.seed = [i for i, _ in items], seed
+        self.ids = [i for i, _ in items]
         self.items = [
             np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(t)], dtype=np.int64)
             for _, t in items
         ]
-        hashes, owner = [], []
-        for n, item in enumerate(self.items):
-            h = np.unique(_roll(item, min(seed, max(1, len(item)))))
-            hashes.append(h)
-            owner.append(np.full(len(h), n))
-        self.short = sorted({len(x) for x in self.items if 0 < len(x) < seed})
-        order = np.argsort(np.concatenate(hashes), kind="stable") if hashes else np.zeros(0, dtype=int)
-        self.hashes = np.concatenate(hashes)[order] if hashes else np.zeros(0, dtype=np.uint64)
-        self.owner = np.concatenate(owner)[order] if hashes else np.zeros(0, dtype=int)
-
-    def candidates(self, ids: np.ndarray) -> list[int]:
-        """Items that share a seed with a document given as vocabulary ids, -1 for other words."""
-        if not len(self.hashes):
-            return []
-        found: set[int] = set()
-        for k in (self.seed, *self.short):
+        self.sizes = np.array([len(x) for x in self.items], dtype=np.int64)
+        # Items are laid out one after another; a run is known by the place where it starts.
+        self.first = np.cumsum(self.sizes) - self.sizes
+        runs = np.minimum(self.sizes, min_tile)
+        self.index: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for k in np.unique(runs[runs > 0]).tolist():
+            own = np.flatnonzero(runs == k).tolist()
+            hashes = np.concatenate([_roll(self.items[n], k) for n in own])
+            starts = np.concatenate([self.first[n] + np.arange(self.sizes[n] - k + 1) for n in own])
+            order = np.argsort(hashes, kind="stable")
+            self.index[k] = hashes[order], starts[order]
+
+    def candidates(self, ids: np.ndarray, coverage: float) -> list[int]:
+        """Items of which the runs shared with a document (vocabulary ids, -1 for other words) cover enough."""
+        found: list[int] = []
+        for k, (hashes, starts) in self.index.items():
             h = _roll(ids, k)
             if not len(h):
                 continue
             bad = np.convolve(ids < 0, np.ones(k, dtype=int), "valid") > 0
             h = np.unique(h[~bad])
-            lo, hi = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
-            for a, b in zip(lo[hi > lo], hi[hi > lo], strict=True):
-                found.update(self.owner[a:b].tolist())
+            lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+            n = hi - lo
+            if not n.any():
+                continue
+            where = np.sort(starts[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())])
+            owner = np.searchsorted(self.first, where, "right") - 1
+            last = np.append(owner[1:] != owner[:-1], True)
+            covered = np.where(last, k, np.minimum(k, np.append(np.diff(where), k)))
+            edges = np.flatnonzero(np.append(True, last[:-1]))
+            who = owner[edges]
+            found += who[np.add.reduceat(covered, edges) >= coverage * self.sizes[who]].tolist()
         return sorted(found)
 
 
@@ -133,7 +142,7 @@ def matches(block: Block, text: str | None, min_tile: int, coverage: float) -> I
     """The items of a block that leak into a text: (item_id, words, matched words, coverage, tiles, their places)."""
     get = block.vocabulary.get
     ids = np.array([get(w, -1) for w in words_of(text)], dtype=np.int64)
-    for n in block.candidates(ids):
+    for n in block.candidates(ids, coverage):
         item = block.items[n]
         tiles = sorted(tile(ids, item, min(min_tile, len(item))))
         matched = sum(t[2] for t in tiles)
@@ -158,7 +167,6 @@ def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[int, str]
 def leaks(
     docs: DataFrame,
     items: DataFrame,
-    seed: int = 5,
     min_tile: int = 3,
     coverage: float = 0.6,
     block_words: int = BLOCK_WORDS,
@@ -166,15 +174,15 @@ def leaks(
     """Returns (doc_id, item_id, item_words, matched_words, coverage, n_tiles, tiles), a row per contaminated pair.
 
     ``coverage`` is the share of the item's words that its tiles cover; pairs below the threshold are not returned.
-    ``tiles`` lists item:document:length in words, by item position. Items of fewer than ``seed`` words are sought
-    whole. Null, empty and wordless documents and items match nothing; a null doc_id is kept as it is. Equal documents
+    ``tiles`` lists item:document:length in words, by item position. Items of fewer than ``min_tile`` words are
+    sought whole. Null, empty and wordless documents and items match nothing; a null doc_id is kept as it is. Equal documents
     and items give a row each, repeated rows repeated pairs. Empty tables give an empty result.
     """
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, item_words long, matched_words long, coverage double, n_tiles long, tiles string"
     out = spark.createDataFrame([], schema)
     for held in _blocks(items, block_words):
-        shared = spark.sparkContext.broadcast(Block(held, seed))
+        shared = spark.sparkContext.broadcast(Block(held, min_tile))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block = shared.value
@@ -198,14 +206,13 @@ def leaks(
 def clean(
     docs: DataFrame,
     items: DataFrame,
-    seed: int = 5,
     min_tile: int = 3,
     coverage: float = 0.6,
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """The rows of ``docs``, with all their columns, into whose text no test item leaks; one pass a block, no shuffle."""
     for held in _blocks(items, block_words):
-        shared = docs.sparkSession.sparkContext.broadcast(Block(held, seed))
+        shared = docs.sparkSession.sparkContext.broadcast(Block(held, min_tile))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block = shared.value

@@ -105,6 +105,32 @@ def test_leaks_catch_reordered_passages_and_leave_others(spark):
     assert decontaminate.leaks(docs_of(spark, rows), items.limit(0)).count() == 0
 
 
+def test_leaks_without_a_run_of_five_words(spark):
+    """Every fifth word changed, and runs of three and four words turned round: the tiling covers 0.8 and 1.0."""
+    w = [f"w{i}" for i in range(28)]
+    changed = " ".join(f"x{i}" if i % 5 == 4 else x for i, x in enumerate(w))
+    cuts = [0, 4, 7, 11, 14, 18, 21, 25, 28]
+    turned = " ".join(" ".join(w[a:b]) for a, b in reversed(list(zip(cuts, cuts[1:], strict=False))))
+    half = " ".join(x if i % 5 < 3 and i < 20 else f"y{i}" for i, x in enumerate(w))
+    docs = docs_of(spark, [(1, f"a b {changed} c"), (2, turned), (3, half), (4, "w0 w1")])
+    items = spark.createDataFrame([(5, ""), (7, " ".join(w)), (8, "w0 w1"), (9, None)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["matched_words"] for r in decontaminate.leaks(docs, items).collect()}
+    assert {k: n for k, n in got.items() if k[1] == 7} == {(1, 7): 23, (2, 7): 28}
+    assert {k for k in got if k[1] == 8} == {(i, 8) for i in (1, 2, 3, 4)}
+    assert [r["doc_id"] for r in decontaminate.clean(docs, items.where("item_id = 7")).collect()] == [3, 4]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=30), st.lists(st.lists(st.integers(0, 3), max_size=12), min_size=1, max_size=5))
+def test_candidates_lose_no_pair_that_qualifies(doc, items):
+    block = decontaminate.Block([(n, " ".join(map(str, i))) for n, i in enumerate(items)], 3)
+    ids = np.array([block.vocabulary.get(str(x), -1) for x in doc], dtype=np.int64)
+    may = block.candidates(ids, 0.6)
+    for n, item in enumerate(block.items):
+        if len(item) and slow_tiling(ids.tolist(), item.tolist(), min(3, len(item))) >= 0.6 * len(item):
+            assert n in may
+
+
 def slow_tiling(doc, item, least):
     free_d, free_i, out = [True] * len(doc), [True] * len(item), 0
     while True:
