@@ -46,7 +46,7 @@ def _roll(ids: np.ndarray, k: int) -> np.ndarray:
 class Block:
     """Test items with their vocabulary and, by length of run, a sorted index of the items' runs."""
 
-    def __init__(self, items: list[tuple[int, str]], min_tile: int) -> None:
+    def __init__(self, items: list[tuple[int | None, str]], min_tile: int) -> None:
         self.vocabulary: dict[str, int] = {}
         self.ids = [i for i, _ in items]
         self.items = [
@@ -151,10 +151,10 @@ def matches(block: Block, text: str | None, min_tile: int, coverage: float) -> I
             yield block.ids[n], len(item), matched, matched / len(item), len(tiles), said
 
 
-def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[int, str]]]:
-    held: list[tuple[int, str]] = []
+def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[int | None, str]]]:
+    held: list[tuple[int | None, str]] = []
     size = 0
-    for row in items.where("item_id is not null and text is not null").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
+    for row in items.where("text is not null").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
         held.append((row[0], row[1]))
         size += len(row[1].split()) + 1
         if size >= block_words:
@@ -175,8 +175,8 @@ def leaks(
 
     ``coverage`` is the share of the item's words that its tiles cover; pairs below the threshold are not returned.
     ``tiles`` lists item:document:length in words, by item position. Items of fewer than ``min_tile`` words are
-    sought whole. Null, empty and wordless documents and items match nothing; a null doc_id is kept as it is. Equal documents
-    and items give a row each, repeated rows repeated pairs. Empty tables give an empty result.
+    sought whole. Null, empty and wordless documents and items match nothing; a null doc_id or item_id is kept as
+    it is. Equal documents and items give a row each, repeated rows repeated pairs. Empty tables give an empty result.
     """
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, item_words long, matched_words long, coverage double, n_tiles long, tiles string"

@@ -120,6 +120,14 @@ def test_leaks_without_a_run_of_five_words(spark):
     assert [r["doc_id"] for r in decontaminate.clean(docs, items.where("item_id = 7")).collect()] == [3, 4]
 
 
+def test_leaks_of_items_without_an_id(spark):
+    item = "seven wizards quietly mix purple potions in deep stone cellars"
+    docs = docs_of(spark, [(1, f"then {item} again"), (2, "nothing of it here")])
+    items = spark.createDataFrame([(None, item), (None, None)], "item_id long, text string")
+    assert [(r["doc_id"], r["item_id"], r["coverage"]) for r in decontaminate.leaks(docs, items).collect()] == [(1, None, 1.0)]
+    assert [r["doc_id"] for r in decontaminate.clean(docs, items).collect()] == [2]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 4), max_size=30), st.lists(st.lists(st.integers(0, 3), max_size=12), min_size=1, max_size=5))
 def test_candidates_lose_no_pair_that_qualifies(doc, items):
