@@ -1,10 +1,10 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Five small transducers read the words of a clause and are composed into one machine: insult and threat words open a
-match with their learned weight, targets (second-person words, names of groups, a capitalised word) strengthen it,
-negation and reported speech weaken what follows. Matched clauses are scored, not isolated words; a document's clause
-scores go through a logistic calibration. Insult words and insult stems are learned from labelled rows, as are the
-weight of each transducer's arcs (through the calibration), so the grammar follows the corpus and its languages.
+Small transducers read the lower-case words of a clause and are composed into one machine: insult and threat words share
+one symbol and open a match with their weight, with or without a target; targets (pronouns only; no names of groups and
+no capitals) strengthen it, negation and reported speech weaken what follows. Matched clauses are scored, not isolated
+words; a document's clause scores go through a logistic calibration. Insult words and stems and the weights of the four
+document features are learned from labelled rows; the factors of targets, negation and reports are constants.
 """
 
 from __future__ import annotations
