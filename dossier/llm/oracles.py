@@ -14,8 +14,8 @@ MIX = f"""with d as (select doc_id, source, {_WORDS}::bigint as size, ('0x' || s
  l as (select *, max(case when (total - caps) / rest * w <= cap then (total - caps) / rest end) over () as level from o),
  t as (select *, least(cap, coalesce(level * w, cap)) as target from l),
  g as (select *, floor(target)::bigint as goal, case when source_size > 0 then floor(floor(target) / source_size)::bigint else 0 end as epochs from t),
- r as (select d.*, g.source_size, g.target, g.epochs, g.goal - g.epochs * g.source_size - coalesce(sum(d.size) over (partition by d.source order by d.key, d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0) as part from d join g on d.source is not distinct from g.source)
- select doc_id, size, source_size::bigint as source_size, target, (epochs * size + greatest(0, least(part, size)))::bigint as taken from r"""
+ r as (select d.*, g.source_size, g.target, g.epochs, sum(d.size) over (partition by d.source, d.key) as words, g.goal - g.epochs * g.source_size - (sum(d.size) over (partition by d.source order by d.key) - sum(d.size) over (partition by d.source, d.key)) as part from d join g on d.source is not distinct from g.source)
+ select doc_id, size, source_size::bigint as source_size, target, (epochs * size + case when words > 0 then floor(size * greatest(0, least(part, words))::double / words) else 0 end)::bigint as taken from r"""
 
 _TEMPLATES = ", ".join(
     "('{}', [{}])".format(name, ", ".join("'" + g + "'" for g in licenses.bigrams(t))) for name, texts in licenses.TEMPLATES.items() for t in texts

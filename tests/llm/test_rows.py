@@ -63,7 +63,7 @@ def test_mix_against_brute_force(spark, slice_rows):
     assert mixing.mix(docs_of(spark, [])).count() == 0
 
 
-@settings(max_examples=25, deadline=None)
+@settings(max_examples=5, deadline=None)
 @given(st.dictionaries(st.text("abc", min_size=1, max_size=2), st.integers(0, 500), min_size=1, max_size=6))
 def test_targets(spark, sizes):
     df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
