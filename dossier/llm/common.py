@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no folder, as in tests.
+#: Used only where the session names no folder and runs on one machine, as in tests.
 FALLBACK_DIR = "/tmp/checkpoints/dossier"
 
 
@@ -18,8 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or a fallback that is set only when it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or FALLBACK_DIR
+    """The folder every executor sees: spark.checkpoint.dir; where it is unset, a folder of this machine in local mode only."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = FALLBACK_DIR
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -30,9 +34,17 @@ def stash_dir(spark: SparkSession) -> str:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Deletes all tables that this application has stashed; call it when their results have been written."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stash_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Deletes all tables, archives and checkpoints that this application has written; call it when results are safe.
+
+    Results are lazy and read these files, so no query can call it for itself; a job calls it last.
+    """
+    own = [stash_dir(spark), spark.sparkContext.getCheckpointDir()]
+    for folder in own:
+        if folder:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    if named := spark.conf.get("spark.checkpoint.dir", None) or own[1]:
+        spark.sparkContext.setCheckpointDir(named if spark.conf.get("spark.checkpoint.dir", None) else named.rsplit("/", 1)[0])
 
 
 def cut(df: DataFrame) -> DataFrame:

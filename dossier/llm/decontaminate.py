@@ -23,24 +23,49 @@ from .common import small_batches
 #: Words of test items in one broadcast block (about 40 MB with its index).
 BLOCK_WORDS = 1_000_000
 WORDS = re.compile(r"\w+")
-BASE = np.uint64(0x9E3779B97F4A7C15)
+BASE, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
 
 
 def words_of(text: str | None) -> list[str]:
     return WORDS.findall(text.lower()) if text else []
 
 
-def _roll(ids: np.ndarray, k: int) -> np.ndarray:
-    """Karp-Rabin hashes of all runs of k ids, modulo 2^64 after mixing each id."""
-    n = len(ids) - k + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    mixed = (ids.astype(np.uint64) + np.uint64(1)) * BASE
-    mixed ^= mixed >> np.uint64(29)
-    h = np.zeros(n, dtype=np.uint64)
-    for j in range(k):
-        h = h * np.uint64(0x100000001B3) + mixed[j : j + n]
-    return h
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 .. n - 1 of the hash base and of its inverse modulo 2^64, kept for the longest text so far."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(1 << 12, 1 << (n - 1).bit_length())
+        one = np.ones(1, dtype=np.uint64)
+        pair = (int(STEP), pow(int(STEP), -1, 1 << 64))
+        _POWERS[:] = [np.cumprod(np.concatenate([one, np.full(size - 1, x, dtype=np.uint64)])) for x in pair]
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+class Running:
+    """Karp-Rabin hashes of all runs of a sequence of word ids: running sums made once, then any length in one pass.
+
+    The sum over a run of mixed ids times powers of the base, scaled back to the run's start, is the run's hash; the
+    difference of two running sums gives it, so a length costs the same whether it is three or three thousand.
+    """
+
+    def __init__(self, ids: np.ndarray) -> None:
+        self.n = len(ids)
+        mixed = (ids.astype(np.uint64) + np.uint64(1)) * BASE
+        mixed ^= mixed >> np.uint64(29)
+        power, self.back = _powers(self.n + 1)
+        self.sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mixed * power[: self.n])])
+
+    def of(self, k: int) -> np.ndarray:
+        n = self.n - k + 1
+        return (self.sums[k:] - self.sums[:n]) * self.back[:n] if n > 0 else np.zeros(0, dtype=np.uint64)
+
+
+def _covered(marked: np.ndarray, k: int) -> np.ndarray:
+    """For every run of k places, whether one of them is marked; by running sums as well."""
+    sums = np.concatenate([[0], np.cumsum(marked)])
+    return sums[k:] > sums[: len(sums) - k]
 
 
 class Block:
@@ -60,7 +85,7 @@ class Block:
         self.index: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for k in np.unique(runs[runs > 0]).tolist():
             own = np.flatnonzero(runs == k).tolist()
-            hashes = np.concatenate([_roll(self.items[n], k) for n in own])
+            hashes = np.concatenate([Running(self.items[n]).of(k) for n in own])
             starts = np.concatenate([self.first[n] + np.arange(self.sizes[n] - k + 1) for n in own])
             order = np.argsort(hashes, kind="stable")
             self.index[k] = hashes[order], starts[order]
@@ -68,12 +93,12 @@ class Block:
     def candidates(self, ids: np.ndarray, coverage: float) -> list[int]:
         """Items of which the runs shared with a document (vocabulary ids, -1 for other words) cover enough."""
         found: list[int] = []
+        run, other = Running(ids), ids < 0
         for k, (hashes, starts) in self.index.items():
-            h = _roll(ids, k)
+            h = run.of(k)
             if not len(h):
                 continue
-            bad = np.convolve(ids < 0, np.ones(k, dtype=int), "valid") > 0
-            h = np.unique(h[~bad])
+            h = np.unique(h[~_covered(other, k)])
             lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
             n = hi - lo
             if not n.any():
@@ -96,17 +121,15 @@ def tile(doc: np.ndarray, item: np.ndarray, min_tile: int) -> list[tuple[int, in
     """
     free_d, free_i = doc >= 0, np.ones(len(item), dtype=bool)
     tiles: list[tuple[int, int, int]] = []
-    k = len(item)
+    run_d, run_i = Running(doc), Running(item)
+    k = _longest(run_d, run_i, free_d, free_i, min_tile, min(len(item), len(doc)))
     while k >= min_tile:
-        hd, hi = _roll(doc, k), _roll(item, k)
-        if not len(hd) or not len(hi):
-            k -= 1
-            continue
-        ok_d = np.convolve(~free_d, np.ones(k, dtype=int), "valid") == 0
-        ok_i = np.flatnonzero(np.convolve(~free_i, np.ones(k, dtype=int), "valid") == 0)
-        at = np.flatnonzero(ok_d & np.isin(hd, hi[ok_i]))
-        if not len(at) or not len(ok_i):
-            k = _longest(doc, item, free_d, free_i, min_tile, k - 1)
+        hd, hi = run_d.of(k), run_i.of(k)
+        ok_d = ~_covered(~free_d, k)
+        ok_i = np.flatnonzero(~_covered(~free_i, k))
+        at = np.flatnonzero(ok_d & np.isin(hd, hi[ok_i])) if len(ok_i) else ok_i
+        if not len(at):
+            k = _longest(run_d, run_i, free_d, free_i, min_tile, k - 1)
             continue
         where: dict[int, list[int]] = {}
         for p in at.tolist():
@@ -123,17 +146,13 @@ def tile(doc: np.ndarray, item: np.ndarray, min_tile: int) -> list[tuple[int, in
     return tiles
 
 
-def _longest(doc: np.ndarray, item: np.ndarray, free_d: np.ndarray, free_i: np.ndarray, least: int, most: int) -> int:
-    """The largest k from least to most for which unmarked runs match; found by halving, as matches nest."""
+def _longest(run_d: Running, run_i: Running, free_d: np.ndarray, free_i: np.ndarray, least: int, most: int) -> int:
+    """The largest k from least to most for which unmarked runs match, else least - 1; found by halving, as matches nest."""
     low, high = least - 1, most
     while low < high:
         k = (low + high + 1) // 2
-        hd, hi = _roll(doc, k), _roll(item, k)
-        hit = False
-        if len(hd) and len(hi):
-            ok_d = np.convolve(~free_d, np.ones(k, dtype=int), "valid") == 0
-            ok_i = np.convolve(~free_i, np.ones(k, dtype=int), "valid") == 0
-            hit = bool(np.isin(hd[ok_d], hi[ok_i]).any())
+        hi = run_i.of(k)[~_covered(~free_i, k)]
+        hit = len(hi) > 0 and bool(np.isin(run_d.of(k)[~_covered(~free_d, k)], hi).any())
         low, high = (k, high) if hit else (low, k - 1)
     return low
 
@@ -176,7 +195,9 @@ def leaks(
     ``coverage`` is the share of the item's words that its tiles cover; pairs below the threshold are not returned.
     ``tiles`` lists item:document:length in words, by item position. Items of fewer than ``min_tile`` words are
     sought whole. Null, empty and wordless documents and items match nothing; a null doc_id or item_id is kept as
-    it is. Equal documents and items give a row each, repeated rows repeated pairs. Empty tables give an empty result.
+    it is. Equal documents and items give a row each, repeated rows repeated pairs. Texts of any length are searched
+    whole, in time that grows with their length and the number of lengths at which tiles are found. Other columns are
+    ignored. Empty tables give an empty result.
     """
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, item_words long, matched_words long, coverage double, n_tiles long, tiles string"
@@ -210,7 +231,11 @@ def clean(
     coverage: float = 0.6,
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
-    """The rows of ``docs``, with all their columns, into whose text no test item leaks; one pass a block, no shuffle."""
+    """The rows of ``docs``, with all their columns, into whose text no test item leaks; one pass a block, no shuffle.
+
+    Rows without a text or a doc_id are judged like others: null, empty and wordless texts stay, repeated rows stay or go
+    alike. Extra columns of any name pass through. Long texts are searched whole. Empty tables give an empty result.
+    """
     for held in _blocks(items, block_words):
         shared = docs.sparkSession.sparkContext.broadcast(Block(held, min_tile))
 

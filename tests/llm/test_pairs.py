@@ -120,6 +120,16 @@ def test_leaks_without_a_run_of_five_words(spark):
     assert [r["doc_id"] for r in decontaminate.clean(docs, items.where("item_id = 7")).collect()] == [3, 4]
 
 
+def test_leaks_in_a_very_long_text(spark):
+    rng = random.Random(8)
+    item = [f"w{i}" for i in range(2000)]
+    words = [rng.choice((f"w{rng.randrange(2000)}", "x")) for _ in range(150_000)]
+    words[100_000:100_000] = item[1200:] + item[:1200]
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = decontaminate.leaks(docs_of(spark, [(5, " ".join(words))]), items).collect()
+    assert [(r["doc_id"], r["matched_words"]) for r in got] == [(5, 2000)] and got[0]["n_tiles"] <= 3
+
+
 def test_leaks_of_items_without_an_id(spark):
     item = "seven wizards quietly mix purple potions in deep stone cellars"
     docs = docs_of(spark, [(1, f"then {item} again"), (2, "nothing of it here")])

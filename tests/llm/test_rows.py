@@ -242,7 +242,7 @@ def test_license_guard_is_necessary(data):
 def test_warc_round_trip(spark, tmp_path, least):
     rng = random.Random(9)
     rows = [(i, f"http://x.example/{i}", "<p>" + "".join(rng.choice("abc ") for _ in range(rng.randrange(3000))) + "</p>") for i in range(120)]
-    rows += [(200, "http://x/ä ö", rows[3][2]), (201, None, rows[3][2]), (202, "u", None), (203, "u", ""), (None, "u", rows[3][2]), (204, "u", "€" * 9), (205, "v", "é"), (206, "w", "é"), (207, "x", "x" * 3_000_000)]
+    rows += [(200, "http://x/ä ö", rows[3][2]), (201, None, rows[3][2]), (202, "u", None), (203, "u", ""), (None, "u", rows[3][2]), (204, "u", "€" * 9), (205, "v", "é"), (205, "v", "é"), (206, "w", "é"), (207, "x", "x" * 3_000_000)]
     pages = spark.createDataFrame([(*r, "c") for r in rows], "page_id long, url string, html string, record_type string")
     manifest = warc.write(pages, f"file://{tmp_path}", least)
     got = warc.read(manifest, f"file://{tmp_path}").collect()
@@ -259,6 +259,13 @@ def test_warc_round_trip(spark, tmp_path, least):
         assert (r["record_type"], r["refers_to"]) == (("revisit", other) if revisit else ("response", None))
         assert r["html"] == (None if revisit else raw.decode())
     head = open(manifest.first()["path"], "rb").read(4)
+    heads = []
+    for m in manifest.collect():
+        with open(m["path"], "rb") as f:
+            heads += [warc.parse(x) for x in warc.read_records(f)]
+    assert len({h["WARC-Record-ID"] for h in heads}) == len(rows)
+    again = [h for h in heads if h.get("X-Refers-To-Page-ID") == "3"]
+    assert again and all(h["WARC-Refers-To-Target-URI"] == "http://x.example/3" and "WARC-Refers-To-Date" in h for h in again)
     assert int.from_bytes(head, "little") == warc.DICTIONARY_MAGIC
     assert warc.read(warc.write(pages.limit(0), f"file://{tmp_path}/none"), f"file://{tmp_path}/none").count() == 0
 
@@ -267,7 +274,7 @@ def test_warc_rejects_damage():
     out = io.BytesIO()
     w = warc.Writer(out)
     for i in range(20):
-        w.add(warc.record(i, "u", b"payload %d" % i * 50, None))
+        w.add(warc.record(i, "u", b"payload %d" % i * 50, None, f"a#{i}"))
     w.close()
     good = out.getvalue()
     assert [warc.parse(r)["payload"] for r in warc.read_records(io.BytesIO(good))] == [b"payload %d" % i * 50 for i in range(20)]
