@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, embeddings, html_extract, licenses, mixing, pii, simhash, suffix_dedup, toxicity, warc
-from .common import shared_dir, table
+from .common import stash_dir, table
 from .oracles import ORACLE_SQL
 
 
@@ -58,7 +58,7 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all pages to archives and reads them back."""
-    folder = f"{shared_dir(spark)}/warc/{uuid.uuid4().hex}"
+    folder = f"{stash_dir(spark)}/warc-{uuid.uuid4().hex}"
     manifest = warc.write(table(spark, sf_dir, "pages"), folder)
     return warc.read(manifest, folder).drop("html", "url")
 

@@ -48,21 +48,31 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record: a response with its payload, or a revisit with the response's header lines alone."""
+def _uri(url: str | None) -> str:
+    return "".join(f"%{b:02X}" if b < 33 or b > 126 else chr(b) for b in (url or "").encode("utf-8", "surrogatepass"))
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, place: str, refers_url: str | None = None) -> bytes:
+    """One WARC/1.1 record: a response with its payload, or a revisit with the response's header lines alone.
+
+    ``place`` (archive and number) makes its ID unique. A revisit names the first page by its URL and date, which need
+    no look into another archive, and by its page_id.
+    """
     kind = "response" if refers_to is None else "revisit"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if refers_to is None else http
-    uri = "".join(f"%{b:02X}" if b < 33 or b > 126 else chr(b) for b in (url or "").encode("utf-8", "surrogatepass"))
+    refers = [f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page-ID: {refers_to}", f"WARC-Refers-To-Date: {UNKNOWN_DATE}"]
+    if refers_url is not None:
+        refers.append(f"WARC-Refers-To-Target-URI: {_uri(refers_url)}")
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {uri}')}>",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, place)}>",
         f"WARC-Date: {UNKNOWN_DATE}",
-        *([f"WARC-Target-URI: {uri}"] if url is not None else []),
+        *([f"WARC-Target-URI: {_uri(url)}"] if url is not None else []),
         *([f"X-Page-ID: {page_id}"] if page_id is not None else []),
         f"WARC-Payload-Digest: sha1:{digest_of(payload)}",
-        *([f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page-ID: {refers_to}"] if refers_to is not None else []),
+        *(refers if refers_to is not None else []),
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
     ]
@@ -149,25 +159,28 @@ def _exactly(stream, n: int) -> bytes:
 
 
 def plan(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """(page_id, url, html, refers_to): refers_to is the smallest page_id with the same payload, null for that page itself.
+    """(page_id, url, html, refers_to, refers_url): refers_to is the smallest page_id with the same payload, null for that page itself.
 
     Payloads are told apart by SHA-1 and length. Only digests are grouped; the pages move once, to meet their result.
     A null page_id never is a first page; of pages that repeat the smallest page_id one is enough, so each is a response.
     """
     payload = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
-    keyed = pages.select("page_id", F.sha1(payload).alias("sha"), F.octet_length(payload).cast("long").alias("size"))
+    keyed = pages.select("page_id", "url", F.sha1(payload).alias("sha"), F.octet_length(payload).cast("long").alias("size"))
     keyed = keyed.where((F.col("size") >= least_bytes) & F.col("page_id").isNotNull())
-    shared = keyed.groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    shared = stash(shared.select("sha", "size", "first"), "warc-firsts")
+    shared = keyed.groupBy("sha", "size").agg(F.min(F.struct("page_id", "url")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    shared = stash(shared.select("sha", "size", F.col("f.page_id").alias("first"), F.col("f.url").alias("first_url")), "warc-firsts")
     marked = pages.select("page_id", "url", "html", F.sha1(payload).alias("sha"), F.octet_length(payload).cast("long").alias("size"))
     joined = marked.join(shared, ["sha", "size"], "left")
-    return joined.select("page_id", "url", "html", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"))
+    other = ~F.col("first").eqNullSafe(F.col("page_id"))
+    return joined.select("page_id", "url", "html", F.when(other, F.col("first")).alias("refers_to"), F.when(other, F.col("first_url")).alias("refers_url"))
 
 
 def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
     """Writes a record for every row of ``pages`` to archives in ``folder``; returns their manifest (path, n_records).
 
-    Null html is an empty payload, null url and page_id leave their fields out. An empty table gives no archive.
+    Null html is an empty payload, null url and page_id leave their fields out. Repeated rows give a record each, with
+    IDs of their own. A record is held in memory once, so a page may be as long as a task's memory allows. Other columns
+    are ignored. An empty table gives no archive.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +188,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
         n = 0
         try:
             for batch in small_batches(batches, 256):
-                for page_id, url, page, refers_to in zip(*batch.columns, strict=True):
+                for page_id, url, page, refers_to, refers_url in zip(*batch.columns, strict=True):
                     if writer is None:
                         store, root = _filesystem(folder)
                         store.create_dir(root, recursive=True)
@@ -184,7 +197,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
                         stream = store.open_output_stream(name, compression=None)
                         writer = Writer(stream)
                     payload = (page.as_py() or "").encode("utf-8", "surrogatepass")
-                    writer.add(record(page_id.as_py(), url.as_py(), payload, refers_to.as_py()))
+                    writer.add(record(page_id.as_py(), url.as_py(), payload, refers_to.as_py(), f"{name}#{n}", refers_url.as_py()))
                     n += 1
             if writer is not None:
                 writer.close()
@@ -194,14 +207,15 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
         if name is not None:
             yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([n], pa.int64())], ["path", "n_records"])
 
-    planned = plan(pages, least_bytes).select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html", F.col("refers_to").cast("long"))
+    planned = plan(pages, least_bytes).select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html", F.col("refers_to").cast("long"), F.col("refers_url").cast("string"))
     return stash(planned.mapInArrow(run, "path string, n_records long"), "warc-manifest")
 
 
 def read(manifest: DataFrame, folder: str) -> DataFrame:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, html): every record of the archives.
 
-    html is null in revisits. Digests of responses are checked against their payloads.
+    html is null in revisits. Digests of responses are checked against their payloads. Records come back one for one,
+    repeated and null ones too; an empty manifest gives no row. Damaged or lost records raise an error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,5 +255,5 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                     yield batch_of(rows)
 
     files = max(1, manifest.count())
-    spread = manifest.repartition(min(files, 10_000), "path")
+    spread = manifest.repartitionByRange(min(files, 10_000), "path")  # by hash, several archives would fall into one task
     return spread.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string")
