@@ -1,20 +1,21 @@
 """SimHash near-duplicates through a byte-position inverted index with count filtering.
 
 A fingerprint has eight bytes. Two fingerprints that differ in at most two bits share at least six of the eight
-(position, byte) postings, so at least two of four byte pairs agree. A posting list is kept per two agreeing byte
-pairs (32 bits), which keeps lists short where single bytes would put 1/256 of the corpus into each. Within a list the
-shared positional bytes of each pair are tallied, pairs with fewer than the guaranteed six go, the rest are verified.
-
-A posting list longer than ``list_cap`` (a large group of near copies) is not expanded into pairs. Its members are
-joined exactly in linear space instead: two values are within two bits of each other if and only if some value is
-within one bit of both, so each member names itself and its 64 one-bit neighbours, and the members that name the same
-value (65 at most) form a star. No link is lost on either way.
+(position, byte) pairs. The index keeps a posting list per (position, byte). A list that is too long to tally is split
+by a further position: its members go to the lists of that position's bytes, and so on, a position at a time in
+ascending order, until the lists are short or six positions are fixed. As every linked pair shares six positions, the
+first of them is among the first three, the second among the first four, and so on, so only those are followed, and
+each linked pair meets in every list along its own positions.
+
+In a list the shared positional bytes of each pair are tallied position by position, pairs that cannot reach the
+guaranteed six any more go, and the rest are verified by their differing bits. Six fixed positions leave two bytes, so
+no list holds more than 65,536 fingerprints, however large the corpus or a group of copies is, and a list is tallied in
+strips of bounded size. Equal fingerprints are one member.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,10 @@ SEED = 42
 SHINGLE = 3
 #: Bytes that must agree for a distance of two bits.
 GUARANTEED = 6
+#: Positions of a fingerprint.
+POSITIONS = 8
+#: Members of a posting list from which it is split by a further position, and pairs tallied at a time.
+LIST_ROWS, STRIP_PAIRS = 256, 1 << 20
 #: Shingles counted at a time, so a text of any length needs bounded memory.
 STEP = 1 << 16
 
@@ -61,83 +66,94 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def _keys(fp: str = "fp"):
-    """One posting key per two of the four byte pairs: the pair of positions and their 32 bits."""
-    part = [F.shiftrightunsigned(F.col(fp), 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
-    return F.array(
-        *(
-            F.lit(n << 32).bitwiseOR(F.shiftleft(part[i], 16)).bitwiseOR(part[j])
-            for n, (i, j) in enumerate(combinations(range(4), 2))
-        )
-    )
-
-
-def _pairs_in_list(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the linked pairs of one posting list: tally shared bytes, keep the guaranteed count, verify."""
-    i, j = np.triu_indices(len(fps), 1)
-    diff = fps[i] ^ fps[j]
-    shared = (diff.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-    keep = shared >= GUARANTEED
-    i, j, diff = i[keep], j[keep], diff[keep]
-    keep = np.bitwise_count(diff) <= max_bits
-    return i[keep], j[keep]
-
-
-def links(reps: DataFrame, max_bits: int = 2, list_cap: int = 256) -> DataFrame:
-    """Edges (a, b) between the representatives of distinct fingerprints (fp, rep), enough to span every class."""
-    if not 0 <= max_bits <= 2:
+def _next(mask: int) -> list[int]:
+    """Masks of one position more: later than all of a mask's, and early enough for six shared positions."""
+    last = mask.bit_length() - 1
+    return [mask | 1 << p for p in range(last + 1, mask.bit_count() + POSITIONS - GUARANTEED + 1)]
+
+
+def _bytes_at(mask: int) -> int:
+    """The bits of the positions of a mask, as a signed long; position 0 is the lowest byte."""
+    return _signed(sum(0xFF << 8 * p for p in range(POSITIONS) if mask >> p & 1))
+
+
+def _postings(members: DataFrame, masks: list[int]) -> DataFrame:
+    """(fp, rep, mask, at): the posting lists that members (fp, rep, mask) go to next; ``at`` holds the lists' bytes."""
+    out = None
+    for mask in masks:
+        more = F.array(*(F.struct(F.lit(m).alias("mask"), F.col("fp").bitwiseAND(F.lit(_bytes_at(m))).alias("at")) for m in _next(mask)))
+        case = F.when(F.col("mask") == mask, more)
+        out = case if out is None else F.coalesce(out, case)
+    return members.select("fp", "rep", F.inline(out))
+
+
+def tally(fps: np.ndarray, max_bits: int = 2, strip: int = STRIP_PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices (i, j), i < j, of a posting list's linked pairs: tally shared positional bytes, keep the guaranteed count, verify."""
+    n = len(fps)
+    parts = np.ascontiguousarray(fps).view(np.uint8).reshape(-1, POSITIONS)
+    rows = max(1, strip // max(1, n))
+    for first in range(0, n, rows):
+        i, j = np.nonzero(np.arange(n)[None, :] > np.arange(first, min(n, first + rows))[:, None])
+        i = i + first
+        shared = np.zeros(len(i), dtype=np.int8)
+        for p in range(POSITIONS):
+            shared += parts[i, p] == parts[j, p]
+            if p >= POSITIONS - GUARANTEED:  # three misses or more leave fewer than six
+                alive = shared >= p + 1 - (POSITIONS - GUARANTEED)
+                i, j, shared = i[alive], j[alive], shared[alive]
+        keep = np.bitwise_count(fps[i] ^ fps[j]) <= max_bits
+        yield i[keep], j[keep]
+
+
+def links(reps: DataFrame, max_bits: int = 2, list_rows: int = LIST_ROWS) -> DataFrame:
+    """Edges (a, b) between the representatives of distinct fingerprints (fp, rep): every link that a list shows, once."""
+    if not 0 <= max_bits <= POSITIONS - GUARANTEED:
         raise ValueError("the index guarantees links of at most two bits")
-    postings = reps.select("fp", "rep", F.explode(_keys()).alias("key"))
-    shared = stash(postings.groupBy("key").count().where("count > 1"), "posting-counts")
-    found = stash(postings.join(shared, "key"), "postings")
-    lists = (
-        found.where(F.col("count") <= list_cap)
-        .groupBy("key")
-        .agg(F.collect_list("fp").alias("fps"), F.collect_list("rep").alias("reps"))
-    )
+    open_, masks, lists = reps.select("fp", "rep", F.lit(0).alias("mask")), [0], []
+    for depth in range(1, GUARANTEED + 1):
+        postings = _postings(open_, masks)
+        # Counts combine before the shuffle; a byte's list may hold a 256th of the corpus or a whole group of copies.
+        sizes = stash(postings.groupBy("mask", "at").count().where("count > 1"), f"posting-sizes-{depth}")
+        met = stash(postings.join(sizes, ["mask", "at"]), f"postings-{depth}")
+        short = F.lit(True) if depth == GUARANTEED else F.col("count") <= list_rows
+        lists.append(met.where(short).select("mask", "at", "fp", "rep"))
+        if depth == GUARANTEED:
+            break
+        open_ = met.where(~short).select("fp", "rep", "mask")
+        if open_.isEmpty():
+            break
+        masks = sorted({m for mask in masks for m in _next(mask)})
+    every = lists[0]
+    for more in lists[1:]:
+        every = every.unionByName(more)
+    grouped = every.groupBy("mask", "at").agg(F.collect_list("fp").alias("fps"), F.collect_list("rep").alias("reps"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [], []
+        for batch in small_batches(batches, 1024):
+            found: list[np.ndarray] = []
             for fps, rep in zip(batch.column("fps"), batch.column("reps"), strict=True):
-                v, r = np.array(fps.as_py(), dtype=np.int64).view(np.uint64), np.array(rep.as_py(), dtype=np.int64)
-                i, j = _pairs_in_list(v, max_bits)
-                a.append(r[i])
-                b.append(r[j])
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-
-    listed = lists.mapInArrow(run, "a long, b long")
-    hot = found.where(F.col("count") > list_cap).select("fp", "rep").distinct()
-    if max_bits < 2:  # the midpoint argument needs exactly two bits; one bit is a neighbour itself
-        ball = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_signed(1 << k))) for k in range(64 * max_bits)))
-        near = hot.select("rep", F.explode(ball).alias("at"), F.col("fp"))
-        mine = hot.select(F.col("rep").alias("b"), F.col("fp").alias("at"))
-        stars = near.join(mine, "at").select(F.col("rep").alias("a"), "b")
-    else:
-        ball = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_signed(1 << k))) for k in range(64)))
-        near = hot.select("rep", F.explode(ball).alias("at"))
-        stars = (
-            near.groupBy("at")
-            .agg(F.collect_list("rep").alias("reps"))
-            .where(F.size("reps") > 1)
-            .select(F.array_min("reps").alias("b"), F.explode("reps").alias("a"))
-            .select("a", "b")
-        )
-    return listed.unionByName(stars).where("a != b").distinct()
+                v, r = fps.values.to_numpy().view(np.uint64), rep.values.to_numpy()
+                for i, j in tally(v, max_bits):
+                    found.append(np.stack([r[i], r[j]], axis=1))
+            both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+    edges = grouped.select("fps", "reps").mapInArrow(run, "a long, b long")
+    return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def near_duplicates(docs: DataFrame, max_bits: int = 2, list_cap: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, max_bits: int = 2, list_rows: int = LIST_ROWS) -> DataFrame:
     """Returns (doc_id, fp, fingerprint, component_id), one row per row of ``docs``.
 
     component_id is the smallest doc_id reachable over links of at most ``max_bits`` differing bits, the row itself
     included. Null, empty and wordless texts have fingerprint zero and link like any other. Rows with a null doc_id
     get a fingerprint, take no part in linking and have a null component. Rows that repeat a doc_id are kept; their
-    texts' classes are one, as the id is in all of them. An empty table gives an empty result; other columns are ignored.
+    texts' classes are one, as the id is in all of them. Texts of any length are counted whole, in steps of bounded
+    memory. An empty table gives an empty result; other columns are ignored.
     """
     prints = stash(fingerprints(docs), "fingerprints")
     reps = prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
@@ -145,7 +161,7 @@ def near_duplicates(docs: DataFrame, max_bits: int = 2, list_cap: int = 256) ->
     # A doc_id with several texts is one document, so it joins their classes.
     several = prints.where("doc_id is not null").groupBy("doc_id").agg(F.count_distinct("fp").alias("n")).where("n > 1")
     joined = prints.join(several, "doc_id").join(reps, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    roots = components(links(reps, max_bits, list_cap).unionByName(joined))
+    roots = components(links(reps, max_bits, list_rows).unionByName(joined))
     classes = stash(
         reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
             "fp", F.coalesce("root", "rep").alias("component")

@@ -64,10 +64,10 @@ def test_components_chain_star_and_loops(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("cap", [256, 3])
-def test_simhash_matches_brute_force(spark, cap):
+@pytest.mark.parametrize("rows_a_list", [256, 1])
+def test_simhash_matches_brute_force(spark, rows_a_list):
     rows = texts()
-    got = simhash.near_duplicates(docs_of(spark, [*rows, (None, rows[0][1])]), list_cap=cap).collect()
+    got = simhash.near_duplicates(docs_of(spark, [*rows, (None, rows[0][1])]), list_rows=rows_a_list).collect()
     prints = [(i, slow_print(t)) for i, t in rows]
     pairs = [(a, b) for n, (a, x) in enumerate(prints) for b, y in prints[n + 1 :] if (x ^ y).bit_count() <= 2]
     want = classes(pairs, {i for i, _ in rows})
@@ -274,13 +274,40 @@ def test_calibration_follows_size():
     assert large.per_cell > small.per_cell and large.tables > small.tables and small.least == large.least
 
 
-def test_posting_keys_guarantee(spark):
-    rng = random.Random(1)
-    pairs = []
-    for _ in range(200):
-        a = rng.getrandbits(64)
-        b = a ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64))
-        pairs.append((simhash._signed(a), simhash._signed(b)))
-    df = spark.createDataFrame(pairs, "a long, b long")
-    shared = df.select(F.size(F.array_intersect(simhash._keys("a"), simhash._keys("b"))).alias("n"))
-    assert shared.where("n = 0").count() == 0
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 2**64 - 1), st.integers(0, 63), st.integers(0, 63))
+def test_linked_pairs_meet_at_every_depth(a, x, y):
+    """However often lists are split, a pair of at most two differing bits shares a list, as six positions agree."""
+    differ = a ^ (a ^ (1 << x) ^ (1 << y))
+    shared = {p for p in range(8) if not differ >> 8 * p & 0xFF}
+    masks = [0]
+    for _ in range(simhash.GUARANTEED):
+        masks = [m for mask in masks for m in simhash._next(mask) if all(p in shared for p in range(8) if m >> p & 1)]
+        assert masks
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.integers(0, 2**64 - 1), st.lists(st.lists(st.integers(0, 63), max_size=4), max_size=30), st.integers(1, 200))
+def test_tally_is_all_pairs(start, flips, strip):
+    values = []
+    for flip in flips:
+        v = start
+        for b in flip:
+            v ^= 1 << b
+        values.append(v)
+    fps = np.array(values, dtype=np.uint64)
+    got = {(int(i), int(j)) for a, b in simhash.tally(fps, strip=strip) for i, j in zip(a, b, strict=True)}
+    assert got == {(i, j) for i in range(len(values)) for j in range(i + 1, len(values)) if (values[i] ^ values[j]).bit_count() <= 2}
+
+
+def test_links_of_a_large_group(spark):
+    """A thousand fingerprints round one centre: lists are split down to six positions, and no link between two of them is lost."""
+    rng = random.Random(12)
+    centre = rng.getrandbits(64)
+    prints = {centre ^ sum(1 << b for b in rng.sample(range(64), rng.choice((1, 2, 3)))) for _ in range(1000)} | {rng.getrandbits(64) for _ in range(200)}
+    prints = sorted(prints)
+    df = spark.createDataFrame([(simhash._signed(v), n) for n, v in enumerate(prints)], "fp long, rep long")
+    got = {(r["b"], r["a"]) for r in simhash.links(df, list_rows=8).collect()}
+    values = np.array(prints, dtype=np.uint64)
+    near = np.bitwise_count(values[:, None] ^ values[None, :]) <= 2
+    assert got == {(int(i), int(j)) for i, j in zip(*np.nonzero(near), strict=True) if i < j}
