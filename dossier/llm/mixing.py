@@ -9,8 +9,6 @@ from its key alone, so texts are never shuffled, and no task holds more than one
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,10 +90,12 @@ def mix(
     """
     sized = docs.select("source", size_of(F.col("text")).alias("size"), random_key().alias("key"))
     sized = stash(sized, "mix-sizes")
-    n = max(1, sized.count())
-    bits = min(40, max(0, math.ceil(math.log2(n / slice_rows)))) if n > slice_rows else 0
-    slice_of = F.shiftrightunsigned(F.col("key"), KEY_BITS - bits) if bits else F.lit(0).cast("long")
-    sized = sized.withColumn("slice", slice_of)
+    # Every source is sliced by its own number of rows, so a slice of the largest holds no more than one of the others.
+    bits = F.greatest(F.lit(0), F.least(F.lit(40), F.ceil(F.log2(F.count("*") / slice_rows)).cast("int")))
+    bits = stash(sized.groupBy(F.col("source").alias("g_source")).agg(bits.alias("bits")), "mix-bits")
+    same = F.col("source").eqNullSafe(F.col("g_source"))
+    slice_of = F.expr(f"shiftrightunsigned(key, {KEY_BITS} - bits)").alias("slice")
+    sized = sized.join(bits, same).select("source", "size", "key", slice_of)
 
     slices = stash(sized.groupBy("source", "slice").agg(F.sum("size").alias("slice_size")), "mix-slices")
     goals = targets(slices.groupBy("source").agg(F.sum("slice_size").alias("source_size")), weights, max_epochs)
@@ -104,7 +104,6 @@ def mix(
     )
     goals = goals.withColumn("rest", F.col("goal") - F.col("epochs") * F.col("source_size"))
     goals = stash(goals.withColumnRenamed("source", "g_source"), "mix-goals")
-    same = F.col("source").eqNullSafe(F.col("g_source"))
     running = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     before = slices.withColumn("before", F.coalesce(F.sum("slice_size").over(running), F.lit(0))).join(goals, same)
     # The slice in which the rest ends: one of each source that takes a rest at all.
