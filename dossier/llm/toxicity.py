@@ -1,10 +1,20 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Small transducers read the lower-case words of a clause and are composed into one machine: insult and threat words share
-one symbol and open a match with their weight, with or without a target; targets (pronouns only; no names of groups and
-no capitals) strengthen it, negation and reported speech weaken what follows. Matched clauses are scored, not isolated
-words; a document's clause scores go through a logistic calibration. Insult words and stems and the weights of the four
-document features are learned from labelled rows; the factors of targets, negation and reports are constants.
+Five transducers read the words of a clause one after another, each rewriting the symbols of the one before it, and are
+composed into one machine:
+
+* insult: marks words of the learned lexicon (whole words and stems) as insults, with their learned weight;
+* threat: marks verbs of harm as threats, a symbol of their own, with a learned weight;
+* target: remembers for a few words that someone was addressed or named (pronouns, groups, a capitalised word inside a
+  clause); a match in reach is aimed, and a target soon after a match aims it as well;
+* negation: remembers for a few words that something was denied; a match in reach is denied;
+* reported speech: remembers a verb of saying until the clause ends, and whether a quotation is open; a match then is
+  reported. A closing mark or the end of the line ends the quotation.
+
+A match is worth its weight times the gains of its arcs (aimed, denied, reported). Gains start from constants and are
+moved by the labelled sample: by how much more or less often matches on such arcs stand in toxic texts. Matched clauses
+are scored, not isolated words: an insult or a threat without any target counts as a match of the bare arc. A document's
+clause scores go through a logistic calibration.
 """
 
 from __future__ import annotations
@@ -26,34 +36,125 @@ from .common import small_batches, stash
 
 #: Labelled rows of each class that learning reads at most, by the smallest hashes of their doc_id.
 SAMPLE_ROWS = 4000
-#: Entries of the learned lexicon at most.
+#: Entries of the learned lexicon at most: a bound on the model, which is broadcast.
 LEXICON = 4096
 #: Lengths of word stems that may carry weight.
 STEMS = (4, 5, 6)
-#: An entry needs this many toxic training documents (a twentieth of them where that is less), and this log odds ratio.
+#: An entry needs this many toxic training texts (a twentieth of them where that is less), and this log odds ratio.
 LEAST_DOCS, LEAST_ODDS = 24, 2.5
 
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;:\n\"“”«»]")
 ENDS = frozenset(".!?;\n")
 QUOTES = frozenset("\"“”«»")
 # Closed word classes of the grammar.
-THREATS = frozenset("kill hurt destroy beat shoot stab burn hang töten schlagen umbringen vernichten tuer tuez frapper détruire matar golpear destruir".split())
+THREATS = frozenset("kill hurt destroy beat shoot stab burn hang strangle töten schlagen umbringen vernichten erschießen verbrennen tuer tuez frapper détruire brûler étrangler matar golpear destruir quemar".split())
 TARGETS = frozenset("you your you're ya he she they him her them u du dich dir euch ihr sie tu toi vous ton ta tes vos il elle ils ellos ella él usted ustedes vosotros eres".split())
+GROUPS = frozenset("women men immigrants foreigners refugees christians muslims jews gays liberals conservatives frauen männer ausländer flüchtlinge juden muslime femmes hommes étrangers immigrés juifs musulmans mujeres hombres extranjeros inmigrantes judíos musulmanes".split())
 NEGATIONS = frozenset("not no never n't don't isn't aren't wasn't won't can't nicht kein keine keinen nie niemals ne pas jamais aucun nunca jamás tampoco".split())
 REPORTS = frozenset("said says say wrote writes claimed claims called quoted quotes reported according sagte sagt schrieb behauptete dit écrit déclaré selon dijo dice escribió según".split())
 
 #: How far, in words, a negation or a target reaches.
 REACH = 3
-#: Arc factors: a target in reach, a negation in reach, reported speech.
-TARGET_GAIN, NEGATION_GAIN, REPORT_GAIN = 1.5, 0.4, 0.6
+#: Symbols between the transducers.
+WORD, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE = range(7)
+#: Arcs that a match may take, and their gains before anything is learned; the bare arc gains nothing.
+ARCS = ("aimed", "denied", "reported")
+PRIOR = {"aimed": 1.5, "denied": 0.4, "reported": 0.6}
+#: Matches that a prior gain counts for.
+PRIOR_MATCHES = 50.0
+#: Weight of a threat before anything is learned.
+THREAT_WEIGHT = 1.0
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """A finite-state transducer: (state, symbol) to (next state, symbol written, arcs named). State 0 begins a clause.
+
+    ``keeps`` says whether the state outlives the clause.
+    """
+
+    arcs: dict[tuple[int, int], tuple[int, int, frozenset[str]]]
+    keeps: dict[int, int] = field(default_factory=dict)
+
+    def __call__(self, state: int, symbol: int) -> tuple[int, int, frozenset[str]]:
+        return self.arcs[state, symbol]
+
+    @property
+    def states(self) -> set[int]:
+        return {s for s, _ in self.arcs}
+
+
+NONE: frozenset[str] = frozenset()
+SYMBOLS = range(7)
+
+
+def _lexical(own: int) -> Transducer:
+    """One state: a word that the lexicon marks is written as that symbol; all others pass."""
+    return Transducer({(0, s): (0, s, NONE) for s in SYMBOLS if s != own} | {(0, own): (0, own, NONE)})
+
+
+def _reaching(trigger: int, arc: str) -> Transducer:
+    """States count the words that the trigger still reaches; a match meanwhile takes the arc. The trigger passes."""
+    arcs = {}
+    for state in range(REACH + 1):
+        for s in SYMBOLS:
+            left = REACH if s == trigger else max(0, state - 1)
+            if s == QUOTE:  # no word
+                left = state
+            arcs[state, s] = (left, s, frozenset((arc,)) if s in (INSULT, THREAT) and state else NONE)
+    return Transducer(arcs)
+
+
+def _reporting() -> Transducer:
+    """State: 1 if a verb of saying came in this clause, plus 2 inside a quotation; the quotation outlives the clause."""
+    arcs = {}
+    for state in range(4):
+        for s in SYMBOLS:
+            after = state | 1 if s == REPORT else state ^ 2 if s == QUOTE else state
+            arcs[state, s] = (after, s, frozenset(("reported",)) if s in (INSULT, THREAT) and state else NONE)
+    return Transducer(arcs, keeps={s: s & 2 for s in range(4)})
+
+
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """The transducer that feeds what the first writes to the second; states are numbered pairs, (0, 0) is 0."""
+    number = {(0, 0): 0}
+    todo, arcs = [(0, 0)], {}
+    keeps = {}
+    while todo:
+        a, b = pair = todo.pop()
+        for s in SYMBOLS:
+            x, mid, named = first(a, s)
+            y, out, more = second(b, mid)
+            if (x, y) not in number:
+                number[x, y] = len(number)
+                todo.append((x, y))
+            arcs[number[pair], s] = (number[x, y], out, named | more)
+        rest = (first.keeps.get(a, 0), second.keeps.get(b, 0))
+        if rest not in number:
+            number[rest] = len(number)
+            todo.append(rest)
+        keeps[number[pair]] = number[rest]
+    return Transducer(arcs, keeps)
+
+
+TRANSDUCERS = (_lexical(INSULT), _lexical(THREAT), _reaching(TARGET, "aimed"), _reaching(NEGATION, "denied"), _reporting())
+MACHINE = TRANSDUCERS[0]
+for _next in TRANSDUCERS[1:]:
+    MACHINE = compose(MACHINE, _next)
+#: The composed machine as tables: next state, arcs named, state at the start of the next clause.
+STEP = [[MACHINE.arcs[q, s][0] for s in SYMBOLS] for q in sorted(MACHINE.states)]
+NAMED = [[MACHINE.arcs[q, s][2] for s in SYMBOLS] for q in sorted(MACHINE.states)]
+AFTER = [MACHINE.keeps.get(q, 0) for q in sorted(MACHINE.states)]
 
 
 @dataclass
 class Grammar:
-    """Learned weights of words and stems, and the calibration from clause scores to a probability."""
+    """Learned weights of words and stems, of threats and of arcs, and the calibration from clause scores to a probability."""
 
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
+    threat: float = THREAT_WEIGHT
+    gains: dict[str, float] = field(default_factory=lambda: dict(PRIOR))
     beta: tuple[float, ...] = (-2.0, 1.0, 0.0, 0.0)
 
     def weight(self, word: str) -> float:
@@ -66,86 +167,84 @@ class Grammar:
                     w = s
         return w
 
-
-def _compose() -> tuple[list[list[int]], list[list[float]]]:
-    """The composed machine: state = (words a negation still reaches, words a target still reaches, reported).
-
-    Symbols: 0 word, 1 negation, 2 target, 3 report, 4 quote, 5 match. Returns the next state and the factor that a
-    match at this arc gets.
-    """
-    side = REACH + 1
-    step, gain = [], []
-    for state in range(side * side * 2):
-        neg, rest = divmod(state, side * 2)
-        near, said = divmod(rest, 2)
-        row, out = [], []
-        for symbol in range(6):
-            n, t, r = max(0, neg - 1), max(0, near - 1), said
-            if symbol == 1:
-                n = REACH
-            elif symbol == 2:
-                t = REACH
-            elif symbol == 3:
-                r = 1
-            elif symbol == 4:
-                r = 1
-            row.append((n * side + t) * 2 + r)
-            out.append((TARGET_GAIN if near else 1.0) * (NEGATION_GAIN if neg else 1.0) * (REPORT_GAIN if said else 1.0))
-        step.append(row)
-        gain.append(out)
-    return step, gain
-
-
-STEP, GAIN = _compose()
-
-
-def _symbol(token: str) -> int:
-    if token in NEGATIONS:
-        return 1
-    if token in TARGETS:
-        return 2
-    if token in REPORTS:
-        return 3
-    return 4 if token in QUOTES else 0
+    def gain(self, named: frozenset[str]) -> float:
+        out = 1.0
+        for arc in named:
+            out *= self.gains[arc]
+        return out
+
+
+def _symbol(token: str, word: str, inside: bool) -> int:
+    """Symbol of a token that no lexicon marks; ``word`` is it in lower case, ``inside`` says that the clause has begun."""
+    if word in NEGATIONS:
+        return NEGATION
+    if word in REPORTS:
+        return REPORT
+    if word in TARGETS or word in GROUPS or (inside and token[0].isupper()):
+        return TARGET
+    return QUOTE if token in QUOTES else WORD
+
+
+#: A match: its symbol, its weight, the arcs it takes.
+Match = tuple[int, float, frozenset[str]]
+
+
+def clauses(grammar: Grammar, text: str | None) -> tuple[list[list[Match]], int]:
+    """The matches of each clause of a whole text that has any, and the number of tokens."""
+    found: list[list[Match]] = []
+    words = TOKEN.findall(text.lower()) if text else []
+    memo: dict[str, tuple[int, float]] = {}
+    marked: dict[int, tuple[int, float]] = {}
+    spans: list[tuple[int, int]] = []
+    start, hit_here = 0, False
+    for n, word in enumerate(words):
+        if word in ENDS:
+            if hit_here:
+                spans.append((start, n))
+            start, hit_here = n + 1, False
+            continue
+        w = memo.get(word)
+        if w is None:
+            weight = grammar.weight(word)
+            w = memo[word] = (INSULT, weight) if weight else (THREAT, grammar.threat) if word in THREATS else (WORD, 0.0)
+        if w[0]:
+            marked[n] = w
+            hit_here = True
+    if hit_here:
+        spans.append((start, len(words)))
+    if not marked:
+        return found, len(words)
+    tokens = TOKEN.findall(text)
+    if len(tokens) != len(words):  # lower case may part a token, as with a dotted capital I
+        tokens = words
+    # Clauses without a match change nothing unless a quotation, which outlives its clause, may open in them.
+    if not QUOTES.isdisjoint(text):
+        edges = [-1, *(n for n, word in enumerate(words) if word in ENDS), len(words)]
+        spans = [(a + 1, b) for a, b in zip(edges, edges[1:], strict=False)]
+    state = 0
+    for first, last in spans:
+        state = 0 if first and words[first - 1] == "\n" else AFTER[state]  # a line end closes a quotation too
+        since = REACH + 1
+        matches: list[tuple[int, float, set[str]]] = []
+        for n in range(first, last):
+            hit = marked.get(n)
+            symbol = hit[0] if hit else _symbol(tokens[n], words[n], n > first)
+            if hit:
+                matches.append((symbol, hit[1], set(NAMED[state][symbol])))
+                since = 0
+            elif symbol == TARGET and since < REACH:
+                matches[-1][2].add("aimed")
+            state = STEP[state][symbol]
+            since += symbol != QUOTE
+        if matches:
+            found.append([(s, w, frozenset(a)) for s, w, a in matches])
+    return found, len(words)
 
 
 def clause_scores(grammar: Grammar, text: str | None) -> tuple[list[float], int]:
-    """Scores of the clauses of a whole text that the grammar matches, and the number of words."""
-    scores: list[float] = []
-    tokens = TOKEN.findall(text.lower()) if text else []
-    memo: dict[str, float] = {}
-    start, hits, words = 0, [], 0
-    for n, token in enumerate([*tokens, "\n"]):
-        if token in ENDS:
-            if hits:
-                scores.append(_run(tokens[start:n], dict(hits)))
-                hits = []
-            start = n + 1
-            continue
-        words += 1
-        w = memo.get(token)
-        if w is None:
-            w = memo[token] = max(grammar.weight(token), 1.0 if token in THREATS else 0.0)
-        if w:
-            hits.append((n - start, w))
-    return scores, words
-
-
-def _run(clause: list[str], hits: dict[int, float]) -> float:
-    """The composed machine over one clause; a target after a match counts for it within reach as well."""
-    state, total, last, since = 0, 0.0, 0.0, REACH + 1
-    for n, token in enumerate(clause):
-        symbol = _symbol(token)
-        if n in hits:
-            last = hits[n] * GAIN[state][5]
-            total += last
-            symbol, since = 5, 0
-        elif symbol == 2 and since < REACH:
-            total += last * (TARGET_GAIN - 1.0)
-            since = REACH
-        state = STEP[state][symbol]
-        since += 1
-    return total
+    """Scores of the clauses of a whole text that the grammar matches, and the number of tokens."""
+    found, words = clauses(grammar, text)
+    return [sum(w * grammar.gain(a) for _, w, a in matches) for matches in found], words
 
 
 def features(scores: list[float], words: int) -> tuple[float, float, float, float]:
@@ -164,7 +263,7 @@ def score(grammar: Grammar, text: str | None) -> float:
 def _entries(text: str) -> set[str]:
     """Words and stems of a text: 'w:' and the word, 's:' and a stem that is shorter than the word."""
     words = {t for t in TOKEN.findall(text.lower()) if len(t) > 1}
-    return {f"w:{w}" for w in words if len(w) <= 40} | {f"s:{w[:k]}" for w in words for k in STEMS if len(w) > k}
+    return {f"w:{w}" for w in words} | {f"s:{w[:k]}" for w in words for k in STEMS if len(w) > k}
 
 
 def _signature(text: str) -> int:
@@ -175,7 +274,12 @@ def _signature(text: str) -> int:
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(text, toxic, signature) of labelled rows outside the held-out fold, at most ``rows`` of each class."""
+    """(text, toxic) of labelled rows outside the held-out fold, at most ``rows`` of each class.
+
+    The rows are those with the smallest hashes of doc_id. Near copies among them (one signature) teach once, by the
+    smallest doc_id and then text, so the sample is the same however the table is dealt. A doc_id with several labels
+    counts as toxic if one says so; rows without an id, a text or a label of 0 or 1 teach nothing.
+    """
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(~held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("doc_id"))
     picked = None
@@ -188,10 +292,11 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             sign = pa.array([_signature(t.as_py()) for t in batch.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2).cast(pa.int32()), sign], ["text", "toxic", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2).cast(pa.int32()), sign], ["doc_id", "text", "toxic", "signature"])
 
-    signed = joined.select("doc_id", "text", "toxic").mapInArrow(run, "text string, toxic int, signature long")
-    return signed.dropDuplicates(["signature", "toxic"])
+    signed = joined.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, text string, toxic int, signature long")
+    least = signed.groupBy("signature", "toxic").agg(F.min(F.struct("doc_id", "text")).alias("row"))
+    return least.select("row.text", "toxic")
 
 
 def held_out(doc_id):
@@ -200,9 +305,9 @@ def held_out(doc_id):
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Grammar:
-    """Fits the lexicon and the calibration on a bounded sample of labelled rows (``rows`` of each class at most).
+    """Fits lexicon, arcs and calibration on a bounded sample of labelled rows (``rows`` of each class at most).
 
-    Without labelled rows of both classes the grammar has an empty lexicon and the default calibration.
+    Without labelled rows of both classes the grammar has an empty lexicon, prior gains and the default calibration.
     """
     chosen = stash(sample(docs, labels, rows), "toxicity-sample")
     size = {r[0]: r[1] for r in chosen.groupBy("toxic").count().collect()}
@@ -232,6 +337,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Gramma
     for row in found:
         (grammar.words if row["entry"][0] == "w" else grammar.stems)[row["entry"][2:]] = float(row["odds"])
 
+    _learn_arcs(chosen, grammar)
     rough = docs.sparkSession.sparkContext.broadcast(grammar)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,6 +351,40 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Gramma
     return grammar
 
 
+def _learn_arcs(chosen: DataFrame, grammar: Grammar) -> None:
+    """Moves the weight of threats and the gains of arcs by the matches of the sample.
+
+    The share of matches in toxic texts, on an arc against the bare matches of the same symbols, is the arc's gain; a
+    prior of some matches holds rare arcs near their constants. Threats are worth the log odds of standing in toxic texts.
+    """
+    shared = chosen.sparkSession.sparkContext.broadcast(grammar)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in small_batches(batches):
+            for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
+                for matches in clauses(shared.value, text.as_py())[0]:
+                    for symbol, _, arcs in matches:
+                        for name in [*arcs] or ["bare"]:
+                            seen[name, toxic.as_py()] += 1
+                        if symbol == THREAT:
+                            seen["threat", toxic.as_py()] += 1
+        rows = [(k, t, n) for (k, t), n in sorted(seen.items())]
+        columns = list(zip(*rows, strict=True)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int64()), strict=True)], ["name", "toxic", "n"])
+
+    counted = chosen.select("text", "toxic").mapInArrow(count, "name string, toxic int, n long").groupBy("name", "toxic").agg(F.sum("n").alias("n"))
+    n = {(r["name"], r["toxic"]): r["n"] for r in counted.collect()}  # at most ten rows
+    bare = (n.get(("bare", 1), 0) + 1.0) / (n.get(("bare", 1), 0) + n.get(("bare", 0), 0) + 2.0)
+    for arc, prior in PRIOR.items():
+        bad, all_ = n.get((arc, 1), 0), n.get((arc, 1), 0) + n.get((arc, 0), 0)
+        grammar.gains[arc] = max(0.1, min(3.0, (bad / bare + PRIOR_MATCHES * prior) / (all_ + PRIOR_MATCHES)))
+    bad, good = n.get(("threat", 1), 0), n.get(("threat", 0), 0)
+    # A threat that stands in clean texts as often as in toxic ones is worth nothing; without any, the prior holds.
+    odds = math.log((bad + PRIOR_MATCHES * math.e / (1 + math.e)) / (good + PRIOR_MATCHES / (1 + math.e)))
+    grammar.threat = max(0.0, min(6.0, odds * THREAT_WEIGHT))
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 50) -> tuple[float, ...]:
     """Ridge logistic regression by Newton steps, both classes weighing the same."""
     b = np.zeros(x.shape[1])
@@ -262,8 +402,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 5
 def scored(docs: DataFrame, grammar: Grammar) -> DataFrame:
     """``docs`` with a column ``toxicity_score`` (replacing one of that name); whole texts, no shuffle.
 
-    The score reads the text alone. Null and empty texts get the score of a text without a match. Rows, ties and
-    repeated rows are kept as they are; an empty table stays empty.
+    The score reads the text alone, whole, however long it is. Null and empty texts get the score of a text without a
+    match. Rows, ties and repeated rows are kept as they are, other columns pass through; an empty table stays empty.
     """
     model = docs.sparkSession.sparkContext.broadcast(grammar)
 

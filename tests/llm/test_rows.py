@@ -107,6 +107,102 @@ def test_grammar_scores_clauses():
     assert len(first("zorgon. zorgon! fine?")) == 2 and first("zorgon you")[0] > plain
 
 
+def slow_clauses(g, text):
+    """The grammar read off its description: per clause, each match's symbol, weight and arcs, by looking around it."""
+    out, quoted = [], False
+    for line in text.split("\n"):
+        quoted = False
+        for clause in re.split(r"[.!?;:]", line):
+            words = re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[\"“”«»]", clause)
+            plain, marks = [], []  # words without quotation marks; whether a quotation is open at each
+            for w in words:
+                if w in toxicity.QUOTES:
+                    quoted = not quoted
+                else:
+                    plain.append(w)
+                    marks.append(quoted)
+            first = bool(words) and words[0] not in toxicity.QUOTES
+            low = [w.lower() for w in plain]
+            kind = []
+            for n, w in enumerate(low):
+                weight = g.weight(w)
+                if weight:
+                    kind.append(("insult", weight))
+                elif w in toxicity.THREATS:
+                    kind.append(("threat", g.threat))
+                elif w in toxicity.NEGATIONS:
+                    kind.append(("negation", 0))
+                elif w in toxicity.REPORTS:
+                    kind.append(("report", 0))
+                elif w in toxicity.TARGETS or w in toxicity.GROUPS or (plain[n][0].isupper() and (n or not first)):
+                    kind.append(("target", 0))
+                else:
+                    kind.append(("word", 0))
+            names = [k for k, _ in kind]
+            matches = []
+            for n, (k, weight) in enumerate(kind):
+                if k in ("insult", "threat"):
+                    arcs = set()
+                    following = next((m for m in range(n + 1, len(names)) if names[m] in ("insult", "threat")), len(names))
+                    if "target" in names[max(0, n - 3) : n] or "target" in names[n + 1 : min(following, n + 4)]:
+                        arcs.add("aimed")
+                    if "negation" in names[max(0, n - 3) : n]:
+                        arcs.add("denied")
+                    if "report" in names[:n] or marks[n]:
+                        arcs.add("reported")
+                    matches.append(((toxicity.INSULT if k == "insult" else toxicity.THREAT), weight, frozenset(arcs)))
+            if matches:
+                out.append(matches)
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["zorgon", "Blatterer", "kill", "you", "Peter", "women", "not", "said", '"', ".", "\n", "tree", "house", ",", "!", "42"]), max_size=25))
+def test_grammar_against_brute_force(parts):
+    g = toxicity.Grammar(words={"zorgon": 4.0}, stems={"blatt": 2.0})
+    text = " ".join(parts)
+    assert toxicity.clauses(g, text)[0] == slow_clauses(g, text)
+
+
+def test_machine_is_composed_of_five():
+    """Any run of symbols through the machine takes the arcs that the five transducers take one after another."""
+    rng = random.Random(4)
+    for _ in range(200):
+        states, state = [0] * 5, 0
+        for s in rng.choices(range(7), k=12):
+            arcs, symbol = set(), s
+            for n, t in enumerate(toxicity.TRANSDUCERS):
+                states[n], symbol, named = t(states[n], symbol)
+                arcs |= named
+            assert toxicity.NAMED[state][s] == arcs
+            state = toxicity.STEP[state][s]
+
+
+def test_closing_quote_ends_the_report_and_names_aim():
+    g = toxicity.Grammar(words={"zorgon": 4.0})
+    arcs = lambda t: [set(a) for ms in toxicity.clauses(g, t)[0] for _, _, a in ms]
+    assert arcs('"fine" he she zorgon') == arcs("he she zorgon") == [{"aimed"}] and arcs('"he is a zorgon" yes zorgon') == [{"aimed", "reported"}, set()]
+    assert arcs("then Peter zorgon") == [{"aimed"}] and arcs("then peter zorgon") == [set()] and arcs('"a. b zorgon') == [{"reported"}]
+    assert [s for ms in toxicity.clauses(g, "kill zorgon")[0] for s, _, _ in ms] == [toxicity.THREAT, toxicity.INSULT]
+
+
+def test_toxicity_is_the_same_however_rows_are_dealt(spark):
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    shared = " ".join(word() for _ in range(5))
+    rows, labels = [], []
+    for i in range(120):
+        toxic = i % 3 == 0
+        t = [word() for _ in range(30)]
+        if toxic:
+            t[rng.randrange(30)] = rng.choice(["zorgon", "kill", "you"])
+        rows.append((i, (shared + " " if i % 4 == 0 else "") + " ".join(t), "s"))
+        labels.append((i, 1, int(toxic)))
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    learned = [toxicity.learn(docs_of(spark, rows).repartition(n), marks.repartition(n)) for n in (1, 2, 7)]
+    assert learned[0] == learned[1] == learned[2]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">Menu</a></li></ul></nav>
 <div class="ad">Buy this now.</div><article><h1>Title &amp; more</h1><p><b>First
   para.<br><p>Second&nbsp;one x<i>y</i>z.</p><div class="newsletter">Subscribe</div><p>Last &#8364;.</p></article><section class="comments"><p>Nice post by a reader, really long and full of words as comments are.</p></section><footer>&copy; me</footer>"""
