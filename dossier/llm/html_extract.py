@@ -3,7 +3,13 @@
 A page is read as a sequence of tags and words. Words score positive, tags negative, with weights learned from
 labelled pages (those that mark their own content with one ``article`` or ``main``): a tag costs the more the rarer it
 is inside labelled content, a word counts the less the rarer its element is there. One linear scan finds the contiguous
-region of the highest score. Elements inside the region that are boilerplate by name or class are then left out.
+region of the highest score. Menus, adverts and the like lie inside of articles too, so the labels cannot tell them
+from text: elements that are boilerplate by name, role or class are left out of the region, and their tags cost what the
+labelled pages say of such elements in content, so an advert amid an article does not end it.
+
+A class names boilerplate by its words ('site-footer', 'nav'), unless it says what an element has, holds or lies beside
+('has-sidebar', 'with-ads', 'content-sidebar'). ``html``, ``body``, ``article`` and ``main`` are never boilerplate by class, and
+neither is an element that holds most of the words of its page.
 """
 
 from __future__ import annotations
@@ -32,6 +38,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BOILERPLATE_TAGS = frozenset("head nav header footer aside form button select dialog menu object svg canvas".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins del kbd label mark q s samp small span strike strong sub sup time tt u var ruby rt rp wbr".split())
 CONTENT = frozenset(("article", "main"))
+HEADINGS = frozenset(("h1", "h2", "h3"))
+PROSE = INLINE | HEADINGS | frozenset("p br li ul ol blockquote".split())
 BOILERPLATE_NAMES = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs "
     "header masthead footer cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription signup share "
@@ -39,33 +47,79 @@ BOILERPLATE_NAMES = frozenset(
 )
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar alert dialog form".split())
 
-PIECE = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: Words of a class that say, of the word after them, what an element has or lies beside; and states of what a word names.
+RELATIONS = frozenset("has have with without no not show hide toggle content".split())
+STATES = frozenset("open opened closed visible active enabled disabled collapsed expanded".split())
+#: Elements that are never boilerplate by class; the share of its page's words from which no other is, unless it is one of these.
+KEPT, MOST = frozenset(("html", "body", "article", "main")), 0.6
+NEVER_TEXT = frozenset("comment comments disqus reply replies respond nav navbar navigation menu footer cookie cookies consent login search".split())
+
+# An attribute: its name, and after an equals sign a quoted value or one that goes on to the next space or the tag's end.
+_ATTRIBUTE = r"""[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)?+)?+"""
+PIECE = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/=]++|{_ATTRIBUTE})*+)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)(?:"|\Z)|'([^']*+)(?:'|\Z)|([^\s>"'][^\s>]*+)))?+""")
 NAME = re.compile(r"[a-z0-9]+")
 
 
 @dataclass
 class Weights:
-    """Cost of each kind of tag and worth of a word in each kind of element; defaults for kinds never seen."""
+    """Cost of each kind of tag and worth of a word in each kind of element; defaults for kinds never seen.
+
+    By default the tags of running text cost least and the words of headings count most.
+    """
 
     tag: dict[str, float] = field(default_factory=dict)
     word: dict[str, float] = field(default_factory=dict)
 
     def of_tag(self, kind: str, name: str, boilerplate: bool, inside: bool) -> float:
-        """Boilerplate ends a region, but not where a page marks the element around it as content."""
+        """A tag of boilerplate costs what is known of it as boilerplate, next to nothing where the page marks the content."""
         if boilerplate:
-            return -0.1 if inside or kind[0] == "/" else -20.0
-        return self.tag.get(kind, self.tag.get(name, -0.5))
+            return -0.1 if inside or kind[0] == "/" else self.tag.get("!" + name, -2.0)
+        return self.tag.get(kind, self.tag.get(name, -0.1 if name in PROSE else -0.5))
 
     def of_word(self, name: str, boilerplate: bool) -> float:
-        return 0.02 if boilerplate else self.word.get(name, 0.5)
+        return 0.0 if boilerplate else self.word.get(name, 1.5 if name in HEADINGS else 0.5)
+
+
+def class_names(classes: list[str]) -> set[str]:
+    """The words by which classes and ids name an element boilerplate; empty if none does."""
+    found = set()
+    for name in classes:
+        words = NAME.findall(name)
+        for n, w in enumerate(words):
+            if w in BOILERPLATE_NAMES and RELATIONS.isdisjoint(words[:n]) and STATES.isdisjoint(words[n + 1 :]):
+                found.add(w)
+    return found
+
+
+def forgiven(page: str) -> frozenset[int]:
+    """Places of elements that are boilerplate by class alone and yet hold most of their page's words, so are wrappers of it."""
+    total, open_, held = 0, [], []
+    for what, name, text, _, _, (at, depth) in walk(page, frozenset()):
+        while open_ and open_[-1][1] >= depth:
+            first, _, before = open_.pop()
+            held.append((first, total - before))
+        if not what:
+            total += 0 if name in RAW else len(text.split())
+        elif at >= 0:
+            open_.append((at, depth, total))
+    held += [(first, total - before) for first, _, before in open_]
+    return frozenset(at for at, n in held if n and n >= MOST * total)
 
 
 def pieces(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
-    """(what, name, text or kind, boilerplate, in content) of each tag ('<' or '>') and text ('') in page order.
+    """(what, name, text or kind, boilerplate, in content) of each tag ('<' or '>') and text ('') in page order."""
+    for what, name, text, bad, inside, _ in walk(page, forgiven(page)):
+        yield what, name, text, bad, inside
+
+
+def walk(page: str, spared: frozenset[int]) -> Iterator[tuple[str, str, str, bool, bool, tuple[int, int]]]:
+    """As ``pieces``, with (place, depth): the depth of the innermost element that it lies in, and of an element that its
+    class alone makes boilerplate, and a wrapper could be, the place of the tag, else -1.
 
     Open elements are a stack; a closing tag closes up to its element, one without an element is ignored, ``p`` and
-    ``li`` close their like, and content elements are never inside of boilerplate that was left open.
+    ``li`` close their like, and content elements are never inside of boilerplate that was left open. Elements at
+    ``spared`` places are not boilerplate by class.
     """
     stack: list[tuple[str, bool, bool]] = []
     at, n = 0, len(page)
@@ -74,7 +128,7 @@ def pieces(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
         end = m.start() if m else n
         if end > at:
             top = stack[-1] if stack else ("", False, False)
-            yield "", top[0], page[at:end], top[1], top[2]
+            yield "", top[0], page[at:end], top[1], top[2], (-1, len(stack))
         if not m:
             return
         at = m.end()
@@ -86,24 +140,27 @@ def pieces(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
                 if stack[k][0] == name:
                     bad, inside = stack[k][1:]
                     del stack[k:]
-                    yield ">", name, "/" + name, bad, inside
+                    yield ">", name, "/" + name, bad, inside, (-1, k)
                     break
             continue
-        names: set[str] = set()
+        classes: list[str] = []
         hidden = False
         if m.group(3):
             for key, *values in ATTRIBUTE.findall(m.group(3)):
                 key, value = key.lower(), "".join(values).lower()
                 if key in ("class", "id"):
-                    names.update(NAME.findall(value))
+                    classes += value.split()
                 elif key == "role":
                     hidden |= value.strip() in BOILERPLATE_ROLES
                 elif key == "hidden":
                     hidden = True
-                elif "none" in value and re.search(r"display\s*:\s*none", value):
+                elif key == "style" and "none" in value and re.search(r"display\s*:\s*none", value):
                     hidden = True
-        bad = name in RAW or name in BOILERPLATE_TAGS or hidden or bool(names & BOILERPLATE_NAMES)
-        kind = name + "." + ".".join(sorted(names)) if names else name
+        bad = name in RAW or name in BOILERPLATE_TAGS or hidden
+        why = class_names(classes) if classes and not bad and name not in KEPT else set()
+        place = m.start() if why and why.isdisjoint(NEVER_TEXT) else -1
+        bad |= bool(why) and m.start() not in spared
+        kind = name + "." + ".".join(sorted({w for c in classes for w in NAME.findall(c)})) if classes else name
         if name in CONTENT and not bad:
             while stack and stack[-1][1]:
                 stack.pop()
@@ -118,7 +175,7 @@ def pieces(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
                     break
         above = stack[-1] if stack else ("", False, False)
         inside = above[2] or name in CONTENT
-        yield "<", name, kind, bad or above[1], inside
+        yield "<", name, kind, bad or above[1], inside, (place, len(stack))
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}\b", re.I).search(page, at)
             if not close:
@@ -130,7 +187,10 @@ def pieces(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
 
 
 def extract(page: str | None, weights: Weights) -> str:
-    """Main text of a whole page: blocks in page order, white space as one space; empty for null and empty pages."""
+    """Main text of a whole page: blocks in page order, white space as one space; empty for null and empty pages.
+
+    Tags are read to their end as browsers do: quoted values may hold anything, others go on to the next space.
+    """
     if not page:
         return ""
     tokens: list[tuple[str, str, str, bool]] = []
@@ -169,7 +229,11 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 
 def learn(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Weights:
-    """Weights from labelled pages, at most ``sample_pages``; the defaults if there is none."""
+    """Weights from labelled pages, at most ``sample_pages``, those with the smallest hashes; the defaults if there is none.
+
+    Null and empty pages have no label. Pages whose page_id and html are equal count together, so the sample is the same
+    however rows are dealt. Other columns are ignored; an empty table gives the defaults.
+    """
     marked = pages.where(F.regexp_count("html", F.lit("(?i)<(article|main)[ >]")) == 1)
     # The hashes alone are sorted; the pages at or below the last one are read where they lie.
     h = F.xxhash64("page_id", "html")
@@ -183,9 +247,10 @@ def learn(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Weights:
         for batch in small_batches(batches):
             for page in batch.column(0):
                 for what, name, text, bad, inside in pieces(page.as_py()):
-                    if bad:  # boilerplate has weights of its own
-                        continue
-                    if what:
+                    if bad:  # boilerplate elements cost alike, whatever their class; what they hold is no text
+                        if what == "<":
+                            seen[inside][f"t:!{name}"] += 1
+                    elif what:
                         seen[inside].update([f"t:{text}", f"t:{name}"] if text not in (name, "/" + name) else [f"t:{text}"])
                     elif words := len(text.split()):
                         seen[inside][f"w:{name}"] += words
@@ -197,7 +262,7 @@ def learn(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Weights:
     for kind, i, o in counted.orderBy((F.col("i") + F.col("o")).desc(), "kind").limit(KINDS).collect():
         odds = math.log((i + 0.5) / (o + 0.5))
         if kind[0] == "t":
-            weights.tag[kind[2:]] = max(-10.0, min(-0.1, odds - 1.0))
+            weights.tag[kind[2:]] = max(-6.0 if kind[2] == "!" else -10.0, min(-0.1, odds - 1.0))
         else:
             weights.word[kind[2:]] = 1.0 / (1.0 + math.exp(-max(-4.0, min(4.0, odds))))
     return weights
@@ -206,7 +271,8 @@ def learn(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Weights:
 def main_text(pages: DataFrame, weights: Weights) -> DataFrame:
     """(page_id, url, text, n_chars), a row per row of ``pages``; text is empty for null, empty and textless pages.
 
-    Null page_id and url stay null; repeated rows are kept; other columns are ignored.
+    Null page_id and url stay null; repeated rows are kept; pages of any length are read whole; other columns, named as
+    they may be, are ignored. An empty table gives an empty result.
     """
     model = pages.sparkSession.sparkContext.broadcast(weights)
 

@@ -51,7 +51,7 @@ EMBEDDINGS = """with recursive v as (select vec_id, embedding::double[] as v fro
 
 HTML = r"""with a as (select page_id, url, regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1) as t from pages),
  b as (select page_id, url, regexp_replace(regexp_replace(t, '</?(b|i|em|strong|a|span)( [^>]*)?>', '', 'g'), '<[^>]*>', ' ', 'g') as t from a),
- c as (select page_id, url, trim(regexp_replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) as t from b)
+ c as (select page_id, url, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&nbsp;?', ' ', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) as t from b)
  select page_id, url, t as text, length(t)::bigint as n_chars from c"""
 
 ORACLE_SQL = {

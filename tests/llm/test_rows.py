@@ -7,6 +7,7 @@ import hashlib
 import io
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -221,6 +222,54 @@ def test_html_extract(spark):
     assert html_extract.main_text(pages.limit(0), html_extract.learn(pages.limit(0))).count() == 0
 
 
+PROSE = "The river rose in the night and the people of the town carried what they could to the hill . " * 4
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f'<body class="single has-sidebar"><p>{PROSE}</p><div class="sidebar">Links</div></body>', PROSE),
+        (f'<div class="page with-sidebar"><div class="content-sidebar"><p>{PROSE}</p></div></div><div class="site-footer">x y</div>', PROSE),
+        (f'<div class="banner"><h1>Flood</h1><p>{PROSE}</p></div>', "Flood " + PROSE),
+        (f"<p title=it's>{PROSE}</p><p data-x=\"a>b\">End.</p>", PROSE + " End."),
+        (f'<nav>Home About</nav><p>{PROSE}</p><div class="ad">Buy now for less</div><p>And then it fell again in the morning.</p><footer>c</footer>', PROSE + " And then it fell again in the morning."),
+        (f'<p>{PROSE}</p><div class="comments"><p>{PROSE * 3}</p></div>', PROSE),
+        (f'<body class="sidebar"><p>{PROSE}</p><ul class="menu-open"><li>kept</ul>', PROSE + " kept"),
+        (f"<p a=1 b='x y' c>{PROSE}<br/>two</p", PROSE + " two"),
+        (f"<p =x / y=>{PROSE}</p>", PROSE),
+    ],
+)
+def test_html_without_an_article(page, want):
+    assert html_extract.extract(page, html_extract.Weights()) == " ".join(want.split())
+
+
+def test_html_tags_of_any_shape_take_linear_time():
+    began = time.perf_counter()
+    for page in ("<p " + "a=" * 50_000, "<p " + "'\"" * 50_000, "<p title='" + "x " * 100_000, "<" * 100_000, "<div class=sidebar>" * 3000 + "x", "<p a" + " " * 100_000 + "b"):
+        html_extract.extract(page, html_extract.Weights())
+    assert time.perf_counter() - began < 20
+
+
+def slow_main_text(page, weights):
+    """The region by trying all; elements left out and blocks joined as the docstring says."""
+    tokens = list(html_extract.pieces(page))
+    scores = [weights.of_tag(t, n, b, i) if w else len(t.split()) * weights.of_word(n, b) for w, n, t, b, i in tokens]
+    best, at = 0.0, (0, 0)
+    for i in range(len(tokens)):
+        for j in range(i + 1, len(tokens) + 1):
+            if sum(scores[i:j]) > best + 1e-9:
+                best, at = sum(scores[i:j]), (i, j)
+    text = "".join(" " if b or (w and n not in html_extract.INLINE) else "" if w else html_extract.html.unescape(t) for w, n, t, b, _ in tokens[at[0] : at[1]])
+    return " ".join(text.split())
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<div class=nav>", "</div>", "one two three", " and ", "<b>", "</b>", "&amp;", "<li>", "<aside>", "</aside>", "four"]), max_size=14))
+def test_html_against_brute_force(parts):
+    page = "".join(parts)
+    assert html_extract.extract(page, html_extract.Weights()) == slow_main_text(page, html_extract.Weights())
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.floats(-3, 3).map(lambda x: round(x, 1)), max_size=12))
 def test_best_region_is_the_maximum(scores):
