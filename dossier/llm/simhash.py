@@ -1,16 +1,16 @@
 """SimHash near-duplicates through a byte-position inverted index with count filtering.
 
 A fingerprint has eight bytes. Two fingerprints that differ in at most two bits share at least six of the eight
-(position, byte) pairs. The index keeps a posting list per (position, byte). A list that is too long to tally is split
-by a further position: its members go to the lists of that position's bytes, and so on, a position at a time in
-ascending order, until the lists are short or six positions are fixed. As every linked pair shares six positions, the
-first of them is among the first three, the second among the first four, and so on, so only those are followed, and
-each linked pair meets in every list along its own positions.
+(position, byte) postings. A (position, byte) list alone would hold a 256th of all fingerprints, so lists are kept for
+two postings from the start, and one that is too long to tally is split by a further position: its members go to the
+lists of that position's bytes, and so on, a position at a time in ascending order, until the lists are short or six
+positions are fixed. As every linked pair shares six positions, the first of them is among the first three, the second
+among the first four, and so on, so only those are followed, and each linked pair meets in every list along its own positions.
 
 In a list the shared positional bytes of each pair are tallied position by position, pairs that cannot reach the
 guaranteed six any more go, and the rest are verified by their differing bits. Six fixed positions leave two bytes, so
-no list holds more than 65,536 fingerprints, however large the corpus or a group of copies is, and a list is tallied in
-strips of bounded size. Equal fingerprints are one member.
+no list holds more than 65,536 fingerprints, however large the corpus or a group of copies is, and lists are tallied in
+strips no longer than their members. Equal fingerprints are one member.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ SHINGLE = 3
 GUARANTEED = 6
 #: Positions of a fingerprint.
 POSITIONS = 8
-#: Members of a posting list from which it is split by a further position, and pairs tallied at a time.
-LIST_ROWS, STRIP_PAIRS = 256, 1 << 20
+#: Postings fixed from the start, members of a list from which it is split by a further position, and members tallied at a time.
+BEGIN, LIST_ROWS, GATHERED = 2, 256, 1 << 16
 #: Shingles counted at a time, so a text of any length needs bounded memory.
 STEP = 1 << 16
 
@@ -87,14 +87,17 @@ def _postings(members: DataFrame, masks: list[int]) -> DataFrame:
     return members.select("fp", "rep", F.inline(out))
 
 
-def tally(fps: np.ndarray, max_bits: int = 2, strip: int = STRIP_PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Indices (i, j), i < j, of a posting list's linked pairs: tally shared positional bytes, keep the guaranteed count, verify."""
-    n = len(fps)
+def tally(fps: np.ndarray, sizes: np.ndarray, max_bits: int = 2) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of the linked pairs inside lists that lie one after another: tally shared bytes, keep the guaranteed count, verify.
+
+    Pairs are taken by their distance in the list, those of all lists at once, so a strip has at most as many as members.
+    """
     parts = np.ascontiguousarray(fps).view(np.uint8).reshape(-1, POSITIONS)
-    rows = max(1, strip // max(1, n))
-    for first in range(0, n, rows):
-        i, j = np.nonzero(np.arange(n)[None, :] > np.arange(first, min(n, first + rows))[:, None])
-        i = i + first
+    ends = np.cumsum(sizes)
+    after = np.repeat(ends, sizes) - np.arange(len(fps)) - 1  # members that follow in the same list
+    first, distance = np.flatnonzero(after >= 1), 1
+    while len(first):
+        i, j = first, first + distance
         shared = np.zeros(len(i), dtype=np.int8)
         for p in range(POSITIONS):
             shared += parts[i, p] == parts[j, p]
@@ -103,20 +106,26 @@ def tally(fps: np.ndarray, max_bits: int = 2, strip: int = STRIP_PAIRS) -> Itera
                 i, j, shared = i[alive], j[alive], shared[alive]
         keep = np.bitwise_count(fps[i] ^ fps[j]) <= max_bits
         yield i[keep], j[keep]
+        distance += 1
+        first = first[after[first] >= distance]
 
 
 def links(reps: DataFrame, max_bits: int = 2, list_rows: int = LIST_ROWS) -> DataFrame:
     """Edges (a, b) between the representatives of distinct fingerprints (fp, rep): every link that a list shows, once."""
     if not 0 <= max_bits <= POSITIONS - GUARANTEED:
         raise ValueError("the index guarantees links of at most two bits")
-    open_, masks, lists = reps.select("fp", "rep", F.lit(0).alias("mask")), [0], []
-    for depth in range(1, GUARANTEED + 1):
+    begin = [0]
+    for _ in range(BEGIN - 1):
+        begin = [m for mask in begin for m in _next(mask)]
+    whole = F.array(*(F.struct(F.lit(m).alias("mask")) for m in begin))
+    open_, masks, lists = reps.select("fp", "rep", F.inline(whole)), begin, []
+    for depth in range(BEGIN, GUARANTEED + 1):
         postings = _postings(open_, masks)
-        # Counts combine before the shuffle; a byte's list may hold a 256th of the corpus or a whole group of copies.
-        sizes = stash(postings.groupBy("mask", "at").count().where("count > 1"), f"posting-sizes-{depth}")
+        # Counts combine before the shuffle; a list may hold a whole group of copies.
+        sizes = stash(postings.groupBy("mask", "at").count(), f"posting-sizes-{depth}")
         met = stash(postings.join(sizes, ["mask", "at"]), f"postings-{depth}")
         short = F.lit(True) if depth == GUARANTEED else F.col("count") <= list_rows
-        lists.append(met.where(short).select("mask", "at", "fp", "rep"))
+        lists.append(met.where(short & (F.col("count") > 1)).select("mask", "at", "fp", "rep"))
         if depth == GUARANTEED:
             break
         open_ = met.where(~short).select("fp", "rep", "mask")
@@ -129,14 +138,15 @@ def links(reps: DataFrame, max_bits: int = 2, list_rows: int = LIST_ROWS) -> Dat
     grouped = every.groupBy("mask", "at").agg(F.collect_list("fp").alias("fps"), F.collect_list("rep").alias("reps"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 1024):
-            found: list[np.ndarray] = []
-            for fps, rep in zip(batch.column("fps"), batch.column("reps"), strict=True):
-                v, r = fps.values.to_numpy().view(np.uint64), rep.values.to_numpy()
-                for i, j in tally(v, max_bits):
-                    found.append(np.stack([r[i], r[j]], axis=1))
-            both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+        for batch in small_batches(batches, 4096):
+            sizes = batch.column("fps").value_lengths().to_numpy()
+            part = np.cumsum(sizes) // GATHERED
+            for first in np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist():
+                n = int((part == part[first]).sum())
+                fps, reps = (batch.column(c).slice(first, n).flatten().to_numpy() for c in ("fps", "reps"))
+                pairs = [np.stack([reps[i], reps[j]], axis=1) for i, j in tally(fps.view(np.uint64), sizes[first : first + n], max_bits)]
+                both = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
     edges = grouped.select("fps", "reps").mapInArrow(run, "a long, b long")
     return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()

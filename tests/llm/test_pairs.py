@@ -280,24 +280,27 @@ def test_linked_pairs_meet_at_every_depth(a, x, y):
     """However often lists are split, a pair of at most two differing bits shares a list, as six positions agree."""
     differ = a ^ (a ^ (1 << x) ^ (1 << y))
     shared = {p for p in range(8) if not differ >> 8 * p & 0xFF}
-    masks = [0]
+    masks = [0]  # from no posting to six, so through whatever number the index begins with
     for _ in range(simhash.GUARANTEED):
         masks = [m for mask in masks for m in simhash._next(mask) if all(p in shared for p in range(8) if m >> p & 1)]
         assert masks
 
 
-@settings(max_examples=50, deadline=None)
-@given(st.integers(0, 2**64 - 1), st.lists(st.lists(st.integers(0, 63), max_size=4), max_size=30), st.integers(1, 200))
-def test_tally_is_all_pairs(start, flips, strip):
-    values = []
-    for flip in flips:
-        v = start
-        for b in flip:
-            v ^= 1 << b
-        values.append(v)
-    fps = np.array(values, dtype=np.uint64)
-    got = {(int(i), int(j)) for a, b in simhash.tally(fps, strip=strip) for i, j in zip(a, b, strict=True)}
-    assert got == {(i, j) for i in range(len(values)) for j in range(i + 1, len(values)) if (values[i] ^ values[j]).bit_count() <= 2}
+@settings(max_examples=80, deadline=None)
+@given(st.integers(0, 2**64 - 1), st.lists(st.lists(st.lists(st.integers(0, 63), max_size=4), max_size=12), min_size=1, max_size=5))
+def test_tally_is_all_pairs(start, lists):
+    values, owner = [], []
+    for n, flips in enumerate(lists):
+        for flip in flips:
+            v = start
+            for b in flip:
+                v ^= 1 << b
+            values.append(v)
+            owner.append(n)
+    sizes = np.array([len(x) for x in lists])
+    got = [(int(i), int(j)) for a, b in simhash.tally(np.array(values, dtype=np.uint64), sizes) for i, j in zip(a, b, strict=True)]
+    want = {(i, j) for i in range(len(values)) for j in range(i + 1, len(values)) if owner[i] == owner[j] and (values[i] ^ values[j]).bit_count() <= 2}
+    assert set(got) == want and len(got) == len(want)
 
 
 def test_links_of_a_large_group(spark):
