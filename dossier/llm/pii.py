@@ -16,6 +16,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -31,8 +32,10 @@ WINDOW = 6
 LEAST_CLASSES = 2
 #: Shares of a term's documents from which it is generalised or removed.
 GENERALISE, REMOVE = 0.5, 0.9
-#: Terms that one broadcast block holds; more terms take more passes.
-BLOCK_TERMS = 500_000
+#: Terms that one broadcast block holds (16 bytes each); more terms take more passes.
+BLOCK_TERMS = 8_000_000
+#: Words a worker remembers its answers for, and (term, document) pairs it holds before it sends them on.
+REMEMBERED, HELD = 500_000, 200_000
 
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # A match can start in the middle of digits only if the digits' start failed, and then it fails too.
@@ -40,7 +43,7 @@ IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
-TERM = re.compile(r"[^\W\d_]{3,}")
+TERM = re.compile(r"[^\W_]{3,}")
 
 
 def luhn(digits: str) -> bool:
@@ -135,8 +138,53 @@ def _around(text: str) -> Iterator[tuple[int, str, bool]]:
             yield entity, terms[n][2], _is_name(text, starts[n])
 
 
+class Terms:
+    """Terms by hash with a number each, small enough to broadcast; what a worker asks again it remembers."""
+
+    def __init__(self, hashes: list[int], values: list[float]) -> None:
+        order = np.argsort(np.array(hashes, dtype=np.int64), kind="stable")
+        self.hashes, self.values = np.array(hashes, dtype=np.int64)[order], np.array(values, dtype=np.float64)[order]
+
+    def reader(self):
+        """A function from a set of words to those that are terms, with their numbers."""
+        known: dict[str, float | None] = {}
+
+        def of(words: set[str]) -> dict[str, float]:
+            new = [w for w in words if w not in known]
+            if new:
+                if len(known) > REMEMBERED:
+                    known.clear()
+                    new = list(words)
+                h = np.array([_hash(w) for w in new], dtype=np.int64)
+                at = np.minimum(np.searchsorted(self.hashes, h), max(0, len(self.hashes) - 1))
+                hit = self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), dtype=bool)
+                known.update(zip(new, [v if y else None for v, y in zip(self.values[at].tolist() if len(self.hashes) else h, hit.tolist(), strict=True)], strict=True))
+            return {w: v for w in words if (v := known[w]) is not None}
+
+        return of
+
+
+def _blocks(rows: DataFrame, block_terms: int) -> Iterator[Terms]:
+    """(hash, number) rows as blocks of bounded size."""
+    hashes: list[int] = []
+    values: list[float] = []
+    for h, v in rows.toLocalIterator():
+        hashes.append(h)
+        values.append(v)
+        if len(hashes) == block_terms:
+            yield Terms(hashes, values)
+            hashes, values = [], []
+    if hashes:
+        yield Terms(hashes, values)
+
+
 def disclosing(docs: DataFrame, least: int = LEAST_CLASSES, share: float = GENERALISE, block_terms: int = BLOCK_TERMS) -> DataFrame:
-    """(term, share): terms whose documents surely hold them around one entity to at least ``share``."""
+    """(term, share): terms whose documents surely hold them around one entity to at least ``share``.
+
+    Terms are runs of three or more letters and digits in lower case. Null and empty texts hold none; texts of any
+    length are read whole; rows with equal texts count once, whatever their ids. Only ``text`` is read, so other columns
+    may have any name. An empty table, or one without base spans, gives an empty result.
+    """
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -155,60 +203,67 @@ def disclosing(docs: DataFrame, least: int = LEAST_CLASSES, share: float = GENER
     met = met.groupBy("entity", "term", "class").agg(F.count("*").alias("documents"), F.min("name").alias("name"))
     met = met.groupBy("entity", "term").agg(F.sum("documents").alias("met"), F.count("*").alias("met_classes"), F.min("name").alias("name"))
     met = met.where((F.col("met_classes") >= least) | F.col("name")).drop("entity")
-    met = stash(met, "pii-terms")
-    most = met.groupBy("term").agg(F.max("met").alias("met"))
-    parts: list[DataFrame] = []
-    held: dict[str, int] = {}
 
-    def seen(limits: dict[str, int]) -> DataFrame:
-        """Distinct documents and classes of terms: (term, all, all_classes); terms that exceed their limit are left out.
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = pa.array([_hash(t) for t in batch.column(0).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, h], [*batch.schema.names, "hash"])
+
+    met = stash(met.mapInArrow(hashed, "term string, met long, met_classes long, name boolean, hash long"), "pii-terms")
+
+    def seen(limits: Terms) -> DataFrame:
+        """Distinct documents and classes of terms: (hash, all, all_classes); terms that exceed their limit are left out.
 
         More distinct documents in one slice than the limit prove that a term's share is too small; it is reported as
-        over once and its documents are not sent.
+        over once and its documents are not sent. A worker sends on what it holds whenever that is much.
         """
         wanted = docs.sparkSession.sparkContext.broadcast(limits)
 
         def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            alive, found, over = dict(wanted.value), {}, []
+            of = wanted.value.reader()
+            found: dict[str, set[tuple[int, int]]] = {}
+            over: set[str] = set()
+            size = 0
+
+            def rows() -> pa.RecordBatch:
+                flat = [(_hash(w), *d) for w, documents in found.items() for d in documents]
+                columns = list(zip(*flat, strict=True)) or [(), (), ()]
+                return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["hash", "document", "class"])
+
             for batch in small_batches(batches):
                 for t in batch.column(0):
                     text = t.as_py()
                     if not text:
                         continue
                     spans = base_spans(text)
-                    if spans:
-                        words = [w for _, _, w in _words_outside(text, spans)]
-                    else:
-                        words = [w.lower() for w in TERM.findall(text)]
-                    held_here = alive.keys() & set(words)
-                    if not held_here:
+                    words = {w for _, _, w in _words_outside(text, spans)} if spans else set(TERM.findall(text.lower()))
+                    held = of(words)
+                    if not held or held.keys() <= over:
                         continue
-                    document, kind = _document(text), _class(text)
-                    for w in held_here:
+                    own = _document(text), _class(text)
+                    for w, limit in held.items():
+                        if w in over:
+                            continue
                         documents = found.setdefault(w, set())
-                        documents.add((document, kind))
-                        if len(documents) > alive[w]:
-                            del alive[w], found[w]
-                            over.append(w)
-            rows = [(w, *d) for w, documents in found.items() for d in documents] + [(w, None, None) for w in over]
-            for at in range(0, len(rows), 50_000):
-                part = rows[at : at + 50_000]
-                kinds = (pa.string(), pa.int64(), pa.int64())
-                columns = zip(*part, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["term", "document", "class"])
-
-        found = docs.select("text").mapInArrow(occurrences, "term string, document long, class long").distinct()
-        found = found.groupBy("term", "class").agg(F.count("document").alias("documents"), F.count("*").alias("rows"))
-        found = found.groupBy("term").agg(F.sum("documents").alias("all"), F.sum("rows").alias("rows"), F.count("class").alias("all_classes"))
+                        size += own not in documents
+                        documents.add(own)
+                        if len(documents) > limit:
+                            over.add(w)
+                            size -= len(found.pop(w))
+                if size > HELD:
+                    yield rows()
+                    found, size = {}, 0
+            yield rows()
+            gone = [_hash(w) for w in sorted(over)]
+            yield pa.RecordBatch.from_arrays([pa.array(gone, pa.int64()), *(pa.nulls(len(gone), pa.int64()) for _ in range(2))], ["hash", "document", "class"])
+
+        found = docs.select("text").mapInArrow(occurrences, "hash long, document long, class long").distinct()
+        found = found.groupBy("hash", "class").agg(F.count("document").alias("documents"), F.count("*").alias("rows"))
+        found = found.groupBy("hash").agg(F.sum("documents").alias("all"), F.sum("rows").alias("rows"), F.count("class").alias("all_classes"))
         return found.where(F.col("all") == F.col("rows")).drop("rows")
 
-    for term, n in most.toLocalIterator():
-        held[term] = int(n / share)
-        if len(held) == block_terms:
-            parts.append(seen(held))
-            held = {}
-    if held:
-        parts.append(seen(held))
+    limits = met.groupBy("hash").agg(F.floor(F.max("met") / F.lit(share)).cast("double").alias("most"))
+    parts = [seen(block) for block in _blocks(limits, block_terms)]
     if not parts:
         return met.select("term", F.lit(0.0).alias("share")).limit(0)
     counted = parts[0]
@@ -218,56 +273,68 @@ def disclosing(docs: DataFrame, least: int = LEAST_CLASSES, share: float = GENER
     n, z = F.col("all_classes"), 1.645
     p = F.least(F.col("met") / F.col("all"), F.col("met_classes") / n)
     low = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
-    joined = met.join(counted, "term").select("term", p.alias("share"), low.alias("low"))
+    joined = met.join(counted, "hash").select("term", p.alias("share"), low.alias("low"))
     return joined.where((F.col("low") >= share) | (F.col("share") == 1.0)).groupBy("term").agg(F.max("share").alias("share"))
 
 
-def all_spans(docs: DataFrame, terms: DataFrame, block_terms: int = BLOCK_TERMS) -> DataFrame:
-    """``docs`` (which has a column text) with base_spans and spans: arrays of (start, end, kind, share), share null in base spans."""
+def _free(name: str, taken: list[str]) -> str:
+    """The name, with underscores after it until no column has it."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
+def _marked(docs: DataFrame, terms: DataFrame, block_terms: int) -> tuple[DataFrame, str, str]:
+    """``docs`` with two more columns, and their names: base spans and term spans, arrays of (start, end, kind, share)."""
     kind = "array<struct<start:int,end:int,kind:string,share:double>>"
+    base_name = _free("base_spans", docs.columns)
+    term_name = _free("term_spans", [*docs.columns, base_name])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_hash(t) for t in batch.column(0).to_pylist()], pa.int64()), batch.column(1)], ["hash", "share"])
 
-    def passes() -> Iterator[dict[str, float]]:
-        held: dict[str, float] = {}
-        for term, share in terms.toLocalIterator():
-            held[term] = share
-            if len(held) == block_terms:
-                yield held
-                held = {}
-        yield held
-
-    out = docs.withColumn("base_spans", F.lit(None).cast(kind)).withColumn("term_spans", F.array().cast(kind))
-    for held in passes():
+    blocks = _blocks(terms.select("term", "share").mapInArrow(hashed, "hash long, share double"), block_terms)
+    out = docs.withColumn(base_name, F.lit(None).cast(kind)).withColumn(term_name, F.array().cast(kind))
+    for held in [next(blocks, Terms([], [])), *blocks]:
         shared = docs.sparkSession.sparkContext.broadcast(held)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            of = shared.value.reader()
             for batch in small_batches(batches):
-                at = {n: batch.schema.get_field_index(n) for n in ("text", "base_spans", "term_spans")}
+                at = {n: batch.schema.get_field_index(n) for n in ("text", base_name, term_name)}
                 base, extra = [], []
-                for t, old in zip(batch.column(at["text"]), batch.column(at["term_spans"]), strict=True):
+                for t, old in zip(batch.column(at["text"]), batch.column(at[term_name]), strict=True):
                     text = t.as_py() or ""
                     spans = base_spans(text)
                     base.append([{"start": a, "end": b, "kind": k, "share": None} for a, b, k in spans])
                     new = old.as_py()
-                    if shared.value and not shared.value.keys().isdisjoint(x.lower() for x in TERM.findall(text)):
-                        new = new + [
-                            {"start": a, "end": b, "kind": "term", "share": shared.value[w]}
-                            for a, b, w in _words_outside(text, spans)
-                            if w in shared.value
-                        ]
+                    if len(shared.value.hashes) and (held := of({x.lower() for x in TERM.findall(text)})):
+                        new = new + [{"start": a, "end": b, "kind": "term", "share": held[w]} for a, b, w in _words_outside(text, spans) if w in held]
                     extra.append(new)
                 columns = list(batch.columns)
-                for name, values in (("base_spans", base), ("term_spans", extra)):
+                for name, values in ((base_name, base), (term_name, extra)):
                     columns[at[name]] = pa.array(values, type=batch.schema.field(at[name]).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
         out = out.mapInArrow(run, out.schema)
-    return out
+    return out, base_name, term_name
+
+
+def all_spans(docs: DataFrame, terms: DataFrame, block_terms: int = BLOCK_TERMS) -> DataFrame:
+    """``docs`` (which has a column text) with base_spans and spans of terms in term_spans: arrays of (start, end, kind, share).
+
+    share is null in base spans. Null and empty texts have empty arrays, texts of any length are read whole, all rows
+    are kept. If ``docs`` has columns of these names, the new ones get an underscore after theirs. An empty table stays empty.
+    """
+    return _marked(docs, terms, block_terms)[0]
 
 
 def find(docs: DataFrame, **how) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term), a row per row of ``docs``.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term, n_spans), a row per row of ``docs``.
 
-    Null and empty texts have no span. Null doc_ids and repeated rows are kept; an empty table stays empty.
+    Null and empty texts have no span, texts of any length are read whole. Null doc_ids and repeated rows are kept;
+    other columns are ignored; an empty table stays empty.
     """
     terms = stash(disclosing(docs, **how), "pii-disclosing")
     found = all_spans(docs.select("doc_id", "text"), terms).drop("text")
@@ -288,9 +355,17 @@ def find(docs: DataFrame, **how) -> DataFrame:
         F.sha2(joined(F.col("base_spans")), 256).alias("base_sha256"),
         joined(F.concat("base_spans", "term_spans")).alias("spans"),
         F.size("term_spans").cast("long").alias("n_term"),
+        (F.size("base_spans") + F.size("term_spans")).cast("long").alias("n_spans"),
     )
 
 
+def general(text: str, start: int, end: int) -> str:
+    """What a term is generalised to: its kind by the way it is written."""
+    if any(c.isdigit() for c in text[start:end]):
+        return "NUMBER"
+    return "NAME" if _is_name(text, start) else "TERM"
+
+
 def mask(text: str, spans: list[dict]) -> str:
     """The text with base spans named by kind, terms generalised or removed; overlapping spans go as one, by the first."""
     out, end = [], 0
@@ -299,17 +374,24 @@ def mask(text: str, spans: list[dict]) -> str:
             end = max(end, s["end"])
             continue
         out.append(text[end : s["start"]])
-        if s["kind"] != "term" or s["share"] < REMOVE:
+        if s["kind"] != "term":
             out.append(f"[{s['kind'].upper()}]")
+        elif s["share"] < REMOVE:
+            out.append(f"[{general(text, s['start'], s['end'])}]")
         end = s["end"]
     out.append(text[end:])
     return "".join(out)
 
 
 def sanitise(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with its columns and rows; in ``text`` personal data is masked and ``n_chars``, if there, follows it."""
+    """``docs`` with its columns and rows; in ``text`` personal data is masked and ``n_chars``, if there, follows it.
+
+    Base spans become their kind in brackets, terms a more general word in brackets (name, number, term) or, from the
+    removal share on, nothing. Null texts stay null, empty ones empty, repeated rows alike; rows without a doc_id are
+    treated like others; extra columns of any name pass through. An empty table stays empty.
+    """
     terms = stash(disclosing(docs, **how), "pii-disclosing")
-    found = all_spans(docs, terms)
+    found, base_name, term_name = _marked(docs, terms, BLOCK_TERMS)
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,7 +399,7 @@ def sanitise(docs: DataFrame, **how) -> DataFrame:
             at = batch.schema.get_field_index("text")
             texts = [
                 mask(t.as_py(), b.as_py() + e.as_py()) if t.is_valid else None
-                for t, b, e in zip(batch.column(at), batch.column("base_spans"), batch.column("term_spans"), strict=True)
+                for t, b, e in zip(batch.column(at), batch.column(base_name), batch.column(term_name), strict=True)
             ]
             columns = {n: batch.column(n) for n in schema.names}
             columns["text"] = pa.array(texts, type=batch.schema.field(at).type)

@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from dossier.llm import html_extract, licenses, mixing, pii, toxicity, warc
+from dossier.llm import html_extract, licenses, mixing, pii, simhash, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, score string, spans string"
 
@@ -345,6 +345,73 @@ def test_pii_terms_of_fixed_signatures_and_rare_entities(spark):
     assert "term:" in spans[20] and "term:" in spans[30]
 
 
+def slow_terms(texts):
+    """Disclosing terms by the definition: documents and fingerprints that hold a term, and those in which it lies round one entity."""
+    copies = {}
+    for t in texts:
+        if t:
+            copies.setdefault(" ".join(t.lower().split()), t)
+    holds, met = {}, {}
+    for key, t in copies.items():
+        spans = pii.base_spans(t)
+        words = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W_]{3,}", t) if not any(m.start() < b and a < m.end() for a, b, _ in spans)]
+        own = (key, simhash.fingerprint(t))
+        for _, _, w in words:
+            holds.setdefault(w, set()).add(own)
+        for a, b, kind in spans:
+            entity = (kind, re.sub(r"[\s().-]", "", t[a:b].lower()))
+            before, after = [x for x in words if x[1] <= a][-pii.WINDOW :], [x for x in words if x[0] >= b][: pii.WINDOW]
+            for x, _, w in before + after:
+                lead = t[max(0, x - 8) : x].rstrip(" \t\r\n\"'([{")
+                met.setdefault((entity, w), {}).setdefault(own, set()).add(t[x].isupper() and bool(lead) and lead[-1] not in ".!?")
+    out = {}
+    for (_, w), where in met.items():
+        name = all(all(x) for x in where.values())
+        if len({f for _, f in where}) < pii.LEAST_CLASSES and not name:
+            continue
+        n, z = len({f for _, f in holds[w]}), 1.645
+        p = min(len(where) / len(holds[w]), len({f for _, f in where}) / n)
+        low = (p + z * z / (2 * n) - z * (p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
+        if low >= pii.GENERALISE or p == 1.0:
+            out[w] = max(p, out.get(w, 0.0))
+    return out
+
+
+@pytest.mark.parametrize(("block", "held"), [(8_000_000, 200_000), (5, 3)])
+def test_pii_terms_against_brute_force(spark, monkeypatch, block, held):
+    monkeypatch.setattr(pii, "HELD", held)
+    rng = random.Random(21)
+    words = ["alpha", "beta", "gamma", "Delta", "epsilon", "acct4711", "zeta", "Eta", "theta", "iota"]
+    people = ["a@b.cd", "x.y@corp.example", "10.0.0.7", "+420 900 123 456"]
+    texts = [None, "", "no person here at all"]
+    for _ in range(120):
+        t = [rng.choice(words[:5] if rng.random() < 0.99 else words) for _ in range(rng.randrange(3, 14))]
+        if rng.random() < 0.6:
+            k = rng.randrange(len(people))
+            t.insert(rng.randrange(len(t)), f"{words[5 + k]} {people[k]}")
+        texts.append(" ".join(t))
+    texts += texts[5:15]
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    got = {r["term"]: r["share"] for r in pii.disclosing(docs_of(spark, rows), block_terms=block).collect()}
+    assert got == pytest.approx(slow_terms(texts)) and got
+
+
+def test_pii_keeps_columns_whatever_their_names(spark):
+    rows = [(1, "mail a@b.cd now", [1], "x"), (2, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, term_spans array<int>, Base_Spans string")
+    got = {r["doc_id"]: r for r in pii.sanitise(docs).collect()}
+    assert got[1]["text"] == "mail [EMAIL] now" and got[1]["term_spans"] == [1] and got[1]["Base_Spans"] == "x" and got[2]["text"] is None
+    marked = pii.all_spans(docs, spark.createDataFrame([], "term string, share double"))
+    assert marked.columns == [*docs.columns, "base_spans_", "term_spans_"]
+
+
+def test_mask_generalises_by_the_way_a_term_is_written():
+    text = "ask Mr Doe about acct4711 or kestrel"
+    span = lambda w, share: {"start": text.index(w), "end": text.index(w) + len(w), "kind": "term", "share": share}
+    assert pii.mask(text, [span("Doe", 0.6), span("acct4711", 0.6), span("kestrel", 0.6)]) == "ask Mr [NAME] about [NUMBER] or [TERM]"
+    assert pii.mask(text, [span("Doe", 0.95)]) == "ask Mr  about acct4711 or kestrel"
+
+
 def slow_scan(rows, threshold=0.8):
     out = {}
     for i, t, _ in rows:
