@@ -20,12 +20,20 @@ MIX = f"""with d as (select doc_id, source, {_WORDS}::bigint as size, ('0x' || s
 _TEMPLATES = ", ".join(
     "('{}', [{}])".format(name, ", ".join("'" + g + "'" for g in licenses.bigrams(t))) for name, texts in licenses.TEMPLATES.items() for t in texts
 )
-LICENSES = rf"""with t(license, own) as (values {_TEMPLATES}),
- u as (select distinct doc_id, unit from (select doc_id, unnest(list_concat(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\n[ \t]*\n')), [text])) as unit from documents)),
+_DICE = f"{(2.0 - THRESHOLD) / THRESHOLD} + 1e-9"  # a coefficient of the threshold bounds the sizes' ratio, so no pair beyond it can count
+LICENSES = rf"""with t(license, own) as (values {_TEMPLATES}), tn as (select license, own, row_number() over () as n from t),
+ d as (select row_number() over () as r, doc_id, regexp_replace(text, '\r\n?', chr(10), 'g') as text from documents where text is not null),
+ u as (select distinct doc_id, unit from (select doc_id, unnest(list_concat(list_concat(string_split(text, chr(10)), regexp_split_to_array(regexp_replace(text, '(?m)^[ \t]*(//+|#+|\*+|--+|;+|/\*+|<!--)', '', 'g'), '\n[ \t]*\n')), [text])) as unit from d)),
  w as (select doc_id, list_filter(regexp_split_to_array(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda x: x <> '') as w, unit from u),
- g as (select doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as g from w where len(w) between 2 and 400),
- h as (select doc_id, unit, license, max(2.0 * len(list_intersect(g, own)) / (len(g) + len(own))) as dice from g cross join t group by doc_id, unit, license)
- select doc_id, license, max(dice) as dice, count(*)::bigint as n_units from h where dice >= {THRESHOLD} group by doc_id, license"""
+ g as (select doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as g from w where len(w) >= 2),
+ h as (select doc_id, unit, license, max(2.0 * len(list_intersect(g, own)) / (len(g) + len(own))) as dice from g join t on len(g) <= len(own) * ({_DICE}) and len(own) <= len(g) * ({_DICE}) group by doc_id, unit, license),
+ x as (select r, doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda x: x <> '') as w from d),
+ p as (select r, doc_id, unnest(range(1, len(w))) as pos, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as gram from x where len(w) >= 2),
+ o as (select license, n, len(own) as m, unnest(own) as gram from tn),
+ i as (select p.r, p.doc_id, o.license, o.n, o.m, p.pos, p.gram from p join o on p.gram = o.gram),
+ k as (select a.doc_id, a.license, a.r, a.n, a.pos, count(distinct b.gram) * 1.0 / any_value(a.m) as dice from i a join i b on a.r = b.r and a.n = b.n and b.pos between a.pos and a.pos + a.m - 1 group by all),
+ z as (select doc_id, license, dice, 1 as unit from h where dice >= {THRESHOLD} union all select doc_id, license, dice, 0 from k where dice >= {THRESHOLD})
+ select doc_id, license, max(dice) as dice, sum(unit)::bigint as n_units from z group by doc_id, license"""
 
 _FOUR = "||".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {5 * g + 1}, 5))::bigint >> {20 - 5 * k}) & 31)::int + 1, 1)" for g in range(8) for k in range(1, 5))
 WARC = f"""with p as (select page_id, sha1(coalesce(html, '')) as h, strlen(coalesce(html, ''))::bigint as n from pages),

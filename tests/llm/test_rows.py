@@ -414,16 +414,25 @@ def test_mask_generalises_by_the_way_a_term_is_written():
 
 def slow_scan(rows, threshold=0.8):
     out = {}
-    for i, t, _ in rows:
-        units = set((t or "").split("\n")) | set(re.split(r"\n[ \t]*\n", t or "")) | {t or ""}
-        for unit in units:
-            g = set(licenses.bigrams(unit))
-            for name, own in licenses.TEMPLATES.items():
-                dice = max(2.0 * len(g & set(licenses.bigrams(x))) / (len(g) + len(licenses.bigrams(x))) for x in own)
-                if g and dice >= threshold:
-                    best, n = out.get((i, name), (0.0, 0))
-                    out[i, name] = (max(best, dice), n + 1)
-    return out
+    for row, (i, t, _) in enumerate(rows):  # rows that repeat an id add up
+        t = re.sub("\r\n?", "\n", t or "")
+        units = set(t.split("\n")) | set(re.split(r"\n[ \t]*\n", re.sub(licenses.COMMENT, "", t))) | {t}
+        words = licenses.normal(t)
+        inside = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+        for name, texts in licenses.TEMPLATES.items():
+            for x in texts:
+                own = set(licenses.bigrams(x))
+                for unit in units:
+                    g = set(licenses.bigrams(unit))
+                    dice = 2.0 * len(g & own) / (len(g) + len(own))
+                    if g and dice >= threshold:
+                        out.setdefault((i, name), {})[row, unit] = max(dice, out.get((i, name), {}).get((row, unit), 0))
+                for k in range(len(inside)):
+                    dice = len(own & set(inside[k : k + len(own)])) / len(own) if inside[k] in own else 0
+                    if dice >= threshold:
+                        out.setdefault((i, name), {}).setdefault(None, 0)
+                        out[i, name][None] = max(dice, out[i, name][None])
+    return {k: (max(v.values()), len(v.keys() - {None})) for k, v in out.items()}
 
 
 def test_licenses_against_brute_force(spark):
@@ -432,10 +441,14 @@ def test_licenses_against_brute_force(spark):
         (1, "text\nLicensed under the Apache License, Version 2.0.\nmore", "s"), (2, "released UNDER the mit   LICENSE", "s"), (3, "Released under CC BY-NC 4.0!", "s"),
         (4, long.replace(" ", "\n", 5), "s"), (5, "a licence of no kind, released by the software foundation", "s"), (6, None, "s"), (7, "", "s"), (8, "x", "s"),
         (9, "Licensed under CC BY 4.0.\n\nLicensed under CC BY-SA 4.0.", "s"), (10, "İ Licensed under K CC BY-NC 4.0.", "s"), (11, "word " * 50_000 + "\nReleased under the MIT License.", "s"),
+        (12, long.replace(" ", "\r\n", 9) + "\r\n\r\n" + "other words of no licence " * 40, "s"), (13, "Copyright (c) 2021 Foo. Released under the MIT License. All the rest is ours.", "s"),
+        (14, "The parser is licensed under the Apache License, Version 2.0, and so is the rest " + "of it " * 300, "s"),
+        (15, "int x;\n// " + licenses.TEMPLATES["MIT"][2].replace(", ", ",\n// ") + "\n//\n// nothing more of it\n" + "int y;\n" * 200, "s"),
+        (16, "version of the software under the terms " * 60, "s"), (1, "text\nLicensed under the Apache License, Version 2.0.\nmore", "s"),
     ]
     got = {(r["doc_id"], r["license"]): (r["dice"], r["n_units"]) for r in licenses.scan(docs_of(spark, rows)).collect()}
     assert got == slow_scan(rows)
-    assert {1, 2, 3, 4, 9, 11} <= {i for i, _ in got} and not {5, 6, 7, 8} & {i for i, _ in got}
+    assert {1, 2, 3, 4, 9, 11, 12, 13, 14, 15} <= {i for i, _ in got} and not {5, 6, 7, 8, 16} & {i for i, _ in got}
     assert licenses.scan(docs_of(spark, [])).count() == 0
 
 
