@@ -5,16 +5,21 @@ work is cut so that equal strings always meet and nothing else is sorted:
 
 1. Every window of ``length`` bytes names its anchor: the run of ``ANCHOR`` bytes in it with the smallest hash. Equal
    windows have equal anchors. Neighbouring windows with one anchor form a segment (at most 2 * length - ANCHOR bytes).
-2. Segments are dealt out by anchor, as hashes of their bytes. An anchor of one document holds no match. Of equal
-   segments, all but those of the smallest id go whole.
+2. Segments are dealt out by anchor, as hashes of their bytes. An anchor of one document holds no match. Copies of a
+   segment are folded: all but those of the smallest id go whole, as each of their windows starts there too. Copies are
+   told by 64 bits of the anchor and 64 of the segment, not by bytes.
 3. Anchors with several different segments need their bytes. Those segments form collections whose Burrows-Wheeler
    transform and common prefixes are built column by column: each round inserts one symbol per segment, right to left,
-   into sequential external files (unnamed scratch files of the task, like a spill). In the finished order, windows
-   are equal where the common prefix is ``length`` or more, and all but those of the smallest id go.
+   into sequential external files (unnamed scratch files of the task, like a spill; a round reads a column through and
+   writes the next). In the finished order, windows are equal where the common prefix is ``length`` or more, and all but
+   those of the smallest id go.
 
 Equal segments met inside one slice of a map task are folded at once, so a passage that a third of all documents
-share leaves each slice as one row. An anchor with more segments than a collection may hold (a line before or after
-which many documents differ) is not brought together: its windows are dealt out by their own bytes and compared whole.
+share leaves each slice as one row. An anchor with very many different segments (a line before or after which many
+documents differ) would be one task's work. Such anchors are found beforehand in a sample of the documents, and their
+segments are dealt out by more than the anchor: cut by the place that the anchor has in a window, with the bytes that
+all windows of such places share (41 of 50 at least) as the key; and if a key of that kind is still too frequent, by
+whole windows. Equal windows meet as before, whatever the sample finds, and the same steps 2 and 3 decide about them.
 """
 
 from __future__ import annotations
@@ -35,10 +40,13 @@ LENGTH = 50
 ANCHOR = 16
 #: Bytes of text that are hashed at a time.
 SLICE_BYTES = 1 << 20
-#: Bytes of segments in a collection, about, and segments of one anchor that one may hold (two megabytes).
-COLLECTION_BYTES, ANCHOR_ROWS = 1 << 20, 32_768
-#: Ranges of the anchor's place in a window that are told apart before sorting.
+#: Bytes of segments in a collection, about.
+COLLECTION_BYTES = 1 << 20
+#: Ranges of the anchor's place in a window that are told apart before sorting, and by which frequent anchors are cut.
 RANGES = 4
+#: One document in so many is looked at for frequent keys. A key is frequent if it is thought to have more different
+#: segments than this share of a partition's, and this many at least; so there are fewer than PARTS a partition.
+SAMPLE, PARTS, LEAST_FREQUENT = 32, 4, 1024
 A1, A2, A3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0x100000001B3)
 
 
@@ -84,10 +92,27 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def segments(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """Segments of whole texts: (text number, start, shape, anchor hash, hash of the bytes), by text and start.
+def _ranges(length: int, n: int) -> list[tuple[int, int]]:
+    """The places that an anchor can have in a window, as n ranges, both ends included."""
+    rest = length - min(ANCHOR, length)
+    edges = [(rest + 1) * k // n for k in range(n)]
+    return [(a, b - 1) for a, b in zip(edges, [*edges[1:], rest + 1], strict=True)]
 
-    shape is the number of bytes (below 256) and, times 256, the place of the anchor in the segment.
+
+def _in(values: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which of the values a sorted array holds."""
+    if not len(held):
+        return np.zeros(len(values), dtype=bool)
+    return held[np.minimum(np.searchsorted(held, values), len(held) - 1)] == values
+
+
+def segments(texts: list[bytes], length: int = LENGTH, frequent: tuple[np.ndarray, ...] = ()) -> tuple[np.ndarray, ...]:
+    """Segments of whole texts: (text number, start, shape, key, hash of the bytes).
+
+    shape is the number of bytes (below 256) and, times 256, the place of the anchor in the segment. The key is the
+    anchor's hash. Segments whose key is among the first array of ``frequent`` keys (sorted) are cut into parts by ranges
+    of the anchor's place, with keys that take in the bytes which all windows of a part share; parts whose key is among
+    the second array into single windows.
     """
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     ends = np.cumsum(sizes)
@@ -122,13 +147,59 @@ def segments(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]
     last = np.append(first[1:], len(window)) - 1
     start, owner = window[first], text[window[first]]
     size = window[last] + length - start
-    # Hash of a segment: a polynomial over its mixed eights, from running sums, scaled back to position zero.
+    place, key = chosen[first] - start, h[chosen[first]].view(np.int64)
+    # Hash of a run of bytes: a polynomial over its mixed eights, from running sums, scaled back to position zero.
     power, back = _powers(total + 1)
     sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mixed[:total] * power[:total])])
-    stop = start + size - 7
-    digest = _mix((sums[stop] - sums[start]) * back[start] + size.astype(np.uint64))
-    shape = size | (chosen[first] - start) << 8
-    return owner, start - (ends[owner] - sizes[owner]), shape, h[chosen[first]].view(np.int64), digest.view(np.int64)
+
+    def digest(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return _mix((sums[start + size - 7] - sums[start]) * back[start] + size.astype(np.uint64))
+
+    for keys, ranges in zip(frequent, (_ranges(length, RANGES), _ranges(length, length - anchor + 1)), strict=False):
+        cut = np.flatnonzero(_in(key, keys))
+        if not len(cut):
+            continue
+        parts = [np.delete(x, cut) for x in (owner, start, size, place, key)]
+        for n_range, (a, b) in enumerate(ranges):
+            low = np.maximum(0, place[cut] - b)
+            high = np.minimum(size[cut] - length, place[cut] - a)
+            own = cut[low <= high]
+            low, high = low[low <= high], high[low <= high]
+            core = digest(start[own] + place[own] - a, np.full(len(own), a + length - b))
+            own_key = _mix((core ^ key[own].view(np.uint64)) + np.uint64(n_range + 1)).view(np.int64)
+            more = (owner[own], start[own] + low, high - low + length, place[own] - low, own_key)
+            parts = [np.concatenate([x, y]) for x, y in zip(parts, more, strict=True)]
+        owner, start, size, place, key = parts
+    shape = size | place << 8
+    return owner, start - (ends[owner] - sizes[owner]), shape, key, digest(start, size).view(np.int64)
+
+
+def _frequent(docs: DataFrame, length: int) -> tuple[np.ndarray, ...]:
+    """Keys that are thought to have very many different segments, by a sample of the documents: anchors, then parts of those.
+
+    The sample decides only how segments are dealt out, never which windows meet. Each array has fewer than PARTS
+    entries a shuffle partition, so it may be collected and sent to all tasks.
+    """
+    spark = docs.sparkSession
+    parts = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sampled = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id", F.lit(SAMPLE)), F.lit(SAMPLE)) == 0)
+    found: list[np.ndarray] = []
+    for _ in range(2):
+
+        def run(batches: Iterator[pa.RecordBatch], known=tuple(found)) -> Iterator[pa.RecordBatch]:
+            for _, _, texts in _slices(batches):
+                _, _, _, key, digest = segments(texts, length, known)
+                both = np.unique(np.stack([key, digest], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["key", "digest"])
+
+        seen = sampled.mapInArrow(run, "key long, digest long").groupBy("key", "digest").agg(F.lit(1).alias("one")).groupBy("key").count()
+        seen = stash(seen.where("count > 1"), "dedup-sampled-keys")  # most keys have one segment
+        total = seen.agg(F.sum("count")).first()[0] or 0
+        least = max(total / parts, LEAST_FREQUENT / SAMPLE)
+        found.append(np.array(sorted(r[0] for r in seen.where(F.col("count") > least).select("key").collect()), dtype=np.int64))
+        if not len(found[-1]):
+            break
+    return tuple(found)
 
 
 class _Scratch:
@@ -259,17 +330,20 @@ SEGMENT = "doc_id long, sub long, start int, shape int"
 FLAGS = "doc_id long, sub long, start int, size int"
 
 
-def _scan(docs: DataFrame, length: int) -> DataFrame:
+def _scan(docs: DataFrame, length: int, frequent: tuple[np.ndarray, ...]) -> DataFrame:
     """Segments of all documents, a row each, folded inside a slice: (anchor, digest, doc_id, code) and sub if docs has it.
 
+    anchor is the segment's key, the anchor's hash unless that is frequent.
+
     code holds the start, whether the segment is known to go (a document with a smaller id in the same slice holds it)
     and the shape, see ``_unpack``. These rows are the bulk of what is shuffled, so they have no column to spare.
     """
     repeated = "sub" in docs.columns
+    keys = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, subs, texts in _slices(batches):
-            owner, start, shape, anchor, digest = segments(texts, length)
+            owner, start, shape, anchor, digest = segments(texts, length, keys.value)
             if not len(owner):
                 continue
             doc = ids[owner]
@@ -379,8 +453,7 @@ def _may_match(group: list[Part], length: int) -> list[Part]:
     other segment agrees with is cut off, and a segment shorter than a window goes.
     """
     rest = length - ANCHOR
-    edges = [rest * n // RANGES for n in range(RANGES)]
-    ranges = list(zip(edges, [*(e - 1 for e in edges[1:]), rest], strict=True))
+    ranges = _ranges(length, RANGES)
     seen: dict[tuple[int, bytes], int] = {}
     keys: list[list[tuple[int, bytes] | None]] = []
     for part, _, _, at in group:
@@ -407,31 +480,32 @@ def _may_match(group: list[Part], length: int) -> list[Part]:
     return out
 
 
-def _bytes_of(needed: DataFrame, docs: DataFrame, length: int, single: bool) -> DataFrame:
-    """(anchor, part, doc_id, sub, start, place) of segments, or of all their single windows (part a window, place 0)."""
+def _bytes_of(needed: DataFrame, docs: DataFrame) -> DataFrame:
+    """(anchor, part, doc_id, sub, start, place) of segments: their keys and bytes."""
     wanted = needed.groupBy("doc_id", "sub").agg(F.collect_list(F.struct("start", "shape", "anchor")).alias("parts"))
     joined = docs.join(wanted, ["doc_id", "sub"]).select("doc_id", "sub", "text", "parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        names = ["anchor", "part", "doc_id", "sub", "start", "place"]
         for batch in small_batches(batches, 64):
-            rows = []
+            rows: list[tuple] = []
             for i, s, t, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 data = t.as_py().encode("utf-8", "surrogatepass")
                 starts, shapes, anchors = (parts.values.field(n).to_pylist() for n in range(3))
                 for b, x, a in zip(starts, shapes, anchors, strict=True):
-                    if single:
-                        rows.extend((a, data[k : k + length], i, s, k, 0) for k in range(b, b + (x & 255) - length + 1))
-                    else:
-                        rows.append((a, data[b : b + (x & 255)], i, s, b, x >> 8))
+                    rows.append((a, data[b : b + (x & 255)], i, s, b, x >> 8))
+                if len(rows) >= 16_384:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    rows = []
             if rows:
-                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["anchor", "part", "doc_id", "sub", "start", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return joined.mapInArrow(run, "anchor long, part binary, doc_id long, sub long, start int, place int")
 
 
 def _compare(parts: DataFrame, length: int) -> DataFrame:
-    """(doc_id, sub, start, size): runs of windows that go, of segments whose anchors a collection may hold."""
+    """(doc_id, sub, start, size): runs of windows that go, of segments by their keys."""
     dealt = parts.repartition("anchor").sortWithinPartitions("anchor", "part", "doc_id")
     schema = pa.schema([("doc_id", pa.int64()), ("sub", pa.int64()), ("start", pa.int32()), ("size", pa.int32())])
 
@@ -477,18 +551,6 @@ def _compare(parts: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(build, FLAGS)
 
 
-def _windows(single: DataFrame, length: int) -> DataFrame:
-    """Of equal single windows, those of a document with a larger id than the smallest.
-
-    The minima are combined before they are shuffled and written before they join back, so a window that many
-    documents hold is split like any large join key.
-    """
-    single = stash(single, "dedup-single")
-    least = stash(single.groupBy("part").agg(F.min("doc_id").alias("least")), "dedup-window-ids")
-    found = single.join(least, "part").where(F.col("doc_id") > F.col("least"))
-    return found.select("doc_id", "sub", "start", F.lit(length).alias("size"))
-
-
 def _union(starts: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
     """Maximal runs of bytes, begin and end, that the given runs cover; runs that touch are one."""
     order = np.argsort(starts, kind="stable")
@@ -513,15 +575,11 @@ def removed_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         if repeated:
             keyed = own.join(twice, "doc_id", "left").select("doc_id", F.when(F.col("twice") == 1, F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("sub"), "text")
         usable = keyed.where("doc_id is not null and text is not null")
-        judged = stash(_judge(_scan(usable if repeated else usable.drop("sub"), length)), "dedup-segments")
+        frequent = _frequent(usable, length)
+        judged = stash(_judge(_scan(usable if repeated else usable.drop("sub"), length, frequent)), "dedup-segments")
         needed = judged.where("anchor is not null")
-        hot = stash(needed.groupBy("anchor").count().where(F.col("count") > ANCHOR_ROWS).select("anchor"), "dedup-hot-anchors")
         flags = judged.where("anchor is null").select("doc_id", "sub", "start", F.col("shape").bitwiseAND(255).alias("size"))
-        if hot.limit(1).count():
-            apart = _bytes_of(needed.join(hot, "anchor", "left_semi"), usable, length, single=True)
-            flags = flags.unionByName(_windows(apart, length))
-            needed = needed.join(hot, "anchor", "left_anti")
-        flags = flags.unionByName(stash(_compare(_bytes_of(needed, usable, length, single=False), length), "dedup-runs-compared"))
+        flags = flags.unionByName(stash(_compare(_bytes_of(needed, usable), length), "dedup-runs-compared"))
         runs = stash(flags.groupBy("doc_id", "sub").agg(F.collect_list(F.struct("start", "size")).alias("runs")), "dedup-runs")
     return keyed.join(runs, ["doc_id", "sub"], "left")
 
@@ -530,7 +588,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, return_kept: bool = True)
     """(doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256, spans), a row per row of ``docs``.
 
     kept are the remaining bytes joined (binary; null unless ``return_kept``), spans an array of (start, size) in bytes. Null texts are empty; texts
-    shorter than ``length`` keep all. Rows with a null doc_id keep all and remove nothing elsewhere. Rows that repeat a
+    shorter than ``length`` keep all. Texts of any length are read whole; extra columns of any name are ignored. Rows with a null doc_id keep all and remove nothing elsewhere. Rows that repeat a
     doc_id do not remove each other's bytes, as neither id is smaller. An empty table gives an empty result.
     """
     schema = pa.schema(

@@ -198,16 +198,37 @@ def test_suffix_dedup_odd_rows(spark):
     assert suffix_dedup.deduplicate(docs_of(spark, [])).count() == 0
 
 
-def test_suffix_dedup_hot_anchors(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "ANCHOR_ROWS", 2)
+@pytest.mark.parametrize("least", [1, 4])
+def test_suffix_dedup_frequent_keys(spark, monkeypatch, least):
+    """A passage round which all documents differ: its anchors are cut by place, and then by window, and nothing is lost."""
+    monkeypatch.setattr(suffix_dedup, "SAMPLE", 1)
+    monkeypatch.setattr(suffix_dedup, "PARTS", 1000)
+    monkeypatch.setattr(suffix_dedup, "LEAST_FREQUENT", least)
     rng = random.Random(5)
     core = "the common middle part of these texts 0123456789 " * 2
-    rows = [(i, "".join(rng.choice("uvwxyz") for _ in range(20)) + core[: 60 + i % 30] + "".join(rng.choice("uvwxyz") for _ in range(20))) for i in range(30)]
-    scanned = suffix_dedup.deduplicate(docs_of(spark, rows))
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in scanned.collect()}
+    rows = [(i, "".join(rng.choice("uvwxyz") for _ in range(20)) + core[: 40 + i % 50] + "".join(rng.choice("uvwxyz") for _ in range(20))) for i in range(60)]
+    docs = docs_of(spark, rows)
+    anchors, *parts = suffix_dedup._frequent(docs, 50)
+    assert len(anchors) and (least > 1 or len(parts[0]))
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.deduplicate(docs).collect()}
     assert got == suffix_dedup.brute_force(rows)
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text("ab", max_size=120).map(str.encode), min_size=1, max_size=5), st.integers(0, 2))
+def test_segments_hold_every_window_once(texts, depth):
+    """However keys are cut, each window lies in one segment, and equal windows lie in segments of one key."""
+    frequent = []
+    for _ in range(depth):
+        frequent.append(np.unique(suffix_dedup.segments(texts, 20, tuple(frequent))[3]))
+    keys, seen = {}, []
+    for n, start, shape, key, _ in zip(*suffix_dedup.segments(texts, 20, tuple(frequent)), strict=True):
+        for k in range(start, start + (shape & 255) - 19):
+            seen.append((int(n), int(k)))
+            assert keys.setdefault(texts[n][k : k + 20], key) == key
+    assert sorted(seen) == [(n, k) for n, t in enumerate(texts) for k in range(len(t) - 19)]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.binary(max_size=20).map(lambda b: bytes(x % 4 + 97 for x in b)), min_size=1, max_size=12))
 def test_collection_is_the_suffix_order(parts):
