@@ -64,6 +64,15 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a written table of ids up to which it may be broadcast (a long each, some 64 MB with the hash table).
+BROADCAST_ROWS = 2_000_000
+
+
+def small(ids: DataFrame) -> DataFrame:
+    """A written table of ids, marked for broadcasting if its rows are few enough; else left to Spark's own joins."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Slices Arrow batches so that a Python worker holds the texts of a few hundred rows at a time."""
     for batch in batches:
