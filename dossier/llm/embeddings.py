@@ -9,9 +9,14 @@ that reach the calibrated count are verified with the exact cosine. Directions a
 the number of rows and the wanted recall at the threshold itself, the sought window included, so cells stay small as the
 corpus grows.
 
+Vectors are dealt to cells as sketches first, a byte a counted direction. Counting on sketches, with windows wider by what
+rounding may take, shows which rows have any partner in a cell; only those are dealt there with their whole vectors, for
+the count itself and the cosine. Unrelated rows, most of a corpus, are never copied into their cells.
+
 Equal vectors are folded into one row with a weight first. A cell with more rows than a block is cut into blocks, and
 every pair of its blocks is a task of its own, so a large group is spread over the cluster and still compared in full.
-A pair that meets in several tables counts in the first of them.
+A pair that meets in several tables counts in the first of them. The index is calibrated to find 0.95 of the pairs at the
+threshold itself and so loses a few links near it; pairs further above it are found nearly all.
 """
 
 from __future__ import annotations
@@ -41,6 +46,8 @@ PAIRS, GATHERED = 1 << 18, 1 << 14
 APART = 1024.0
 #: What windows are sought wider by, as the line rounds; the window itself is then tested.
 SLACK = 1e-6
+#: Steps of a sketch in a projection's unit; a sketch reaches to 8, projections lie near 1.
+STEPS = 16
 SEED = 20240229
 
 
@@ -148,9 +155,9 @@ def _forest(i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _candidates(line: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of a sorted line that lie in each other's window, or at most SLACK beyond, each once."""
-    end = np.searchsorted(line, line + WINDOW + SLACK, "right")
+def _candidates(line: np.ndarray, width: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of a sorted line that lie at most a width apart, each once."""
+    end = np.searchsorted(line, line + width, "right")
     n = end - np.arange(len(line)) - 1
     at = 0
     while at < len(line):
@@ -161,6 +168,46 @@ def _candidates(line: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         at = last
 
 
+def _counted(i: np.ndarray, j: np.ndarray, spots: np.ndarray, width: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that lie within a width of each other on at least so many directions."""
+    hits = np.zeros(len(i), dtype=np.int16)
+    for k in range(COUNTED):
+        hits += np.abs(spots[i, k] - spots[j, k]) <= width
+        if k % 4 == 0:  # pairs that cannot reach the count any more go early
+            alive = hits + (COUNTED - 1 - k) >= least
+            i, j, hits = i[alive], j[alive], hits[alive]
+    keep = hits >= least
+    return i[keep], j[keep]
+
+
+def sketches(unit: np.ndarray, plan: Plan) -> np.ndarray:
+    """The counted projections of vectors of length one, rounded down to bytes."""
+    spots = np.floor(unit @ _directions(unit.shape[1], plan)[2] * STEPS)
+    return np.clip(spots, -128, 127).astype(np.int8)
+
+
+def partnered(sketch: np.ndarray, group: np.ndarray, table: np.ndarray, side: np.ndarray, crossed: np.ndarray, plan: Plan) -> np.ndarray:
+    """Which rows have a partner in their group that could reach the count, judged by sketches: no row of a pair is missed.
+
+    Rounded projections of a pair inside a window differ by the window's steps and one more at most.
+    """
+    width = WINDOW * STEPS + 1
+    spots = sketch.astype(np.int16)
+    sought = spots[np.arange(len(spots)), table % COUNTED]
+    line = group.astype(np.int64) * int(APART) * STEPS + sought
+    order = np.argsort(line, kind="stable")
+    line, spots, side, crossed = line[order], spots[order], side[order], crossed[order]
+    out = np.zeros(len(line), dtype=bool)
+    for i, j in _candidates(line, width):
+        # A row that has a partner needs no second one.
+        use = (~crossed[i] | (side[i] != side[j])) & ~(out[i] & out[j])
+        i, j = _counted(i[use], j[use], spots, width, plan.least)
+        out[i] = out[j] = True
+    back = np.empty(len(order), dtype=bool)
+    back[order] = out
+    return back
+
+
 def compare(unit: np.ndarray, group: np.ndarray, table: np.ndarray, side: np.ndarray, crossed: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs of rows inside each group (part of a cell) that no earlier table has found: count, then verify.
 
@@ -175,17 +222,9 @@ def compare(unit: np.ndarray, group: np.ndarray, table: np.ndarray, side: np.nda
     spots, line = spots[order], line[order]
     side, crossed, table, sought = side[order], crossed[order], table[order], sought[order]
     out_i, out_j = [], []
-    for i, j in _candidates(line):
+    for i, j in _candidates(line, WINDOW + SLACK):
         use = (~crossed[i] | (side[i] != side[j])) & (np.abs(spots[i, sought[i]] - spots[j, sought[i]]) <= WINDOW)
-        i, j = i[use], j[use]
-        hits = np.zeros(len(i), dtype=np.int16)
-        for k in range(COUNTED):
-            hits += np.abs(spots[i, k] - spots[j, k]) <= WINDOW
-            if k % 4 == 0:  # pairs that cannot reach the count any more go early
-                alive = hits + (COUNTED - 1 - k) >= plan.least
-                i, j, hits = i[alive], j[alive], hits[alive]
-        keep = hits >= plan.least
-        i, j = i[keep], j[keep]
+        i, j = _counted(i[use], j[use], spots, WINDOW, plan.least)
         keep = np.einsum("ij,ij->i", unit[order[i]], unit[order[j]]) >= plan.threshold
         out_i.append(i[keep])
         out_j.append(j[keep])
@@ -209,7 +248,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
     is the smallest vec_id reachable over links, kept says whether that is the row's own. Vectors that are null, empty
     or zero, or hold null or non-finite parts, link with nothing; vectors link only with vectors of their length. Rows
     with a null vec_id link with nothing and have a null component. Rows that repeat a vec_id count as rows, so each
-    may link with the other, and their vectors' classes are one. An empty table gives an empty result; other columns are ignored.
+    may link with the other, and their vectors' classes are one. An empty table gives an empty result; other columns,
+    named as they may be, are ignored. Links are found by an index with a calibrated ``recall``, see the module.
     """
     given = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"))
     good = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)
@@ -224,9 +264,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
                 keys = _cells(unit, plan)
                 rep = batch.column("rep").take(pa.array(np.repeat(rows, plan.tables)))
                 tables = np.tile(np.arange(plan.tables, dtype=np.int32), len(rows))
-                yield pa.RecordBatch.from_arrays([rep, pa.array(keys.reshape(-1)), pa.array(tables)], ["rep", "cell", "t"])
+                sketch = pa.array([x.tobytes() for x in sketches(unit, plan)], pa.binary()).take(pa.array(np.repeat(np.arange(len(rows)), plan.tables)))
+                yield pa.RecordBatch.from_arrays([rep, pa.array(keys.reshape(-1)), pa.array(tables), sketch], ["rep", "cell", "t", "sketch"])
 
-    keyed = folded.select("rep", "v").mapInArrow(spread, "rep long, cell long, t int")
+    keyed = folded.select("rep", "v").mapInArrow(spread, "rep long, cell long, t int, sketch binary")
     keyed = stash(keyed, "vector-cells")
     sizes = stash(keyed.groupBy("cell", "t").agg(F.count("*").alias("rows")).where("rows > 1"), "cell-sizes")
     shared = keyed.join(sizes, ["cell", "t"])
@@ -238,17 +279,50 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda other: F.struct(F.least("own", other).alias("x"), F.greatest("own", other).alias("y")),
     )
-    dealt = placed.select("rep", "cell", "t", "own", F.explode(pairs).alias("pair"))
-    dealt = dealt.select("rep", "cell", "t", "own", F.col("pair.x").alias("x"), F.col("pair.y").alias("y"))
-    met = dealt.join(folded, "rep").select("cell", "t", "x", "y", "own", "rep", "weight", "v")
+    dealt = placed.select("rep", "cell", "t", "own", "sketch", F.explode(pairs).alias("pair"))
+    dealt = dealt.select("rep", "cell", "t", "own", F.col("pair.x").alias("x"), F.col("pair.y").alias("y"), "sketch")
+    dealt = dealt.repartition("cell", "t", "x", "y").sortWithinPartitions("cell", "t", "x", "y", "own", "rep")
+
+    def whole_groups(batches: Iterator[pa.RecordBatch], gathered: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+        """Rows of whole groups (one cell and pair of blocks), some thousand at a time, with the number of each row's group."""
+
+        def numbered(held: pa.Table) -> tuple[pa.Table, np.ndarray]:
+            held = held.combine_chunks()
+            keys = [held.column(c).to_numpy() for c in ("cell", "t", "x", "y")]
+            return held, np.cumsum(np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])))
+
+        held, rows = [], 0
+        for batch in small_batches(batches, 4096):
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < gathered:
+                continue
+            # The last group may go on in the next batch; it is held back whole.
+            whole = pa.Table.from_batches(held)
+            keys = [whole.column(c).to_numpy() for c in ("cell", "t", "x", "y")]
+            same = np.logical_and.reduce([k == k[-1] for k in keys])
+            cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+            if cut:
+                yield numbered(whole.slice(0, cut))
+            held, rows = whole.slice(cut).to_batches(), len(same) - cut
+        if rows:
+            yield numbered(pa.Table.from_batches(held))
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, group in whole_groups(batches, 4 * GATHERED):
+            t, x, y, own = (held.column(c).to_numpy() for c in ("t", "x", "y", "own"))
+            sketch = np.frombuffer(b"".join(held.column("sketch").to_pylist()), dtype=np.int8).reshape(-1, COUNTED)
+            keep = pa.array(partnered(sketch, group, t, own, x != y, plan))
+            yield from held.drop_columns(["sketch"]).filter(keep).to_batches()
+
+    alive = dealt.mapInArrow(narrow, "rep long, cell long, t int, own int, x int, y int")
+    alive = stash(alive, "vector-partners")
+    met = alive.join(folded, "rep").select("cell", "t", "x", "y", "own", "rep", "weight", "v")
     met = met.repartition("cell", "t", "x", "y").sortWithinPartitions("cell", "t", "x", "y", "own", "rep")
 
-    def judge(held: pa.Table) -> Iterator[pa.RecordBatch]:
+    def judge(held: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Links of whole groups: (rep, rep, n) with the row's new links, and (rep, rep, 0) for links that span classes."""
-        held = held.combine_chunks()
-        cell, t, x, y, own, rep, weight = (held.column(c).to_numpy() for c in ("cell", "t", "x", "y", "own", "rep", "weight"))
-        new = np.append(True, (cell[1:] != cell[:-1]) | (t[1:] != t[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
-        group = np.cumsum(new)
+        t, x, y, own, rep, weight = (held.column(c).to_numpy() for c in ("t", "x", "y", "own", "rep", "weight"))
         for rows, unit in _units(held.column("v").chunk(0) if held.column("v").num_chunks else held.column("v")):
             i, j = compare(unit, group[rows], t[rows], own[rows], (x != y)[rows], plan)
             if not len(i):
@@ -262,22 +336,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float =
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], ["a", "b", "n"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-        for batch in small_batches(batches, 4096):
-            held.append(batch)
-            rows += batch.num_rows
-            if rows < GATHERED:
-                continue
-            # The last group may go on in the next batch; it is held back whole.
-            whole = pa.Table.from_batches(held)
-            keys = [whole.column(c).to_numpy() for c in ("cell", "t", "x", "y")]
-            same = np.logical_and.reduce([k == k[-1] for k in keys])
-            cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
-            if cut:
-                yield from judge(whole.slice(0, cut))
-            held, rows = whole.slice(cut).to_batches(), len(same) - cut
-        if rows:
-            yield from judge(pa.Table.from_batches(held))
+        for held, group in whole_groups(batches, GATHERED):
+            yield from judge(held, group)
 
     found = stash(met.mapInArrow(search, "a long, b long, n long"), "vector-links")
     # A vec_id with several vectors joins their classes.

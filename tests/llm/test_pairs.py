@@ -290,6 +290,23 @@ def test_embeddings_recall_at_the_threshold(spark):
     assert sum(links) >= 0.93 * len(links) and max(links) == 1
 
 
+@settings(max_examples=20, deadline=None)
+@given(st.integers(0, 10**6))
+def test_sketches_miss_no_row_of_a_pair(seed):
+    """Rows that the exact count links are never dropped by their sketches."""
+    rng = np.random.default_rng(seed)
+    plan = embeddings.calibrate(200)
+    v = rng.standard_normal((60, 16))
+    v[30:] = v[:30] + rng.standard_normal((30, 16)) * rng.uniform(0.05, 0.4, (30, 1))
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    group, table, side, crossed = rng.integers(0, 3, 60), rng.integers(0, plan.tables, 60), rng.integers(0, 2, 60), rng.integers(0, 2, 60).astype(bool)
+    table, crossed = table[group], crossed[group]  # alike in a group
+    table[:] = table[0]
+    i, j = embeddings.compare(unit, group, table, side, crossed, plan)
+    kept = embeddings.partnered(embeddings.sketches(unit, plan), group, table, side, crossed, plan)
+    assert kept[i].all() and kept[j].all()
+
+
 def test_calibration_follows_size():
     small, large = embeddings.calibrate(1000), embeddings.calibrate(10**9)
     assert large.per_cell > small.per_cell and large.tables > small.tables and small.least == large.least
