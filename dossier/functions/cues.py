@@ -9,17 +9,37 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from dossier.functions import dates
-from dossier.functions.text import split_items, trim_ws
+from dossier.functions.text import has_text, lines_of, rtrim_ws, split_items, trim_ws
+from dossier.functions.urls import URL
+
+EMAIL = r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
+PHONE = r"(?:\+|\(\+)?[0-9][0-9 \t().-]{7,}[0-9]"
 
 # Cue words.
-INSTITUTION = ("university", "univerzita", "college", "school", "škola", "institute", "academy", "faculty", "fakulta", "gymnázium", "polytechnic")
-DEGREE = ("bachelor", "master", "phd", "ph.d", "doctor", "mba", "bsc", "msc", "diploma", "ing.", "mgr.", "bc.")
-PROSE = ("responsible for", "working on", "worked on", " and then ", " which ", " that ", " with the ", " using the ", " our ", " their ", " was ", " were ", " have ", " has ")
-SUMMARY_PROSE = ("years of experience", "passionate", "i am ")
-CATEGORIES = ("general", "programming languages", "languages", "frameworks", "tools", "databases", "cloud", "devops", "testing", "frontend", "backend", "mobile", "methodologies", "soft skills", "platforms", "libraries", "other")
+INSTITUTION = ("high school", "university", "college", "academy", "institute", "gymnaz", "gymnáz", "stredna skola", "stredná škola", "electrical engineering", " and training")
+STANDALONE_INSTITUTION = ("university", "college", "institute", "academy")
+DEGREE = ("bachelor", "master", "bsc", "msc", "phd", "doctor", "diploma", "ing.", "bc.")
+FIELDS_OF_STUDY = ("engineering", "training", "technology", "management", "sciences", "informatics")
+PROSE = (
+    " using ", " for ", " with ", " the ", " to ", " in ", " on ", " of ", " a ", " an ", " and delivering ", " and reviewed ", " and maintained ", " and collaborated ",
+    " and iterated ", " and technical ", " and user ", " and backend ", " and frontend ", " and code ", " and security", " and auditability",
+)
+PROSE_WORDS = ("and", "with", "for", "the", "to", "in", "on", "of", "a", "an")
+SUMMARY_PROSE = ("years of experience", "strong in", "experienced in")
+CATEGORIES = (
+    "general", "backend", "frontend", "programming", "devops", "languages", "languages & runtimes", "backend & apis", "data & storage", "cloud & devops",
+    "observability", "security", "architecture", "leadership", "testing", "mobile & edge", "ai & automation",
+)
+NOT_CATEGORIES = ("designed", "implemented", "built", "contributed", "collaborated", "delivered", "integrated", "worked", "senior", "project", "platforms", "development", "oauth", "focus", "high", "uses")
+SUBHEADINGS = ("technologies", "achievements", "company url", "institution url")
 LANGUAGE_PARTS = ("reading", "writing", "speaking", "listening", "translation")
 CONTACT_LABELS = ("email", "e-mail", "phone", "tel", "address", "location", "linkedin", "github", "portfolio", "web")
-STOP = ("summary", "experience", "education", "skills", "languages", "projects", "certificates", "links", "contact", "present", "university", "manager", "engineer")
+SKILL_STOP_WORDS = ("and", "or", "with", "for", "the", "as")
+NO_SKILL_WORDS = (
+    "and", "with", "for", "the", "to", "in", "on", "of", "as", "at", "by", "from", "into", "leading", "worked", "built", "uses", "delivered", "integrated", "designed", "implemented",
+    "contributed", "collaborated", "developed", "experienced", "strong", "senior", "full", "stack", "developer", "project", "technologies", "contact", "email", "phone", "location",
+)
+WORK_BLEED = (" s.r.o.", " a.s.", "full-time", "part-time")
 
 
 def _any(line: Column, cues: tuple[str, ...]) -> Column:
@@ -27,8 +47,14 @@ def _any(line: Column, cues: tuple[str, ...]) -> Column:
     return reduce(or_, (low.contains(c) for c in cues))
 
 
+def _one_of(cues: tuple[str, ...]) -> str:
+    """A pattern for one of the words, as a word, in any case."""
+    return rf"(?iU)\b({'|'.join(cues)})\b"
+
+
 def words(line: Column) -> Column:
-    return F.size(F.split(trim_ws(line), r"(?U)\s+"))
+    """Number of words between spaces."""
+    return F.size(F.filter(F.split(line, " "), lambda w: trim_ws(w) != ""))
 
 
 def institution(line: Column) -> Column:
@@ -41,24 +67,29 @@ def degree(line: Column) -> Column:
 
 
 def incomplete_institution(line: Column) -> Column:
-    low = F.lower(trim_ws(line))
-    return low.endswith(" of") | (low.rlike(r"\bschool of \w+$") & ~low.contains("university"))
+    """A name cut off after 'of', or 'school of …' without a field that ends such names; no line that names an institution."""
+    open_ = line.rlike(r"(?iU)\b(high school|school|university|college|academy)\s+of\s+[\p{L}\s]+$") & ~line.rlike(_one_of(FIELDS_OF_STUDY))
+    return has_text(line) & ~institution(line) & (F.lower(line).endswith(" of") | open_)
 
 
 def single_institution(head: Column) -> Column:
-    """Whether the lines of a header name one institution: the first is cut off and the next carries on."""
-    first, second = F.get(head, F.lit(0)), F.get(head, F.lit(1))
-    return (F.size(head) > 1) & F.coalesce(incomplete_institution(first) | (institution(first) & ~institution(second) & ~degree(second) & second.rlike("^[a-z(]")), F.lit(False))
+    """Whether the lines of an education header name one institution and no degree beside it."""
+    n, first, last = F.size(head), F.get(head, F.lit(0)), F.element_at(head, -1)
+    joined = F.exists(head, lambda x: F.lower(x).startswith("and "))
+    apart = (n >= 2) & degree(first) & (((n >= 3) & institution(last)) | ((n == 2) & _any(last, STANDALONE_INSTITUTION)))
+    named = institution(F.array_join(head, " ")) | ((n >= 2) & incomplete_institution(first))
+    return F.coalesce(F.when(n == 0, False).otherwise(joined | (~apart & named)), F.lit(False))
 
 
 def education_description(line: Column) -> Column:
-    return ((F.length(line) > 80) | (words(line) > 12)) & ~institution(line)
+    """Too long for a header: over 80 characters, or over 12 words that name no institution."""
+    return F.coalesce(has_text(line) & ((F.length(line) > 80) | ((words(line) > 12) & ~institution(line))), F.lit(False))
 
 
 def garbage_education(institution_name: Column, degree_name: Column) -> Column:
-    """Fragments: neither part has three letters, or both are punctuation and digits."""
-    letters = lambda c: F.length(F.regexp_replace(F.coalesce(c, F.lit("")), r"\P{L}", ""))
-    return (letters(institution_name) < 3) & (letters(degree_name) < 3)
+    """Fragments of a broken header: a degree that carries on a sentence, or a lone field for an institution."""
+    name, what = F.lower(F.coalesce(institution_name, F.lit(""))), F.lower(F.coalesce(degree_name, F.lit("")))
+    return what.startswith("and ") | ((name == "engineering") & ~what.contains("school"))
 
 
 def city_country(city: Column, country: Column) -> Column:
@@ -67,28 +98,44 @@ def city_country(city: Column, country: Column) -> Column:
 
 
 def location(line: Column) -> Column:
-    """'City, Country': two parts without digits and dots."""
+    """'City, Country': two parts without digits and dots, no job header, date, bullet or list of technologies."""
     parts = split_items(line, ",")
-    return (F.size(F.split(line, ",", -1)) == 2) & (F.size(parts) == 2) & F.coalesce(city_country(F.get(parts, F.lit(0)), F.get(parts, F.lit(1))), F.lit(False))
+    other = work_header(line) | dates.parse_range(line).isNotNull() | line.startswith("- ") | F.lower(line).startswith("technologies:")
+    return F.coalesce(line.contains(",") & (F.size(parts) == 2) & ~other & city_country(F.get(parts, F.lit(0)), F.get(parts, F.lit(1))), F.lit(False))
 
 
 def prose(line: Column) -> Column:
     """Signs against a list of technologies: too long, a sentence's dot, a small first letter, prose words, long parts."""
     parts = split_items(line, ",")
-    dot = F.regexp_replace(line, r"(?i)\.net|\.js|node\.js", "").contains(".")
-    return (F.length(line) > 72) | dot | line.rlike(r"^\p{Ll}") | _any(line, PROSE) | F.exists(parts, lambda p: words(p) > 4)
+    dot = line.contains(".") & ~F.lower(line).contains(".net")
+    said = _any(F.concat(F.lit(" "), line, F.lit(" ")), PROSE)
+    return (F.length(line) > 72) | dot | line.rlike(r"^\p{Ll}") | said | F.exists(parts, lambda p: (words(p) > 4) | p.rlike(_one_of(PROSE_WORDS)))
 
 
 def technology_list(line: Column) -> Column:
+    """A comma list of at least two short parts that is no prose and no place."""
     parts = split_items(line, ",")
-    return line.contains(",") & (F.size(parts) >= 2) & F.forall(parts, lambda p: F.length(p).between(1, 40)) & ~prose(line) & ~location(line)
+    place = (F.size(parts) == 2) & city_country(F.get(parts, F.lit(0)), F.get(parts, F.lit(1)))
+    return F.coalesce(line.contains(",") & (F.size(parts) >= 2) & F.forall(parts, lambda p: F.length(p).between(1, 40)) & ~prose(line) & ~place, F.lit(False))
+
+
+def education_anchor(block: Column) -> Column:
+    """Whether a block already holds what an entry is known by: a date, a degree or an institution."""
+    return F.exists(lines_of(block), lambda x: dates.parse_range(x).isNotNull() | degree(x) | institution(x))
 
 
 def education_continuation(block: Column, previous: Column) -> Column:
-    """Whether a block belongs to the one before: the last line there is cut off, or it opens with a small letter and has no date."""
-    last = F.element_at(F.split(trim_ws(previous), "\n"), -1)
-    first = F.element_at(F.split(trim_ws(block), "\n"), 1)
-    return incomplete_institution(last) | (first.rlike(r"^[\p{Ll}(&]") & dates.parse_range(first).isNull())
+    """Whether a block belongs to the one before.
+
+    It does if it opens with 'and', if the block before ends in a cut-off name, or if all of its lines are short and none
+    is a date, a place or a degree while the block before is an entry. A block that opens with a date or degree does not.
+    """
+    own = lines_of(block)
+    first, last = F.get(own, F.lit(0)), F.element_at(lines_of(previous), -1)
+    opens = dates.parse_range(first).isNotNull() | degree(first)
+    plain = F.forall(own, lambda x: (F.length(x) < 80) & dates.parse_range(x).isNull() & ~location(x) & ~degree(x))
+    joins = F.lower(first).startswith("and ") | F.coalesce(incomplete_institution(last), F.lit(False)) | (plain & education_anchor(previous))
+    return F.coalesce((F.size(own) > 0) & ~opens & joins, F.lit(False))
 
 
 def sidebar_token(line: Column) -> Column:
@@ -107,12 +154,13 @@ def work_header(line: Column) -> Column:
 
 
 def summary_prose(head: Column) -> Column:
-    first = F.get(head, F.lit(0))
-    return (F.length(first) > 60) | _any(first, SUMMARY_PROSE)
+    """A header that is running text: a long first line, or words of a summary anywhere in it."""
+    return F.coalesce((F.length(F.get(head, F.lit(0))) > 60) | _any(F.array_join(head, " "), SUMMARY_PROSE), F.lit(False))
 
 
 def work_bleed(line: Column) -> Column:
-    return work_header(line) | dates.parse_range(line).isNotNull()
+    """A line of a job that has run into another section: a company's form, a kind of employment, a date."""
+    return _any(line, WORK_BLEED) | dates.parse_range(line).isNotNull()
 
 
 def known_category(label: Column) -> Column:
@@ -120,16 +168,21 @@ def known_category(label: Column) -> Column:
 
 
 def plausible_category(label: Column) -> Column:
+    """A known category, or one word of 2 to 40 characters that is no skill, date, sub-heading, job or start of a sentence."""
     t = trim_ws(label)
-    return F.length(t).between(2, 40) & (known_category(t) | ~t.contains(" "))
+    other = t.contains(" ") | t.contains("·") | t.contains(",") | work_bleed(t) | F.lower(F.regexp_replace(t, ":+$", "")).isin(*SUBHEADINGS)
+    said = t.rlike(rf"(?iU)^({'|'.join(NOT_CATEGORIES)})\b")
+    return F.length(t).between(2, 40) & (known_category(t) | (~other & ~said & ~standalone_skill(t)))
 
 
 def plausible_skill(value: Column) -> Column:
-    """Two to 48 characters in four words at most, no contact data, date, stop word or pair of names."""
+    """Two to 48 characters in four words at most, no contact data, date, word of a sentence or pair of names."""
     t = trim_ws(value)
-    pair = t.rlike(r"^\p{Lu}\p{Ll}+ \p{Lu}\p{Ll}+$")
-    contact = t.contains("@") | t.rlike(r"(?i)https?://") | t.rlike(r"\d{5,}")
-    return F.length(t).between(2, 48) & (words(t) <= 4) & ~contact & dates.parse_range(t).isNull() & ~F.lower(t).isin(*STOP) & ~pair
+    n = words(t)
+    contact = t.rlike(EMAIL) | t.rlike(URL) | t.rlike(PHONE)
+    pair = (n == 2) & t.rlike(r"^\p{Lu}\S*\s+\p{Lu}") & ~t.rlike("[.#+]")
+    stop = (n == 1) & F.lower(t).isin(*SKILL_STOP_WORDS)
+    return F.length(t).between(2, 48) & (n <= 4) & ~contact & dates.parse_range(t).isNull() & ~stop & ~pair & ~t.rlike(_one_of(NO_SKILL_WORDS))
 
 
 def standalone_skill(line: Column) -> Column:
@@ -147,9 +200,8 @@ def contact_label(label: Column) -> Column:
 
 
 def partial_url(line: Column) -> Column:
-    """A URL that seems to go on in the next line."""
-    whole = line.rlike(r"(?i)https?://[^\s<>()]+\.[^\s<>()]+")
-    return line.rlike(r"(?i)https?:|www\.|linkedin\.com|github\.com") & (~whole | line.rlike("-$"))
+    """A URL that seems to go on in the next line: a site's name without a whole URL, or one that ends in a hyphen."""
+    return line.rlike(r"(?i)https?://|www\.|linkedin\.com|github\.com") & (~line.rlike(URL) | rtrim_ws(line).endswith("-"))
 
 
 def degree_type(text: Column) -> Column:

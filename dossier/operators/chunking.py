@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.functions.text import has_text, paragraphs, rationale, strip_bullet, strip_fence, trim_ws, truncated
-from dossier.operators.lines import segment
+from dossier.operators.lines import with_sections
 
 
 @dataclass(frozen=True)
@@ -67,9 +67,8 @@ def slices(text: Column, each: int, profile: Profile) -> Column:
 
 def plan(docs: DataFrame, profile: Profile, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, phase, batch_index, batch_count, step, slice) of normalised texts, in the order of the calls."""
-    found = segment(docs, key, text).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("section", "body"))).alias("m"))
-    base = docs.select(key, F.col(text).alias("t")).join(found, key, "left")
-    body = lambda s: F.element_at("m", F.lit(s))
+    base = with_sections(docs.select(key, F.col(text).alias("t")), "t")
+    body = lambda s: F.element_at("sections", F.lit(s))
     glued = lambda *cs: F.array_join(F.filter(F.array(*cs), has_text), "\n\n")
     personal = glued(body("Header"), body("Contact"), body("Summary"))
     personal = F.when(has_text(personal), personal).otherwise(F.col("t"))
@@ -85,10 +84,10 @@ def plan(docs: DataFrame, profile: Profile, key: str = "doc_id", text: str = "te
         ("Additional", body("AdditionalInformation"), 1),
     ]
     rows = [F.when(has_text(c), F.struct(F.lit(n).alias("order"), F.lit(p).alias("phase"), slices(c, each, profile).alias("s"))) for n, (p, c, each) in enumerate(phases)]
-    out = base.select(key, F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("p"))
-    out = out.select(key, "p.order", "p.phase", F.size("p.s").alias("batch_count"), F.posexplode("p.s").alias("i", "slice"))
-    step = F.row_number().over(Window.partitionBy(key).orderBy("order", "i")) - 1
-    return out.select(key, "phase", (F.col("i") + 1).alias("batch_index"), "batch_count", step.alias("step"), "slice")
+    calls = base.select(key, F.explode(F.array(F.filter(F.array(*rows), lambda x: x.isNotNull()))).alias("c"))
+    before = F.aggregate(F.slice("c", 1, F.col("n")), F.lit(0), lambda a, x: a + F.size(x["s"]))
+    out = calls.select(key, "c", F.posexplode("c").alias("n", "p")).select(key, "p.phase", F.size("p.s").alias("batch_count"), before.alias("before"), F.posexplode("p.s").alias("i", "slice"))
+    return out.select(key, "phase", (F.col("i") + 1).alias("batch_index"), "batch_count", (F.col("before") + F.col("i")).alias("step"), "slice")
 
 
 NUMBER = r"(\d+(?:[.,]\d+)*\s?%?)"
@@ -142,14 +141,16 @@ def prompt(fields: Column, source: Column, most: int = 600) -> Column:
     return F.concat(F.array_join(numbered, "\n"), F.lit("\n---\n"), F.left(source, F.lit(most)))
 
 
-# Model name fragments and their profiles, the first match wins.
+# Fragments of model names and the profiles they take, in order; the first match wins.
 MODEL_RULES = [
-    ("gpt-4", "extralarge"), ("claude", "extralarge"), ("gemini", "extralarge"), ("70b", "large"), ("32b", "large"), ("14b", "medium"),
-    ("13b", "medium"), ("8b", "medium"), ("7b", "medium"), ("mini", "medium"), ("4b", "small"), ("3b", "small"), ("2b", "compact"), ("1b", "compact"),
+    ("gpt-4o-mini", "small"), ("gpt-4.1-mini", "small"), ("gpt-4.1-nano", "small"), ("claude-3-5-haiku", "small"), ("claude-haiku", "small"), ("gemini-2.0-flash", "small"),
+    ("gemini-flash", "small"), ("open-mistral-nemo", "small"), ("gpt-4o", "large"), ("gpt-4.1", "large"), ("claude-sonnet", "large"), ("claude-3-5-sonnet", "large"),
+    ("gemini-2.5-pro", "large"), ("llama-3.3-70b", "large"), ("llama3.3-70b", "large"), ("mixtral-8x7b", "medium"), ("mistral-small", "medium"), ("deepseek-chat", "medium"),
 ]
 
 
 def profile_of(model: Column, default: str = "small") -> Column:
+    """Profile of a hosted model by its name, in any case; the default for blank and unknown names."""
     out = F.lit(default)
     for part, name in reversed(MODEL_RULES):
         out = F.when(F.lower(model).contains(part), name).otherwise(out)

@@ -1,6 +1,6 @@
 """Fields of segmented CV texts: personal data, jobs, education, skills, languages, certificates, projects, links.
 
-Segmentation runs as windows (operators.lines); what is left per section is ordered, stateful reading of a few dozen
+Segmentation runs inside a row (operators.lines); what is left per section is ordered, stateful reading of a few dozen
 lines, done a document at a time in Arrow batches.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions.dates import FIRST_YEAR, LAST_YEAR, MONTHS, PRESENT, RANGE, STUDY_YEARS
 from dossier.functions.text import normalize
-from dossier.operators.lines import EMAIL, PHONE, TITLE_WORDS, segment
+from dossier.operators.lines import EMAIL, PHONE, TECHNOLOGY_NAMES, TITLE_WORDS, with_sections
 
 _EMAIL, _PHONE, _URL = re.compile(EMAIL), re.compile(PHONE), re.compile(r"(?i)https?://[^\s<>()]+")
 _RANGE = re.compile(RANGE.replace("(?iu)", "(?i)"))
@@ -64,7 +64,7 @@ def is_name(line: str) -> bool:
     parts = line.split()
     if not 2 <= len(parts) <= 4 or len(line) > 60 or _EMAIL.search(line) or _PHONE.search(line):
         return False
-    return all(_NAME_PART.match(p) and 2 <= len(p) <= 32 and not (len(p) <= 3 and p.islower()) and p.lower() not in TITLE_WORDS for p in parts)
+    return all(_NAME_PART.match(p) and 2 <= len(p) <= 32 and not (len(p) <= 3 and p.islower()) and p.lower() not in TITLE_WORDS + TECHNOLOGY_NAMES for p in parts)
 
 
 def _blocks(lines: list[str], starts: list[bool]) -> list[list[str]]:
@@ -294,11 +294,8 @@ def import_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     'no_structured_data' marks texts in which no section and no name, address or phone was found.
     """
-    normal = docs.select(key, normalize(text).alias("t"))
-    parts = segment(normal, key, "t").groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct("section", "body"))).alias("sections"), F.max("warning").alias("warning")
-    )
-    joined = docs.select(key).distinct().join(parts, key, "left").select(F.col(key).alias("key"), F.map_entries("sections").alias("sections"), "warning")
+    parts = with_sections(docs.select(F.col(key).alias("key"), normalize(text).alias("t")), "t")
+    joined = parts.select("key", F.map_entries("sections").alias("sections"), "warning")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -8,39 +8,83 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.functions import cues, dates
-from dossier.functions.text import has_text, lines_of, trim_ws
+from dossier.functions.text import WS, has_text, lines_of, rtrim_ws, trim_ws
 
 
-def glue(parts: Column, joins: Callable[[Column, Column], Column], sep: str) -> Column:
+#: A label of letters and spaces, a colon and a value.
+LABELLED = r"(?U)^([A-Za-zÀ-ž\s]+):\s*(.+)$"
+
+
+def glue(parts: Column, joins: Callable[[Column, Column], Column], sep: str, trim: Callable[[Column], Column] = lambda c: c) -> Column:
     """Parts where each one that ``joins`` (last merged, next) goes onto the last merged one."""
 
     def step(done: Column, part: Column) -> Column:
         last = F.coalesce(F.element_at(done, -1), F.lit(""))
-        merged = F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat(last, F.lit(sep), part)))
+        merged = F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat(last, F.lit(sep), trim(part))))
         return F.when((F.size(done) > 0) & F.coalesce(joins(last, part), F.lit(False)), merged).otherwise(F.concat(done, F.array(part)))
 
     return F.aggregate(parts, F.array().cast("array<string>"), step)
 
 
+def raw_lines(text: Column) -> Column:
+    """All lines of a text as they are, blank ones too."""
+    return F.split(text, "\n", -1)
+
+
+def ltrim_ws(c: Column) -> Column:
+    return F.regexp_replace(c, rf"^{WS}+", "")
+
+
+def glued_lines(text: Column, joins: Callable[[Column, Column], Column], sep: str) -> Column:
+    """Lines where each one that ``joins`` goes onto the last merged one, without its leading spaces; blank lines join nothing."""
+    return glue(raw_lines(text), lambda last, part: has_text(part) & joins(last, part), sep, ltrim_ws)
+
+
 def education_blocks(blocks: Column) -> Column:
     """Blocks of an education section with their continuations."""
     return glue(blocks, lambda last, part: cues.education_continuation(part, last), "\n")
 
 
+def trailing_range(line: Column) -> Column:
+    """The date range after the last middle dot of a line, null without one."""
+    return F.when(line.contains("·"), dates.parse_segment(trim_ws(F.substring_index(line, "·", -1))))
+
+
 def meta_lines(text: Column) -> Column:
-    """Dotted lines that an export broke: one ending in a dot or a dash takes the next, as does one before a lone date."""
-    return glue(lines_of(text), lambda last, part: last.rlike(r"[·–-]\s*$") | (last.contains("·") & dates.parse_range(last).isNull() & part.rlike(r"^[\d/ ]+[-–]")), " ")
+    """Dotted lines that an export broke are one again.
+
+    A dotted line that ends in no date takes a line with one; one that ends in a dot takes a line with a slash or a date;
+    and a line with a slash that lacks the end of its range takes a line that opens with a year.
+    """
+
+    def joins(last: Column, part: Column) -> Column:
+        next_ = trim_ws(part)
+        dated = dates.parse_range(next_).isNotNull()
+        own = dates.parse_range(last)
+        open_end = last.contains("/") & F.coalesce(own["end_year"].isNull(), F.lit(True)) & next_.rlike(r"^\d{4}\b")
+        return (last.contains("·") & trailing_range(last).isNull() & dated) | (rtrim_ws(last).endswith("·") & (next_.contains("/") | dated)) | open_end
+
+    return F.transform(glued_lines(text, joins, " "), rtrim_ws)
 
 
 def url_lines(text: Column) -> Column:
-    """URLs that were broken over lines."""
-    return glue(lines_of(text), lambda last, part: cues.partial_url(last) & part.rlike(r"^\S+$"), "")
+    """URLs that were broken over lines are one again: a partial one, or its bare label, takes a line without spaces."""
+
+    def joins(last: Column, part: Column) -> Column:
+        next_ = trim_ws(part)
+        one_word = ~next_.rlike(WS)
+        own = ~next_.contains(":")
+        low = F.lower(last)
+        labelled = low.contains("linkedin url:") | low.contains("github url:") | low.contains("portfolio url:")
+        site = low.contains("url:") & F.lower(next_).startswith("www.")
+        return F.when(cues.partial_url(last), one_word & (own | next_.contains("://"))).otherwise(site | (labelled & own & one_word))
+
+    return glued_lines(text, joins, "")
 
 
 def labelled_lines(text: Column) -> Column:
-    """Contact lines 'label: value' whose value goes on in a line without a colon."""
-    label = lambda line: F.regexp_extract(line, r"^([^:]{1,20}):", 1)
-    return glue(lines_of(text), lambda last, part: (label(last) != "") & cues.contact_label(label(last)) & last.rlike(r"[:,]\s*$") & ~part.contains(":"), " ")
+    """Lines 'label: value' take the lines without a colon that follow."""
+    return glued_lines(text, lambda last, part: last.rlike(LABELLED) & ~part.contains(":"), " ")
 
 
 def orphan_levels(lines: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -56,24 +100,49 @@ def orphan_levels(lines: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def orphan_dates(text: Column) -> Column:
-    """Lines that are only the tail of a date range, in order: '/ 2019 - 3 / 2020' and the like."""
-    return F.filter(lines_of(text), lambda x: x.rlike(r"^/\s*\d{4}\s*[-–]\s*(\d{1,2}\s*/\s*\d{4}|\p{L}+)$"))
+    """Lines that are only the tail of a date range, in order: '/ 2019 - 3 / 2020'."""
+    return F.filter(lines_of(text), lambda x: x.rlike(r"^/\s*\d{4}\s*[-–]\s*\d{1,2}\s*/\s*\d{4}\s*$"))
 
 
 def repeated_prefix(text: Column, least: int = 80, most: int = 400) -> Column:
-    """A text that opens with the same unit twice, without its first copy; the shortest unit within the bounds counts."""
+    """The unit that a text opens with and then repeats, if no more than half a unit is left without its copies; else the text.
+
+    The longest unit within the bounds counts; texts shorter than two least units are kept.
+    """
     t = trim_ws(text)
-    rest = lambda n: F.regexp_replace(F.substring(t, n + 1, F.length(t)), r"(?U)^\s+", "")
+    unit = lambda n: rtrim_ws(F.substring(t, F.lit(1), n))
+    rest = lambda n: trim_ws(F.replace(F.substring(t, n + 1, F.length(t)), unit(n), F.lit("")))
     top = F.least(F.lit(most), F.floor(F.length(t) / 2).cast("int"))
-    sizes = F.when(top >= least, F.sequence(F.lit(least), F.greatest(top, F.lit(least)))).otherwise(F.array().cast("array<int>"))
-    unit = F.get(F.filter(sizes, lambda n: F.startswith(rest(n), F.substring(t, F.lit(1), n))), F.lit(0))
-    return F.when(unit.isNull(), t).otherwise(rest(unit))
+    sizes = F.when(top >= least, F.sequence(F.greatest(top, F.lit(least)), F.lit(least), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    found = F.get(F.filter(sizes, lambda n: (unit(n) != "") & (F.length(rest(n)) <= F.floor(F.length(unit(n)) / 2))), F.lit(0))
+    return F.when(found.isNull(), t).otherwise(unit(found))
+
+
+# How a line that names a degree begins, and what such a line does not hold.
+DEGREE_TITLE = r"(?iU)^(MSc|BSc|PhD|MEng|MBA|Bachelor|Master|Doctor)\b"
+NO_DEGREE_TITLE = r"(?iU)·|field of study:|^grade:|^institution url:|^thesis focus"
+
+
+def degree_title(line: Column) -> Column:
+    return trim_ws(line).rlike(DEGREE_TITLE) & ~line.rlike(NO_DEGREE_TITLE)
+
+
+def degree_first(lines: Column) -> Column:
+    """Whether a degree's line comes before the first line with a date."""
+    marks = F.filter(lines, lambda x: degree_title(x) | dates.parse_range(x).isNotNull())
+    return F.coalesce(degree_title(F.get(marks, F.lit(0))), F.lit(False))
 
 
 def education_votes(blocks: Column) -> Column:
-    """Whether an education section names institutions first: at least two blocks, and half of them, do."""
-    first = F.filter(blocks, lambda b: cues.institution(F.split_part(b, F.lit("\n"), F.lit(1))))
-    return F.size(first) >= F.greatest(F.lit(2), F.floor(F.size(blocks) / 2).cast("int"))
+    """Whether an education section names institutions first: at least two blocks, and half of them, put a degree below one."""
+
+    def votes(block: Column) -> Column:
+        own = lines_of(block)
+        first, second = F.get(own, F.lit(0)), F.get(own, F.lit(1))
+        return F.coalesce(cues.institution(first) & (degree_title(second) | cues.degree(second)), F.lit(False))
+
+    n = F.size(blocks)
+    return (n >= 2) & (F.size(F.filter(blocks, votes)) >= F.greatest(F.lit(2), F.floor(n / 2).cast("int")))
 
 
 def marker_or_blank(by_marker: Column, by_blank: Column) -> Column:

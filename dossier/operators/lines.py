@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossier.functions import dates
+from dossier.functions import cues, dates
+from dossier.functions.cues import EMAIL, PHONE
 from dossier.functions.text import has_text, let, lines_of, trim_ws
 from dossier.functions.urls import URL
 
-EMAIL = r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
-PHONE = r"(?:\+|\(\+)?[0-9][0-9 \t().-]{7,}[0-9]"
-
 # Section headings by section, in order of preference.
 HEADINGS = {
     "Contact": ["contact information", "contact", "kontakt"],
@@ -66,32 +64,41 @@ def heading_of(line: Column) -> Column:
     return F.when(F.length(bare(line)).between(1, longest), let(bare(line), head))
 
 
-def segment(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, section, body, warning): a row per section with a body, 'Header' for what stands before the first heading.
+def with_sections(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with ``sections``, a map of section to body with 'Header' for what stands before the first heading, and ``warning``.
 
-    Repeated headings add to their section after a blank line. A text without headings is header and additional
-    information alike, with a warning.
+    Everything happens inside a row, so nothing is shuffled and rows may repeat their keys. Repeated headings add to
+    their section after a blank line. A text without headings is header and additional information alike, with a
+    warning; a null or blank text has an empty map. Columns of these two names are replaced.
     """
-    lines = explode_lines(docs, key, text).withColumn("heading", heading_of(F.col("line")))
-    w = Window.partitionBy(key).orderBy("pos")
-    lines = lines.withColumn("part", F.sum(F.when(F.col("heading").isNotNull(), 1).otherwise(0)).over(w))
-    lines = lines.withColumn("section", F.last("heading", ignorenulls=True).over(w))
-    bodies = (
-        lines.where("heading is null")
-        .groupBy(key, "part", F.coalesce("section", F.lit("Header")).alias("section"))
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("body"))
-        .withColumn("body", trim_ws(F.col("body")))
-    )
-    found = lines.groupBy(key).agg(F.count("heading").alias("headings"))
-    sections = (
-        bodies.where(has_text("body"))
-        .groupBy(key, "section")
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "body"))), lambda x: x["body"]), "\n\n").alias("body"))
-    )
-    sections = sections.join(found, key)
-    none = F.col("headings") == 0
-    names = F.when(none, F.array(F.lit("Header"), F.lit("AdditionalInformation"))).otherwise(F.array("section"))
-    return sections.select(key, F.explode(names).alias("section"), "body", F.when(none, "no_sections").alias("warning"))
+    docs = docs.drop("sections", "warning")
+    given = [F.col(c) for c in docs.columns]
+    marks = F.filter(F.transform(F.col("_lines"), lambda x, i: F.struct(i.alias("at"), heading_of(x).alias("section"))), lambda m: m["section"].isNotNull())
+    # A generator works its input out once; a plain column would be made anew for every part.
+    split = docs.select(*given, F.explode(F.array(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1))).alias("_lines"))
+    marked = split.select(*given, "_lines", F.explode(F.array(marks)).alias("_marks"))
+
+    def part(j: Column) -> Column:
+        first = F.when(j > 0, F.get("_marks", j - 1)["at"] + 1).otherwise(0)
+        end = F.coalesce(F.get("_marks", j)["at"], F.size("_lines"))
+        body = trim_ws(F.array_join(F.slice("_lines", first + 1, F.greatest(end - first, F.lit(0))), "\n"))
+        return F.struct(F.when(j > 0, F.get("_marks", j - 1)["section"]).otherwise("Header").alias("section"), body.alias("body"))
+
+    parts = F.filter(F.transform(F.sequence(F.lit(0), F.size("_marks")), part), lambda p: p["body"] != "")
+    cut = marked.select(*given, F.explode(F.array(parts)).alias("_parts"), F.size("_marks").alias("_n"))
+    names = F.array_distinct(F.transform("_parts", lambda p: p["section"]))
+    joined = lambda name: F.array_join(F.transform(F.filter("_parts", lambda p: p["section"] == name), lambda p: p["body"]), "\n\n")
+    found = F.map_from_arrays(names, F.transform(names, joined))
+    whole = F.get("_parts", F.lit(0))["body"]
+    none = (F.col("_n") == 0) & (F.size("_parts") > 0)
+    sections = F.when(none, F.create_map(F.lit("Header"), whole, F.lit("AdditionalInformation"), whole)).otherwise(found)
+    return cut.select(*given, sections.alias("sections"), F.when(none, "no_sections").alias("warning"))
+
+
+def segment(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, section, body, warning): a row per section with a body, see ``with_sections``."""
+    found = with_sections(docs.select(key, F.col(text).alias("_text")), "_text")
+    return found.select(key, F.explode("sections").alias("section", "body"), "warning")
 
 
 def blocks(lines: DataFrame, starts: Column, key: str = "doc_id") -> DataFrame:
@@ -122,16 +129,12 @@ def runs(lines: DataFrame, flag: Column, least: int = 2, key: str = "doc_id") ->
     return marked.withColumn("run_length", F.when(F.col("flag") & (n >= least), n).otherwise(0)).drop("flag", "island")
 
 
-def looks_like_work_header(line: Column) -> Column:
-    return line.contains(" - ") | F.lower(line).contains(" at ") | line.contains(" s.r.o.") | line.contains(" a.s.")
-
-
 def work_starts(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     """Lines with ``starts``: a job header with a date in the next three lines, or a title before a dotted line with one."""
     w = Window.partitionBy(key).orderBy("pos")
     flagged = lines.withColumn("has_date", dates.parse_range(F.col("line")).isNotNull())
     dotted = F.coalesce(F.lead("line").over(w).contains("·") & F.lead("has_date").over(w), F.lit(False))
-    plain = looks_like_work_header(F.col("line")) & ahead(F.col("has_date"), 3, key)
+    plain = cues.work_header(F.col("line")) & ahead(F.col("has_date"), 3, key)
     return flagged.withColumn("starts", has_text("line") & ~F.col("has_date") & (dotted | plain))
 
 
@@ -150,23 +153,40 @@ def split_title_company(line: Column) -> Column:
     return F.struct(title.alias("job_title"), company.alias("company"))
 
 
-# Words that are no names.
-TITLE_WORDS = ("engineer", "developer", "manager", "director", "consultant", "analyst", "designer", "architect", "summary", "experience", "education", "skills", "curriculum", "resume", "profile")
+# Words that no line with a name holds, and names of technologies and headings that are no names of people.
+TITLE_WORDS = (
+    "developer", "engineer", "manager", "director", "years", "experience", "full", "stack", "senior", "junior", "privileged", "access", "management", "platform", "copilot",
+    "excalibur", "oauth", "cybersecurity", "microservices", "integrating", "designed", "developed", "contributed", "implemented", "delivered", "building", "frontend", "backend",
+    "product", "standards", "technical", "authentication",
+)
+TECHNOLOGY_NAMES = (
+    "typescript", "javascript", "redis", "react", "reactjs", "react-native", "nestjs", "node", "nodejs", "node.js", "postgresql", "docker", "go", "php", "oauth", "copilot",
+    "excalibur", "nette", "jquery", "next.js", "sharepoint", "android", "azure", "frontend", "backend", "senior", "junior", "medior", "general", "work", "contact", "design",
+    "built", "developed", "implemented", "contributed", "collaborated", "delivered", "integrated", "worked", "project", "platforms", "microservices", "cybersecurity",
+)
 
 
 def is_name_part(token: Column) -> Column:
-    """Letters, marks, apostrophes and hyphens, 2 to 32 characters; short words in lower case are none."""
+    """Letters, marks, apostrophes and hyphens, 2 to 32 characters; short words without a capital and technologies are none."""
     shape = token.rlike(r"^\p{L}[\p{L}\p{M}'-]*$") & F.length(token).between(2, 32)
-    return shape & ~((F.length(token) <= 3) & (token == F.lower(token)))
+    return shape & ~((F.length(token) <= 3) & ~token.rlike(r"\p{Lu}")) & ~F.lower(token).isin(*TECHNOLOGY_NAMES)
 
 
 def is_name_line(line: Column) -> Column:
-    """Two to four name parts in at most 60 characters, without contact data, dates or title words."""
+    """Two to four name parts in at most 60 characters, without contact data, dates or words of titles."""
     t = trim_ws(line)
     parts = F.split(F.regexp_replace(t, r"(?U)\s+", " "), " ")
-    titles = F.exists(parts, lambda p: F.lower(p).isin(*TITLE_WORDS))
+    titles = t.rlike(rf"(?iU)\b({'|'.join(TITLE_WORDS)})\b")
     contact = t.rlike(EMAIL) | t.rlike(PHONE) | t.rlike(URL)
-    return F.size(parts).between(2, 4) & (F.length(t) <= 60) & F.forall(parts, is_name_part) & ~titles & ~contact
+    dated = dates.parse_range(t).isNotNull()
+    return F.size(parts).between(2, 4) & (F.length(t) <= 60) & F.forall(parts, is_name_part) & ~titles & ~contact & ~dated
+
+
+def split_name(lines: Column) -> Column:
+    """struct<first_name, last_name> of the first two neighbouring lines that are a name part each, null without such."""
+    pairs = F.filter(F.sequence(F.lit(0), F.greatest(F.size(lines) - 2, F.lit(0))), lambda i: is_name_part(trim_ws(F.get(lines, i))) & is_name_part(trim_ws(F.get(lines, i + 1))))
+    at = F.get(pairs, F.lit(0))
+    return F.when(at.isNotNull(), F.struct(trim_ws(F.get(lines, at)).alias("first_name"), trim_ws(F.get(lines, at + 1)).alias("last_name")))
 
 
 def name_score(line: Column) -> Column:
@@ -197,17 +217,3 @@ def labelled(line: Column) -> Column:
     """struct<label, value> of 'label: value' lines, null otherwise."""
     shape = r"(?U)^([A-Za-zÀ-ž\s]+):\s*(.+)$"
     return F.when(line.rlike(shape), F.struct(trim_ws(F.regexp_extract(line, shape, 1)).alias("label"), trim_ws(F.regexp_extract(line, shape, 2)).alias("value")))
-
-
-def merged_lines(text: Column, glue: Column | None = None) -> Column:
-    """Lines where a URL broken over two lines is one again: a fold, as the test reads what has been merged so far."""
-
-    def step(done: Column, line: Column) -> Column:
-        last = F.coalesce(F.element_at(done, -1), F.lit(""))
-        broken = last.rlike(r"(?i)https?://\S*[-/]$") & line.rlike(r"^\S+$")
-        return F.when(
-            (F.size(done) > 0) & broken,
-            F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.concat(last, line))),
-        ).otherwise(F.concat(done, F.array(line)))
-
-    return F.aggregate(lines_of(text), F.array().cast("array<string>"), step)

@@ -55,7 +55,10 @@ def page_range(total: Column, first: Column, last: Column, most: int = 50) -> Co
 
 
 def moved(df: DataFrame, key: str, source: Column, target: Column) -> DataFrame:
-    """Adds ``new_pos`` (from 0): the row at ``source`` moves to ``target``, clamped; a move down lands before the target's old place."""
+    """Adds ``new_pos`` (from 0): the row at ``source`` moves to ``target``, clamped; a move down lands before the target's old place.
+
+    Without a row at ``source`` all keep their places.
+    """
     n = F.count("*").over(Window.partitionBy(key))
     to = F.least(F.greatest(target, F.lit(0)), n)
     to = F.least(F.when(to > source, to - 1).otherwise(to), n - 1)
@@ -66,7 +69,7 @@ def moved(df: DataFrame, key: str, source: Column, target: Column) -> DataFrame:
         .when((pos < source) & (pos >= to), pos + 1)
         .otherwise(pos)
     )
-    return df.withColumn("new_pos", new)
+    return df.withColumn("new_pos", F.when(source.between(0, n - 1), new).otherwise(pos))
 
 
 def best_model(df: DataFrame, ram_gb: Column) -> DataFrame:

@@ -129,15 +129,20 @@ def localize_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.layered(n.select(F.col("n_name").alias("key")), layer(2, "base"), layer(3, "theme"), layer(4, "overlay"))
 
 
+_MODELS = ["gpt-4o-mini", "GPT-4o", "claude-haiku-4", "us.claude-sonnet", "gpt-4.1", "gpt-4.1-nano", "gemini-2.5-pro", "mixtral-8x7b", "mistral-small", "other", " ", "llama3.3-70b"]
+_PROFILE = "case " + " ".join(f"when contains(lower(model), '{part}') then '{name}'" for part, name in chunking.MODEL_RULES) + " else 'small' end"
+
+
 @query(
-    """select p_partkey, case p_size % 4 when 0 then 'WorkExperience' when 1 then 'Links' when 2 then 'PersonalInformation' end as section,
- case when contains(lower(p_name || '-' || (p_partkey % 9) || 'b'), '8b') then 'medium' when contains(lower(p_name || '-' || (p_partkey % 9) || 'b'), '7b') then 'medium'
-  when contains(p_name || '-' || (p_partkey % 9) || 'b', '4b') then 'small' when contains(p_name || '-' || (p_partkey % 9) || 'b', '3b') then 'small' when contains(p_name || '-' || (p_partkey % 9) || 'b', '2b') then 'compact' when contains(p_name || '-' || (p_partkey % 9) || 'b', '1b') then 'compact' else 'small' end as profile from part"""
+    f"""with m as (select *, list_extract([{", ".join(f"'{x}'" for x in _MODELS)}], (p_partkey % {len(_MODELS)} + 1)::int) || case when p_size % 2 = 0 then '-' || p_name else '' end as model from part)
+ select p_partkey, case p_size % 4 when 0 then 'WorkExperience' when 1 then 'Links' when 2 then 'PersonalInformation' end as section, {_PROFILE} as profile from m"""
 )
 def prefix_section_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of field keys and profiles of model names."""
     p = load(spark, sf_dir, "part")
     key = F.element_at(F.array(F.lit("workExperience.1.company"), F.lit("links.0.url"), F.lit("email"), F.lit("other")), (F.col("p_size") % 4 + 1).cast("int"))
-    model = F.concat("p_name", F.lit("-"), (F.col("p_partkey") % 9).cast("string"), F.lit("b"))
+    model = F.element_at(F.array(*map(F.lit, _MODELS)), (F.col("p_partkey") % len(_MODELS) + 1).cast("int"))
+    model = F.concat(model, F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("-"), F.col("p_name"))).otherwise(""))
     return p.select("p_partkey", quality.section_of(key).alias("section"), chunking.profile_of(model).alias("profile"))
 
 
@@ -154,13 +159,15 @@ def sort_cert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.rank_dated(jobs(spark, sf_dir), "cv_id", "start_month", "start_year", F.trim("company") == "").select("cv_id", "pos", "rank")
 
 
-@query(f"with {JOBS}, n as (select *, count(*) over (partition by cv_id) as c from jobs) select cv_id, pos, case when pos = 2 then least(greatest(5, 0), c) - case when least(5, c) > 2 then 1 else 0 end when pos > 2 and pos <= least(4, c - 1) then pos - 1 else pos end::bigint as new_pos from n where c > 2 union all select cv_id, pos, pos from n where c <= 2")
+@query(
+    f"""with {JOBS}, n as (select *, count(*) over (partition by cv_id) as c, cv_id % 5 as src, cv_id % 7 - 1 as want from jobs), t as (select *, least(greatest(case when want > src then want - 1 else want end, 0), c - 1) as dst from n)
+ select cv_id, pos, (case when src >= c then pos when pos = src then dst when src < dst and pos > src and pos <= dst then pos - 1 when src > dst and pos < src and pos >= dst then pos + 1 else pos end)::bigint as new_pos from t"""
+)
 def move_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each person's third job moves to index five."""
+    """A job of each person moves to an index before, after or beyond the others; some persons lack the job."""
     j = jobs(spark, sf_dir).select("cv_id", "pos")
-    n = F.count("*").over(Window.partitionBy("cv_id"))
-    out = ordering.moved(j, "cv_id", F.lit(2), F.lit(5)).withColumn("n", n)
-    return out.select("cv_id", "pos", F.when(F.col("n") > 2, F.col("new_pos")).otherwise(F.col("pos")).cast("long").alias("new_pos"))
+    out = ordering.moved(j, "cv_id", F.col("cv_id") % 5, F.col("cv_id") % 7 - 1)
+    return out.select("cv_id", "pos", F.col("new_pos").cast("long").alias("new_pos"))
 
 
 @query(
@@ -217,7 +224,7 @@ def cvs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "personal": personal,
         "work": jobs(spark, sf_dir).select("cv_id", "pos", "description"),
         "education": some(2).select(*entry),
-        "skill": s.where("cv_id < 400"),
+        "skill": s,
         "language": some(3).select(*entry),
         "certificate": some(7).select(*entry),
         "project": some(4).select(*entry, F.when(k % 8 == 0, " ").otherwise("text").alias("description"), blank.alias("highlights")),
@@ -226,7 +233,7 @@ def cvs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 HINTS = f"""{JOBS}, {SKILLS}, p as (select c_custkey as id, c_custkey % 11 <> 0 as named, c_custkey % 5 <> 0 as titled, length(c_mktsegment) * (c_custkey % 90) as n from customer),
- w as (select cv_id, count(*) as n from jobs group by cv_id), sk as (select distinct cv_id from skills where cv_id < 400),
+ w as (select cv_id, count(*) as n from jobs group by cv_id), sk as (select distinct cv_id from skills),
  s as (select p.*, coalesce(w.n, 0) > 0 as work, id % 2 = 0 as edu, sk.cv_id is not null as skill, id % 3 = 0 as lang, id % 7 = 0 as cert, id % 4 = 0 as proj, id % 6 = 0 as link from p left join w on w.cv_id = id left join sk on sk.cv_id = id),
  t as (select *, named or titled or n > 0 or work or edu or skill or lang or cert or proj or link as started from s),
  hints as (select id as cv_id, 'personal.summary-too-short' as hint_id, 'shortSummary' as field_key, null::varchar as entry_id from t where n > 0 and n < 80
@@ -241,7 +248,7 @@ HINTS = f"""{JOBS}, {SKILLS}, p as (select c_custkey as id, c_custkey % 11 <> 0
  union all select id, 'projects.section-empty', null, null from t where started and not proj and (work or edu or skill or lang or cert or link or titled or named or n > 0)
  union all select cv_id, 'work.entry-missing-description', 'workExperience.' || pos || '.description', pos::varchar from jobs where description = ''
  union all select cv_id, 'work.generic-description', 'workExperience.' || pos || '.description', pos::varchar from jobs where starts_with(description, 'Worked')
- union all select cv_id, 'skills.single-large-group', null, gpos::varchar from skills where cv_id < 400 group by cv_id, gpos having count(*) > 15
+ union all select cv_id, 'skills.single-large-group', null, gpos::varchar from skills group by cv_id, gpos having count(*) > 15
  union all select id, 'projects.entry-missing-description', 'projects.0.description', '0' from t where proj and id % 8 = 0
  union all select id, 'links.duplicate-personal-url', 'links.0.url', '0' from t where link and id % 12 = 0)"""
 
@@ -405,47 +412,107 @@ def extract_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("cv_id", "pos", "w.job_title", "w.company", "w.start_year", "w.start_month", "w.is_current", "w.description")
 
 
-@query(f"with {JOBS} select cv_id, count(*)::bigint as n, true as same from jobs group by cv_id")
+@query(f"with {JOBS} select cv_id, pos::int as pos, company, start_month::int as start_month, start_year::int as start_year, is_current, description from jobs")
 def structured_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Jobs written as the engine's JSON and read again are equal."""
+    """Jobs written as the engine's JSON and read again."""
     j = jobs(spark, sf_dir).select("cv_id", F.struct("pos", "company", "start_month", "start_year", "is_current", "description").alias("w"))
     cv = j.groupBy("cv_id").agg(F.array_sort(F.collect_list("w")).alias("work"))
-    written = cv.select("cv_id", "work", writers.own_json(F.struct("work")).alias("text"))
+    written = cv.select("cv_id", writers.own_json(F.struct("work")).alias("text"))
     schema = "struct<work: array<struct<pos: int, company: string, start_month: int, start_year: int, is_current: boolean, description: string>>>"
     read = structured.own_json(written, schema)
-    return written.join(read, "cv_id").select("cv_id", F.size("work").cast("long").alias("n"), (F.to_json("work") == F.to_json("cv.work")).alias("same"))
+    return read.select("cv_id", F.explode("cv.work").alias("w")).select("cv_id", "w.*")
+
 
+_X = "replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+EXPORT = """k as (select c_custkey as cv_id, 'Ann' || c_custkey as first_name, case when c_custkey % 3 = 0 then '' else 'O"Neil & ' || c_mktsegment end as last_name, 'a' || c_custkey || '@x.org' as email, case when c_custkey % 2 = 0 then 'Uses <b> | 100%' else '' end as summary from customer),
+ p as (select *, case when last_name = '' then first_name else first_name || ' ' || last_name end as person from k),
+ x as (select *, replace(replace(person, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') as quoted from p)"""
 
-@query()
+
+@query(
+    f"""with {EXPORT}, e as (select cv_id, unnest(['csv', 'tsv', 'yaml', 'europass_xml', 'md', 'html', 'txt', 'json_resume']) as format, unnest([
+  'first_name,last_name,title,email,phone,location,summary' || chr(10) || first_name || ',' || case when contains(last_name, '"') then '"' || replace(last_name, '"', '""') || '"' else last_name end || ',,' || email || ',,,' || summary || chr(10),
+  replace('first_name,last_name,title,email,phone,location,summary', ',', chr(9)) || chr(10) || first_name || chr(9) || case when contains(last_name, '"') then '"' || replace(last_name, '"', '""') || '"' else last_name end || chr(9) || chr(9) || email || chr(9) || chr(9) || chr(9) || summary || chr(10),
+  'basics:' || chr(10) || '  name: "' || quoted || '"' || chr(10) || '  label: ""' || chr(10) || '  email: "' || email || '"' || chr(10) || '  summary: "' || summary || '"' || chr(10),
+  '<SkillsPassport><Identification><FirstName>' || first_name || '</FirstName>' || case when last_name <> '' then '<Surname>' || {_X.format("last_name")} || '</Surname>' else '' end || '<Email>' || email || '</Email></Identification></SkillsPassport>',
+  '# ' || person || chr(10) || chr(10) || case when summary <> '' then '## Summary' || chr(10) || chr(10) || replace(summary, '|', chr(92) || '|') || chr(10) || chr(10) else '' end,
+  '<!DOCTYPE html><html><body><h1>' || {_X.format("person")} || '</h1>' || case when summary <> '' then '<h2>Summary</h2><p>' || {_X.format("summary")} || '</p>' else '' end || '</body></html>',
+  person || chr(10) || chr(10) || case when summary <> '' then 'Summary' || chr(10) || summary || chr(10) || chr(10) else '' end,
+  '{{"basics":{{"name":"' || quoted || '","email":"' || email || '"' || case when summary <> '' then ',"summary":"' || summary || '"' else '' end || '}}}}']) as content from x)
+ select cv_id, format, content from e"""
+)
 def export_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Written CVs in every text format, their lengths."""
-    r = extract.import_texts(cv_texts(spark, sf_dir), "cv_id")
-    return writers.export(r, "cv_id").select("cv_id", "format", F.length("content").alias("chars"))
+    """Persons in eight text formats: quotes, markup and empty fields are written by each format's rules."""
+    c = load(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    blank = F.lit("")
+    fields = {
+        "first_name": F.concat(F.lit("Ann"), k.cast("string")), "last_name": F.when(k % 3 == 0, blank).otherwise(F.concat(F.lit('O"Neil & '), F.col("c_mktsegment"))), "title": blank,
+        "email": F.concat(F.lit("a"), k.cast("string"), F.lit("@x.org")), "phone": blank, "location": blank, "linkedin_url": blank, "github_url": blank, "portfolio_url": blank,
+        "summary": F.when(k % 2 == 0, "Uses <b> | 100%").otherwise(blank),
+    }
+    schema = spark.createDataFrame([], extract.CV).schema
+    lists = [F.array().cast(f.dataType).alias(f.name) for f in schema if f.dataType.typeName() == "array"]
+    cv = c.select(k.alias("cv_id"), F.struct(*(v.alias(n) for n, v in fields.items())).alias("personal"), *lists, blank.alias("additional"))
+    return writers.export(cv, "cv_id", ("csv", "tsv", "yaml", "europass_xml", "md", "html", "txt", "json_resume"))
 
 
-@query()
+@query(
+    """select c_custkey as cv_id, case c_custkey % 4 when 0 then 'JsonResume' when 1 then 'OwnJson' else 'Unknown' end as flavour, case when c_custkey % 4 < 3 then c_name end as name, case c_custkey % 4 when 0 then c_custkey when 1 then 2 end::bigint as years, case when c_custkey % 4 = 0 then true end as flag from customer"""
+)
 def yaml_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """YAML mappings with typed scalars, the engine's own key in any case, other mappings, and texts that are none."""
     c = load(spark, sf_dir, "customer")
-    text = F.concat(F.lit("basics:\n  name: "), F.col("c_name"), F.lit("\nwork:\n- name: A\n  years: 3\n"))
-    return structured.yaml_to_json(c.select(F.col("c_custkey").alias("cv_id"), text.alias("text")))
+    k, name = F.col("c_custkey"), F.col("c_name")
+    j = lambda *y: F.concat(*(F.lit(z) if isinstance(z, str) else z for z in y))
+    text = (
+        F.when(k % 4 == 0, j('basics:\n  name: "', name, '"\nwork:\n- name: A\n  years: ', k.cast("string"), "\n  flag: true\n"))
+        .when(k % 4 == 1, j(f'{formats.OWN_KEY.upper()}: 2\nbasics: {{name: "', name, '"}\n')).when(k % 4 == 2, j('who:\n  name: "', name, '"\n'))
+        .otherwise(j("- ", name, "\n- : : [\n"))
+    )
+    r = structured.yaml_to_json(c.select(k.alias("cv_id"), text.alias("text")))
+    get = lambda p: F.get_json_object("json", p)
+    years = F.coalesce(get("$.work[0].years"), get(f"$.{formats.OWN_KEY.upper()}")).cast("long")
+    return r.select("cv_id", "flavour", F.coalesce(get("$.basics.name"), get("$.who.name")).alias("name"), years.alias("years"), get("$.work[0].flag").cast("boolean").alias("flag"))
 
 
-@query()
+@query(
+    """select c_custkey as cv_id, case when c_custkey % 4 < 3 then 'Ann' || case when c_custkey % 4 = 2 then ' ' || c_custkey else '' end end as first_name, case when c_custkey % 4 < 3 then c_mktsegment end as last_name,
+ case c_custkey % 4 when 0 then 1 when 1 then 2 when 2 then 0 else -1 end as jobs, case when c_custkey % 4 < 2 then 2001 + c_custkey % 10 end::int as start_year, case when c_custkey % 4 = 0 then 2014 end::int as end_year, case c_custkey % 4 when 0 then false when 1 then true end as is_current, case when c_custkey % 4 = 3 then 'unreadable' end as error from customer"""
+)
 def xml_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """XML CVs: one job, two jobs with one running, none, and texts that are refused or malformed."""
     c = load(spark, sf_dir, "customer")
-    text = F.concat(F.lit("<SkillsPassport><FirstName>Ann</FirstName><Surname>"), F.col("c_mktsegment"), F.lit("</Surname><WorkExperience><Employer><Name>A</Name></Employer><Period>2001 2004</Period></WorkExperience></SkillsPassport>"))
-    r = structured.xml_cv(c.select(F.col("c_custkey").alias("cv_id"), text.alias("text")), europass=True)
-    return r.select("cv_id", "first_name", "last_name", F.size("work").alias("jobs"), "error")
+    k, seg = F.col("c_custkey"), F.col("c_mktsegment")
+    j = lambda *y: F.concat(*(F.lit(z) if isinstance(z, str) else z for z in y))
+    year = (k % 10 + 2001).cast("string")
+    job = lambda span: j("<x:WorkExperience><x:Employer><x:Name>A</x:Name></x:Employer><x:Period>", span, "</x:Period></x:WorkExperience>")
+    head = lambda first: j('<x:SkillsPassport xmlns:x="urn:x"><x:FirstName>', first, "</x:FirstName><x:Surname>", seg, "</x:Surname>")
+    text = (
+        F.when(k % 4 == 0, j(head("Ann"), job(j(year, " 2014")), "</x:SkillsPassport>"))
+        .when(k % 4 == 1, j(head("Ann"), job(j(year, " present")), "<x:WorkExperience><x:Position>Dev</x:Position></x:WorkExperience></x:SkillsPassport>"))
+        .when(k % 4 == 2, j(head(j(" Ann  ", k.cast("string"))), "</x:SkillsPassport>"))
+        .when(k % 8 == 3, j("<!DOCTYPE a><a>", seg, "</a>")).otherwise(j("<a>", seg))
+    )
+    r = structured.xml_cv(c.select(k.alias("cv_id"), text.alias("text")), europass=True)
+    first = F.get("work", F.lit(0))
+    return r.select("cv_id", "first_name", "last_name", F.coalesce(F.size("work"), F.lit(-1)).alias("jobs"), first["start_year"].alias("start_year"), first["end_year"].alias("end_year"), first["is_current"].alias("is_current"), "error")
 
 
-@query("select o_custkey as page_id, count(*)::bigint as boxes from orders group by o_custkey")
+@query(
+    """with recursive b as (select o_custkey as page_id, o_orderkey::varchar as text, (o_orderkey * 37 % 200)::int as top, (o_orderkey % 500)::int as left_, (o_orderkey % 7 + 8)::int as height from orders),
+ p as (select page_id, list({'t': top, 'l': left_, 'x': text} order by top, left_, text) as boxes, ceil(1.5 * list_sort(list(height))[count(*) // 2 + 1])::int as tolerance from b group by page_id),
+ g(page_id, boxes, tolerance, n, first, line) as (select page_id, boxes, tolerance, 1, boxes[1].t, 0 from p
+  union all select page_id, boxes, tolerance, n + 1, case when abs(boxes[n + 1].t - first) > tolerance then boxes[n + 1].t else first end, case when abs(boxes[n + 1].t - first) > tolerance then line + 1 else line end from g where n < len(boxes)),
+ r as (select page_id, line, boxes[n] as b from g)
+ select page_id, line::int as pos, string_agg(b.x, ' ' order by b.l, b.t, b.x) as line from r group by page_id, line"""
+)
 def ocr_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes of recognised lines in reading order; every box is on one line."""
+    """Lines of pages of boxes: rows compare with their first box, and read from left to right."""
     o = load(spark, sf_dir, "orders")
-    top = (F.col("o_orderkey") * 37 % 800).cast("int")
-    boxes = o.select(F.col("o_custkey").alias("page_id"), F.col("o_orderkey").cast("string").alias("text"), top.alias("top"), (F.col("o_orderkey") % 500).cast("int").alias("left"), (top + 10).alias("bottom"), (F.col("o_orderkey") % 500 + 40).cast("int").alias("right"))
-    r = layout.reading_order(boxes)
-    return r.groupBy("page_id").agg(F.sum(F.size(F.split("line", " "))).cast("long").alias("boxes"))
+    top, key = (F.col("o_orderkey") * 37 % 200).cast("int"), F.col("o_orderkey")
+    boxes = o.select(F.col("o_custkey").alias("page_id"), key.cast("string").alias("text"), top.alias("top"), (key % 500).cast("int").alias("left"), (top + key % 7 + 8).cast("int").alias("bottom"), (key % 500 + 40).cast("int").alias("right"))
+    return layout.reading_order(boxes)
 
 
 @query(f"with {JOBS} select cv_id, pos, case when start_month is not null and start_year is not null then lpad(start_month::varchar, 2, '0') || ' / ' || start_year when start_year is not null then start_year::varchar else '-' end || ' – ' || case when is_current then 'Present' when end_month is not null and end_year is not null then lpad(end_month::varchar, 2, '0') || ' / ' || end_year when end_year is not null then end_year::varchar else '-' end as label from jobs")

@@ -118,7 +118,20 @@ def url_equivalence_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(other, ["page_id", "normal"], "left_semi")
 
 
-@query()
+#: Block elements as an importer sees them, and the character references of a text.
+_BLOCK = "address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h1|h2|h3|h4|h5|h6|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul"
+_DECODE = "x"
+for _name, _char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", " "), ("copy", "©"), ("middot", "·"), ("#39", "''"), ("amp", "&")):
+    _DECODE = f"regexp_replace({_DECODE}, '&{_name};?', '{_char}', 'g')"
+
+
+@query(
+    rf"""with a as (select page_id, html, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript)\b.*?</(script|style|noscript)>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '(?i)<!doctype[^>]*>', '', 'g') as t from pages),
+ b as (select page_id, html, list_transform(regexp_split_to_array(regexp_replace(t, '(?i)</?({_BLOCK})(\s[^>]*)?/?>', chr(1), 'g'), chr(1)), lambda y: list_filter(list_transform(regexp_split_to_array(y, '<[^>]*>'), lambda x: trim(regexp_replace({_DECODE}, '[\s\x{{A0}}]+', ' ', 'g'))), lambda x: x <> '')) as p from a),
+ c as (select page_id, html, array_to_string(list_transform(p, lambda x: array_to_string(x, ' ')), chr(10)) as t from b),
+ d as (select page_id, html, trim(regexp_replace(t, '\n{{3,}}', chr(10) || chr(10), 'g'), chr(10) || ' ') as t from c)
+ select page_id, length(t)::int as chars, md5(t) as digest, len(list_distinct(list_transform(list_filter(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1), lambda x: trim(x) <> '' and not starts_with(lower(trim(x)), 'javascript:')), lambda x: lower(x))))::int as links from d"""
+)
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole-body text and number of links of pages, as an importer reads them."""
     t = page_text(load(spark, sf_dir, "pages"))
@@ -133,13 +146,21 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""select n_nationkey, chr(10) || n_name || chr(10) || ' ' || n_name || ' and strong ' || chr(10) || '• first 5% of ' || n_name as t,
- n_name || '' as name from nation"""
+    r"""select p_partkey, case p_partkey % 5 when 0 then chr(10) || p_name || chr(10) || ' ' || p_type || ' and strong ' || chr(10) || '• first 5% of ' || p_name when 1 then p_name || ' ' || p_type
+ when 2 then chr(10) || p_type || chr(10) || chr(10) || 'x' || chr(10) when 3 then 'deep ' || p_name || ' a' || chr(10) || 'b' else p_name || ' 100% ' || p_type end as t from part"""
 )
 def latex_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = load(spark, sf_dir, "nation")
-    src = F.concat(F.lit("\\section{"), F.col("n_name"), F.lit("} \\emph{"), F.col("n_name"), F.lit("} and \\textbf{\\textit{strong}} % gone\n\\item first 5\\% of "), F.col("n_name"))
-    return n.select("n_nationkey", text.latex_to_text(src).alias("t"), F.col("n_name").alias("name"))
+    """LaTeX sources as text: sections, nested font commands, items, comments, environments, options."""
+    p = load(spark, sf_dir, "part")
+    k, name, kind = F.col("p_partkey") % 5, F.col("p_name"), F.col("p_type")
+    j = lambda *y: F.concat(*(F.lit(z) if isinstance(z, str) else z for z in y))
+    src = (
+        F.when(k == 0, j("\\section{", name, "} \\emph{", kind, "} and \\textbf{\\textit{strong}} % gone\n\\item first 5\\% of ", name))
+        .when(k == 1, j("\\textbf{\\textit{\\emph{\\underline{", name, "}}}} {", kind, "}% all ", name))
+        .when(k == 2, j("\\subsection*{", kind, "}\n\\begin{itemize}x\\end{itemize}\n% only this"))
+        .when(k == 3, j("\\large[2pt]deep ", name, " a\n\\vspace*b")).otherwise(j(name, " 100\\% \\textbf{", kind, "}"))
+    )
+    return p.select("p_partkey", text.latex_to_text(src).alias("t"))
 
 
 LINES = "select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1)::int - 1 as pos from documents"
@@ -152,10 +173,11 @@ def block_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("doc_id", F.col("block").cast("long").alias("block"), F.col("n_lines").cast("long").alias("n_lines"), F.md5("body").alias("digest"))
 
 
-@query(f"with l as ({LINES}), m as (select *, lag(line) over (partition by doc_id order by pos) as before from l) select doc_id, count(*)::bigint as lines, count(*) filter (before is null or before <> line)::bigint as kept from m group by doc_id")
+@query(f"with l as ({LINES.replace('text,', "coalesce(text, ''),")}), m as (select *, lag(line) over (partition by doc_id order by pos) as before from l) select doc_id, count(*)::bigint as lines, count(*) filter (before is null or before <> line)::bigint as kept from m group by doc_id")
 def paragraph_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = F.split("text", "\n", -1)
-    d = load(spark, sf_dir, "documents").where("text is not null").select("doc_id", parts.alias("p"))
+    """Lines of documents, and those that differ from the line before; a null text counts as an empty one."""
+    parts = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    d = load(spark, sf_dir, "documents").select("doc_id", parts.alias("p"))
     return d.select("doc_id", F.size("p").cast("long").alias("lines"), F.size(text.collapse_repeats(F.col("p"))).cast("long").alias("kept"))
 
 
@@ -195,19 +217,19 @@ def name_line_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with w as (select doc_id, text as t, greatest(0, ceil((length(text) - 850) / 765.0))::bigint as last from documents where text is not null),
+    f"""with w as (select doc_id, coalesce(text, '') as t, greatest(0, ceil((length(coalesce(text, '')) - 850) / 765.0))::bigint as last from documents),
  e as (select doc_id, unnest(generate_series(0, last)) as k, t from w) select doc_id, k::bigint as k, length(substr(t, k * 765 + 1, 850))::bigint as chars, md5(substr(t, k * 765 + 1, 850)) as digest from e"""
 )
 def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping windows of the compact profile over whole documents."""
     p = chunking.PROFILES["compact"]
-    d = load(spark, sf_dir, "documents").where("text is not null")
+    d = load(spark, sf_dir, "documents").fillna("", ["text"])
     e = d.select("doc_id", F.posexplode(chunking.windows(F.col("text"), p.slice_chars, p.overlap)).alias("k", "s"))
     return e.select("doc_id", F.col("k").cast("long").alias("k"), F.length("s").cast("long").alias("chars"), F.md5("s").alias("digest"))
 
 
 @query(
-    f"""with p as (select doc_id, list_filter(list_transform(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda x: {TRIM % "x"}), lambda x: x <> '') as parts from documents where text is not null),
+    f"""with p as (select doc_id, list_filter(list_transform(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda x: {TRIM % "x"}), lambda x: x <> '') as parts from (select doc_id, coalesce(text, '') as text from documents)),
  e as (select doc_id, parts, unnest(generate_series(0, greatest(ceil(len(parts) / 2.0)::bigint - 1, 0))) as k from p),
  s as (select doc_id, k, array_to_string(list_slice(parts, k * 2 + 1, k * 2 + 2), chr(10) || chr(10)) as s from e)
  select doc_id, k::bigint as k, length(case when length(s) <= 1900 then s else left(s, 1900) || '[...]' end)::bigint as chars from s"""
@@ -215,7 +237,7 @@ def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraph pairs of the small profile; every line counts as a paragraph here."""
     p = chunking.PROFILES["small"]
-    d = load(spark, sf_dir, "documents").where("text is not null")
+    d = load(spark, sf_dir, "documents").fillna("", ["text"])
     parts = text.paragraphs(F.replace("text", F.lit("\n"), F.lit("\n\n")))
     e = d.select("doc_id", F.posexplode(chunking.batches(parts, p.work, p.slice_chars)).alias("k", "s"))
     return e.select("doc_id", F.col("k").cast("long").alias("k"), F.length("s").cast("long").alias("chars"))
@@ -229,10 +251,11 @@ def chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"select doc_id, (({NONWS % 'text'}) > 40 and not regexp_matches(text, '[0-9]|%') and not regexp_matches(text, '(?i)\\b({'|'.join(text.STRONG_VERBS)})\\b')) as generic from documents where text is not null"
+    f"select doc_id, coalesce(({NONWS % 'text'}) > 40 and not regexp_matches(text, '[0-9]|%') and not regexp_matches(text, '(?i)\\b({'|'.join(text.STRONG_VERBS)})\\b'), false) as generic from documents"
 )
 def generic_description(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents").where("text is not null").select("doc_id", text.is_generic("text").alias("generic"))
+    """Whether a text says nothing concrete; a null text counts as false."""
+    return load(spark, sf_dir, "documents").select("doc_id", F.coalesce(text.is_generic("text"), F.lit(False)).alias("generic"))
 
 
 @query(
@@ -250,24 +273,53 @@ def entity_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("conv_id", F.array_join(chunking.unsupported(F.col("src"), F.col("out")), "|").alias("tokens"))
 
 
+ANSWERS = """t as (select conv_id, turn, coalesce(text, '') as x, (conv_id + turn) % 6 as k from conversations),
+ r as (select conv_id, turn, case k when 0 then '```md' || chr(10) || x || chr(10) || '```' when 1 then '- first step — since ' || x when 2 then '2) do it - so' || chr(10) || x when 3 then '• a - b — c' || chr(10) || '-   ' || chr(10) || '* ' || x
+  when 4 then ' ```' || chr(10) || '1. inside — it' || chr(10) || '``` ' else x end as raw from t)"""
+
+
 @query(
-    f"""with l as (select conv_id, turn, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {TRIM % "regexp_replace(trim(x), '^([-*•]|[0-9]+[.)])', '')"}), lambda x: x <> '') as items from conversations)
- select conv_id, turn, least(len(items), 4)::bigint as items, coalesce(items[1], '') as first from l"""
+    rf"""with {ANSWERS}, f as (select conv_id, turn, {TRIM % "raw"} as raw from r), u as (select conv_id, turn, case when starts_with(raw, '```') then regexp_replace(regexp_extract(raw, '(?s)^```[^\n]*\n(.*)$', 1), '(?s)```\s*$', '') else raw end as body from f),
+ l as (select conv_id, turn, list_filter(list_transform(string_split(body, chr(10)), lambda x: {TRIM % "regexp_replace(trim(x), '^([-*•]|[0-9]+[.)])', '')"}), lambda x: x <> '') as items from u),
+ s as (select *, case when strpos(items[1], ' — ') > 0 then strpos(items[1], ' — ') else strpos(items[1], ' - ') end as p from l)
+ select conv_id, turn, least(len(items), 4)::bigint as items, coalesce(case when p > 0 then trim(left(items[1], p - 1)) else items[1] end, '') as first, case when p > 0 and trim(substr(items[1], p + 3)) <> '' then trim(substr(items[1], p + 3)) end as reason from s"""
 )
 def advice_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = load(spark, sf_dir, "conversations").where(~F.coalesce(F.col("text"), F.lit("")).contains("```"))
-    a = chunking.advice(F.replace(F.replace("text", F.lit(" — "), F.lit(" ")), F.lit(" - "), F.lit(" ")))
-    out = c.select("conv_id", "turn", a.alias("a"))
-    return out.select("conv_id", "turn", F.size("a").cast("long").alias("items"), F.coalesce(F.get("a", F.lit(0))["advice"], F.lit("")).alias("first"))
+    """Items of list answers: fenced or not, with bullets, numbers, reasons after dashes, and none of these."""
+    c = load(spark, sf_dir, "conversations").fillna("", ["text"])
+    k, x = (F.col("conv_id") + F.col("turn")) % 6, F.col("text")
+    j = lambda *y: F.concat(*(F.lit(z) if isinstance(z, str) else z for z in y))
+    raw = (
+        F.when(k == 0, j("```md\n", x, "\n```")).when(k == 1, j("- first step — since ", x)).when(k == 2, j("2) do it - so\n", x))
+        .when(k == 3, j("• a - b — c\n-   \n* ", x)).when(k == 4, " ```\n1. inside — it\n``` ").otherwise(x)
+    )
+    out = c.select("conv_id", "turn", chunking.advice(raw).alias("a"))
+    first = F.get("a", F.lit(0))
+    return out.select("conv_id", "turn", F.size("a").cast("long").alias("items"), F.coalesce(first["advice"], F.lit("")).alias("first"), first["rationale"].alias("reason"))
+
+
+_NUMBERED = r"^\s*(\d+)\s*[:).\-]\s*(.+?)\s*$"
 
 
-@query("select o_orderkey, 'v' || o_orderstatus || '9' as one, 'z' as two from orders")
+@query(
+    rf"""with t as (select o_orderkey, case o_orderkey % 4 when 0 then '1: first|noise| 2) z |0: none|1 - second ' || o_orderstatus when 1 then '1. v - ' || o_orderpriority || '|12: |3:' || o_orderkey when 2 then '4 - ' || o_orderstatus || '|5) a|no: b|-1: c'
+  else '1: x|2:' || o_orderkey || '|' || chr(9) || '7.  tabbed  |8) 8: inner' end as raw from orders),
+ l as (select o_orderkey, unnest(string_split(raw, '|')) as line, generate_subscripts(string_split(raw, '|'), 1) as pos from t),
+ m as (select o_orderkey, pos, try_cast(regexp_extract(line, '{_NUMBERED}', 1) as int) as k, trim(regexp_extract(line, '{_NUMBERED}', 2)) as v from l where regexp_matches(line, '{_NUMBERED}'))
+ select o_orderkey, arg_max(v, pos) filter (k = 1) as one, arg_max(v, pos) filter (k = 2) as two, (count(distinct k) filter (k >= 1))::int as n from m group by o_orderkey"""
+)
 def repair_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbered answers; the last of a number wins, numbers below one and other lines go."""
     o = load(spark, sf_dir, "orders")
-    raw = F.concat(F.lit("1: first\nnoise\n 2) z \n0: none\n1 - v"), F.col("o_orderstatus"), F.lit("9"))
+    k, status, prio, key = F.col("o_orderkey") % 4, F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("o_orderkey").cast("string")
+    j = lambda *y: F.concat(*(F.lit(z) if isinstance(z, str) else z for z in y))
+    raw = (
+        F.when(k == 0, j("1: first\nnoise\n 2) z \n0: none\n1 - second ", status))
+        .when(k == 1, j("1. v - ", prio, "\n12: \n3:", key)).when(k == 2, j("4 - ", status, "\n5) a\nno: b\n-1: c"))
+        .otherwise(j("1: x\n2:", key, "\n\t7.  tabbed  \n8) 8: inner"))
+    )
     m = chunking.repairs(raw)
-    return o.select("o_orderkey", F.element_at(m, 1).alias("one"), F.element_at(m, 2).alias("two"))
+    return o.select("o_orderkey", F.element_at(m, 1).alias("one"), F.element_at(m, 2).alias("two"), F.size(m).alias("n"))
 
 
 @query("select doc_id, upper(sha256(coalesce(text, '') || chr(31) || coalesce(lang, ''))) as digest from documents")
@@ -287,15 +339,13 @@ ESC_L = "replace(replace(replace(replace(replace(replace(replace(replace(x, '\\'
 @query(
     f"""with s as (select p_partkey, p_name || ' & <' || p_brand || '> "' || p_type || '" 5% | a_b,c' as x from part)
  select p_partkey, replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') as html, replace(x, '|', '\\|') as markdown, {ESC_L} as latex, '"' || replace(x, '"', '""') || '"' as csv,
- regexp_replace(repeat(x, 3), '(.{{100}})', '\\1' || chr(10), 'g') as wrapped from s"""
+ regexp_replace(regexp_replace(repeat(x, p_size % 9), '(.{{100}})', '\\1' || chr(10), 'g'), chr(10) || '$', '') as wrapped from (select s.*, p_size from s join part using (p_partkey))"""
 )
 def export_escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = load(spark, sf_dir, "part")
     x = F.concat("p_name", F.lit(" & <"), "p_brand", F.lit('> "'), "p_type", F.lit('" 5% | a_b,c'))
-    p = p.select("p_partkey", x.alias("x"))
-    wrapped = text.wrap_plain(F.repeat("x", 3))
-    exact = F.length(F.repeat("x", 3)) % 100 == 0
-    return p.select("p_partkey", text.escape_html("x").alias("html"), text.escape_markdown("x").alias("markdown"), text.escape_latex("x").alias("latex"), text.escape_csv("x", ",").alias("csv"), F.when(exact, F.concat(wrapped, F.lit("\n"))).otherwise(wrapped).alias("wrapped"))
+    p = p.select("p_partkey", "p_size", x.alias("x"))
+    return p.select("p_partkey", text.escape_html("x").alias("html"), text.escape_markdown("x").alias("markdown"), text.escape_latex("x").alias("latex"), text.escape_csv("x", ",").alias("csv"), text.wrap_plain(F.expr("repeat(x, p_size % 9)")).alias("wrapped"))
 
 
 @query("select c_custkey, case when c_custkey % 5 = 0 then 'CV' else c_name || '_' || c_mktsegment end || '.pdf' as file, upper(left(c_name, 1)) || upper(left(c_mktsegment, 1)) as initials from customer")

@@ -178,7 +178,7 @@ def read_xml(text: str, europass: bool) -> dict:
     pick = lambda e, *names: _first(e, *names, listed=europass)
 
     def dated(e: ElementTree.Element) -> dict:
-        whole = " ".join("".join(e.itertext()).split()) + " " + " ".join(str(v) for x in e.iter() for v in x.attrib.values())
+        whole = " ".join(" ".join(e.itertext()).split()) + " " + " ".join(str(v) for x in e.iter() for v in x.attrib.values())
         years = _years(whole, after, before)
         now = bool(re.search(r"(?i)present|current|ongoing|>true<", whole)) or any(_name(x) in ("Current", "Ongoing") and "true" in ((x.text or "") + str(x.attrib)).lower() for x in e.iter())
         return {"start_year": years[0] if years else None, "end_year": None if now or len(years) < 2 else years[-1], "is_current": now}

@@ -26,22 +26,22 @@ def ask(spark, make, *lines):
 def test_cues(spark):
     assert ask(spark, cues.location, "Bratislava, Slovakia", "C#, Java", "a, b, c", "Praha 4, CZ") == [True, False, False, False]
     assert ask(spark, cues.technology_list, "Spark, Kafka, SQL", "we did this, that was it", "Paris, France", "Node.js, .NET") == [True, False, False, True]
-    assert ask(spark, cues.plausible_skill, "Python", "jane@x.y", "Jane Doe", "a b c d e", "x") == [True, False, False, False, False]
+    assert ask(spark, cues.plausible_skill, "Python", "jane@x.yz", "Jane Doe", "a b c d e", "x") == [True, False, False, False, False]
     assert ask(spark, cues.standalone_skill, "C++", "Docker", "Some long thing here") == [True, True, False]
-    assert ask(spark, cues.incomplete_institution, "University of", "School of Arts", "MIT") == [True, True, False]
+    assert ask(spark, cues.incomplete_institution, "Faculty of", "School of Arts", "School of Engineering", "University of", "MIT") == [True, True, False, False, False]
     assert ask(spark, cues.degree_type, "PhD in X", "Ing. Novak", "BSc", "Course", "?") == ["Doctorate", "Master", "Bachelor", "Certificate", "Other"]
     assert ask(spark, cues.language_part, "Reading: C1", "English: C1") == [True, False]
-    assert ask(spark, cues.work_bleed, "Dev at X", "2019 - 2020", "Docker") == [True, True, False]
-    assert ask(spark, cues.plausible_category, "Tools", "Soft Skills", "Some odd label") == [True, True, False]
+    assert ask(spark, cues.work_bleed, "X s.r.o. Praha", "2019 - 2020", "Docker") == [True, True, False]
+    assert ask(spark, cues.plausible_category, "DevOps", "Cloud & DevOps", "Docker", "Some odd label") == [True, True, False, False]
 
 
 def test_folds(spark):
     assert ask(spark, folds.url_lines, "see https://\nexample.com/a\nnext one")[0] == ["see https://example.com/a", "next one"]
-    assert ask(spark, folds.labelled_lines, "Phone:\n+421\nrest")[0] == ["Phone: +421", "rest"]
+    assert ask(spark, folds.labelled_lines, "Phone: +421\n 900\n\nrest\nCity: x")[0] == ["Phone: +421 900", "", "rest", "City: x"]
     unit = " ".join(f"word{n}" for n in range(15)) + " "
-    assert ask(spark, lambda c: folds.repeated_prefix(c), unit + unit + "tail", "short", None) == [unit + "tail", "short", None]
-    df = spark.createDataFrame([(["University of", "Arts\n2001", "Next School\n2002"],)], "b array<string>")
-    assert df.select(folds.education_blocks(F.col("b")).alias("x")).first()["x"] == ["University of\nArts\n2001", "Next School\n2002"]
+    assert ask(spark, lambda c: folds.repeated_prefix(c), unit + unit + "tail", "short", None) == [unit.strip(), "short", None]
+    df = spark.createDataFrame([(["School of", "Arts\n2001", "Next School\n2002"],)], "b array<string>")
+    assert df.select(folds.education_blocks(F.col("b")).alias("x")).first()["x"] == ["School of\nArts\n2001", "Next School\n2002"]
     lines = spark.createDataFrame([(1, n, x) for n, x in enumerate(["Spark", "SQL · Expert", "Kafka", "Advanced", "Beginner"])], "doc_id int, pos int, line string")
     assert [r["line"] for r in folds.orphan_levels(lines).orderBy("pos").collect()] == ["Spark · Advanced", "SQL · Expert", "Kafka · Beginner"]
     assert ask(spark, folds.orphan_dates, "a\n/ 2019 - 3 / 2020\nb")[0] == ["/ 2019 - 3 / 2020"]
