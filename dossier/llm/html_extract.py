@@ -92,10 +92,10 @@ def class_names(classes: list[str]) -> set[str]:
     return found
 
 
-def forgiven(page: str) -> frozenset[int]:
+def forgiven(walked: list[tuple]) -> frozenset[int]:
     """Places of elements that are boilerplate by class alone and yet hold most of their page's words, so are wrappers of it."""
     total, open_, held = 0, [], []
-    for what, name, text, _, _, (at, depth) in walk(page, frozenset()):
+    for what, name, text, _, _, (at, depth) in walked:
         while open_ and open_[-1][1] >= depth:
             first, _, before = open_.pop()
             held.append((first, total - before))
@@ -109,7 +109,10 @@ def forgiven(page: str) -> frozenset[int]:
 
 def pieces(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
     """(what, name, text or kind, boilerplate, in content) of each tag ('<' or '>') and text ('') in page order."""
-    for what, name, text, bad, inside, _ in walk(page, forgiven(page)):
+    walked = list(walk(page, frozenset()))
+    if spared := forgiven(walked):
+        walked = list(walk(page, spared))
+    for what, name, text, bad, inside, _ in walked:
         yield what, name, text, bad, inside
 
 
