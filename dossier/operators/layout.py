@@ -37,6 +37,27 @@ def reading_order(boxes: DataFrame) -> DataFrame:
     return kept.groupBy("page_id").applyInPandas(run, f"page_id {kind}, pos int, line string")
 
 
+def line_words(words: pd.DataFrame, most: float = 3.0) -> list[str]:
+    """Lines of one column: words by baseline, a line until one lies ``most`` points or more from the line's first word."""
+    rows: list[list[tuple]] = []
+    for w in words.sort_values(["y", "x", "text"]).itertuples():
+        if not rows or abs(w.y - rows[-1][0][1]) >= most:
+            rows.append([])
+        rows[-1].append((w.x, w.y, w.text))
+    return [" ".join(t for _, _, t in sorted(r)) for r in rows]
+
+
+def word_lines(words: DataFrame) -> DataFrame:
+    """(page_id, pos, line) of the words (page_id, text, x, y) of pages or columns; a group is one page."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        lines = line_words(pdf)
+        return pd.DataFrame({"page_id": pdf["page_id"].iloc[0], "pos": range(len(lines)), "line": lines})
+
+    kind = dict(words.dtypes)["page_id"]
+    return words.where("text is not null and x is not null and y is not null").groupBy("page_id").applyInPandas(run, f"page_id {kind}, pos int, line string")
+
+
 def columns(words: DataFrame, ratio: float = 0.5, least: int = 3) -> DataFrame:
     """Words (page_id, x0, x1, width, …) with ``side``: 'L' or 'R' by their centre where both sides have enough words, else 'L'."""
     side = F.when((F.col("x0") + F.col("x1")) / 2 <= F.col("width") * ratio, "L").otherwise("R")
