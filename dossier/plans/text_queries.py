@@ -243,7 +243,32 @@ def chunk_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("doc_id", F.col("k").cast("long").alias("k"), F.length("s").cast("long").alias("chars"))
 
 
-@query()
+_HEADINGS = ", ".join(f"('{s}', '{k}', {n})" for n, (s, k) in enumerate((s, k) for s, ks in lines.HEADINGS.items() for k in ks))
+_NOT = ", ".join(f"'{k}'" for k in lines.NOT_HEADINGS)
+#: SQL: (doc_id, section, body) of the normalised texts in a table n (doc_id, t), the rules of headings worked out by a join with them.
+SECTIONS = rf"""kw(section, k, o) as (values {_HEADINGS}), ln as (select doc_id, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as pos from n where t <> ''),
+ br as (select *, regexp_replace({TRIM % "line"}, ':+$', '') as bare from ln),
+ hd as (select doc_id, pos, arg_min(section, (100 - length(k)) * 1000 + o) as heading from br join kw on length(bare) between 1 and length(k) + {lines.SLACK} and length(bare) <= {lines.LONGEST} and contains(lower(bare), k)
+  where lower(bare) not in ({_NOT}) and not regexp_matches(bare, '(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{{2,}}') and not regexp_matches(bare, '(?i)https?://') and not regexp_matches(bare, '(^|[^0-9])(19[5-9][0-9]|20[0-9][0-9])([^0-9]|$)') group by doc_id, pos),
+ mk as (select br.doc_id, br.pos, br.line, heading, sum(case when heading is null then 0 else 1 end) over (partition by br.doc_id order by br.pos) as part from br left join hd on hd.doc_id = br.doc_id and hd.pos = br.pos),
+ pt as (select doc_id, part, coalesce(max(heading), 'Header') as section, {TRIM % "coalesce(string_agg(line, chr(10) order by pos) filter (heading is null), '')"} as body from mk group by doc_id, part),
+ no as (select doc_id, max(part) = 0 as none from pt group by doc_id),
+ sc as (select doc_id, section, string_agg(body, chr(10) || chr(10) order by part) as body from pt where body <> '' group by doc_id, section),
+ sections as (select sc.* from sc union all select sc.doc_id, 'AdditionalInformation', body from sc join no on no.doc_id = sc.doc_id where none)"""
+_P = chunking.PROFILES["compact"]
+_STEP = _P.slice_chars - min(120, _P.slice_chars // 10)
+
+
+@query(
+    rf"""with n as (select doc_id, {NORMAL} as t from (select doc_id, text as t from documents)), {SECTIONS},
+ ph(o, phase, sections) as (values (0, 'Personal', ['Header', 'Contact', 'Summary']), (1, 'Work', ['WorkExperience']), (2, 'Education', ['Education']), (3, 'SkillsAndLanguages', ['Skills', 'Languages']), (4, 'Certificates', ['Certificates']), (5, 'Projects', ['Projects']), (6, 'Links', ['Links']), (7, 'Additional', ['AdditionalInformation'])),
+ gl as (select n.doc_id, o, phase, coalesce(string_agg(body, chr(10) || chr(10) order by list_position(ph.sections, section)), case when o = 0 then any_value(t) end) as c from n cross join ph left join sections s on s.doc_id = n.doc_id and list_contains(ph.sections, s.section) group by n.doc_id, o, phase),
+ pa as (select *, list_filter(list_transform(string_split(c, chr(10) || chr(10)), lambda x: {TRIM % "x"}), lambda x: x <> '') as parts from gl where c is not null and c <> ''),
+ sl as (select doc_id, o, phase, case when len(parts) > 1 then list_transform(parts, lambda x: case when length(x) <= {_P.slice_chars} then length(x) else {_P.slice_chars} + 5 end)
+  else list_transform(range(greatest(0, ceil((length(c) - {_P.slice_chars}) / {_STEP}.0))::bigint + 1), lambda i: length(substr(c, i * {_STEP} + 1, {_P.slice_chars}))) end as sizes from pa),
+ ex as (select doc_id, o, phase, len(sizes) as batch_count, unnest(sizes) as chars, generate_subscripts(sizes, 1) as batch_index from sl)
+ select doc_id, phase, batch_index::int as batch_index, batch_count::int as batch_count, (row_number() over (partition by doc_id order by o, batch_index) - 1)::int as step, chars::int as chars from ex"""
+)
 def chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All calls that assisted import of each document takes, with the compact profile."""
     d = load(spark, sf_dir, "documents").select("doc_id", text.normalize("text").alias("text"))
