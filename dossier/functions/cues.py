@@ -74,7 +74,7 @@ def incomplete_institution(line: Column) -> Column:
 
 def single_institution(head: Column) -> Column:
     """Whether the lines of an education header name one institution and no degree beside it."""
-    n, first, last = F.size(head), F.get(head, F.lit(0)), F.element_at(head, -1)
+    n, first, last = F.size(head), F.get(head, F.lit(0)), F.try_element_at(head, F.lit(-1))
     joined = F.exists(head, lambda x: F.lower(x).startswith("and "))
     apart = (n >= 2) & degree(first) & (((n >= 3) & institution(last)) | ((n == 2) & _any(last, STANDALONE_INSTITUTION)))
     named = institution(F.array_join(head, " ")) | ((n >= 2) & incomplete_institution(first))
@@ -120,8 +120,8 @@ def technology_list(line: Column) -> Column:
 
 
 def education_anchor(block: Column) -> Column:
-    """Whether a block already holds what an entry is known by: a date, a degree or an institution."""
-    return F.exists(lines_of(block), lambda x: dates.parse_range(x).isNotNull() | degree(x) | institution(x))
+    """Whether a block already holds what an entry is known by: a date or an institution, whole or cut off."""
+    return F.exists(lines_of(block), lambda x: dates.parse_range(x).isNotNull() | institution(x) | incomplete_institution(x))
 
 
 def education_continuation(block: Column, previous: Column) -> Column:
@@ -131,7 +131,7 @@ def education_continuation(block: Column, previous: Column) -> Column:
     is a date, a place or a degree while the block before is an entry. A block that opens with a date or degree does not.
     """
     own = lines_of(block)
-    first, last = F.get(own, F.lit(0)), F.element_at(lines_of(previous), -1)
+    first, last = F.get(own, F.lit(0)), F.try_element_at(lines_of(previous), F.lit(-1))
     opens = dates.parse_range(first).isNotNull() | degree(first)
     plain = F.forall(own, lambda x: (F.length(x) < 80) & dates.parse_range(x).isNull() & ~location(x) & ~degree(x))
     joins = F.lower(first).startswith("and ") | F.coalesce(incomplete_institution(last), F.lit(False)) | (plain & education_anchor(previous))

@@ -23,17 +23,14 @@ def parse_token(token: Column) -> Column:
     """struct<month, year> of '2020', '3/2020' or 'Mar 2020'; null fields where it is none of them."""
 
     def of(t: Column) -> Column:
-        plain = F.when(t.rlike(r"^[+-]?\d+$"), _int(t))
-        slash_m = _int(F.regexp_extract(t, r"^(\d{1,2})\s*/\s*(\d{4})$", 1))
-        named = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.regexp_extract(t, r"^([A-Za-z]{3}) (\d{4})$", 1)))
-        tail = _int(F.right(t, F.lit(4)))
-        parts = F.struct(F.when(plain.between(FIRST_YEAR, LAST_YEAR), plain).alias("plain"), slash_m.alias("slash"), named.cast("int").alias("named"), tail.alias("tail"))
-        return let(parts, pick)
-
-    def pick(p: Column) -> Column:
-        month = F.when(p["plain"].isNotNull(), F.lit(None)).when(p["slash"].between(1, 12), p["slash"]).when(p["named"] > 0, p["named"])
-        year = F.coalesce(p["plain"], F.when(p["slash"].between(1, 12) | (p["named"] > 0), p["tail"]))
-        return F.struct(month.cast("int").alias("month"), year.cast("int").alias("year"))
+        none = F.lit(None).cast("int")
+        pair = lambda month, year: F.struct(month.cast("int").alias("month"), year.cast("int").alias("year"))
+        plain = let(_int(t), lambda y: pair(none, F.when(y.between(FIRST_YEAR, LAST_YEAR), y)))
+        slash = let(_int(F.regexp_extract(t, r"^(\d{1,2})\s*/\s*\d{4}$", 1)), lambda m: F.when(m.between(1, 12), pair(m, _int(F.right(t, F.lit(4))))).otherwise(pair(none, none)))
+        month = F.instr(F.lit("".join(MONTHS)), F.lower(F.left(t, F.lit(3))))
+        named = F.when(t.rlike(r"^[A-Za-z]{3} \d{4}$") & (month % 3 == 1), pair((month + 2) / 3, _int(F.right(t, F.lit(4))))).otherwise(pair(none, none))
+        # Of a token's three shapes only one is worked out.
+        return F.when(t.rlike(r"^[+-]?\d+$"), plain).when(F.contains(t, F.lit("/")), slash).otherwise(named)
 
     return let(trim_ws(token), of)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.functions import cues, dates
-from dossier.functions.text import WS, has_text, lines_of, rtrim_ws, trim_ws
+from dossier.functions.text import WS, WS_CHARS, has_text, lines_of, rtrim_ws, trim_ws
 
 
 #: A label of letters and spaces, a colon and a value.
@@ -32,7 +32,7 @@ def raw_lines(text: Column) -> Column:
 
 
 def ltrim_ws(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{WS}+", "")
+    return F.ltrim(c, F.lit(WS_CHARS))
 
 
 def glued_lines(text: Column, joins: Callable[[Column, Column], Column], sep: str) -> Column:

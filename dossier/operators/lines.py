@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions import cues, dates
 from dossier.functions.cues import EMAIL, PHONE
-from dossier.functions.text import has_text, let, lines_of, trim_ws
+from dossier.functions.text import WS_CHARS, has_text, let, trim_ws
 from dossier.functions.urls import URL
 
 # Section headings by section, in order of preference.
@@ -35,7 +35,7 @@ def explode_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 def bare(line: Column) -> Column:
     """A heading candidate: trimmed, without closing colons."""
-    return F.regexp_replace(trim_ws(line), ":+$", "")
+    return F.rtrim(trim_ws(line), F.lit(":"))
 
 
 def heading_of(line: Column) -> Column:
@@ -59,9 +59,11 @@ def heading_of(line: Column) -> Column:
     def head(b: Column) -> Column:
         return let(named(b), lambda s: F.when(s.isNotNull() & ~b.rlike(EMAIL) & ~b.rlike(URL) & dates.parse_range(b).isNull(), s))
 
-    # No heading is longer than the longest keyword with its slack, so most lines end here.
+    # No heading is longer than the longest keyword with its slack, so most lines end here: without colons and spaces at
+    # both ends a line is no longer than its bare form.
     longest = min(LONGEST, max(n for n, *_ in order) + SLACK)
-    return F.when(F.length(bare(line)).between(1, longest), let(bare(line), head))
+    short = F.length(F.btrim(line, F.lit(WS_CHARS + ":"))).between(1, longest)
+    return F.when(short, let(bare(line), lambda b: F.when(F.length(b).between(1, longest), head(b))))
 
 
 def with_sections(docs: DataFrame, text: str = "text") -> DataFrame:

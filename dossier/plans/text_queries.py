@@ -96,8 +96,9 @@ def date_range_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 2, F.format_string("%02d / %d – %02d / %d", m, y, m, y + 2))
         .otherwise(F.concat(F.date_format("o_orderdate", "MMM yyyy"), F.lit(" - "), end))
     )
-    r = dates.parse_range(line)
-    return o.select("o_orderkey", *(r[f].alias(f) for f in ("start_month", "start_year", "end_month", "end_year", "is_present")))
+    # Generators work their input out once; a plain column would be made anew for every use.
+    o = o.select("o_orderkey", F.explode(F.array(line)).alias("line")).select("o_orderkey", F.explode(F.array(dates.parse_range(F.col("line")))).alias("r"))
+    return o.select("o_orderkey", *(F.col("r")[f].alias(f) for f in ("start_month", "start_year", "end_month", "end_year", "is_present")))
 
 
 NURL = r"""case when regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#:]+') then lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' ||
