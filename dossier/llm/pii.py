@@ -147,19 +147,22 @@ class Terms:
 
     def reader(self):
         """A function from a set of words to those that are terms, with their numbers."""
-        known: dict[str, float | None] = {}
+        asked: set[str] = set()
+        terms: dict[str, float] = {}
 
         def of(words: set[str]) -> dict[str, float]:
-            new = [w for w in words if w not in known]
-            if new:
-                if len(known) > REMEMBERED:
-                    known.clear()
+            new = list(words - asked)
+            if new and len(self.hashes):
+                if len(asked) > REMEMBERED:
+                    asked.clear()
+                    terms.clear()
                     new = list(words)
                 h = np.array([_hash(w) for w in new], dtype=np.int64)
-                at = np.minimum(np.searchsorted(self.hashes, h), max(0, len(self.hashes) - 1))
-                hit = self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), dtype=bool)
-                known.update(zip(new, [v if y else None for v, y in zip(self.values[at].tolist() if len(self.hashes) else h, hit.tolist(), strict=True)], strict=True))
-            return {w: v for w in words if (v := known[w]) is not None}
+                at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+                for n in np.flatnonzero(self.hashes[at] == h).tolist():
+                    terms[new[n]] = float(self.values[at[n]])
+                asked.update(new)
+            return {w: terms[w] for w in terms.keys() & words}
 
         return of
 
@@ -309,7 +312,7 @@ def _marked(docs: DataFrame, terms: DataFrame, block_terms: int) -> tuple[DataFr
                     spans = base_spans(text)
                     base.append([{"start": a, "end": b, "kind": k, "share": None} for a, b, k in spans])
                     new = old.as_py()
-                    if len(shared.value.hashes) and (held := of({x.lower() for x in TERM.findall(text)})):
+                    if len(shared.value.hashes) and (held := of(set(map(str.lower, TERM.findall(text))))):
                         new = new + [{"start": a, "end": b, "kind": "term", "share": held[w]} for a, b, w in _words_outside(text, spans) if w in held]
                     extra.append(new)
                 columns = list(batch.columns)
