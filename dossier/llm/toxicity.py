@@ -232,7 +232,7 @@ def clauses(grammar: Grammar, text: str | None) -> tuple[list[list[Match]], int]
             if hit:
                 matches.append((symbol, hit[1], set(NAMED[state][symbol])))
                 since = 0
-            elif symbol == TARGET and since < REACH:
+            elif symbol == TARGET and since <= REACH:
                 matches[-1][2].add("aimed")
             state = STEP[state][symbol]
             since += symbol != QUOTE
