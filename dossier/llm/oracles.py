@@ -62,6 +62,37 @@ HTML = r"""with a as (select page_id, url, regexp_extract(html, '(?s)<article>(.
  c as (select page_id, url, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&nbsp;?', ' ', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) as t from b)
  select page_id, url, t as text, length(t)::bigint as n_chars from c"""
 
+_CRC_TABLE = "select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, n: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as crc"
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, beside a table ``crc`` of the remainders of all bytes."""
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length({text}) + 1), lambda n: ascii(substr({text}, n::int, 1))::bigint)), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+CONVERSATIONS = rf"""with recursive tables as ({_CRC_TABLE}),
+ k as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key from conversations),
+ d as (select k.*, {_crc32("key")} % 20 as kind from k, tables),
+ w as (select conv_id, turn, case kind when 4 then 'user' else role end as role, case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(case kind when 3 then 2 else 1 end)) as copy from d where kind <> 0),
+ f as (select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text), copy) as i, row_number() over (partition by conv_id, role, text order by turn nulls first, copy) > 1 as again, regexp_extract(text, '([^ 	-])[ 	-]*$', 1) as last from w),
+ r as (select conv_id, turn, role, text, i, left(role, 1) as c, last = '' as blank, last <> '' and again as duplicate, last <> '' and not again and last not in ('.', '!', '?') as truncated, lag(left(role, 1)) over (partition by conv_id order by i) || left(role, 1) as pair from f),
+ n as (select conv_id, count(*) as n, max(turn) - min(turn) + 1 - count(distinct turn) as gaps, count(*) filter (blank) as blank, count(*) filter (duplicate) as duplicate, count(*) filter (truncated) as truncated, count(*) filter (pair is not null and pair not in ('su', 'ua', 'au')) as illegal from r group by conv_id),
+ steps(q, c, t) as (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+ names(c, name) as (values ('u', 'user'), ('a', 'assistant')),
+ ins(q, t, edits, price, made) as (select q, q, '', 0, []::varchar[] from (values (0), (1), (2), (3)) v(q) union all
+  select ins.q, steps.t, edits || 'I', price + 3, list_append(made, name || ':') from ins join steps on steps.q = ins.t join names using (c) where price < 12),
+ p(conv_id, i, q, best) as (select conv_id, 0, 0, {{'cost': 0, 'audit': '', 'made': []::varchar[]}} from n union all
+  select conv_id, i, q, min(best) from (
+   select p.conv_id, p.i + 1 as i, x.t as q, {{'cost': best.cost + ins.price + x.price + case when truncated and x.edit <> 'D' then 3 else 0 end, 'audit': best.audit || ins.edits || x.edit, 'made': list_concat(best.made, ins.made, case x.edit when 'D' then [] when 'K' then [role || ':' || text] else [name || ':' || text] end)}} as best
+   from p join r on r.conv_id is not distinct from p.conv_id and r.i = p.i + 1 join ins on ins.q = p.q
+   join (select q, 'D' as edit, 4 as price, q as t, '' as c from (values (0), (1), (2), (3)) v(q) union all select q, 'K', 0, t, c from steps union all select q, 'R', 3, t, c from steps where c <> 's') x
+    on x.q = ins.t and (x.edit <> 'K' or x.c = r.c) and (x.edit = 'D' or not (blank or duplicate)) left join names on names.c = x.c) group by conv_id, i, q),
+ e as (select p.conv_id, min({{'cost': best.cost + ins.price, 'audit': best.audit || ins.edits, 'made': list_concat(best.made, ins.made)}}) as best from p join n on p.conv_id is not distinct from n.conv_id and p.i = n.n join ins on ins.q = p.q where ins.t in (0, 3) group by p.conv_id),
+ o as (select distinct conv_id from conversations)
+ select o.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal,
+ coalesce(best.cost, 0)::bigint as cost, coalesce(best.audit, '') as audit, sha256(coalesce(array_to_string(best.made, chr(10)), '')) as repaired_sha256
+ from o left join n on n.conv_id is not distinct from o.conv_id left join e on e.conv_id is not distinct from o.conv_id"""
+
 ORACLE_SQL = {
     "op3_mix": MIX,
     "op5_html": HTML,
@@ -69,4 +100,5 @@ ORACLE_SQL = {
     "op8_warc": WARC,
     "op9_suffix_dedup": SUFFIX,
     "op10_embeddings": EMBEDDINGS,
+    "op11_conversations": CONVERSATIONS,
 }

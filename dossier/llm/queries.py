@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, html_extract, licenses, mixing, pii, simhash, suffix_dedup, toxicity, warc
+from . import conversations, decontaminate, embeddings, html_extract, licenses, mixing, pii, simhash, suffix_dedup, toxicity, warc
 from .common import stash_dir, table
 from .oracles import ORACLE_SQL
 
@@ -73,6 +73,11 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired rows of every conversation after damage."""
+    return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
@@ -84,6 +89,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_embeddings": op10_embeddings,
+    "op11_conversations": op11_conversations,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
