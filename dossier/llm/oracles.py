@@ -74,7 +74,9 @@ CONVERSATIONS = rf"""with recursive tables as ({_CRC_TABLE}),
  k as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key from conversations),
  d as (select k.*, {_crc32("key")} % 20 as kind from k, tables),
  w as (select conv_id, turn, case kind when 4 then 'user' else role end as role, case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(case kind when 3 then 2 else 1 end)) as copy from d where kind <> 0),
- f as (select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text), copy) as i, row_number() over (partition by conv_id, role, text order by turn nulls first, copy) > 1 as again, regexp_extract(text, '([^ 	-])[ 	-]*$', 1) as last from w),
+ f as (select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text), copy) as i, row_number() over (partition by conv_id, role, text order by turn nulls first, copy) > 1 as again, regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) as last from w),
  r as (select conv_id, turn, role, text, i, left(role, 1) as c, last = '' as blank, last <> '' and again as duplicate, last <> '' and not again and last not in ('.', '!', '?') as truncated, lag(left(role, 1)) over (partition by conv_id order by i) || left(role, 1) as pair from f),
  n as (select conv_id, count(*) as n, max(turn) - min(turn) + 1 - count(distinct turn) as gaps, count(*) filter (blank) as blank, count(*) filter (duplicate) as duplicate, count(*) filter (truncated) as truncated, count(*) filter (pair is not null and pair not in ('su', 'ua', 'au')) as illegal from r group by conv_id),
  steps(q, c, t) as (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
@@ -93,6 +95,24 @@ CONVERSATIONS = rf"""with recursive tables as ({_CRC_TABLE}),
  coalesce(best.cost, 0)::bigint as cost, coalesce(best.audit, '') as audit, sha256(coalesce(array_to_string(best.made, chr(10)), '')) as repaired_sha256
  from o left join n on n.conv_id is not distinct from o.conv_id left join e on e.conv_id is not distinct from o.conv_id"""
 
+RUNS = rf"""with tables as ({_CRC_TABLE}),
+ d as (select row_number() over () as r, doc_id, coalesce(doc_id::varchar, '') as key, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+ h as (select r, doc_id, w, len(w) as n, {_crc32("key")} as h from d, tables),
+ a as (select *, h // 10 as g, case when doc_id is not null and n > 0 and h % 10 = 0 then (h // 10) % n end as a from h),
+ p as (select *, 1 + (n - a) // (3 + g % 8) as p from a),
+ e as (select r, doc_id, n, case when a is null then w else list_transform(range(n), lambda i: w[(case when i < a then i else a + (i - a) % p end) + 1]) end as w from p),
+ s as (select r, n, unnest(range(n - 15)) as i, unnest(list_transform(range(n - 15), lambda i: md5(array_to_string(w[i + 1:i + 16], ' ')))) as gram from e where n >= 24),
+ t as (select x.r, x.i, y.i - x.i as q from s x join s y on x.r = y.r and x.gram = y.gram and y.i > x.i and 3 * (y.i - x.i) <= x.n),
+ i as (select r, q, i, i - row_number() over (partition by r, q order by i) as island from t),
+ l as (select r, q, min(i) as start, count(*) + 15 + q as length from i group by r, q, island),
+ u as (select r, start, length, min(q) as period from l where length >= greatest(24, 3 * q) group by r, start, length),
+ b as (select r, count(*) as n_runs, min({{'less': -length::double / period, 'start': start, 'period': period, 'length': length}}) as best, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as lines from u group by r),
+ x as (select distinct r, unnest(range(start + period, start + length)) as i from u),
+ k as (select r, unnest(range(n)) as i, unnest(w) as w from e),
+ c as (select r, string_agg(w, ' ' order by i) as rest from k anti join x using (r, i) group by r)
+ select doc_id, coalesce(n_runs, 0)::bigint as n_runs, best.start::bigint as start, best.length::bigint as length, best.period::bigint as period, (1000 * best.length // best.period)::bigint as exponent_milli,
+ sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(rest, '')) as collapsed_sha256 from e left join b using (r) left join c using (r)"""
+
 ORACLE_SQL = {
     "op3_mix": MIX,
     "op5_html": HTML,
@@ -101,4 +121,5 @@ ORACLE_SQL = {
     "op9_suffix_dedup": SUFFIX,
     "op10_embeddings": EMBEDDINGS,
     "op11_conversations": CONVERSATIONS,
+    "op13_periodic": RUNS,
 }
