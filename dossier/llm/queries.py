@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontaminate, embeddings, html_extract, licenses, mixing, periodic, pii, simhash, suffix_dedup, toxicity, warc
+from . import conversations, decontaminate, edit_embedding, embeddings, html_extract, licenses, mixing, periodic, pii, simhash, suffix_dedup, toxicity, warc
 from .common import stash_dir, table
 from .oracles import ORACLE_SQL
 
@@ -78,6 +78,11 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
 
 
+def op12_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and of its version edited with the next one."""
+    return edit_embedding.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of every document's words after one in ten was made periodic."""
     return periodic.report(periodic.find(table(spark, sf_dir, "documents"), plant=True))
@@ -95,6 +100,7 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_embeddings": op10_embeddings,
     "op11_conversations": op11_conversations,
+    "op12_edit_embedding": op12_edit_embedding,
     "op13_periodic": op13_periodic,
 }
 
