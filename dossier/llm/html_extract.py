@@ -8,8 +8,12 @@ from text: elements that are boilerplate by name, role or class are left out of
 labelled pages say of such elements in content, so an advert amid an article does not end it.
 
 A class names boilerplate by its words ('site-footer', 'nav'), unless it says what an element has, holds or lies beside
-('has-sidebar', 'with-ads', 'content-sidebar'). ``html``, ``body``, ``article`` and ``main`` are never boilerplate by class, and
-neither is an element that holds most of the words of its page.
+('has-sidebar', 'with-ads', 'content-sidebar'). A class that says something else too ('related-work', 'login-guide') is no evidence by
+itself: such an element is boilerplate only if half or more of its words are links. ``html``, ``body``, ``article`` and ``main`` are
+never boilerplate by class. An element that holds most of the words of its page is its wrapper and no boilerplate, a
+form too; one named for comments, menus, footers and the like only if it holds nearly all of them.
+
+Open elements are a stack with the places of each name, so every tag takes constant time, tags without a partner as well.
 """
 
 from __future__ import annotations
@@ -29,8 +33,6 @@ from .common import small_batches
 
 #: Labelled pages that learning reads at most, by the smallest hashes of their page_id.
 SAMPLE_PAGES = 2000
-#: Kinds of tags whose weight is kept, by how many pages show them.
-KINDS = 2000
 
 # HTML's element classes.
 RAW = frozenset("script style noscript template iframe textarea xmp noembed noframes".split())
@@ -50,8 +52,15 @@ BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary searc
 #: Words of a class that say, of the word after them, what an element has or lies beside; and states of what a word names.
 RELATIONS = frozenset("has have with without no not show hide toggle content".split())
 STATES = frozenset("open opened closed visible active enabled disabled collapsed expanded".split())
-#: Elements that are never boilerplate by class; the share of its page's words from which no other is, unless it is one of these.
-KEPT, MOST = frozenset(("html", "body", "article", "main")), 0.6
+#: Words that stand beside the name of boilerplate and say nothing else.
+NEUTRAL = frozenset(
+    "list lists area section box block wrapper wrap container inner outer item items panel bar top bottom left right primary secondary main site page global user post posts articles "
+    "story stories link links module group region zone slot unit row col column body form button buttons icon icons title text new the and js id div".split()
+)
+#: Elements that are never boilerplate by class; the shares of its page's words from which no other is, the second for those named so.
+KEPT, MOST, NEARLY_ALL = frozenset(("html", "body", "article", "main")), 0.6, 0.95
+#: Share of an element's words in links from which a class that says something else too makes it boilerplate.
+LINKED = 0.5
 NEVER_TEXT = frozenset("comment comments disqus reply replies respond nav navbar navigation menu footer cookie cookies consent login search".split())
 
 # An attribute: its name, and after an equals sign a quoted value or one that goes on to the next space or the tag's end.
@@ -81,30 +90,37 @@ class Weights:
         return 0.0 if boilerplate else self.word.get(name, 1.5 if name in HEADINGS else 0.5)
 
 
-def class_names(classes: list[str]) -> set[str]:
-    """The words by which classes and ids name an element boilerplate; empty if none does."""
-    found = set()
+def class_names(classes: list[str]) -> tuple[set[str], bool]:
+    """The words by which classes and ids name an element boilerplate, and whether one of them says nothing else."""
+    found, plain = set(), False
     for name in classes:
         words = NAME.findall(name)
-        for n, w in enumerate(words):
-            if w in BOILERPLATE_NAMES and RELATIONS.isdisjoint(words[:n]) and STATES.isdisjoint(words[n + 1 :]):
-                found.add(w)
-    return found
+        named = {w for n, w in enumerate(words) if w in BOILERPLATE_NAMES and RELATIONS.isdisjoint(words[:n]) and STATES.isdisjoint(words[n + 1 :])}
+        found |= named
+        plain |= bool(named) and all(w in BOILERPLATE_NAMES or w in NEUTRAL or w in RELATIONS or w in STATES or w.isdigit() for w in words)
+    return found, plain
 
 
 def forgiven(walked: list[tuple]) -> frozenset[int]:
-    """Places of elements that are boilerplate by class alone and yet hold most of their page's words, so are wrappers of it."""
-    total, open_, held = 0, [], []
-    for what, name, text, _, _, (at, depth) in walked:
-        while open_ and open_[-1][1] >= depth:
-            first, _, before = open_.pop()
-            held.append((first, total - before))
+    """Places of elements that their class or a form makes boilerplate and that are none: see the module's description."""
+    total, linked, open_, held = 0, 0, [], []
+
+    def close() -> None:
+        first, least, _, words, links = open_.pop()
+        held.append((first, least, total - words, linked - links))
+
+    for what, name, text, _, _, (at, least, depth, in_link) in walked:
+        while open_ and open_[-1][2] >= depth:
+            close()
         if not what:
-            total += 0 if name in RAW else len(text.split())
+            words = 0 if name in RAW else len(text.split())
+            total += words
+            linked += words if in_link else 0
         elif at >= 0:
-            open_.append((at, depth, total))
-    held += [(first, total - before) for first, _, before in open_]
-    return frozenset(at for at, n in held if n and n >= MOST * total)
+            open_.append((at, least, depth, total, linked))
+    while open_:
+        close()
+    return frozenset(at for at, least, n, links in held if n and (n >= least * total if least else links < LINKED * n))
 
 
 def pieces(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
@@ -116,22 +132,61 @@ def pieces(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
         yield what, name, text, bad, inside
 
 
-def walk(page: str, spared: frozenset[int]) -> Iterator[tuple[str, str, str, bool, bool, tuple[int, int]]]:
-    """As ``pieces``, with (place, depth): the depth of the innermost element that it lies in, and of an element that its
-    class alone makes boilerplate, and a wrapper could be, the place of the tag, else -1.
-
-    Open elements are a stack; a closing tag closes up to its element, one without an element is ignored, ``p`` and
-    ``li`` close their like, and content elements are never inside of boilerplate that was left open. Elements at
-    ``spared`` places are not boilerplate by class.
+class Open:
+    """The open elements: (name, boilerplate, in content), with the places of each name and of those that end paragraphs."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool, bool]] = []
+        self.places: dict[str, list[int]] = {}
+        self.ends: list[int] = []
+
+    def top(self) -> tuple[str, bool, bool]:
+        return self.stack[-1] if self.stack else ("", False, False)
+
+    def push(self, name: str, bad: bool, inside: bool) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        if name not in INLINE and name != "p":
+            self.ends.append(len(self.stack))
+        self.stack.append((name, bad, inside))
+
+    def pop(self) -> tuple[str, bool, bool]:
+        name, bad, inside = self.stack.pop()
+        self.places[name].pop()
+        if self.ends and self.ends[-1] == len(self.stack):
+            self.ends.pop()
+        return name, bad, inside
+
+    def close(self, name: str) -> tuple[str, bool, bool] | None:
+        """Closes up to the innermost element of a name; None if none is open."""
+        if not self.places.get(name):
+            return None
+        while len(self.stack) > self.places[name][-1] + 1:
+            self.pop()
+        return self.pop()
+
+    def close_like(self, name: str) -> None:
+        """Closes an open ``p`` or ``li`` that no other block stands between."""
+        if (own := self.places.get(name)) and (not self.ends or own[-1] >= self.ends[-1]):
+            self.close(name)
+
+
+def walk(page: str, spared: frozenset[int]) -> Iterator[tuple[str, str, str, bool, bool, tuple[int, float, int, bool]]]:
+    """As ``pieces``, with (place, share, depth, in a link): the depth of the innermost element that it lies in, and of an
+    element that its class alone or a form makes boilerplate the place of the tag, else -1, and the share of the page's
+    words from which it is none (0: it depends on its links).
+
+    A closing tag closes up to its element, one without an element is ignored, ``p`` and ``li`` close their like, and
+    content elements are never inside of boilerplate that was left open. Elements at ``spared`` places are not
+    boilerplate by class.
     """
-    stack: list[tuple[str, bool, bool]] = []
+    elements = Open()
     at, n = 0, len(page)
     while at < n:
         m = PIECE.search(page, at)
         end = m.start() if m else n
         if end > at:
-            top = stack[-1] if stack else ("", False, False)
-            yield "", top[0], page[at:end], top[1], top[2], (-1, len(stack))
+            top = elements.top()
+            yield "", top[0], page[at:end], top[1], top[2], (-1, 0.0, len(elements.stack), bool(elements.places.get("a")))
         if not m:
             return
         at = m.end()
@@ -139,12 +194,8 @@ def walk(page: str, spared: frozenset[int]) -> Iterator[tuple[str, str, str, boo
         if not name:
             continue
         if m.group(1):
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    bad, inside = stack[k][1:]
-                    del stack[k:]
-                    yield ">", name, "/" + name, bad, inside, (-1, k)
-                    break
+            if closed := elements.close(name):
+                yield ">", name, "/" + name, closed[1], closed[2], (-1, 0.0, len(elements.stack), False)
             continue
         classes: list[str] = []
         hidden = False
@@ -160,33 +211,34 @@ def walk(page: str, spared: frozenset[int]) -> Iterator[tuple[str, str, str, boo
                 elif key == "style" and "none" in value and re.search(r"display\s*:\s*none", value):
                     hidden = True
         bad = name in RAW or name in BOILERPLATE_TAGS or hidden
-        why = class_names(classes) if classes and not bad and name not in KEPT else set()
-        place = m.start() if why and why.isdisjoint(NEVER_TEXT) else -1
-        bad |= bool(why) and m.start() not in spared
+        place, least = -1, 0.0
+        if classes and not bad and name not in KEPT:
+            why, plain = class_names(classes)
+            if why:
+                place, least = m.start(), 0.0 if not plain else MOST if why.isdisjoint(NEVER_TEXT) else NEARLY_ALL
+                bad = place not in spared
+        elif name == "form" and not hidden:
+            place, least = m.start(), MOST
+            bad = place not in spared
         kind = name + "." + ".".join(sorted({w for c in classes for w in NAME.findall(c)})) if classes else name
         if name in CONTENT and not bad:
-            while stack and stack[-1][1]:
-                stack.pop()
+            while elements.top()[1]:
+                elements.pop()
         elif name == "body":
-            stack.clear()
+            elements = Open()
         elif name in ("p", "li"):
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-                if stack[k][0] not in INLINE and stack[k][0] != "p":
-                    break
-        above = stack[-1] if stack else ("", False, False)
+            elements.close_like(name)
+        above = elements.top()
         inside = above[2] or name in CONTENT
-        yield "<", name, kind, bad or above[1], inside, (place, len(stack))
+        yield "<", name, kind, bad or above[1], inside, (place, least, len(elements.stack), False)
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}\b", re.I).search(page, at)
             if not close:
                 return
             at = close.start()
-            stack.append((name, True, inside))
+            elements.push(name, True, inside)
         elif name not in VOID and not m.group(0).endswith("/>"):
-            stack.append((name, bad or above[1], inside))
+            elements.push(name, bad or above[1], inside)
 
 
 def extract(page: str | None, weights: Weights) -> str:
@@ -262,7 +314,7 @@ def learn(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Weights:
 
     counted = marked.mapInArrow(run, "kind string, inside long, outside long").groupBy("kind").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o"))
     weights = Weights()
-    for kind, i, o in counted.orderBy((F.col("i") + F.col("o")).desc(), "kind").limit(KINDS).collect():
+    for kind, i, o in counted.collect():  # kinds of tags of the sampled pages
         odds = math.log((i + 0.5) / (o + 0.5))
         if kind[0] == "t":
             weights.tag[kind[2:]] = max(-6.0 if kind[2] == "!" else -10.0, min(-0.1, odds - 1.0))

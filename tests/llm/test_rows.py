@@ -237,6 +237,15 @@ PROSE = "The river rose in the night and the people of the town carried what the
         (f'<body class="sidebar"><p>{PROSE}</p><ul class="menu-open"><li>kept</ul>', PROSE + " kept"),
         (f"<p a=1 b='x y' c>{PROSE}<br/>two</p", PROSE + " two"),
         (f"<p =x / y=>{PROSE}</p>", PROSE),
+        (f"<form action=x><nav>Home</nav><p>{PROSE}</p><input></form>", PROSE),
+        (f"<p>{PROSE * 2}</p><form><p>Your name and address please</p></form>", PROSE * 2),
+        (f'<p>{PROSE}</p><section id="related-work"><p>{PROSE}</p></section>', PROSE * 2),
+        (f'<p>{PROSE}</p><div class="market-share-report">{PROSE}</div><div id="login-guide">{PROSE}</div>', PROSE * 3),
+        (f'<div class="comment-policy-article"><p>{PROSE}</p></div>', PROSE),
+        (f'<div class="comments"><p>{PROSE}</p></div>', PROSE),
+        (f'<p>{PROSE}</p><div class="related-reading"><a href=1>One more</a> <a href=2>Two more</a></div>', PROSE),
+        (f'<p>{PROSE}</p><div class="related posts"><p>{PROSE}</p></div>', PROSE),
+        (f'<p>{PROSE}</p><div class="user-comments" id="c1"><p>I agree</p></div>', PROSE),
     ],
 )
 def test_html_without_an_article(page, want):
@@ -250,6 +259,14 @@ def test_html_tags_of_any_shape_take_linear_time():
     assert time.perf_counter() - began < 20
 
 
+def test_html_tags_without_a_partner_take_linear_time():
+    n = 100_000
+    for page in ("<div>" * n + "</b>" * n, "<li>x<div>" + "<b>" * n + "<li>y</li>" * n, "<b>" * n + "<p>x" * n, "<form>" * n + "x" + "</form>" * n, '<i class="ad-x">' * n + "</u>" * n):
+        began = time.perf_counter()
+        html_extract.extract(page, html_extract.Weights())
+        assert time.perf_counter() - began < 8
+
+
 def slow_main_text(page, weights):
     """The region by trying all; elements left out and blocks joined as the docstring says."""
     tokens = list(html_extract.pieces(page))
