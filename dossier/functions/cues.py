@@ -150,7 +150,8 @@ def sidebar_line(line: Column, tokens: Column) -> Column:
 
 
 def work_header(line: Column) -> Column:
-    return line.contains(" - ") | F.lower(line).contains(" at ") | line.contains(" s.r.o.") | line.contains(" a.s.")
+    low = F.lower(line)
+    return line.contains(" - ") | low.contains(" at ") | low.contains(" s.r.o.") | low.contains(" a.s.")
 
 
 def summary_prose(head: Column) -> Column:
@@ -158,36 +159,63 @@ def summary_prose(head: Column) -> Column:
     return F.coalesce((F.length(F.get(head, F.lit(0))) > 60) | _any(F.array_join(head, " "), SUMMARY_PROSE), F.lit(False))
 
 
-def work_bleed(line: Column) -> Column:
+def employment(line: Column) -> Column:
+    """Names a company's form or a kind of employment."""
+    return _any(line, WORK_BLEED)
+
+
+def is_dated(line: Column) -> Column:
+    return dates.parse_range(line).isNotNull()
+
+
+# Rules that ask for a date take the answer as ``dated`` where the caller has it, as the pattern is the largest of all.
+
+
+def work_bleed(line: Column, dated: Column | None = None) -> Column:
     """A line of a job that has run into another section: a company's form, a kind of employment, a date."""
-    return _any(line, WORK_BLEED) | dates.parse_range(line).isNotNull()
+    return employment(line) | (is_dated(line) if dated is None else dated)
+
+
+def subheading(line: Column) -> Column:
+    """A heading inside of an export's entry."""
+    return F.lower(F.rtrim(trim_ws(line), F.lit(":"))).isin(*SUBHEADINGS)
+
+
+def skill_preview(line: Column, dated: Column | None = None) -> Column:
+    """The skill of an export's line 'name · level · years', null for other lines: two or three parts, no date, no job."""
+    parts = split_items(line, "·")
+    tail = F.array_join(F.slice(parts, 2, 2), " · ")
+    name = F.get(parts, F.lit(0))
+    shape = line.contains("·") & ~work_bleed(line, dated) & F.size(parts).between(2, 3) & plausible_skill(name)
+    return F.when(shape & dates.parse_range(tail).isNull(), name)
 
 
 def known_category(label: Column) -> Column:
     return F.lower(trim_ws(label)).isin(*CATEGORIES)
 
 
-def plausible_category(label: Column) -> Column:
+def plausible_category(label: Column, dated: Column | None = None) -> Column:
     """A known category, or one word of 2 to 40 characters that is no skill, date, sub-heading, job or start of a sentence."""
     t = trim_ws(label)
-    other = t.contains(" ") | t.contains("·") | t.contains(",") | work_bleed(t) | F.lower(F.regexp_replace(t, ":+$", "")).isin(*SUBHEADINGS)
+    dated = is_dated(t) if dated is None else dated
+    other = t.contains(" ") | t.contains("·") | t.contains(",") | work_bleed(t, dated) | F.lower(F.regexp_replace(t, ":+$", "")).isin(*SUBHEADINGS)
     said = t.rlike(rf"(?iU)^({'|'.join(NOT_CATEGORIES)})\b")
-    return F.length(t).between(2, 40) & (known_category(t) | (~other & ~said & ~standalone_skill(t)))
+    return F.length(t).between(2, 40) & (known_category(t) | (~other & ~said & ~standalone_skill(t, dated)))
 
 
-def plausible_skill(value: Column) -> Column:
+def plausible_skill(value: Column, dated: Column | None = None) -> Column:
     """Two to 48 characters in four words at most, no contact data, date, word of a sentence or pair of names."""
     t = trim_ws(value)
     n = words(t)
     contact = t.rlike(EMAIL) | t.rlike(URL) | t.rlike(PHONE)
     pair = (n == 2) & t.rlike(r"^\p{Lu}\S*\s+\p{Lu}") & ~t.rlike("[.#+]")
     stop = (n == 1) & F.lower(t).isin(*SKILL_STOP_WORDS)
-    return F.length(t).between(2, 48) & (n <= 4) & ~contact & dates.parse_range(t).isNull() & ~stop & ~pair & ~t.rlike(_one_of(NO_SKILL_WORDS))
+    return F.length(t).between(2, 48) & (n <= 4) & ~contact & ~(is_dated(t) if dated is None else dated) & ~stop & ~pair & ~t.rlike(_one_of(NO_SKILL_WORDS))
 
 
-def standalone_skill(line: Column) -> Column:
+def standalone_skill(line: Column, dated: Column | None = None) -> Column:
     t = trim_ws(line)
-    return plausible_skill(t) & (t.rlike(r"[.#+/]") | ((F.length(t) <= 16) & ~t.contains(" ")))
+    return plausible_skill(t, dated) & (t.rlike(r"[.#+/]") | ((F.length(t) <= 16) & ~t.contains(" ")))
 
 
 def language_part(line: Column) -> Column:

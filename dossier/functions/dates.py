@@ -46,11 +46,12 @@ def parse_segment(c: Column) -> Column:
     """
 
     def of(m: Column) -> Column:
-        start, end = F.regexp_extract(m, RANGE, 1), F.regexp_extract(m, RANGE, 2)
-        return let(F.struct(parse_token(start).alias("a"), parse_token(end).alias("b"), is_present(end).alias("now")), build)
+        # Both ends go through one expression, so that it is built once.
+        ends = F.array(F.regexp_extract(m, RANGE, 1), F.regexp_extract(m, RANGE, 2))
+        return let(F.struct(F.transform(ends, lambda e: parse_token(e)).alias("ends"), is_present(F.regexp_extract(m, RANGE, 2)).alias("now")), build)
 
     def build(x: Column) -> Column:
-        a, b, now = x["a"], x["b"], x["now"]
+        a, b, now = F.get(x["ends"], F.lit(0)), F.get(x["ends"], F.lit(1)), x["now"]
         value = F.struct(
             a["month"].alias("start_month"),
             a["year"].alias("start_year"),
@@ -67,7 +68,9 @@ def parse_segment(c: Column) -> Column:
 def parse_range(line: Column) -> Column:
     """The range after the last middle dot of a line, else the first of the line."""
     tail = trim_ws(F.substring_index(line, "·", -1))
-    return F.when(line.contains("·"), F.coalesce(parse_segment(tail), parse_segment(line))).otherwise(parse_segment(line))
+    texts = F.when(line.contains("·"), F.array(tail, line)).otherwise(F.array(line))
+    # Only lines with four digits in a row can hold one; others are not looked at.
+    return F.when(line.rlike(r"\d{4}"), F.get(F.filter(F.transform(texts, lambda t: parse_segment(t)), lambda r: r.isNotNull()), F.lit(0)))
 
 
 def valid_month_year(month: Column, year: Column) -> Column:

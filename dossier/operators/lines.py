@@ -174,13 +174,13 @@ def is_name_part(token: Column) -> Column:
     return shape & ~((F.length(token) <= 3) & ~token.rlike(r"\p{Lu}")) & ~F.lower(token).isin(*TECHNOLOGY_NAMES)
 
 
-def is_name_line(line: Column) -> Column:
+def is_name_line(line: Column, dated: Column | None = None) -> Column:
     """Two to four name parts in at most 60 characters, without contact data, dates or words of titles."""
     t = trim_ws(line)
     parts = F.split(F.regexp_replace(t, r"(?U)\s+", " "), " ")
     titles = t.rlike(rf"(?iU)\b({'|'.join(TITLE_WORDS)})\b")
     contact = t.rlike(EMAIL) | t.rlike(PHONE) | t.rlike(URL)
-    dated = dates.parse_range(t).isNotNull()
+    dated = dates.parse_range(t).isNotNull() if dated is None else dated
     return F.size(parts).between(2, 4) & (F.length(t) <= 60) & F.forall(parts, is_name_part) & ~titles & ~contact & ~dated
 
 

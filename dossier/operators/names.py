@@ -77,7 +77,7 @@ def sidebar_tokens(body: Column) -> Column:
 
     def of(line: Column) -> Column:
         preview = trim_ws(F.regexp_extract(line, SKILL_LINE, 1))
-        listed = F.filter(split_items(line, ","), cues.plausible_skill)
+        listed = F.filter(split_items(line, ","), lambda y: cues.plausible_skill(y))
         return (
             F.when(line.contains(":"), split_items(F.regexp_replace(line, "^[^:]*:", ""), ","))
             .when(line.startswith("- "), F.array(trim_ws(F.substring(line, 3, 1_000_000))))
@@ -88,10 +88,3 @@ def sidebar_tokens(body: Column) -> Column:
     keys = F.transform(every, F.lower)
     return F.filter(every, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1)
 
-
-def trimmed_skills(body: Column) -> Column:
-    """A skills section from its first export line or general heading on; whole without one."""
-    lines = F.transform(F.split(body, "\n", -1), trim_ws)
-    marks = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(SKILL_LINE) | (F.lower(x) == "general"), i)), lambda i: i.isNotNull())
-    first = F.coalesce(F.get(marks, F.lit(0)), F.lit(0))
-    return F.when(first > 0, F.array_join(F.slice(lines, first + 1, F.greatest(F.size(lines) - first, F.lit(0))), "\n")).otherwise(body)

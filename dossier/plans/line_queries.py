@@ -24,7 +24,7 @@ def word_of(words: tuple[str, ...], column: str = "line") -> str:
 
 
 DATED = r"regexp_matches({0}, '(^|[^0-9])(19[5-9][0-9]|20[0-9][0-9])([^0-9]|$)')"
-HEADER = "(contains({0}, ' - ') or contains(lower({0}), ' at ') or contains({0}, ' s.r.o.') or contains({0}, ' a.s.'))"
+HEADER = "(contains({0}, ' - ') or contains(lower({0}), ' at ') or contains(lower({0}), ' s.r.o.') or contains(lower({0}), ' a.s.'))"
 PARTS = "list_filter(list_transform(string_split({0}, ','), lambda x: trim(x)), lambda x: x <> '')"
 WORDS = "len(list_filter(string_split({0}, ' '), lambda x: x <> ''))"
 PAIR = "(len(parts) = 2 and regexp_matches(parts[1], '^\\p{L}[^0-9.#]*$') and regexp_matches(parts[2], '^\\p{L}[^0-9.#]*$'))"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.operators import names, presentation
+from dossier.operators import lookahead, names, presentation
 from dossier.plans.cv_queries import JOBS, jobs
 from dossier.plans.entry_queries import joined
 from dossier.plans.line_queries import texts
@@ -57,7 +57,7 @@ def sidebar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """with p as (select p_partkey, p_partkey % 4 as k, p_brand, p_type from part)
- select p_partkey, case k when 0 then 'Spark|' || p_brand || '|Kafka' when 1 then p_type || '|Docker' when 2 then 'Go|' || p_brand else '' end as tokens, case k when 1 then 'General' || chr(10) || 'x' when 2 then 'Go · Expert · 5 yrs' || chr(10) || '- ' || p_brand else 'as ' || p_brand end as body from p"""
+ select p_partkey, case k when 0 then 'Spark|' || p_brand || '|Kafka' when 1 then p_type || '|Docker' when 2 then 'Go|' || p_brand else '' end as tokens, case k when 1 then 'general' || chr(10) || 'x' when 2 then 'Go · Expert · 5 yrs' || chr(10) || '- ' || p_brand else 'as ' || p_brand end as body from p"""
 )
 def sidebar_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Skills that a sidebar lists in four notations, and skills sections from their first mark on."""
@@ -65,8 +65,8 @@ def sidebar_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, brand, kind = F.col("p_partkey") % 4, F.col("p_brand"), F.col("p_type")
     body = texts(k, [joined("Tools: Spark, ", brand, "\nspark, Kafka, with words\nplain"), joined("- ", kind, "\n\n- Docker\n- docker"), joined("intro\nGo · Expert · 5 yrs\n- ", brand), F.lit("plain\nNode")])
     skills = texts(k, [joined("as ", brand), F.lit("said\n general\nx").cast("string"), joined("intro\nGo · Expert · 5 yrs\n- ", brand), joined("as ", brand)])
-    trimmed = names.trimmed_skills(skills)
-    return p.select("p_partkey", F.array_join(names.sidebar_tokens(body), "|").alias("tokens"), F.when(k == 1, F.replace(trimmed, F.lit("general"), F.lit("General"))).otherwise(trimmed).alias("body"))
+    p = lookahead.with_skill_lines(p.select("p_partkey", F.array_join(names.sidebar_tokens(body), "|").alias("tokens"), skills.alias("skills")), "skills")
+    return p.select("p_partkey", "tokens", lookahead.trimmed_skills(F.col("skills"), F.col("skill_lines")).alias("body"))
 
 
 _RANGE = "case when start_month is not null and start_year is not null then lpad(start_month::varchar, 2, '0') || ' / ' || start_year when start_year is not null then start_year::varchar else '-' end || ' – ' || case when is_current then 'Now' when end_month is not null and end_year is not null then lpad(end_month::varchar, 2, '0') || ' / ' || end_year when end_year is not null then end_year::varchar else '-' end"
