@@ -70,7 +70,8 @@ def parse_range(line: Column) -> Column:
     tail = trim_ws(F.substring_index(line, "·", -1))
     texts = F.when(line.contains("·"), F.array(tail, line)).otherwise(F.array(line))
     # Only lines with four digits in a row can hold one; others are not looked at.
-    return F.when(line.rlike(r"\d{4}"), F.get(F.filter(F.transform(texts, lambda t: parse_segment(t)), lambda r: r.isNotNull()), F.lit(0)))
+    none = F.lit(None).cast("struct<start_month:int,start_year:int,end_month:int,end_year:int,is_present:boolean>")
+    return F.when(line.rlike(r"\d{4}"), F.aggregate(texts, none, lambda found, t: F.coalesce(found, parse_segment(t))))
 
 
 def valid_month_year(month: Column, year: Column) -> Column:
