@@ -103,22 +103,6 @@ def dismissed_key(hint_id: Column, entry: Column, field: Column) -> Column:
     return F.concat_ws("|", hint_id, F.coalesce(entry.cast("string"), F.lit("")), F.coalesce(field, F.lit("")))
 
 
-def ancestors(nodes: DataFrame, key: str = "id", parent: str = "parent", most: int = 32) -> DataFrame:
-    """(key, ancestor, depth) of a tree by pointer doubling; a tree deeper than ``most`` raises an error.
-
-    The result holds every pair of a node and an ancestor, so it grows with the tree's depth.
-    """
-    out = nodes.where(F.col(parent).isNotNull()).select(F.col(key), F.col(parent).alias("ancestor"), F.lit(1).alias("depth"))
-    reach = 1
-    while reach < most:
-        up = out.select(F.col(key).alias("u"), F.col("ancestor").alias("up"), F.col("depth").alias("d"))
-        more = out.join(up, F.col("ancestor") == F.col("u")).select(key, F.col("up").alias("ancestor"), (F.col("depth") + F.col("d")).alias("depth"))
-        out = out.unionByName(more).distinct()
-        reach *= 2
-    bounded = F.when(F.col("depth") <= most, F.col("depth")).otherwise(F.raise_error(F.lit(f"the tree is deeper than {most}")).cast("int"))
-    return out.withColumn("depth", bounded)
-
-
 def split_names(full: Column) -> Column:
     """struct<first_name, last_name>: the first token and the rest."""
     t = trim_ws(F.regexp_replace(full, r"(?U)\s+", " "))

@@ -75,5 +75,7 @@ def moved(df: DataFrame, key: str, source: Column, target: Column) -> DataFrame:
 def best_model(df: DataFrame, ram_gb: Column) -> DataFrame:
     """Ranks a catalogue (name, tier, priority): strictest tier that fits first, then priority, then name."""
     top = F.when(ram_gb.isNull(), 1).when(ram_gb < 8, 0).when(ram_gb < 16, 1).when(ram_gb < 32, 2).otherwise(3)
-    w = Window.orderBy((F.col("tier") > top), F.col("tier").desc(), F.col("priority").desc(), "name")
-    return df.withColumn("recommended", F.row_number().over(w) == 1).withColumn("fits", F.col("tier") <= top)
+    # The first row's values, by partial aggregates; of rows equal in all of them each would be it, so names should be unique.
+    rank = F.struct(F.col("tier") > top, -F.col("tier"), -F.col("priority"), F.col("name"))
+    first = df.agg(F.min(rank).alias("_first"))
+    return df.crossJoin(F.broadcast(first)).withColumn("recommended", rank == F.col("_first")).withColumn("fits", F.col("tier") <= top).drop("_first")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.functions import dates, entries, text, urls
-from dossier.operators import chunking, folds, layout, linkage, lines, ordering
+from dossier.operators import chunking, folds, layout, linkage, lines, ordering, trees
 from dossier.plans.line_queries import texts
 from dossier.plans.registry import load, query
 from dossier.sources import formats
@@ -89,7 +89,7 @@ def entry_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
  select p_partkey, case p_partkey % 6 when 0 then 'Native' when 1 then 'Fluent' when 3 then 'Advanced' when 5 then 'Basic' else 'Intermediate' end as proficiency, case p_partkey % 6 when 1 then 'C1' when 2 then 'B2' when 5 then 'A1' end as cefr,
   case when p_size % 3 = 0 then 'High' when p_size % 3 = 1 then 'Medium' else 'Low' end as confidence, case when p_size % 4 = 3 then 'complete' when p_size % 4 > 0 then 'partial' else '—' end as person,
   case when p_size % 7 = 0 then 'Small' when p_size < 8 then 'Compact' when p_size < 16 then 'Small' when p_size < 32 then 'Medium' when p_size < 64 then 'Large' else 'ExtraLarge' end as tier,
-  ceil(p_size * 350000 * 2 * 2 * case p_partkey % 3 when 0 then 0.35::double + 0.4::double * p_size / 100 when 1 then 0.25::double + 0.35::double * p_size / 100 else 1.0::double end)::bigint as bytes, (p_size % 2 = 0)::int + (p_size % 3 = 0)::int as populated, case when p_size % 2 = 0 then 'm:7b' else '' end as tags from p"""
+  ceil(p_size * 350000 * 2 * 2 * case p_partkey % 3 when 0 then 0.35::double + 0.4::double * p_size / 100 when 1 then 0.25::double + 0.35::double * p_size / 100 else 1.0::double end)::bigint as bytes, (p_size % 2 = 0)::int + (p_size % 3 = 0)::int as populated, case when p_size % 2 = 0 then 'M:7B' else '' end as tags from p"""
 )
 def entry_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Levels in words and codes, confidences, states, model tiers, sizes of exports, sections with data, installed tags."""
@@ -102,7 +102,7 @@ def entry_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part").select(
         "p_partkey", level["proficiency"].alias("proficiency"), level["cefr"].alias("cefr"), entries.confidence(size % 3 == 0, size % 3 == 1).alias("confidence"), entries.personal_state(have(1), have(2), have(3)).alias("person"),
         entries.memory_tier(F.when(size % 7 != 0, size.cast("long") * (1 << 30))).alias("tier"), entries.page_bytes(size, fmt, F.lit(2), size).alias("bytes"),
-        entries.populated(entries.section_flags(work=size % 2 == 0, links=size % 3 == 0)).alias("populated"), F.lower(F.array_join(entries.tag_matches(tags, F.lit("m")), ",")).alias("tags"),
+        entries.populated(entries.section_flags(work=size % 2 == 0, links=size % 3 == 0)).alias("populated"), F.array_join(entries.tag_matches(tags, F.lit("m")), ",").alias("tags"),
     )
 
 
@@ -207,7 +207,7 @@ def links_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tree_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ancestors of the nodes of a tree with their distance."""
     p = load(spark, sf_dir, "part")
-    return linkage.ancestors(p.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") > 0, F.expr("p_partkey div 3")).alias("parent")))
+    return trees.ancestors(p.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") > 0, F.expr("p_partkey div 3")).alias("parent")))
 
 
 @query(

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dossier.functions import cues, entries, text
-from dossier.operators import extract, folds, layout, linkage
+from dossier.operators import extract, folds, layout, linkage, trees
 from dossier.sources import formats, structured, writers
 from dossier.sources import extract as readers
 from dossier.sources.importer import import_files, project
@@ -127,8 +127,23 @@ def test_round_trip_of_json_resume(spark):
 
 def test_ancestors(spark):
     nodes = spark.createDataFrame([(n, n - 1 if n else None) for n in range(9)], "id int, parent int")
-    got = {(r["id"], r["ancestor"], r["depth"]) for r in linkage.ancestors(nodes).collect()}
-    assert got == {(i, j, i - j) for i in range(9) for j in range(i)}
+    got = [(r["id"], r["ancestor"], r["depth"]) for r in trees.ancestors(nodes).collect()]
+    assert len(got) == 36 and set(got) == {(i, j, i - j) for i in range(9) for j in range(i)}
+
+
+def test_ways_up(spark):
+    chain = [(n, n - 1 if n else None, "x") for n in range(1000)]
+    circle = [(2000, 2002, "x"), (2001, 2000, "x"), (2002, 2001, "x"), (2003, 2000, "x")]
+    odd = [(3000, 9999, "x"), (None, 5, "x"), (3001, None, "x")]
+    nodes = spark.createDataFrame(chain + circle + odd, "id int, parent int, found string")
+    got = {r["id"]: (r["found"], r["steps"]) for r in trees.first_up(nodes).collect()}
+    assert got == {n: (0, n) for n in range(1000)} | dict.fromkeys(range(2000, 2004), (None, None)) | {3000: (3000, 0), 3001: (3001, 0)}
+    near = {r["id"]: r["found"] for r in trees.first_up(nodes, stops=F.col("id") % 100 == 50).collect()}
+    assert all(near[n] == ((n - 50) // 100 * 100 + 50 if n >= 50 else None) for n in range(1000)) and near[3000] is None
+    assert trees.ancestors(nodes.where("id < 1000")).count() == 999 * 500
+    with pytest.raises(ValueError):
+        trees.ancestors(nodes)
+    assert trees.ancestors(nodes.limit(0)).count() == trees.first_up(nodes.limit(0)).count() == 0
 
 
 def test_progress_stream(spark, tmp_path):
