@@ -429,20 +429,25 @@ EXPORT = """k as (select c_custkey as cv_id, 'Ann' || c_custkey as first_name, c
  x as (select *, replace(replace(person, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') as quoted from p)"""
 
 
-@query(
-    f"""with {EXPORT}, e as (select cv_id, unnest(['csv', 'tsv', 'yaml', 'europass_xml', 'md', 'html', 'txt', 'json_resume']) as format, unnest([
-  'first_name,last_name,title,email,phone,location,summary' || chr(10) || first_name || ',' || case when contains(last_name, '"') then '"' || replace(last_name, '"', '""') || '"' else last_name end || ',,' || email || ',,,' || summary || chr(10),
-  replace('first_name,last_name,title,email,phone,location,summary', ',', chr(9)) || chr(10) || first_name || chr(9) || case when contains(last_name, '"') then '"' || replace(last_name, '"', '""') || '"' else last_name end || chr(9) || chr(9) || email || chr(9) || chr(9) || chr(9) || summary || chr(10),
+EXPORTED = f"""{EXPORT}, e as (select cv_id, unnest(['csv', 'tsv', 'yaml', 'europass_xml', 'md', 'html', 'txt', 'json_resume']) as format, unnest([
+  'firstName,lastName,email,phone,location,professionalTitle,summary' || chr(10) || first_name || ',' || case when contains(last_name, '"') then '"' || replace(last_name, '"', '""') || '"' else last_name end || ',' || email || ',,,,' || summary || chr(10),
+  replace('firstName,lastName,email,phone,location,professionalTitle,summary', ',', chr(9)) || chr(10) || first_name || chr(9) || case when contains(last_name, '"') then '"' || replace(last_name, '"', '""') || '"' else last_name end || chr(9) || email || chr(9) || chr(9) || chr(9) || chr(9) || summary || chr(10),
   'basics:' || chr(10) || '  name: "' || quoted || '"' || chr(10) || '  label: ""' || chr(10) || '  email: "' || email || '"' || chr(10) || '  summary: "' || summary || '"' || chr(10),
   '<SkillsPassport><Identification><FirstName>' || first_name || '</FirstName>' || case when last_name <> '' then '<Surname>' || {_X.format("last_name")} || '</Surname>' else '' end || '<Email>' || email || '</Email></Identification></SkillsPassport>',
   '# ' || person || chr(10) || chr(10) || case when summary <> '' then '## Summary' || chr(10) || chr(10) || replace(summary, '|', chr(92) || '|') || chr(10) || chr(10) else '' end,
   '<!DOCTYPE html><html><body><h1>' || {_X.format("person")} || '</h1>' || case when summary <> '' then '<h2>Summary</h2><p>' || {_X.format("summary")} || '</p>' else '' end || '</body></html>',
   person || chr(10) || chr(10) || case when summary <> '' then 'Summary' || chr(10) || summary || chr(10) || chr(10) else '' end,
-  '{{"basics":{{"name":"' || quoted || '","email":"' || email || '"' || case when summary <> '' then ',"summary":"' || summary || '"' else '' end || '}}}}']) as content from x)
- select cv_id, format, content from e"""
-)
+  '{{"basics":{{"name":"' || quoted || '","email":"' || email || '"' || case when summary <> '' then ',"summary":"' || summary || '"' else '' end || '}}}}']) as content from x)"""
+
+
+@query(f"with {EXPORTED} select cv_id, format, content from e")
 def export_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Persons in eight text formats: quotes, markup and empty fields are written by each format's rules."""
+    return writers.export(persons(spark, sf_dir), "cv_id", ("csv", "tsv", "yaml", "europass_xml", "md", "html", "txt", "json_resume"))
+
+
+def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CV rows of customers that hold a person only."""
     c = load(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     blank = F.lit("")
@@ -453,8 +458,7 @@ def export_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     schema = spark.createDataFrame([], extract.CV).schema
     lists = [F.array().cast(f.dataType).alias(f.name) for f in schema if f.dataType.typeName() == "array"]
-    cv = c.select(k.alias("cv_id"), F.struct(*(v.alias(n) for n, v in fields.items())).alias("personal"), *lists, blank.alias("additional"))
-    return writers.export(cv, "cv_id", ("csv", "tsv", "yaml", "europass_xml", "md", "html", "txt", "json_resume"))
+    return c.select(k.alias("cv_id"), F.struct(*(v.alias(n) for n, v in fields.items())).alias("personal"), *lists, blank.alias("additional"))
 
 
 @query(

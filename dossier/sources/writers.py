@@ -1,4 +1,4 @@
-"""Writing CV rows: text columns in each format, then Spark's writers, whose commit is all or nothing."""
+"""CV rows as text columns in each format; ``dossier.sources.files`` writes them, a file a row."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ from dossier.functions.dates import iso, range_label
 from dossier.functions.text import blank_to_null, escape_csv, escape_html, escape_latex, escape_markdown, wrap_plain
 from dossier.sources.formats import OWN_KEY
 
-CSV_FIELDS = ("first_name", "last_name", "title", "email", "phone", "location", "summary")
+# Headers of the tabular format and their fields.
+CSV_FIELDS = {"firstName": "first_name", "lastName": "last_name", "email": "email", "phone": "phone", "location": "location", "professionalTitle": "title", "summary": "summary"}
 FORMATS = ("own_json", "json_resume", "yaml", "europass_xml", "hr_xml", "csv", "tsv", "txt", "md", "html", "latex")
 
 
@@ -70,7 +71,7 @@ def xml(europass: bool) -> Column:
 
 def csv(delimiter: str = ",") -> Column:
     """A header and one row of the personal fields."""
-    row = F.concat_ws(delimiter, *(escape_csv(f"personal.{f}", delimiter) for f in CSV_FIELDS))
+    row = F.concat_ws(delimiter, *(escape_csv(f"personal.{f}", delimiter) for f in CSV_FIELDS.values()))
     return F.concat(F.lit(delimiter.join(CSV_FIELDS) + "\n"), row, F.lit("\n"))
 
 
@@ -119,8 +120,3 @@ def export(cvs: DataFrame, key: str, formats: tuple[str, ...] = FORMATS) -> Data
     }
     rows = F.array(*(F.struct(F.lit(f).alias("format"), made[f].alias("content")) for f in formats))
     return cvs.select(key, F.explode(rows).alias("x")).select(key, "x.format", "x.content")
-
-
-def write_texts(df: DataFrame, path: str, column: str = "content") -> None:
-    """One line per row, written by Spark; a failed job leaves no part of it behind."""
-    df.select(F.regexp_replace(column, "\n", " ").alias("value")).write.mode("error").text(path)
