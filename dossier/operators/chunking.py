@@ -157,6 +157,43 @@ def profile_of(model: Column, default: str = "small") -> Column:
     return out
 
 
+# Models of the local catalogue whose plan is not their tier's: profile and, where it is not the profile's, the longest input.
+CATALOGUE = {
+    "gemma2-2b": ("compact", None), "phi3-mini": ("small", 2000), "llama32-3b": ("small", None), "qwen25-3b": ("small", None), "mistral-7b": ("medium", None), "llama31-8b": ("medium", 5500),
+    "gemma2-9b": ("medium", None), "qwen25-7b": ("medium", 5500), "mixtral-8x7b": ("large", None), "llama31-70b": ("extralarge", None), "llama33-70b": ("large", None),
+}
+#: The provider whose models are known by the name they are deployed under.
+DEPLOYED = "azure-openai"
+
+
+def plan_of(settings: Column, catalogue: Column) -> Column:
+    """struct<profile, id, max_chars>: how texts are cut for the model that settings name.
+
+    ``settings`` has backend ('Local' or 'Online'), local_model, provider, and online, a map of provider to (model,
+    deployment); ``catalogue`` maps local models to tiers. A local model takes its own plan, else its tier's; a hosted one
+    the plan of its name; what is not known is small.
+    """
+
+    def made(profile: Column, name: Column, most: Column | None = None) -> Column:
+        own = _by_name({k: v.max_input for k, v in PROFILES.items()}, profile)
+        return F.struct(profile.alias("profile"), name.alias("id"), (own if most is None else F.coalesce(most, own)).alias("max_chars"))
+
+    local, online = settings["local_model"], F.element_at(settings["online"], settings["provider"])
+    own, tier = _by_name({k: v[0] for k, v in CATALOGUE.items()}, local), F.lower(F.element_at(catalogue, local))
+    hosted = profile_of(F.coalesce(F.when(settings["provider"] == DEPLOYED, online["deployment"]).otherwise(online["model"]), F.lit("")))
+    small = F.lit("small")
+    here = F.when(own.isNotNull(), made(own, local, _by_name({k: v[1] for k, v in CATALOGUE.items() if v[1]}, local))).when(
+        has_text(local) & tier.isNotNull(), made(F.when(tier.isin(*PROFILES), tier).otherwise(small), local)
+    )
+    there = F.when(has_text(settings["provider"]) & online.isNotNull(), made(hosted, F.concat(F.lit("online:"), hosted)))
+    unknown = lambda where: made(small, F.lit(f"{where}:unknown"))
+    return F.when(settings["backend"] == "Local", F.coalesce(here, unknown("local"))).otherwise(F.coalesce(F.when(settings["backend"] == "Online", there), unknown("online")))
+
+
+def _by_name(table: dict, key: Column) -> Column:
+    return F.element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), key)
+
+
 def trigger_flags(text_route: Column, chars: Column, success: Column, no_data: Column, sections: Column, low: Column, ocr: Column) -> Column:
     """Bit flags that offer assisted import: 1 failed, 2 thin, 4 low confidence, 16 partial, 32 has low fields."""
     bits = (

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.functions import cues, dates
-from dossier.functions.text import WS, WS_CHARS, has_text, lines_of, rtrim_ws, trim_ws
+from dossier.functions.text import WS, WS_CHARS, collapse_repeats, has_text, let, lines_of, paragraphs, rtrim_ws, trim_ws
 
 
 #: A label of letters and spaces, a colon and a value.
@@ -107,15 +107,31 @@ def orphan_dates(text: Column) -> Column:
 def repeated_prefix(text: Column, least: int = 80, most: int = 400) -> Column:
     """The unit that a text opens with and then repeats, if no more than half a unit is left without its copies; else the text.
 
-    The longest unit within the bounds counts; texts shorter than two least units are kept.
+    The longest unit within the bounds counts; texts shorter than two least units are kept. A unit can only count if the
+    least unit, which all others begin with, comes again, or white space makes up for it, so a text without either takes one
+    search; in others units are tried from the longest down until one counts.
     """
-    t = trim_ws(text)
-    unit = lambda n: rtrim_ws(F.substring(t, F.lit(1), n))
-    rest = lambda n: trim_ws(F.replace(F.substring(t, n + 1, F.length(t)), unit(n), F.lit("")))
-    top = F.least(F.lit(most), F.floor(F.length(t) / 2).cast("int"))
-    sizes = F.when(top >= least, F.sequence(F.greatest(top, F.lit(least)), F.lit(least), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-    found = F.get(F.filter(sizes, lambda n: (unit(n) != "") & (F.length(rest(n)) <= F.floor(F.length(unit(n)) / 2))), F.lit(0))
-    return F.when(found.isNull(), t).otherwise(unit(found))
+
+    def of(t: Column) -> Column:
+        unit = lambda n: rtrim_ws(F.substring(t, F.lit(1), n))
+        # The copies that follow the opening at once go first, then those that stand apart.
+        rest = lambda n, u: trim_ws(F.replace(F.substring(t, n + 1, F.length(t)), u, F.lit("")))
+        top = F.least(F.lit(most), F.floor(F.length(t) / 2).cast("int"))
+        again = F.contains(F.substring(t, least + 1, 2_000_000_000), unit(F.lit(least))) | t.rlike(f"{WS}{{{least // 2}}}")
+        sizes = F.when((top >= least) & again, F.sequence(F.greatest(top, F.lit(least)), F.lit(least), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+        counts = lambda n: let(unit(n), lambda u: F.when((u != "") & (F.length(rest(n, u)) <= F.floor(F.length(u) / 2)), u))
+        return F.coalesce(F.aggregate(sizes, F.lit(None).cast("string"), lambda found, n: F.coalesce(found, counts(n))), t)
+
+    return let(trim_ws(text), of)
+
+
+def collapsed_paragraphs(text: Column) -> Column:
+    """A text without paragraphs that equal the one before them; one of a single paragraph without its repeats of its opening."""
+
+    def of(parts: Column) -> Column:
+        return F.when(F.size(parts) <= 1, repeated_prefix(text)).otherwise(F.array_join(collapse_repeats(parts), "\n\n"))
+
+    return let(paragraphs(text), of)
 
 
 # How a line that names a degree begins, and what such a line does not hold.

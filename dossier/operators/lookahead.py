@@ -64,6 +64,21 @@ def islands(lines: Column, starts: Column) -> Column:
     return F.when(F.size(lines) == 0, F.array().cast("array<array<string>>")).otherwise(let(F.array_union(F.array(F.lit(0)), places(starts)), of))
 
 
+def labelled_block(body: Column, header: str) -> Column:
+    """The lines with a colon that follow a heading, up to the first other line; blank lines and the heading again end nothing."""
+
+    def of(lines: Column) -> Column:
+        heads = F.transform(lines, lambda x: F.lower(x) == header.lower())
+        # Once a heading has come, the first line that is neither blank, labelled nor a heading ends all.
+        begun = F.get(places(heads), F.lit(0))
+        other = F.transform(lines, lambda x, i: (i > begun) & (x != "") & ~x.contains(":") & (F.lower(x) != header.lower()))
+        end = F.coalesce(F.get(places(other), F.lit(0)), F.size(lines))
+        found = F.slice(lines, begun + 1, end - begun)
+        return F.when(begun.isNull(), F.array().cast("array<string>")).otherwise(F.filter(found, lambda x: x.contains(":") & (F.lower(x) != header.lower())))
+
+    return let(F.transform(F.split(body, "\n", -1), trim_ws), of)
+
+
 def export_meta(line: Column) -> Column:
     """The line under a title in an export: parts between dots with a date at the end, a company's form or a kind of employment."""
     return line.contains("·") & (trailing_range(line).isNotNull() | cues.employment(line))

@@ -65,6 +65,31 @@ def describe_skills(groups: Column) -> Column:
     return F.array_join(F.filter(F.transform(groups, line), lambda x: x != ""), "\n")
 
 
+def describe_sections(cv: Column) -> Column:
+    """map of section to its text for a prompt, in the order of ``ADVISED``: label-free lines, blank ones left out.
+
+    ``cv`` has summary and the arrays work, education, skills, languages and projects.
+    """
+    named = lambda *cs: F.nullif(F.concat_ws(" — ", *map(blank_to_null, cs)), F.lit(""))
+    lines = lambda rows, f: F.array_join(F.flatten(F.transform(rows, lambda r: F.array_compact(F.array(*f(r))))), "\n")
+    texts = {
+        "Summary": trim_ws(F.coalesce(cv["summary"], F.lit(""))),
+        "WorkExperience": describe_work(cv["work"]),
+        "Education": lines(cv["education"], lambda e: [named(e["degree"], e["field_of_study"], e["institution"])]),
+        "Skills": describe_skills(cv["skills"]),
+        "Languages": lines(cv["languages"], lambda x: [named(x["language"], x["proficiency"])]),
+        "Projects": lines(cv["projects"], lambda p: [named(p["name"], p["role"]), blank_to_null(p["description"])]),
+    }
+    return F.create_map(*(x for s in ADVISED for x in (F.lit(s), F.coalesce(texts[s], F.lit("")))))
+
+
+def section_measures(cv: Column) -> Column:
+    """array<struct<section, text, entries, chars>> of the advised sections: texts, numbers of entries, characters but white space."""
+    entries = {"Summary": F.when(has_text(cv["summary"]), 1).otherwise(0)} | {s: F.coalesce(F.size(cv[c]), F.lit(0)) for s, c in zip(ADVISED[1:], ("work", "education", "skills", "languages", "projects"), strict=True)}
+    n = F.create_map(*(x for s, c in entries.items() for x in (F.lit(s), c)))
+    return F.transform(F.map_entries(describe_sections(cv)), lambda e: F.struct(e["key"].alias("section"), e["value"].alias("text"), F.element_at(n, e["key"]).alias("entries"), nonws_len(e["value"]).alias("chars")))
+
+
 def advisable(section: Column, entries: Column, content: Column) -> Column:
     """Whether advice is offered for a section: a summary by its length, others by having an entry with any content."""
     n = nonws_len(content)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dossier.functions.text import source_text
 from dossier.functions.urls import url_label
 from dossier.operators.extract import CV, import_texts
+from dossier.operators.metrics import merged_warnings
 from dossier.sources import structured
 from dossier.sources.extract import extract
 from dossier.sources.formats import OWN_KEY, STRUCTURED, read_files
@@ -79,7 +80,7 @@ def import_files(spark: SparkSession, path: str) -> DataFrame:
     links = F.transform("links_found", lambda u: F.struct(url_label(u).alias("label"), u.alias("url")))
     out = joined.withColumnRenamed("warnings", "file_warnings").select(
         "path", "format", *(f for f in FIELDS if f not in ("links", "warnings")), read["links"].alias("cv_links"), plain["links"].alias("links_found"),
-        F.concat(F.coalesce("file_warnings", F.array()), F.coalesce("read_warnings", F.array())).alias("warnings"), F.coalesce("error", "read_error").alias("error"),
+        merged_warnings(F.col("file_warnings"), F.col("read_warnings")).alias("warnings"), F.coalesce("error", "read_error").alias("error"),
     )
     # Links of the document itself come after those of its text.
     known = F.transform("cv_links", lambda x: F.lower(x["url"]))
