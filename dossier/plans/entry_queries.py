@@ -332,6 +332,21 @@ def save_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress.debounced(load(spark, sf_dir, "events"), "user_id", "ts").select("user_id", "saved_at", "changes")
 
 
+@query(
+    """with recursive e as (select user_id, date_trunc('milliseconds', ts) as ts, row_number() over (partition by user_id order by ts) as n from events where event_id % 5 <> 0 and event_id % 7 <> 0),
+ r(user_id, n, first, last, held, done, held_done) as (select user_id, n, ts, ts, 1, null::timestamp, 0 from e where n = 1 union all
+  select e.user_id, e.n, case when e.ts >= least(r.last + interval 1 hour, r.first + interval 4 hour) then e.ts else r.first end, e.ts, case when e.ts >= least(r.last + interval 1 hour, r.first + interval 4 hour) then 1 else r.held + 1 end,
+   case when e.ts >= least(r.last + interval 1 hour, r.first + interval 4 hour) then least(r.last + interval 1 hour, r.first + interval 4 hour) end, r.held from r join e on e.user_id = r.user_id and e.n = r.n + 1),
+ t as (select user_id, max(n) as n from e group by user_id)
+ select user_id, done as saved_at, held_done::bigint as changes from r where done is not null union all select r.user_id, least(last + interval 1 hour, first + interval 4 hour), held::bigint from r join t on r.user_id = t.user_id and r.n = t.n"""
+)
+def saved_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When changes are saved: after an hour's pause, and four hours after the first one at the latest."""
+    e = load(spark, sf_dir, "events")
+    rows = e.select(F.col("user_id").alias("key"), "ts", (F.col("event_id") % 5 != 0).alias("dirty"), (F.col("event_id") % 7 != 0).alias("has_data"))
+    return progress.saves(rows, 3600, 4 * 3600).select(F.col("key").alias("user_id"), F.col("ts").cast("timestamp_ntz").alias("saved_at"), "changes")
+
+
 @query(
     """with f as (select p_partkey, p_partkey % 10 as k, p_name from part)
  select p_partkey, case k when 0 then 'Docx' when 1 then 'OwnJson' when 2 then 'JsonResume' when 3 then 'EuropassXml' when 4 then 'HrXml' when 5 then 'Unknown' when 6 then 'Unknown' when 7 then 'Csv' when 8 then 'Pdf' else 'Yaml' end as format, k in (0, 8) as text_route,

@@ -154,18 +154,6 @@ def test_progress_stream(spark, tmp_path):
     assert sorted(r["status"] for r in spark.sql("select status from feed").collect()) == ["a", "b"]
 
 
-def test_shown_stream_matches_batch(spark, tmp_path):
-    rows = [("j", n, p, v) for n, (p, v) in enumerate([("a", 5), ("a", 3), ("b", 1), ("b", 9), ("a", 2)])]
-    schema = "job string, seq bigint, phase string, pct int"
-    df = spark.createDataFrame(rows, schema)
-    df.coalesce(1).write.parquet(f"{tmp_path}/p")
-    want = {(r["seq"], r["shown"]) for r in progress.running_max(df, "job", "seq").collect()}
-    assert want == {(0, 5), (1, 5), (2, 1), (3, 9), (4, 2)}
-    q = progress.shown_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/p")).writeStream.format("memory").queryName("shown").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(180)
-    assert {(r["seq"], r["shown"]) for r in spark.sql("select seq, shown from shown").collect()} == want
-
-
 def test_recovery(spark):
     df = spark.sql("select timestamp'2020-01-01' as p, timestamp'2020-01-02' as r")
     x = [progress.recovery(F.col("p"), F.col("r"), F.lit(True)), progress.recovery(F.col("r"), F.col("p"), F.lit(True)), progress.recovery(F.col("p"), F.col("r"), F.lit(False)), progress.recovery(F.col("p"), F.lit(None), F.lit(True))]
