@@ -12,7 +12,7 @@ from dossier.functions import dates
 from dossier.functions.text import ci_key
 from dossier.operators import chunking, extract, layout, lines, linkage, ordering, quality, validation
 from dossier.plans.registry import load, query
-from dossier.sources import formats, structured, writers
+from dossier.sources import formats, structured, writers, xml_rows
 from dossier.streaming import progress
 
 
@@ -498,7 +498,7 @@ def xml_read(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 4 == 2, j(head(j(" Ann  ", k.cast("string"))), "</x:SkillsPassport>"))
         .when(k % 8 == 3, j("<!DOCTYPE a><a>", seg, "</a>")).otherwise(j("<a>", seg))
     )
-    r = structured.xml_cv(c.select(k.alias("cv_id"), text.alias("text")), europass=True)
+    r = xml_rows.xml_cv(c.select(k.alias("cv_id"), text.alias("text")), True)
     first = F.get("work", F.lit(0))
     return r.select("cv_id", "first_name", "last_name", F.coalesce(F.size("work"), F.lit(-1)).alias("jobs"), first["start_year"].alias("start_year"), first["end_year"].alias("end_year"), first["is_current"].alias("is_current"), "error")
 

@@ -9,7 +9,7 @@ from dossier.functions.text import source_text
 from dossier.functions.urls import url_label
 from dossier.operators.extract import CV, import_texts
 from dossier.operators.metrics import merged_warnings
-from dossier.sources import structured
+from dossier.sources import structured, xml_rows
 from dossier.sources.extract import extract
 from dossier.sources.formats import OWN_KEY, STRUCTURED, read_files
 
@@ -52,10 +52,10 @@ def from_tables(docs: DataFrame, delimiter: str) -> DataFrame:
 
 def from_xml(docs: DataFrame, europass: bool) -> DataFrame:
     kinds = _schema(docs.sparkSession)
-    x = structured.xml_cv(docs, europass, "path", "text").withColumn("format", F.lit("EuropassXml" if europass else "HrXml"))
-    who = F.struct("first_name", "last_name", "email", "phone", "location")
+    x = xml_rows.xml_cv(docs, europass, "path", "text").withColumn("format", F.lit("EuropassXml" if europass else "HrXml"))
+    who = F.struct("first_name", "last_name", "title", "email", "phone", "location", "summary")
     spoken = F.transform("languages", lambda n: F.struct(n.alias("language")))
-    return _record(x, kinds, {"personal": who, "work": F.col("work"), "education": F.col("education"), "languages": spoken})
+    return _record(x, kinds, {"personal": who, "work": F.col("work"), "education": F.col("education"), "skills": F.col("skills"), "languages": spoken, "certificates": F.col("certificates"), "additional": F.coalesce("additional", F.lit(""))})
 
 
 def from_own(docs: DataFrame) -> DataFrame:

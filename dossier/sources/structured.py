@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -150,83 +149,3 @@ def yaml_to_json(docs: DataFrame, key: str = "cv_id", text: str = "text") -> Dat
 
     kind = dict(docs.dtypes)[key]
     return docs.select(F.col(key).alias("key"), text).mapInArrow(run, f"key {kind}, flavour string, json string").withColumnRenamed("key", key)
-
-
-def _name(e: ElementTree.Element) -> str:
-    return e.tag.rsplit("}", 1)[-1] if isinstance(e.tag, str) else ""
-
-
-def _first(e: ElementTree.Element, *names: str, listed: bool = True) -> str:
-    """First text below an element by name: in the names' order if ``listed``, else in the document's."""
-    found = [(names.index(_name(x)) if listed else 0, n, " ".join("".join(x.itertext()).split())) for n, x in enumerate(e.iter()) if _name(x) in names]
-    return next((t for _, _, t in sorted(found, key=lambda f: f[:2]) if t), "")
-
-
-def _years(text: str, after: int, before: int) -> list[int]:
-    return sorted({int(y) for y in re.findall(r"\b((?:19|20)\d{2})\b", text) if after < int(y) < before})
-
-
-def read_xml(text: str, europass: bool) -> dict:
-    """One XML CV as a record; document types and malformed texts raise ValueError."""
-    if "<!doctype" in text[:4096].lower():
-        raise ValueError("document types are refused")
-    try:
-        root = ElementTree.fromstring(text)
-    except ElementTree.ParseError as e:
-        raise ValueError(str(e)) from e
-    after, before = (1950, 2150) if europass else (1900, 2200)
-    pick = lambda e, *names: _first(e, *names, listed=europass)
-
-    def dated(e: ElementTree.Element) -> dict:
-        whole = " ".join(" ".join(e.itertext()).split()) + " " + " ".join(str(v) for x in e.iter() for v in x.attrib.values())
-        years = _years(whole, after, before)
-        now = bool(re.search(r"(?i)present|current|ongoing|>true<", whole)) or any(_name(x) in ("Current", "Ongoing") and "true" in ((x.text or "") + str(x.attrib)).lower() for x in e.iter())
-        return {"start_year": years[0] if years else None, "end_year": None if now or len(years) < 2 else years[-1], "is_current": now}
-
-    rows = lambda *names: [e for e in root.iter() if _name(e) in names]
-    work = [
-        {"job_title": pick(e, "PositionTitle", "Position", "Title", "Label"), "company": pick(e, "Employer", "EmployerName", "EmployerOrgName", "OrganizationName", "Name"), "description": pick(e, "Activities", "Description"), **dated(e)}
-        for e in rows(*(("WorkExperience", "WorkHistory") if europass else ("EmployerHistory", "PositionHistory", "EmploymentHistoryEntry", "WorkExperience")))
-    ]
-    education = [
-        {"institution": pick(e, "Organisation", "SchoolName", "School", "OrganizationName", "Name"), "degree": pick(e, "Title", "DegreeName", "Degree", "EducationLevel"), **dated(e)}
-        for e in rows(*(("Education",) if europass else ("SchoolOrInstitution", "EducationOrganizationAttendance")))
-    ]
-    spoken: dict[str, str] = {}
-    for e in rows("ForeignLanguage", "MotherTongue", "Language", "LanguageCompetency"):
-        name = pick(e, "Label", "LanguageName", "LanguageCode", "Description") or " ".join("".join(e.itertext()).split())
-        if name:
-            spoken.setdefault(name.lower(), name)
-    return {
-        "first_name": pick(root, "FirstName", "GivenName"),
-        "last_name": pick(root, "Surname", "FamilyName", "LastName"),
-        "email": next(iter(re.findall(r"[\w.%+-]+@[\w.-]+\.[A-Za-z]{2,}", pick(root, "Email", "InternetEmailAddress", "Contact"))), ""),
-        "phone": pick(root, "Telephone", "Phone", "FormattedNumber"),
-        "location": pick(root, "Municipality", "City", "PostalCode", "CountryCode"),
-        "work": [w for w in work if w["job_title"] or w["company"]],
-        "education": [e for e in education if e["institution"] or e["degree"]],
-        "languages": list(spoken.values()),
-    }
-
-
-XML_CV = "first_name string, last_name string, email string, phone string, location string, work array<struct<job_title:string,company:string,description:string,start_year:int,end_year:int,is_current:boolean>>, education array<struct<institution:string,degree:string,start_year:int,end_year:int,is_current:boolean>>, languages array<string>"
-
-
-def xml_cv(docs: DataFrame, europass: bool, key: str = "cv_id", text: str = "text") -> DataFrame:
-    """(key, first_name, …, languages, error) of Europass or HR XML texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    rows.append((k, json.dumps(read_xml(t or "", europass)), None))
-                except ValueError:
-                    rows.append((k, None, "unreadable"))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (batch.column(0).type, pa.string(), pa.string()), strict=True)], ["key", "cv", "error"])
-
-    kind = dict(docs.dtypes)[key]
-    out = docs.select(F.col(key).alias("key"), text).mapInArrow(run, f"key {kind}, cv string, error string")
-    out = out.withColumn("cv", F.from_json("cv", XML_CV)).withColumn("error", F.coalesce("error", F.when((F.col("cv.first_name") == "") & (F.size("cv.work") == 0) & (F.size("cv.education") == 0), "no_structured_data")))
-    return out.select(F.col("key").alias(key), "cv.*", "error")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions import cues, entries, text
 from dossier.operators import extract, folds, layout, linkage, trees
-from dossier.sources import formats, structured, writers
+from dossier.sources import formats, structured, writers, xml_rows
 from dossier.sources import extract as readers
 from dossier.sources.importer import import_files, project
 from dossier.streaming import progress
@@ -120,9 +120,9 @@ def test_round_trip_of_json_resume(spark):
     job = again["work"][0]
     assert (job["job_title"], job["company"], job["start_month"], job["start_year"], job["end_month"], job["end_year"]) == ("Dev", "Acme", 1, 2019, 2, 2020)
     assert again["skills"][0]["names"] == ["Spark", "Kafka"] and again["error"] is None
-    xml = structured.xml_cv(cv.select("cv_id", writers.xml(True).alias("text")), europass=True).first()
+    xml = xml_rows.xml_cv(cv.select("cv_id", writers.xml(True).alias("text")), True).first()
     assert (xml["first_name"], xml["last_name"], xml["work"][0]["company"]) == ("Jane", "Doe", "Acme")
-    assert structured.xml_cv(spark.createDataFrame([(1, "<!DOCTYPE a><a/>"), (2, "<a")], "cv_id int, text string"), True).where("error = 'unreadable'").count() == 2
+    assert xml_rows.xml_cv(spark.createDataFrame([(1, "<!DOCTYPE a><a/>"), (2, "<a")], "cv_id int, text string"), True).where("error = 'unreadable'").count() == 2
 
 
 def test_ancestors(spark):
