@@ -4,7 +4,7 @@ Five transducers read the words of a clause one after another, each rewriting th
 composed into one machine:
 
 * insult: marks words of the learned lexicon (whole words and stems) as insults, with their learned weight;
-* threat: marks verbs of harm as threats, a symbol of their own, with a learned weight;
+* threat: marks the inflections of verbs of harm as threats, a symbol of their own, with a learned weight for each verb;
 * target: remembers for a few words that someone was addressed or named (pronouns, groups, a capitalised word inside a
   clause); a match in reach is aimed, and a target soon after a match aims it as well;
 * negation: remembers for a few words that something was denied; a match in reach is denied;
@@ -36,8 +36,6 @@ from .common import small_batches, stash
 
 #: Labelled rows of each class that learning reads at most, by the smallest hashes of their doc_id.
 SAMPLE_ROWS = 4000
-#: Entries of the learned lexicon at most: a bound on the model, which is broadcast.
-LEXICON = 4096
 #: Lengths of word stems that may carry weight.
 STEMS = (4, 5, 6)
 #: An entry needs this many toxic training texts (a twentieth of them where that is less), and this log odds ratio.
@@ -47,7 +45,17 @@ TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;:\n\"“”«»]")
 ENDS = frozenset(".!?;\n")
 QUOTES = frozenset("\"“”«»")
 # Closed word classes of the grammar.
-THREATS = frozenset("kill hurt destroy beat shoot stab burn hang strangle töten schlagen umbringen vernichten erschießen verbrennen tuer tuez frapper détruire brûler étrangler matar golpear destruir quemar".split())
+_EN, _FR, _ES = ("", "s", "ed", "ing"), "er e es ez ent ait ant era erai é ée és ées".split(), "ar as a an amos aba aron ando ado ados aré ará arte arlos".split()
+THREATS: dict[str, list[tuple[str, list[str] | tuple[str, ...]]]] = {
+    "kill": [("kill", (*_EN, "er", "ers"))], "hurt": [("hurt", ("", "s", "ing"))], "destroy": [("destroy", _EN)], "beat": [("beat", ("", "s", "en", "ing"))], "shoot": [("shoot", ("", "s", "ing")), ("shot", ("",))],
+    "stab": [("stab", ("", "s", "bed", "bing"))], "burn": [("burn", (*_EN, "t"))], "hang": [("hang", _EN), ("hung", ("",))], "strangle": [("strangl", ("e", "es", "ed", "ing"))], "murder": [("murder", _EN)],
+    "töten": [("töt", "en e est et ete eten".split()), ("getötet", ("",))], "schlagen": [("schlag", "en e t".split()), ("schläg", ("t", "st")), ("geschlagen", ("",)), ("erschlagen", ("",))],
+    "umbringen": [("umbring", "en e st t".split()), ("umgebracht", ("",)), ("umzubringen", ("",))], "vernichten": [("vernicht", "en e et ete eten".split())], "erschießen": [("erschieß", "en e t".split()), ("erschoss", ("", "en"))],
+    "verbrennen": [("verbrenn", "en e st t".split()), ("verbrannt", ("", "e"))], "tuer": [("tu", _FR)], "frapper": [("frapp", _FR)], "brûler": [("brûl", _FR)], "étrangler": [("étrangl", _FR)],
+    "détruire": [("détrui", "re s t sez sent sait te tes ra rai".split())], "matar": [("mat", _ES)], "golpear": [("golpe", _ES)], "quemar": [("quem", _ES)], "destruir": [("destru", "ir yes ye yen ía yó yendo ido iré irá irte".split())],
+}
+#: Verb of each of its inflections.
+FORMS = {stem + ending: verb for verb, parts in THREATS.items() for stem, endings in parts for ending in endings}
 TARGETS = frozenset("you your you're ya he she they him her them u du dich dir euch ihr sie tu toi vous ton ta tes vos il elle ils ellos ella él usted ustedes vosotros eres".split())
 GROUPS = frozenset("women men immigrants foreigners refugees christians muslims jews gays liberals conservatives frauen männer ausländer flüchtlinge juden muslime femmes hommes étrangers immigrés juifs musulmans mujeres hombres extranjeros inmigrantes judíos musulmanes".split())
 NEGATIONS = frozenset("not no never n't don't isn't aren't wasn't won't can't nicht kein keine keinen nie niemals ne pas jamais aucun nunca jamás tampoco".split())
@@ -62,6 +70,9 @@ ARCS = ("aimed", "denied", "reported")
 PRIOR = {"aimed": 1.5, "denied": 0.4, "reported": 0.6}
 #: Matches that a prior gain counts for.
 PRIOR_MATCHES = 50.0
+#: Share of a text's words that are capitalised inside of clauses from which they name nobody, as where nouns are written so, and the
+#: words from which that can be told.
+NOUNS, NOUN_WORDS = 0.2, 40
 #: Weight of a threat before anything is learned.
 THREAT_WEIGHT = 1.0
 
@@ -153,7 +164,7 @@ class Grammar:
 
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
-    threat: float = THREAT_WEIGHT
+    threats: dict[str, float] = field(default_factory=dict)
     gains: dict[str, float] = field(default_factory=lambda: dict(PRIOR))
     beta: tuple[float, ...] = (-2.0, 1.0, 0.0, 0.0)
 
@@ -167,6 +178,9 @@ class Grammar:
                     w = s
         return w
 
+    def threat(self, verb: str) -> float:
+        return self.threats.get(verb, THREAT_WEIGHT)
+
     def gain(self, named: frozenset[str]) -> float:
         out = 1.0
         for arc in named:
@@ -174,8 +188,23 @@ class Grammar:
         return out
 
 
+def _names(tokens: list[str]) -> bool:
+    """Whether capitals inside of clauses name someone: not where so many words have one that all nouns must."""
+    words = capitals = 0
+    begins = True
+    for token in tokens:
+        if token in ENDS:
+            begins = True
+            continue
+        if token not in QUOTES:
+            words += 1
+            capitals += not begins and token[0].isupper()
+        begins = False
+    return words < NOUN_WORDS or capitals < NOUNS * words
+
+
 def _symbol(token: str, word: str, inside: bool) -> int:
-    """Symbol of a token that no lexicon marks; ``word`` is it in lower case, ``inside`` says that the clause has begun."""
+    """Symbol of a token that no lexicon marks; ``word`` is it in lower case, ``inside`` says that it may be a name by its capital."""
     if word in NEGATIONS:
         return NEGATION
     if word in REPORTS:
@@ -206,7 +235,8 @@ def clauses(grammar: Grammar, text: str | None) -> tuple[list[list[Match]], int]
         w = memo.get(word)
         if w is None:
             weight = grammar.weight(word)
-            w = memo[word] = (INSULT, weight) if weight else (THREAT, grammar.threat) if word in THREATS else (WORD, 0.0)
+            verb = FORMS.get(word)
+            w = memo[word] = (INSULT, weight) if weight else (THREAT, grammar.threat(verb)) if verb else (WORD, 0.0)
         if w[0]:
             marked[n] = w
             hit_here = True
@@ -217,6 +247,7 @@ def clauses(grammar: Grammar, text: str | None) -> tuple[list[list[Match]], int]
     tokens = TOKEN.findall(text)
     if len(tokens) != len(words):  # lower case may part a token, as with a dotted capital I
         tokens = words
+    named = _names(tokens)
     # Clauses without a match change nothing unless a quotation, which outlives its clause, may open in them.
     if not QUOTES.isdisjoint(text):
         edges = [-1, *(n for n, word in enumerate(words) if word in ENDS), len(words)]
@@ -228,7 +259,7 @@ def clauses(grammar: Grammar, text: str | None) -> tuple[list[list[Match]], int]
         matches: list[tuple[int, float, set[str]]] = []
         for n in range(first, last):
             hit = marked.get(n)
-            symbol = hit[0] if hit else _symbol(tokens[n], words[n], n > first)
+            symbol = hit[0] if hit else _symbol(tokens[n], words[n], named and n > first)
             if hit:
                 matches.append((symbol, hit[1], set(NAMED[state][symbol])))
                 since = 0
@@ -332,7 +363,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Gramma
     odds = F.log((F.col("bad") + 0.5) / (F.lit(bad) - F.col("bad") + 1.0)) - F.log((F.col("good") + 0.5) / (F.lit(good) - F.col("good") + 1.0))
     least = min(LEAST_DOCS, max(2, bad // 20))
     top = counted.where(F.col("bad") >= least).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
-    found = top.orderBy(F.col("odds").desc(), "entry").limit(LEXICON).collect()
+    found = top.collect()  # entries of the sampled texts
     grammar = Grammar()
     for row in found:
         (grammar.words if row["entry"][0] == "w" else grammar.stems)[row["entry"][2:]] = float(row["odds"])
@@ -355,7 +386,8 @@ def _learn_arcs(chosen: DataFrame, grammar: Grammar) -> None:
     """Moves the weight of threats and the gains of arcs by the matches of the sample.
 
     The share of matches in toxic texts, on an arc against the bare matches of the same symbols, is the arc's gain; a
-    prior of some matches holds rare arcs near their constants. Threats are worth the log odds of standing in toxic texts.
+    prior of some matches holds rare arcs near their constants. A verb is worth the log odds of standing
+    in toxic texts, whatever its inflection.
     """
     shared = chosen.sparkSession.sparkContext.broadcast(grammar)
 
@@ -363,26 +395,28 @@ def _learn_arcs(chosen: DataFrame, grammar: Grammar) -> None:
         seen: Counter = Counter()
         for batch in small_batches(batches):
             for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
+                for word in TOKEN.findall(text.as_py().lower()):
+                    if (verb := FORMS.get(word)) and not shared.value.weight(word):
+                        seen["threat:" + verb, toxic.as_py()] += 1
                 for matches in clauses(shared.value, text.as_py())[0]:
-                    for symbol, _, arcs in matches:
+                    for _, _, arcs in matches:
                         for name in [*arcs] or ["bare"]:
                             seen[name, toxic.as_py()] += 1
-                        if symbol == THREAT:
-                            seen["threat", toxic.as_py()] += 1
         rows = [(k, t, n) for (k, t), n in sorted(seen.items())]
         columns = list(zip(*rows, strict=True)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int64()), strict=True)], ["name", "toxic", "n"])
 
     counted = chosen.select("text", "toxic").mapInArrow(count, "name string, toxic int, n long").groupBy("name", "toxic").agg(F.sum("n").alias("n"))
-    n = {(r["name"], r["toxic"]): r["n"] for r in counted.collect()}  # at most ten rows
+    n = {(r["name"], r["toxic"]): r["n"] for r in counted.collect()}  # a few rows a verb and arc
     bare = (n.get(("bare", 1), 0) + 1.0) / (n.get(("bare", 1), 0) + n.get(("bare", 0), 0) + 2.0)
     for arc, prior in PRIOR.items():
         bad, all_ = n.get((arc, 1), 0), n.get((arc, 1), 0) + n.get((arc, 0), 0)
         grammar.gains[arc] = max(0.1, min(3.0, (bad / bare + PRIOR_MATCHES * prior) / (all_ + PRIOR_MATCHES)))
-    bad, good = n.get(("threat", 1), 0), n.get(("threat", 0), 0)
-    # A threat that stands in clean texts as often as in toxic ones is worth nothing; without any, the prior holds.
-    odds = math.log((bad + PRIOR_MATCHES * math.e / (1 + math.e)) / (good + PRIOR_MATCHES / (1 + math.e)))
-    grammar.threat = max(0.0, min(6.0, odds * THREAT_WEIGHT))
+    # A verb that stands in clean texts as often as in toxic ones is worth nothing; the prior holds for rare ones.
+    for verb in THREATS:
+        bad, good = n.get((f"threat:{verb}", 1), 0), n.get((f"threat:{verb}", 0), 0)
+        odds = math.log((bad + PRIOR_MATCHES * math.e / (1 + math.e)) / (good + PRIOR_MATCHES / (1 + math.e)))
+        grammar.threats[verb] = max(0.0, min(6.0, odds * THREAT_WEIGHT))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 50) -> tuple[float, ...]:

@@ -5,11 +5,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import math
 import random
 import re
 import time
 import zlib
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -129,8 +131,8 @@ def slow_clauses(g, text):
                 weight = g.weight(w)
                 if weight:
                     kind.append(("insult", weight))
-                elif w in toxicity.THREATS:
-                    kind.append(("threat", g.threat))
+                elif w in toxicity.FORMS:
+                    kind.append(("threat", g.threat(toxicity.FORMS[w])))
                 elif w in toxicity.NEGATIONS:
                     kind.append(("negation", 0))
                 elif w in toxicity.REPORTS:
@@ -157,8 +159,65 @@ def slow_clauses(g, text):
     return out
 
 
+def test_threats_are_inflected():
+    g = toxicity.Grammar(threats={"kill": 2.0})
+    first = lambda t: toxicity.clause_scores(g, t)[0]
+    for text in ("they killed her", "killing you softly", "he kills them", "sie haben ihn getötet", "ils frappent", "te matarán quemando"):
+        assert first(text), text
+    assert first("they killed her") == first("they kill her") > first("killed") and first("the kilt, a matter of hangars") == []
+
+
+def test_capitals_of_nouns_name_nobody():
+    g = toxicity.Grammar(words={"zorgon": 4.0})
+    aimed = lambda t: toxicity.clauses(g, t)[0][0][0][2]
+    german = "und der Baum vor dem Haus wirft am Abend lange Schatten auf die Wiese am Fluss. " * 4
+    english = "and the tree in front of the house throws its long shadow on the lawn by the river. " * 4
+    assert aimed(german + "das Auto zorgon") == frozenset() and aimed(english + "the Peter zorgon") == aimed("the Peter zorgon") == {"aimed"}
+
+
+def test_learning_against_plain_counts(spark):
+    """Lexicon, arcs, verbs and calibration worked out plainly from the same sample."""
+    docs, marks = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = [(r["text"], r["toxic"]) for r in toxicity.sample(docs, marks).collect()]
+    got = toxicity.learn(docs, marks)
+    bad = sum(y for _, y in rows)
+    counts = {}
+    for text, y in rows:
+        words = {w for w in re.findall(toxicity.TOKEN.pattern, text.lower()) if len(w) > 1}
+        for e in {"w:" + w for w in words} | {"s:" + w[:k] for w in words for k in (4, 5, 6) if len(w) > k}:
+            counts.setdefault(e, [0, 0])[y] += 1
+    odds = lambda c: math.log((c[1] + 0.5) / (bad - c[1] + 1)) - math.log((c[0] + 0.5) / (len(rows) - bad - c[0] + 1))
+    want = {e: odds(c) for e, c in counts.items() if c[1] >= min(24, max(2, bad // 20)) and odds(c) >= 2.5}
+    assert {**{"w:" + k: v for k, v in got.words.items()}, **{"s:" + k: v for k, v in got.stems.items()}} == pytest.approx(want) and want
+    seen = {}
+    for text, y in rows:
+        for clause in slow_clauses(got, text):
+            for _, _, arcs in clause:
+                for a in arcs or ("bare",):
+                    seen.setdefault(a, [0, 0])[y] += 1
+    bare = (seen["bare"][1] + 1) / (sum(seen["bare"]) + 2)
+    for arc, prior in (("aimed", 1.5), ("denied", 0.4), ("reported", 0.6)):
+        clean, toxic = seen.get(arc, (0, 0))
+        assert got.gains[arc] == pytest.approx(max(0.1, min(3.0, (toxic / bare + 50 * prior) / (clean + toxic + 50))))
+    # The calibration is the minimum of its own loss: no small step betters it.
+    points = np.array([toxicity.features(*toxicity.clause_scores(got, t)) for t, _ in rows])
+    y = np.array([y for _, y in rows])
+
+    def loss(b):
+        z = np.clip(points @ b, -30, 30)
+        each = np.log1p(np.exp(-z)) * y / max(1, bad) + np.log1p(np.exp(z)) * (1 - y) / max(1, len(rows) - bad)
+        return len(rows) * each.sum() / 2 + 0.5 * (0.05 * len(rows) / 100) * (b[1:] ** 2).sum()
+
+    best = loss(np.array(got.beta))
+    for k in range(4):
+        for step in (-0.05, 0.05):
+            other = np.array(got.beta)
+            other[k] += step
+            assert loss(other) >= best - 1e-6
+
+
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from(["zorgon", "Blatterer", "kill", "you", "Peter", "women", "not", "said", '"', ".", "\n", "tree", "house", ",", "!", "42"]), max_size=25))
+@given(st.lists(st.sampled_from(["zorgon", "Blatterer", "kill", "Killed", "tuez", "you", "Peter", "women", "not", "said", '"', ".", "\n", "tree", "house", ",", "!", "42"]), max_size=25))
 def test_grammar_against_brute_force(parts):
     g = toxicity.Grammar(words={"zorgon": 4.0}, stems={"blatt": 2.0})
     text = " ".join(parts)
