@@ -40,6 +40,8 @@ SAMPLE_ROWS = 4000
 STEMS = (4, 5, 6)
 #: An entry needs this many toxic training texts (a twentieth of them where that is less), and this log odds ratio.
 LEAST_DOCS, LEAST_ODDS = 24, 2.5
+#: Texts in which words beside the lexicon's have to show a stem before they can speak against it.
+LEAST_OTHER = 3
 
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;:\n\"“”«»]")
 ENDS = frozenset(".!?;\n")
@@ -368,6 +370,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Gramma
     for row in found:
         (grammar.words if row["entry"][0] == "w" else grammar.stems)[row["entry"][2:]] = float(row["odds"])
 
+    _prune_stems(chosen, grammar, bad, good)
     _learn_arcs(chosen, grammar)
     rough = docs.sparkSession.sparkContext.broadcast(grammar)
 
@@ -382,6 +385,34 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Gramma
     return grammar
 
 
+def _prune_stems(chosen: DataFrame, grammar: Grammar, bad: int, good: int) -> None:
+    """Drops stems that owe their odds to words of the lexicon while other words with them tell the contrary.
+
+    Other words count in ``LEAST_OTHER`` texts or more; a stem without such words stays, as it may stand for inflections
+    that the sample does not hold.
+    """
+    shared = chosen.sparkSession.sparkContext.broadcast(grammar)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        words, stems = shared.value.words, shared.value.stems
+        for batch in small_batches(batches):
+            for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
+                others = {w for w in TOKEN.findall(text.as_py().lower()) if w not in words}
+                seen.update((s, toxic.as_py()) for s in {w[:k] for w in others for k in STEMS if len(w) > k} & stems.keys())
+        rows = [(k, t, n) for (k, t), n in sorted(seen.items())]
+        columns = list(zip(*rows, strict=True)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int64()), strict=True)], ["stem", "toxic", "n"])
+
+    counted = chosen.select("text", "toxic").mapInArrow(count, "stem string, toxic int, n long").groupBy("stem", "toxic").agg(F.sum("n").alias("n"))
+    n = {(r["stem"], r["toxic"]): r["n"] for r in counted.collect()}  # two rows a stem at most
+    for stem in list(grammar.stems):
+        b, g = n.get((stem, 1), 0), n.get((stem, 0), 0)
+        odds = math.log((b + 0.5) / (bad - b + 1.0)) - math.log((g + 0.5) / (good - g + 1.0))
+        if b + g >= LEAST_OTHER and odds < LEAST_ODDS:
+            del grammar.stems[stem]
+
+
 def _learn_arcs(chosen: DataFrame, grammar: Grammar) -> None:
     """Moves the weight of threats and the gains of arcs by the matches of the sample.
 

@@ -188,6 +188,14 @@ def test_learning_against_plain_counts(spark):
             counts.setdefault(e, [0, 0])[y] += 1
     odds = lambda c: math.log((c[1] + 0.5) / (bad - c[1] + 1)) - math.log((c[0] + 0.5) / (len(rows) - bad - c[0] + 1))
     want = {e: odds(c) for e, c in counts.items() if c[1] >= min(24, max(2, bad // 20)) and odds(c) >= 2.5}
+    others = {}
+    for text, y in rows:
+        free = {w for w in re.findall(toxicity.TOKEN.pattern, text.lower()) if "w:" + w not in want}
+        for e in {"s:" + w[:k] for w in free for k in (4, 5, 6) if len(w) > k} & want.keys():
+            others.setdefault(e, [0, 0])[y] += 1
+    for e, c in others.items():
+        if sum(c) >= 3 and odds(c) < 2.5:
+            del want[e]
     assert {**{"w:" + k: v for k, v in got.words.items()}, **{"s:" + k: v for k, v in got.stems.items()}} == pytest.approx(want) and want
     seen = {}
     for text, y in rows:
