@@ -19,6 +19,10 @@ PHONE = r"(?:\+|\(\+)?[0-9][0-9 \t().-]{7,}[0-9]"
 INSTITUTION = ("high school", "university", "college", "academy", "institute", "gymnaz", "gymnáz", "stredna skola", "stredná škola", "electrical engineering", " and training")
 STANDALONE_INSTITUTION = ("university", "college", "institute", "academy")
 DEGREE = ("bachelor", "master", "bsc", "msc", "phd", "doctor", "diploma", "ing.", "bc.")
+DEGREE_TYPES = {
+    "Doctorate": ("phd", "ph.d", "doctor"), "Master": ("master", "msc", "mba", "ing.", "mgr"), "Bachelor": ("bachelor", "bsc", "bc."), "Associate": ("associate ",),
+    "HighSchool": ("high school", "gymn", "secondary"), "Certificate": ("certificate", "course"),
+}
 FIELDS_OF_STUDY = ("engineering", "training", "technology", "management", "sciences", "informatics")
 PROSE = (
     " using ", " for ", " with ", " the ", " to ", " in ", " on ", " of ", " a ", " an ", " and delivering ", " and reviewed ", " and maintained ", " and collaborated ",
@@ -233,14 +237,8 @@ def partial_url(line: Column) -> Column:
 
 
 def degree_type(text: Column) -> Column:
-    low = F.lower(text)
-    has = lambda *cues: reduce(or_, (low.contains(c) for c in cues))
-    return (
-        F.when(has("phd", "ph.d", "doctor"), "Doctorate")
-        .when(has("master", "msc", "mba", "ing.", "mgr"), "Master")
-        .when(has("bachelor", "bsc", "bc."), "Bachelor")
-        .when(has("associate "), "Associate")
-        .when(has("high school", "gymn", "secondary"), "HighSchool")
-        .when(has("certificate", "course"), "Certificate")
-        .otherwise("Other")
-    )
+    """The first type of which a text holds a cue, else 'Other'."""
+    low, out = F.lower(text), F.lit("Other")
+    for kind, words_ in reversed(DEGREE_TYPES.items()):
+        out = F.when(reduce(or_, (low.contains(w) for w in words_)), kind).otherwise(out)
+    return out

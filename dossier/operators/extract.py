@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dossier.functions.cues import DEGREE_TYPES, INSTITUTION
 from dossier.functions.dates import FIRST_YEAR, LAST_YEAR, MONTHS, PRESENT, RANGE, STUDY_YEARS
 from dossier.functions.text import normalize
 from dossier.operators.lines import EMAIL, PHONE, TECHNOLOGY_NAMES, TITLE_WORDS, with_sections
@@ -23,9 +24,7 @@ _RANGE = re.compile(RANGE.replace("(?iu)", "(?i)"))
 _LABEL = re.compile(r"^([A-Za-zÀ-ž\s]+):\s*(.+)$")
 _NAME_PART = re.compile(r"^[^\W\d_][^\W\d_'’-]*(?:['’-][^\W\d_]+)*$")
 
-# Cues of institutions, degrees and proficiencies.
-INSTITUTIONS = ("university", "univerzita", "college", "school", "institute", "academy", "faculty", "fakulta", "gymn", "polytechnic")
-DEGREES = {"Doctorate": ("phd", "ph.d", "doctor"), "Master": ("master", "msc", "mba", "ing.", "mgr"), "Bachelor": ("bachelor", "bsc", "b.sc", "bc."), "HighSchool": ("high school", "gymn", "secondary"), "Certificate": ("certificate", "course")}
+# Cues of proficiencies.
 LEVELS = {"native": "Native", "mother tongue": "Native", "fluent": "Fluent", "advanced": "Advanced", "professional": "Advanced", "intermediate": "Intermediate", "conversational": "Intermediate", "basic": "Basic", "beginner": "Basic", "elementary": "Basic"}
 
 CV = """personal struct<first_name:string,last_name:string,title:string,email:string,phone:string,location:string,linkedin_url:string,github_url:string,portfolio_url:string,summary:string>,
@@ -84,7 +83,7 @@ def _entries(body: str) -> list[list[str]]:
         return parts
     lines = [x.strip() for x in body.split("\n") if x.strip()]
     dated = [date_range(x) is not None for x in lines]
-    heads = [" - " in x or " at " in x.lower() or "|" in x or any(c in x.lower() for c in INSTITUTIONS) for x in lines]
+    heads = [" - " in x or " at " in x.lower() or "|" in x or any(c in x.lower() for c in INSTITUTION) for x in lines]
     starts = [h and not d and any(dated[n + 1 : n + 4]) for n, (h, d) in enumerate(zip(heads, dated, strict=True))]
     return _blocks(lines, starts) if any(starts) else [lines]
 
@@ -176,7 +175,7 @@ def education(body: str, confidences: list) -> list[dict]:
                 rest.append(line)
         for line in head:
             low = line.lower()
-            if not entry["institution"] and any(c in low for c in INSTITUTIONS):
+            if not entry["institution"] and any(c in low for c in INSTITUTION):
                 entry["institution"] = line
             elif not entry["degree"]:
                 entry["degree"], entry["field_of_study"] = (line.split(" in ", 1) + [""])[:2]
@@ -185,7 +184,7 @@ def education(body: str, confidences: list) -> list[dict]:
             else:
                 rest.insert(0, line)
         text = " ".join(head).lower()
-        entry["degree_type"] = next((k for k, cues in DEGREES.items() if any(c in text for c in cues)), "Other")
+        entry["degree_type"] = next((k for k, own in DEGREE_TYPES.items() if any(c in text for c in own)), "Other")
         if dated:
             if dated["end_year"] is None and not dated["is_current"]:  # a single date is the end
                 dated = {"start_month": None, "start_year": None, "end_month": dated["start_month"], "end_year": dated["start_year"], "is_current": False}

@@ -192,13 +192,13 @@ def split_name(lines: Column) -> Column:
 
 
 def name_score(line: Column) -> Column:
-    """Two points for a part with a capital, one for a part of three letters or more, and the length up to 40."""
+    """How much a line of a name is worth: its length up to 40, and for each part 4 if it has four characters or more, 15 if
+    one is not ASCII, 4 less for a hyphen, 10 less for a small word or a technology."""
     t = trim_ws(line)
     parts = F.split(F.regexp_replace(t, r"(?U)\s+", " "), " ")
-    points = F.aggregate(
-        parts, F.lit(0), lambda n, p: n + F.when(p.rlike(r"^\p{Lu}"), 2).otherwise(0) + F.when(F.length(p) >= 3, 1).otherwise(0)
-    )
-    return points + F.least(F.length(t), F.lit(40))
+    no_name = lambda p: F.lower(p).isin(*cues.SKILL_STOP_WORDS, *TECHNOLOGY_NAMES)
+    worth = lambda p: F.when(F.length(p) >= 4, 4).otherwise(0) + F.when(p.rlike(r"[^\x00-\x7F]"), 15).otherwise(0) - F.when(p.contains("-"), 4).otherwise(0) - F.when(no_name(p), 10).otherwise(0)
+    return F.aggregate(parts, F.lit(0), lambda n, p: n + worth(p)) + F.least(F.length(t), F.lit(40))
 
 
 def contacts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

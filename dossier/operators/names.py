@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from dossier.functions import cues
-from dossier.functions.text import lines_of, split_items, trim_ws
+from dossier.functions.text import let, lines_of, split_items, trim_ws
 from dossier.operators.lines import is_name_line, is_name_part, name_score, split_name
 
 #: Sections in which a name is sought, in order, and how many lines of running text are read.
@@ -33,16 +33,15 @@ def personal_lines(sections: Column) -> Column:
 
 def best_name(lines: Column) -> Column:
     """The line with the best score among those that are names, the first of equals; null without one."""
-    scored = F.transform(lines, lambda x, i: F.struct(F.when(is_name_line(x), name_score(x)).otherwise(-1).alias("score"), (-i).alias("at"), x.alias("line")))
-    top = F.array_max(scored)
-    return F.when(top["score"] >= 0, top["line"])
+    scored = F.transform(lines, lambda x, i: F.struct(F.when(is_name_line(x), name_score(x)).alias("score"), (-i).alias("at"), x.alias("line")))
+    top = F.array_max(scored)  # nulls are the least
+    return F.when(top["score"].isNotNull(), top["line"])
 
 
 def named(lines: Column) -> Column:
     """struct<first_name, last_name> of a name line, else of two neighbouring name parts; null without either."""
-    line = best_name(lines)
-    whole = F.struct(F.split_part(line, F.lit(" "), F.lit(1)).alias("first_name"), trim_ws(F.regexp_replace(line, r"^\S+", "")).alias("last_name"))
-    return F.when(line.isNotNull(), whole).otherwise(split_name(lines))
+    whole = lambda line: F.struct(F.split_part(line, F.lit(" "), F.lit(1)).alias("first_name"), trim_ws(F.regexp_replace(line, r"^\S+", "")).alias("last_name"))
+    return let(best_name(lines), lambda line: F.when(line.isNotNull(), whole(line)).otherwise(split_name(lines)))
 
 
 def name_elsewhere(sections: Column) -> Column:
@@ -53,9 +52,14 @@ def name_elsewhere(sections: Column) -> Column:
     found = []
     for s in SEARCHED:
         lines = lines_of(F.element_at(sections, F.lit(s)))
-        name = named(F.slice(lines, 1, SUMMARY_LINES) if s == "Summary" else lines)
-        found.append(F.when(name.isNotNull(), F.struct(name["first_name"].alias("first_name"), name["last_name"].alias("last_name"), F.lit(s).alias("section"))))
-    return F.coalesce(*found)
+        found.append(F.struct(F.lit(s).alias("section"), (F.slice(lines, 1, SUMMARY_LINES) if s == "Summary" else lines).alias("lines")))
+    # One expression reads all sections; later ones are read only if none before held a name.
+    none = F.lit(None).cast("struct<first_name:string,last_name:string,section:string>")
+
+    def read(part: Column) -> Column:
+        return let(named(part["lines"]), lambda name: F.when(name.isNotNull(), F.struct(name["first_name"].alias("first_name"), name["last_name"].alias("last_name"), part["section"].alias("section"))))
+
+    return F.aggregate(F.array(*found), none, lambda best, part: F.coalesce(best, read(part)))
 
 
 def name_before_email(lines: Column, email: str) -> Column:

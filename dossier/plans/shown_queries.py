@@ -28,9 +28,11 @@ def name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = F.when(k == 2, joined("Senior Developer\nAl Bo\nJan Novak ", seg)).otherwise("Engineer\n2020 - 2021")
     summary = F.when(k == 3, joined("I did\n", seg, " Maier\nx")).when(k == 4, F.concat(F.repeat(F.lit("words of it\n"), 25), F.lit("Eva Mala"))).otherwise("x y")
     sections = F.create_map(*(x for s, v in (("Header", F.lit("h")), ("Contact", contact), ("Skills", skills), ("WorkExperience", work), ("Summary", summary)) for x in (F.lit(s), v)))
-    found = names.name_elsewhere(sections)
     block = F.when(k == 4, "a\n tail \n\n").when(k == 5, " \n").otherwise(joined("x\n\nend ", F.col("c_custkey").cast("string"), "\n "))
-    return c.select("c_custkey", found["first_name"].alias("first_name"), found["last_name"].alias("last_name"), found["section"].alias("section"), names.last_line(block).alias("last"))
+    # Generators work their input out once; plain columns would be made anew for every use.
+    c = c.select("c_custkey", names.last_line(block).alias("last"), F.explode(F.array(sections)).alias("sections"))
+    c = c.select("c_custkey", "last", F.explode(F.array(names.name_elsewhere(F.col("sections")))).alias("found"))
+    return c.select("c_custkey", "found.first_name", "found.last_name", "found.section", "last")
 
 
 @query(

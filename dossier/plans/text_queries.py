@@ -199,10 +199,10 @@ PART = r"(regexp_matches(p, '^\p{L}[\p{L}\p{M}''-]*$') and length(p) between 2 a
 
 
 @query(
-    rf"""with c as (select c_custkey, unnest([c_name, 'Jane Q' || c_custkey || ' Doe', 'Anna Maria ' || chr(65 + (c_custkey % 26)::int) || 'anova', 'senior developer', 'Mia Novak']) as line, unnest([0, 1, 2, 3, 4]) as pos from customer),
+    rf"""with c as (select c_custkey, unnest([c_name, 'Jane Q' || c_custkey || ' Doe', 'Anna Maria ' || chr(65 + (c_custkey % 26)::int) || 'anova', 'senior developer', 'Mia Novak', case c_custkey % 3 when 0 then 'Žofia Kis' when 1 then 'Anna-Lena Kisova' else 'With Love Redisova' end]) as line, unnest([0, 1, 2, 3, 4, 5]) as pos from customer),
  s as (select *, string_split(line, ' ') as parts from c),
  k as (select *, len(parts) between 2 and 4 and length(line) <= 60 and len(list_filter(parts, lambda p: {PART})) = len(parts) and len(list_filter(parts, lambda p: lower(p) in ({TITLES}))) = 0 as ok,
-  list_sum(list_transform(parts, lambda p: (case when regexp_matches(p, '^\p{{Lu}}') then 2 else 0 end) + (case when length(p) >= 3 then 1 else 0 end))) + least(length(line), 40) as score from s)
+  list_sum(list_transform(parts, lambda p: (case when length(p) >= 4 then 4 else 0 end) + (case when strlen(p) > length(p) then 15 else 0 end) - (case when contains(p, '-') then 4 else 0 end) - (case when lower(p) in ('and', 'or', 'with', 'for', 'the', 'as') then 10 else 0 end))) + least(length(line), 40) as score from s)
  select c_custkey, line, score::int as score from (select *, row_number() over (partition by c_custkey order by score desc, pos) as r from k where ok) where r = 1"""
 )
 def name_line_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,6 +211,7 @@ def name_line_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.array(
         "c_name", F.concat(F.lit("Jane Q"), F.col("c_custkey").cast("string"), F.lit(" Doe")),
         F.concat(F.lit("Anna Maria "), F.char(F.col("c_custkey") % 26 + 65), F.lit("anova")), F.lit("senior developer"), F.lit("Mia Novak"),
+        F.when(F.col("c_custkey") % 3 == 0, "Žofia Kis").when(F.col("c_custkey") % 3 == 1, "Anna-Lena Kisova").otherwise("With Love Redisova"),
     )
     found = c.select("c_custkey", F.posexplode(own).alias("pos", "line")).where(lines.is_name_line(F.col("line"))).withColumn("score", lines.name_score(F.col("line")))
     best = Window.partitionBy("c_custkey").orderBy(F.col("score").desc(), "pos")
