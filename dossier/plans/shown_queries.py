@@ -36,7 +36,7 @@ def name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with {NAMES} select c_custkey, case k when 0 then 'Mia' when 1 then seg when 2 then 'Jan' when 3 then 'Eva' end as first_name, case k when 0 then seg when 1 then 'Novak' when 2 then 'Maier' when 3 then seg end as last_name, case when k % 2 = 0 then 2 else 1 end as groups, k in (0, 4) as repeated, case when k = 3 then 5 else 4 end as lines from c"""
+    f"""with {NAMES} select c_custkey, case k when 0 then 'Mia' when 1 then seg when 2 then 'Jan' when 3 then 'Eva' end as first_name, case k when 0 then seg when 1 then 'Novak' when 2 then 'Maier' when 3 then seg end as last_name, case when k % 2 = 0 then 'Eva Mala,' else '' end || 'Tools ' || c_custkey as groups, k in (0, 4) as repeated, case when k = 3 then seg || '|y|z|a|b ' || c_custkey else 'x|' || seg || '|a|b ' || c_custkey end as lines from c"""
 )
 def sidebar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names above an address in a sidebar, groups that are only a name, repeated titles, all lines of a text in order."""
@@ -48,12 +48,12 @@ def sidebar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.lit("a@b.cd"), F.lit("Eva"), seg, F.lit("b@c.de")), F.array(F.lit("Eva"), F.lit("a@b.cd")), F.array(F.lit("Eva"), seg),
     ])
     found = names.name_before_email(rows, r"\S+@\S+\.\S+")
-    group = lambda category, n: F.struct(F.lit(category).alias("category"), F.array_repeat(F.lit("s"), n).alias("names"))
-    kept = names.without_person_groups(F.array(group("Eva Mala", (k % 2 == 0).cast("int")), group("Tools", F.lit(0))))
-    sections = F.create_map(F.lit("Skills"), F.lit("a\n\nb"), F.lit("Header"), F.when(k == 3, "x\ny\nz").otherwise("x\n y "))
+    group = lambda category, n: F.struct(category.alias("category"), F.array_repeat(F.lit("s"), n).alias("names"))
+    kept = names.without_person_groups(F.array(group(F.lit("Eva Mala"), (k % 2 == 0).cast("int")), group(joined("Tools ", F.col("c_custkey").cast("string")), F.lit(0))))
+    sections = F.create_map(F.lit("Skills"), joined("a\n\n b ", F.col("c_custkey").cast("string")), F.lit("Header"), F.when(k == 3, joined(seg, "\ny\n\nz")).otherwise(joined("x\n ", seg, " ")))
     return c.select(
-        "c_custkey", found["first_name"].alias("first_name"), found["last_name"].alias("last_name"), F.size(kept).alias("groups"), names.repeats_title(joined(" ", seg, " "), texts(k % 4, [F.upper(seg), joined(seg, "x"), F.lit(""), F.lit("x")])).alias("repeated"),
-        F.size(names.personal_lines(sections)).alias("lines"),
+        "c_custkey", found["first_name"].alias("first_name"), found["last_name"].alias("last_name"), F.array_join(F.transform(kept, lambda g: g["category"]), ",").alias("groups"), names.repeats_title(joined(" ", seg, " "), texts(k % 4, [F.upper(seg), joined(seg, "x"), F.lit(""), F.lit("x")])).alias("repeated"),
+        F.array_join(names.personal_lines(sections), "|").alias("lines"),
     )
 
 
@@ -132,16 +132,19 @@ def advisor_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with {JOBS} select cv_id, count(*)::int as n, 'dark' as theme, 1::bigint as version, '2020-01-02T03:04:05Z' as saved_at from jobs group by cv_id"""
+    f"""with {JOBS} select cv_id, count(*)::int as n, case when cv_id % 3 = 0 then null when cv_id % 3 = 1 then 'dark' else 'own "' || cv_id || '"' end as theme, 1::bigint as version, strftime(timestamp '2020-01-02 03:04:05' + to_days(cv_id::int), '%Y-%m-%dT%H:%M:%SZ') as saved_at, string_agg(company, '|' order by pos) as companies from jobs group by cv_id"""
 )
 def project_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Project files: content, settings and the time of saving, written and read again."""
-    cv = jobs(spark, sf_dir).groupBy("cv_id").agg(F.collect_list(F.struct("pos", "company")).alias("work"))
-    body = presentation.project_json(F.struct("work"), F.struct(F.lit("dark").alias("theme")), F.lit("2020-01-02 03:04:05").cast("timestamp"))
+    cv = jobs(spark, sf_dir).groupBy("cv_id").agg(F.array_sort(F.collect_list(F.struct("pos", "company"))).alias("work"))
+    theme = F.when(F.col("cv_id") % 3 == 1, "dark").when(F.col("cv_id") % 3 == 2, joined('own "', F.col("cv_id").cast("string"), '"'))
+    saved = F.lit("2020-01-02 03:04:05").cast("timestamp") + F.make_dt_interval(F.col("cv_id").cast("int"))
+    body = presentation.project_json(F.struct("work"), F.struct(theme.alias("theme")), saved)
     files = cv.select("cv_id", body.alias("text"))
     get = lambda path: F.get_json_object("text", path)
-    n = F.size(F.from_json(get("$.work"), "array<struct<pos:int>>"))
-    return files.select("cv_id", n.alias("n"), get("$.projectSettings.settings.theme").alias("theme"), get("$.dossierVersion").cast("long").alias("version"), get("$.projectSettings.savedAt").alias("saved_at"))
+    work = F.from_json(get("$.work"), "array<struct<pos:int,company:string>>")
+    companies = F.array_join(F.transform(work, lambda w: w["company"]), "|")
+    return files.select("cv_id", F.size(work).alias("n"), companies.alias("companies"), get("$.projectSettings.settings.theme").alias("theme"), get("$.dossierVersion").cast("long").alias("version"), get("$.projectSettings.savedAt").alias("saved_at"))
 
 
 @query("select 'left' as side, n_name from nation where n_nationkey % 3 = 0 and n_nationkey % 2 <> 0 union all select 'right', n_name from nation where n_nationkey % 2 = 0 and n_nationkey % 3 <> 0")
