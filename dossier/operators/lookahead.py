@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.functions import cues, dates
-from dossier.functions.text import has_text, let, lines_of, split_items, trim_ws
-from dossier.operators.folds import trailing_range
+from dossier.functions.text import has_text, let, lines_of, paragraphs, split_items, trim_ws
+from dossier.operators.folds import degree_first, degree_title, education_blocks, education_votes, meta_lines, trailing_range
 from dossier.operators.lines import is_name_line
 
 #: Lines after a start in which a date has to come, and lines in which a skill has to follow its category.
@@ -106,6 +106,23 @@ def work_blocks(body: Column) -> Column:
     return let(lines_of(body), lambda lines: islands(lines, work_starts(lines)))
 
 
+def education_section(body: Column) -> Column:
+    """Entries of an education section as blocks of text, each with its continuations; null for a null text.
+
+    Blocks vote on the layout. Where institutions do not come first and a degree's line comes before any date, each degree's line
+    opens an entry, if there are several; else blank lines part them.
+    """
+
+    def blocks(text: Column) -> Column:
+        lines = lines_of(text)
+        by_degree = F.transform(islands(lines, F.transform(lines, lambda x, i: (i == 0) | degree_title(x))), lambda b: F.array_join(b, "\n"))
+        first = ~education_votes(paragraphs(text)) & degree_first(F.transform(F.split(text, "\n", -1), trim_ws))
+        pick = lambda made: F.when(first & (F.size(made) > 1), made).otherwise(paragraphs(text))
+        return let(let(by_degree, pick), education_blocks)
+
+    return let(F.array_join(meta_lines(body), "\n"), blocks)
+
+
 def present_mark(lines: Column, start_year: Column) -> Column:
     """struct<start_month, start_year, is_current> of the first of a job's first lines that says it goes on; null without one.
 

@@ -111,3 +111,35 @@ def present_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     mark = lookahead.present_mark(F.col("lines"), F.when(F.col("c_custkey") % 2 == 0, 2000))
     rows = rows.select("c_custkey", F.explode(F.array(mark)).alias("m"))
     return rows.select("c_custkey", F.col("m").isNotNull().alias("current"), "m.start_month", "m.start_year")
+
+
+STUDY_LINE = """case o_orderkey % 13 when 0 then 'MSc Maths ' || (o_orderkey % 5) when 1 then 'University of Brno ' || (o_orderkey % 3) when 2 then '2010 - 2014' when 6 then 'and Technology' when 7 then 'Thesis on graphs' when 8 then 'School of' when 9 then 'Brno, Czechia'
+ when 10 then ' Diploma work' when 11 then 'Grade: A' when 12 then 'PhD' else '' end"""
+_DEGREE = "regexp_matches({0}, '(?i)bachelor|master|bsc|msc|phd|doctor|diploma|ing\\.|bc\\.')"
+_TITLE = "(regexp_matches({0}, '(?i)^(MSc|BSc|PhD|MEng|MBA|Bachelor|Master|Doctor)\\b') and not regexp_matches({0}, '(?i)·|field of study:|^grade:|^institution url:|^thesis focus'))"
+_SCHOOL = "regexp_matches({0}, '(?i)high school|university|college|academy|institute|gymnaz|gymnáz|stredna skola|stredná škola|electrical engineering| and training')"
+_CUT = f"(not {_SCHOOL} and (ends_with(lower({{0}}), ' of') or regexp_matches({{0}}, '(?i)\\b(high school|school|university|college|academy)\\s+of\\s+[\\p{{{{L}}}}\\s]+$')))"
+_PLACE = "(regexp_matches({0}, '^\\p{{L}}[^0-9.#,]*, *\\p{{L}}[^0-9.#,]*$') and not contains({0}, ' - '))"
+_LINES = "list_filter(list_transform(string_split({0}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+
+
+def _is(rule: str, c: str) -> str:
+    return rule.format(c)
+
+
+@query(
+    f"""with recursive l as (select o_custkey as cv, string_agg({STUDY_LINE}, chr(10) order by o_orderkey) as body, list(trim({STUDY_LINE}) order by o_orderkey) as lines from orders group by o_custkey),
+ p as (select *, list_filter(list_transform(string_split(body, chr(10) || chr(10)), lambda b: trim(b, ' ' || chr(10))), lambda b: b <> '') as paras, list_filter(lines, lambda x: x <> '') as own from l),
+ v as (select *, len(paras) >= 2 and len(list_filter(paras, lambda b: len({_LINES.format("b")}) >= 2 and {_is(_SCHOOL, _LINES.format("b") + "[1]")} and ({_is(_TITLE, _LINES.format("b") + "[2]")} or {_is(_DEGREE, _LINES.format("b") + "[2]")}))) >= greatest(2, len(paras) // 2) as school_first,
+  coalesce({_is(_TITLE, "list_filter(lines, lambda x: " + _is(_TITLE, "x") + " or " + DATE.format("x") + ")[1]")}, false) as degree_first, list_filter(range(len(own)), lambda i: i = 0 or {_is(_TITLE, "own[i + 1]")}) as starts from p),
+ d as (select *, list_transform(range(len(starts)), lambda k: array_to_string(own[starts[k + 1] + 1:coalesce(starts[k + 2], len(own))], chr(10))) as by_degree from v),
+ b as (select cv, case when not school_first and degree_first and len(starts) > 1 then by_degree else paras end as blocks from d where len(own) > 0),
+ g(cv, blocks, n, done) as (select cv, blocks, 1, [blocks[1]] from b union all
+  select cv, blocks, n + 1, case when not ({DATE.format("x[1]")} or {_is(_DEGREE, "x[1]")}) and (starts_with(lower(x[1]), 'and ') or {_is(_CUT, "y[-1]")} or (len(list_filter(x, lambda z: length(z) >= 80 or {DATE.format("z")} or {_is(_PLACE, "z")} or {_is(_DEGREE, "z")})) = 0 and len(list_filter(y, lambda z: {DATE.format("z")} or {_is(_SCHOOL, "z")} or {_is(_CUT, "z")})) > 0))
+   then list_append(done[1:len(done) - 1], done[-1] || chr(10) || blocks[n + 1]) else list_append(done, blocks[n + 1]) end from (select *, {_LINES.format("blocks[n + 1]")} as x, {_LINES.format("done[-1]")} as y from g where n < len(blocks)))
+ select cv as c_custkey, unnest(range(len(done)))::int as place, unnest(done) as body from g where n = len(blocks)"""
+)
+def education_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of education sections: the layout that blocks vote for, and continuations that belong to the entry before."""
+    rows = section(spark, sf_dir, STUDY_LINE)
+    return rows.select("c_custkey", F.posexplode(lookahead.education_section(F.col("body"))).alias("place", "body"))
