@@ -11,7 +11,7 @@ from dossier.operators.extract import CV, import_texts
 from dossier.operators.metrics import merged_warnings
 from dossier.sources import structured, xml_rows
 from dossier.sources.extract import extract
-from dossier.sources.formats import OWN_KEY, STRUCTURED, read_files
+from dossier.sources.formats import OWN_KEY, STRUCTURED, format_of, read_files
 
 FIELDS = ("personal", "work", "education", "skills", "languages", "certificates", "projects", "links", "additional", "warnings")
 
@@ -67,11 +67,14 @@ def from_own(docs: DataFrame) -> DataFrame:
 
 def import_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, format, personal, …, warnings, error): every file below a folder, each read by the route of its format."""
-    files = read_files(spark, path)
-    texts = extract(files)
-    routed = texts.select("path", "format", "text", "links", "warnings", "error")
-    structured_text = files.join(routed.where(F.col("format").isin(*STRUCTURED)).select("path", "format"), "path").select("path", "format", F.col("content").cast("string").alias("text"), "error")
-    kind = lambda f: structured_text.where(F.col("format") == f)
+    routed = extract(read_files(spark, path)).select("path", "format", "text", "links", "warnings", "error")
+
+    def kind(fmt: str, *extensions: str) -> DataFrame:
+        """The files of a structured format; only those with its extensions are opened for it."""
+        globs = ",".join("*." + "".join(f"[{c}{c.upper()}]" for c in e) for e in extensions)
+        text = F.col("content").cast("string")
+        files = read_files(spark, path, f"{{{globs}}}").select("path", text.alias("text"), "error")
+        return files.select("path", format_of(F.col("path"), F.col("text")).alias("format"), "text", "error").where(F.col("format") == fmt)
 
     plain = routed.where(~F.col("format").isin(*STRUCTURED))
     read = import_texts(plain.where("error is null").select("path", source_text("text").alias("text")), "path")
@@ -87,15 +90,15 @@ def import_files(spark: SparkSession, path: str) -> DataFrame:
     merged = F.concat("cv_links", F.filter(links, lambda x: ~F.array_contains(known, F.lower(x["url"]))))
     out = out.withColumn("links", F.coalesce(merged, F.col("cv_links"))).select("path", "format", *FIELDS, "error")
 
-    yaml = structured.yaml_to_json(kind("Yaml"), "path", "text")
+    yaml = structured.yaml_to_json(kind("Yaml", "yaml", "yml"), "path", "text")
     parts = [
-        from_resumes(kind("JsonResume"), "JsonResume"),
+        from_resumes(kind("JsonResume", "json"), "JsonResume"),
         from_resumes(yaml.select("path", F.coalesce("json", F.lit("")).alias("text")), "Yaml"),
-        from_own(kind("OwnJson")),
-        from_tables(kind("Csv").where(~F.lower("path").endswith(".tsv")), ","),
-        from_tables(kind("Csv").where(F.lower("path").endswith(".tsv")), "\t"),
-        from_xml(kind("EuropassXml"), True),
-        from_xml(kind("HrXml"), False),
+        from_own(kind("OwnJson", "json")),
+        from_tables(kind("Csv", "csv"), ","),
+        from_tables(kind("Csv", "tsv"), "\t"),
+        from_xml(kind("EuropassXml", "xml"), True),
+        from_xml(kind("HrXml", "xml"), False),
     ]
     for part in parts:
         out = out.unionByName(part)
