@@ -129,8 +129,13 @@ def localize_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.layered(n.select(F.col("n_name").alias("key")), layer(2, "base"), layer(3, "theme"), layer(4, "overlay"))
 
 
-_MODELS = ["gpt-4o-mini", "GPT-4o", "claude-haiku-4", "us.claude-sonnet", "gpt-4.1", "gpt-4.1-nano", "gemini-2.5-pro", "mixtral-8x7b", "mistral-small", "other", " ", "llama3.3-70b"]
-_PROFILE = "case " + " ".join(f"when contains(lower(model), '{part}') then '{name}'" for part, name in chunking.MODEL_RULES) + " else 'small' end"
+_MODELS = ["gpt-4o-mini", "GPT-4o", "claude-haiku-4", "us.claude-sonnet", "gpt-4.1", "gpt-4.1-nano", "gemini-2.5-pro", "mixtral-8x7b", "mistral-small", "other", " ", "llama3.3-70b", "GPT-4.1-mini-x", "claude-3-5-haiku", "claude-3-5-sonnet", "gemini-2.0-flash", "gemini-flash-8", "open-mistral-nemo", "llama-3.3-70b", "DeepSeek-Chat"]
+#: Stated anew, not taken from the operator: the first fragment that a name holds gives its profile.
+_PROFILE = """case when contains(lower(model), 'gpt-4o-mini') then 'small' when contains(lower(model), 'gpt-4.1-mini') then 'small' when contains(lower(model), 'gpt-4.1-nano') then 'small' when contains(lower(model), 'claude-3-5-haiku') then 'small'
+ when contains(lower(model), 'claude-haiku') then 'small' when contains(lower(model), 'gemini-2.0-flash') then 'small' when contains(lower(model), 'gemini-flash') then 'small' when contains(lower(model), 'open-mistral-nemo') then 'small'
+ when contains(lower(model), 'gpt-4o') then 'large' when contains(lower(model), 'gpt-4.1') then 'large' when contains(lower(model), 'claude-sonnet') then 'large' when contains(lower(model), 'claude-3-5-sonnet') then 'large'
+ when contains(lower(model), 'gemini-2.5-pro') then 'large' when contains(lower(model), 'llama-3.3-70b') then 'large' when contains(lower(model), 'llama3.3-70b') then 'large' when contains(lower(model), 'mixtral-8x7b') then 'medium'
+ when contains(lower(model), 'mistral-small') then 'medium' when contains(lower(model), 'deepseek-chat') then 'medium' else 'small' end"""
 
 
 @query(
