@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from dossier.functions.text import ci_key, has_text, trim_ws
 from dossier.functions.urls import normal_url
 
+#: The collation of keys that ignore case.
+CASELESS = "UTF8_LCASE"
+
 
 def first_by(df: DataFrame, keys: list[Column | str], order: list[Column | str]) -> DataFrame:
     """Distinct on keys, the first row of each in an order; null equals null."""
@@ -17,7 +20,7 @@ def first_by(df: DataFrame, keys: list[Column | str], order: list[Column | str])
 
 def dedupe_skills(skills: DataFrame) -> DataFrame:
     """Named skills of a person once, ignoring case and outer spaces, the first by (gpos, spos); names stay as written."""
-    return first_by(skills.where(has_text("name")), ["cv_id", ci_key("name")], ["gpos", "spos"])
+    return first_by(skills.where(has_text("name")), ["cv_id", F.collate(trim_ws("name"), CASELESS)], ["gpos", "spos"])
 
 
 def skills_without(skills: DataFrame, technologies: DataFrame) -> DataFrame:
@@ -67,8 +70,9 @@ def links_matching(links: DataFrame, personal: DataFrame, how: str = "left_semi"
 
 def links_not_exactly(links: DataFrame, personal: DataFrame) -> DataFrame:
     """Links that are none of the person's own URLs letter by letter, ignoring case."""
-    own = personal.where(has_text("url")).select(F.col("cv_id").alias("p_cv"), F.lower("url").alias("p_url")).distinct()
-    return links.join(own, (F.col("cv_id") == F.col("p_cv")) & (F.lower("url") == F.col("p_url")), "left_anti")
+    # The collation compares letters in any case, so the keys need no copies in small letters.
+    own = personal.where(has_text("url")).select(F.col("cv_id").alias("p_cv"), F.collate("url", CASELESS).alias("p_url")).distinct()
+    return links.join(own, (F.col("cv_id") == F.col("p_cv")) & (F.collate("url", CASELESS) == F.col("p_url")), "left_anti")
 
 
 def orphan_errors(errors: DataFrame, registered: DataFrame) -> DataFrame:
