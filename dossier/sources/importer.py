@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dossier.functions.text import source_text
 from dossier.functions.urls import url_label
 from dossier.operators.extract import CV, import_texts
+from dossier.operators.lineage import scratch
 from dossier.operators.metrics import merged_warnings
 from dossier.sources import structured, xml_rows
 from dossier.sources.extract import extract
@@ -67,28 +68,30 @@ def from_own(docs: DataFrame) -> DataFrame:
 
 def import_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, format, personal, …, warnings, error): every file below a folder, each read by the route of its format."""
-    routed = extract(read_files(spark, path)).select("path", "format", "text", "links", "warnings", "error")
+    # Files are opened once, and kept by format, so that each route reads its own.
+    kept = scratch(spark, "files")
+    content = F.when(F.lower("path").rlike(r"\.(json|xml)$"), F.col("content").cast("string"))
+    read_files(spark, path).select("path", "content", "error", format_of(F.col("path"), content).alias("format")).write.partitionBy("format").parquet(kept)
+    stored = spark.read.schema("path string, content binary, error string, format string").parquet(kept)
 
     def kind(fmt: str, *extensions: str) -> DataFrame:
-        """The files of a structured format; only those with its extensions are opened for it."""
-        globs = ",".join("*." + "".join(f"[{c}{c.upper()}]" for c in e) for e in extensions)
-        text = F.col("content").cast("string")
-        files = read_files(spark, path, f"{{{globs}}}").select("path", text.alias("text"), "error")
-        return files.select("path", format_of(F.col("path"), F.col("text")).alias("format"), "text", "error").where(F.col("format") == fmt)
-
-    plain = routed.where(~F.col("format").isin(*STRUCTURED))
-    read = import_texts(plain.where("error is null").select("path", source_text("text").alias("text")), "path")
-    read = read.withColumnRenamed("error", "read_error").withColumnRenamed("warnings", "read_warnings")
-    joined = plain.join(read, "path", "left")
-    links = F.transform("links_found", lambda u: F.struct(url_label(u).alias("label"), u.alias("url")))
-    out = joined.withColumnRenamed("warnings", "file_warnings").select(
-        "path", "format", *(f for f in FIELDS if f not in ("links", "warnings")), read["links"].alias("cv_links"), plain["links"].alias("links_found"),
-        merged_warnings(F.col("file_warnings"), F.col("read_warnings")).alias("warnings"), F.coalesce("error", "read_error").alias("error"),
-    )
+        """The files of a structured format that have one of some extensions."""
+        own = stored.where((F.col("format") == fmt) & F.lower("path").rlike(rf"\.({'|'.join(extensions)})$"))
+        return own.select("path", F.col("content").cast("string").alias("text"), "error")
+
+    plain = extract(stored.where(~F.col("format").isin(*STRUCTURED)))
+    known = F.struct("path", "format", "links", "warnings", "error")
+    read = import_texts(plain.select(known.alias("file"), source_text("text").alias("text")), "file")
+    ok = F.col("file.error").isNull()
+    mine = lambda f: F.when(ok, F.col(f)).alias(f)
     # Links of the document itself come after those of its text.
-    known = F.transform("cv_links", lambda x: F.lower(x["url"]))
-    merged = F.concat("cv_links", F.filter(links, lambda x: ~F.array_contains(known, F.lower(x["url"]))))
-    out = out.withColumn("links", F.coalesce(merged, F.col("cv_links"))).select("path", "format", *FIELDS, "error")
+    links = F.transform("file.links", lambda u: F.struct(url_label(u).alias("label"), u.alias("url")))
+    said = F.transform("links", lambda x: F.lower(x["url"]))
+    merged = F.concat("links", F.filter(links, lambda x: ~F.array_contains(said, F.lower(x["url"]))))
+    out = read.select(
+        "file.path", "file.format", *(mine(f) for f in FIELDS if f not in ("links", "warnings")), F.when(ok, F.coalesce(merged, F.col("links"))).alias("links"),
+        merged_warnings(F.col("file.warnings"), F.when(ok, F.col("warnings"))).alias("warnings"), F.when(ok, F.col("error")).otherwise(F.col("file.error")).alias("error"),
+    ).select("path", "format", *FIELDS, "error")
 
     yaml = structured.yaml_to_json(kind("Yaml", "yaml", "yml"), "path", "text")
     parts = [

@@ -2,12 +2,53 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
-from dossier.operators import folds
+from dossier.operators import extract, folds
+from dossier.sources import files, formats
 
 
 def test_a_longer_number_holds_no_last_year(spark):
     given = ["HOUSEHOLD · x\n21006 y", "A · x\n2100", "A · x\n20191", "A · x\n21006 2019"]
     rows = spark.createDataFrame([(t,) for t in given], "t string").select(folds.meta_lines(F.col("t")).alias("m")).collect()
     assert [r["m"] for r in rows] == [["HOUSEHOLD · x", "21006 y"], ["A · x 2100"], ["A · x 20191"], ["A · x 21006 2019"]]
+
+
+def test_files_are_dealt_out(spark, tmp_path):
+    rows = spark.range(300).coalesce(1).select(F.concat("id", F.lit(".txt")).alias("name"), F.col("id").cast("string").alias("content"))
+    files.write_files(rows, f"{tmp_path}/out")
+    assert len(list((tmp_path / "out").iterdir())) > 1  # one folder a task: all files were one task's before
+    (tmp_path / "out" / "top.txt").write_text("top")
+    (tmp_path / "out" / "deep" / "er").mkdir(parents=True)
+    (tmp_path / "out" / "deep" / "er" / "x.txt").write_text("deep")
+    (tmp_path / "out" / "_hidden").write_text("hidden")
+    read = formats.read_files(spark, f"{tmp_path}/out")
+    assert read.inputFiles() == []  # the driver lists no files
+    got = {r["path"]: r["content"] for r in read.collect()}
+    assert sorted(got.values()) == sorted([str(n).encode() for n in range(300)] + [b"top", b"deep"])
+    assert f"file:{tmp_path}/out/deep/er/x.txt" in got
+
+
+def test_names_given_in_two_tasks(spark, tmp_path):
+    rows = spark.createDataFrame([("a.txt", "x"), ("a.txt", "y")], "name string, content string").repartition(2)
+    with pytest.raises(Exception, match="given twice"):
+        files.write_files(rows, f"{tmp_path}/out")
+
+
+def test_a_late_task_of_a_failed_job_writes_nothing(tmp_path, monkeypatch):
+    class Task:
+        partitionId = taskAttemptId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(files.TaskContext, "get", classmethod(lambda cls: Task))
+    writer = files.FileWriter(f"{tmp_path}/out")
+    writer.abort([])
+    with pytest.raises(OSError):
+        writer.write(iter([{"name": "a.txt", "content": b"x"}]))
+    assert not [p for p in tmp_path.rglob("*") if p.is_file()]
+
+
+def test_texts_are_read_a_few_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(extract, "AT_ONCE", 2)
+    docs = spark.createDataFrame([((n, "k"), f"Jane Doe\njane{n}@example.com") for n in range(5)], "key struct<n:int,k:string>, text string").coalesce(1)
+    assert {r["key"]["n"]: r["personal"]["email"] for r in extract.import_texts(docs, "key").collect()} == {n: f"jane{n}@example.com" for n in range(5)}
