@@ -22,10 +22,9 @@ FILES = f"""{EXPORTED}, h as (select cv_id, 'hr_xml' as format, '<Resume><Person
 def written(spark: SparkSession, sf_dir: str) -> str:
     """The folder of the files just written: one for each person, and one that names no format."""
     path = scratch(spark, "persons")
-    cvs = writers.export(persons(spark, sf_dir), "cv_id", KINDS)
     own = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("cv_id") % len(KINDS) + 1).cast("int"))
     suffix = F.create_map(*(F.lit(x) for f in KINDS for x in (f, files.SUFFIXES[f])))
-    mine = cvs.where(F.col("format") == own).select(F.concat(F.col("cv_id").cast("string"), F.element_at(suffix, F.col("format"))).alias("name"), "content")
+    mine = writers.export(persons(spark, sf_dir), "cv_id", KINDS, own).select(F.concat(F.col("cv_id").cast("string"), F.element_at(suffix, F.col("format"))).alias("name"), "content")
     odd = persons(spark, sf_dir).where("cv_id % 50 = 0").select(F.concat(F.lit("odd"), F.col("cv_id").cast("string"), F.lit(".xyz")).alias("name"), joined("odd", F.col("cv_id").cast("string")).alias("content"))
     files.write_files(mine.unionByName(odd), path)
     return path

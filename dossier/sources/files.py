@@ -24,7 +24,7 @@ from dossier.operators.extract import import_texts
 from dossier.operators.lines import with_sections
 from dossier.sources import writers
 from dossier.sources.extract import extract
-from dossier.sources.formats import OWN_SUFFIX, is_text_route, read_files
+from dossier.sources.formats import OWN_SUFFIX, TASKS, is_text_route, read_files
 
 #: What a name may be: one step of a path that is neither this folder nor the one above.
 NAME = re.compile(r"(?!\.{1,2}$)[^/\\\0]+")
@@ -43,6 +43,8 @@ class FileWriter(DataSourceWriter):
     def __init__(self, path: str) -> None:
         self.path = path.rstrip("/")
         self.stage = f"{self.path}/_temporary-{uuid.uuid4().hex}"
+        system, at = self._at(self.stage)
+        system.create_dir(at, recursive=True)
 
     @staticmethod
     def _at(path: str) -> tuple[fs.FileSystem, str]:
@@ -52,7 +54,7 @@ class FileWriter(DataSourceWriter):
         task = TaskContext.get()
         folder, n = f"part-{task.partitionId():05d}-{task.taskAttemptId()}", 0
         system, at = self._at(f"{self.stage}/{folder}")
-        system.create_dir(at, recursive=True)
+        system.create_dir(at, recursive=False)  # a task that starts after its job has failed makes no folder anew
         seen: set[str] = set()
         for row in rows:
             if row["name"] is None or not NAME.fullmatch(row["name"]) or row["name"] in seen:
@@ -73,7 +75,9 @@ class FileWriter(DataSourceWriter):
     def abort(self, messages: list[Written | None]) -> None:
         system, at = self._at(self.stage)
         if system.get_file_info(at).type != fs.FileType.NotFound:
-            system.delete_dir(at)
+            # Tasks that still run write by the old name, so nothing is added while the folder goes.
+            system.move(at, f"{at}-gone")
+            system.delete_dir(f"{at}-gone")
 
 
 class FileSink(DataSource):
@@ -95,10 +99,12 @@ class FileSink(DataSource):
 def write_files(df: DataFrame, path: str) -> None:
     """A file for each row (name, content as text or bytes) below a path, byte for byte; a null content is an empty file.
 
-    Names are unique within a task's folder, and a name that is given twice, is null or leads elsewhere fails the job.
+    Rows are dealt out to tasks by name, and a name that is given twice, is null or leads elsewhere fails the job.
     """
-    df.sparkSession.dataSource.register(FileSink)
-    df.select("name", F.col("content").cast("binary").alias("content")).write.format("dossier_files").mode("append").save(path)
+    spark = df.sparkSession
+    spark.dataSource.register(FileSink)
+    rows = df.select("name", F.col("content").cast("binary").alias("content"))
+    rows.repartition(spark.sparkContext.defaultParallelism * TASKS, "name").write.format("dossier_files").mode("append").save(path)
 
 
 def export_files(cvs: DataFrame, key: str, path: str, formats: tuple[str, ...] = writers.FORMATS) -> None:
@@ -115,7 +121,9 @@ def text_attempts(spark: SparkSession, path: str) -> DataFrame:
     """
     texts = extract(read_files(spark, path)).where(is_text_route(F.col("format")))
     extraction = F.struct("text", "links", "warnings", "error").alias("extraction")
-    parts = with_sections(texts.select("path", "format", extraction, source_text("text").alias("_text")), "_text").drop("_text", "warning")
-    read = import_texts(texts.where("error is null").select("path", source_text("text").alias("text")), "path")
-    result = F.struct(*(c for c in read.columns if c != "path"))
-    return parts.join(read.select("path", result.alias("result")), "path", "left")
+    parts = with_sections(texts.select("path", "format", extraction, source_text("text").alias("_text")), "_text").drop("warning")
+    # What is known of a file goes with it as its key, so files are opened once and nothing is joined.
+    known = F.struct("path", "format", "extraction", "sections")
+    read = import_texts(parts.select(known.alias("file"), source_text("extraction.text").alias("text")), "file")
+    result = F.when(F.col("file.extraction.error").isNull(), F.struct(*(c for c in read.columns if c != "file")))
+    return read.select("file.*", result.alias("result"))

@@ -103,8 +103,8 @@ def _visual(escape, title: str, heading: str, body: str, close: str = "") -> Col
     return F.concat(put(title, _person()), *parts, F.lit(close))
 
 
-def export(cvs: DataFrame, key: str, formats: tuple[str, ...] = FORMATS) -> DataFrame:
-    """(key, format, content): each CV row in each text format."""
+def export(cvs: DataFrame, key: str, formats: tuple[str, ...] = FORMATS, own: Column | None = None) -> DataFrame:
+    """(key, format, content): each CV row in each text format, or only in its own, if that is one of them."""
     made = {
         "own_json": own_json(F.struct("personal", _some(F.col("work")).alias("work"), _some(F.col("education")).alias("education"), _some(F.col("skills")).alias("skills"), _some(F.col("languages")).alias("languages"))),
         "json_resume": json_resume(),
@@ -118,5 +118,8 @@ def export(cvs: DataFrame, key: str, formats: tuple[str, ...] = FORMATS) -> Data
         "html": _visual(escape_html, "<!DOCTYPE html><html><body><h1>%s</h1>", "<h2>%s</h2>", "<p>%s</p>", "</body></html>"),
         "latex": _visual(escape_latex, "\\documentclass{article}\\begin{document}\\section*{%s}\n", "\\subsection*{%s}\n", "%s\n\n", "\\end{document}"),
     }
+    if own is not None:
+        cases = F.coalesce(*(F.when(own == f, made[f]) for f in formats))
+        return cvs.where(own.isin(*formats)).select(key, own.alias("format"), cases.alias("content"))
     rows = F.array(*(F.struct(F.lit(f).alias("format"), made[f].alias("content")) for f in formats))
     return cvs.select(key, F.explode(rows).alias("x")).select(key, "x.format", "x.content")
