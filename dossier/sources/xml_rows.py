@@ -2,14 +2,16 @@
 
 A document is cut into tags and texts by one pattern. A running sum over them is the depth; an element ends with the next tag on
 its level. Tags that do not pair, a second root, text beside it, document types and characters that XML forbids make a document
-unreadable, a value of its row. The pieces of a document meet again in one row, in which names are looked up at any depth,
-in any case and without their prefixes. Keys should be unique: documents with one key are read as one.
+unreadable, a value of its row. Names are looked up at any depth, in any case and without their prefixes. Keys may repeat.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
 from dossier.functions.dates import years_in
 from dossier.functions.text import has_text, let
@@ -30,50 +32,103 @@ SKILL_HEADINGS = ("Skills", "Competencies", "Competences")
 TAGS = ("open", "empty")
 
 
+#: What ``paired`` gives: an array for each, as long as its input.
+PAIRED = StructType([StructField(n, ArrayType(BooleanType() if n == "closed" else IntegerType())) for n in ("level", "end", "closed", "nth", "within")])
+
+
+@F.pandas_udf(PAIRED)
+def paired(steps: pd.Series) -> pd.DataFrame:
+    """Of each document's pieces (1 opens, -1 closes, 2 is an empty element, 0 is text) the levels and ends of elements.
+
+    The depth is a running sum; an element ends with the next tag on its level, and is closed if that one closes. ``nth``
+    counts elements up to a piece, from 0, ``within`` those from it to its end. Without an end it is -1.
+    """
+    lengths = np.array([0 if s is None else len(s) for s in steps], dtype=np.int64)
+    step = np.concatenate([np.asarray(s, dtype=np.int64) for s in steps if s is not None]) if lengths.sum() else np.zeros(0, np.int64)
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    moves = np.where(np.abs(step) == 1, step, 0)
+    total = np.concatenate([[0], np.cumsum(moves)])
+    level = total[1:] - total[starts[doc]] + (step == -1)
+    at = np.flatnonzero(moves)
+    order = at[np.lexsort((at, level[at], doc[at]))]
+    same = (doc[order[1:]] == doc[order[:-1]]) & (level[order[1:]] == level[order[:-1]])
+    after = np.full(len(step), -1)
+    after[order[:-1][same]] = order[1:][same]
+    where = np.arange(len(step))
+    end = np.where(step == 1, after, where)
+    closed = (step != 1) | ((after >= 0) & (step[after] == -1))
+    count = np.concatenate([[0], np.cumsum(step > 0)])
+    nth = count[1:] - 1 - count[starts[doc]]
+    within = np.where(end >= 0, count[end + 1] - count[where], 0)
+    end = np.where(end >= 0, end - starts[doc], -1)
+    cut = lambda a: [a[s:e] for s, e in zip(starts[:-1], starts[1:], strict=True)]
+    return pd.DataFrame({"level": cut(level.astype(np.int32)), "end": cut(end.astype(np.int32)), "closed": cut(closed), "nth": cut(nth.astype(np.int32)), "within": cut(within.astype(np.int32))})
+
+
 def elements(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pieces, readable): of each document its tags and texts (raw, text, name, kind, level, pos, end), in order."""
+    """(key, pieces, tags, readable): of each document its tags and texts (raw, text, name, kind, level, pos, end, …), in order, and the tags alone."""
     clean = F.regexp_replace(text, SKIPPED, "")
-    refused = F.lower(text).contains("<!doctype") | F.col(text).rlike(FORBIDDEN)
-    rows = docs.select(F.col(key).alias("key"), refused.alias("refused"), F.posexplode_outer(F.regexp_extract_all(clean, F.lit(PIECE), F.lit(1))).alias("pos", "raw"))
-    raw = F.col("raw")
-    marked = raw.startswith("<![CDATA[") & raw.endswith("]]>")
-    tag = raw.startswith("<") & raw.endswith(">") & ~raw.startswith("<!") & raw.rlike(r"^</?[^\s/>]")
-    kind = F.when(marked, "text").when(tag & raw.startswith("</"), "close").when(tag & raw.endswith("/>"), "empty").when(tag, "open").when(raw.startswith("<"), "broken").otherwise("text")
-    rows = rows.withColumn("kind", kind).withColumn("tag", F.regexp_extract("raw", r"^</?([^\s/>]+)", 1))
-    delta = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
-    rows = rows.withColumn("delta", delta)
-    rows = rows.withColumn("level", F.sum("delta").over(Window.partitionBy("key").orderBy("pos")) + F.when(F.col("kind") == "close", 1).otherwise(0))
-    rows = rows.withColumn("paired", F.col("kind").isin("open", "close"))
-    pair = Window.partitionBy("key", "paired", "level").orderBy("pos")
-    ends = F.when(F.col("kind") == "open", F.lead("pos").over(pair)).otherwise(F.col("pos"))
-    closes = (F.lead("kind").over(pair) == "close") & (F.lead("tag").over(pair) == F.col("tag"))
-    referred = F.regexp_replace("raw", REFERENCE, "").contains("&")
-    outside = (F.col("kind") == "text") & (F.col("level") == 0) & has_text("raw")
-    bad = F.coalesce(F.col("refused"), F.lit(True)) | F.col("pos").isNull() | (F.col("kind") == "broken") | (F.col("level") < 0) | ((F.col("kind") == "open") & ~F.coalesce(closes, F.lit(False))) | ((F.col("kind") == "text") & ~marked & referred) | outside
-    rows = rows.withColumn("end", ends.cast("int")).withColumn("bad", F.coalesce(bad, F.lit(True)))
-    # Only texts with sound references go through a parser, each by itself.
-    plain = F.when(marked, F.substring("raw", 10, F.length("raw") - 12)).when((F.col("kind") == "text") & raw.contains("&") & ~F.col("bad"), F.expr("xpath_string(concat('<a>', raw, '</a>'), '/a')")).when(F.col("kind") == "text", raw)
-    root = (F.col("kind").isin("open") & (F.col("level") == 1)) | ((F.col("kind") == "empty") & (F.col("level") == 0))
-    name = F.lower(F.regexp_replace("tag", "^[^:]*:", ""))
-    piece = F.struct("pos", "raw", plain.alias("text"), name.alias("name"), "kind", "level", "end")
-    readable = ~F.bool_or("bad") & (F.sum("delta") == 0) & (F.count_if(root) == 1)
-    return rows.groupBy("key").agg(F.array_sort(F.collect_list(piece)).alias("pieces"), F.coalesce(readable, F.lit(False)).alias("readable"))
+    refused = F.coalesce(F.lower(text).contains("<!doctype") | F.col(text).rlike(FORBIDDEN), F.lit(True))
+    raws = F.coalesce(F.regexp_extract_all(clean, F.lit(PIECE), F.lit(1)), F.array().cast("array<string>"))
+
+    def cut(raw: Column) -> Column:
+        marked = raw.startswith("<![CDATA[") & raw.endswith("]]>")
+        tag = raw.startswith("<") & raw.endswith(">") & ~raw.startswith("<!") & raw.rlike(r"^</?[^\s/>]")
+        # Most pieces are no tags, so they are told by their first character.
+        kind = F.when(~raw.startswith("<") | marked, "text").when(tag & raw.startswith("</"), "close").when(tag & raw.endswith("/>"), "empty").when(tag, "open").otherwise("broken")
+        return F.struct(raw.alias("raw"), kind.alias("kind"), marked.alias("marked"), F.when(raw.startswith("<"), F.regexp_extract(raw, r"^</?([^\s/>]+)", 1)).otherwise("").alias("tag"))
+
+    def step(c: Column) -> Column:
+        return F.when(c["kind"] == "open", 1).when(c["kind"] == "close", -1).when(c["kind"] == "empty", 2).otherwise(0)
+
+    # A generator works its input out once; a plain column would be made anew for every use.
+    rows = docs.select(F.col(key).alias("key"), refused.alias("refused"), F.explode(F.array(F.transform(raws, cut))).alias("cut"))
+    rows = rows.select("key", "refused", "cut", F.explode(F.array(F.transform("cut", step))).alias("steps")).withColumn("at", paired("steps"))
+
+    def piece(c: Column, i: Column) -> Column:
+        raw = c["raw"]
+        of = lambda f: F.get(F.col(f"at.{f}"), i)
+        said = (c["kind"] == "text") & ~c["marked"] & raw.contains("&")
+        unsound = F.when(said, F.regexp_replace(raw, REFERENCE, "").contains("&")).otherwise(False)
+        # Only texts with sound references go through a parser, each by itself.
+        parsed = F.xpath_string(F.concat(F.lit("<a>"), raw, F.lit("</a>")), F.lit("/a"))
+        plain = F.when(c["marked"], F.substring(raw, F.lit(10), F.length(raw) - 12)).when(said & ~unsound & ~F.col("refused"), parsed).when(c["kind"] == "text", raw)
+        name = F.when(c["tag"] != "", F.lower(F.regexp_replace(c["tag"], "^[^:]*:", ""))).otherwise("")
+        unpaired = (c["kind"] == "open") & ~(of("closed") & F.coalesce(F.get("cut", of("end"))["tag"] == c["tag"], F.lit(False)))
+        outside = (c["kind"] == "text") & (of("level") == 0) & has_text(raw)
+        bad = (c["kind"] == "broken") | (of("level") < 0) | unpaired | unsound | outside
+        return F.struct(
+            i.alias("pos"), raw.alias("raw"), plain.alias("text"), name.alias("name"), c["kind"].alias("kind"), of("level").alias("level"), of("end").alias("end"), of("nth").alias("nth"), of("within").alias("within"), bad.alias("bad")
+        )
+
+    rows = rows.select("key", "refused", "steps", F.explode(F.array(F.transform("cut", piece))).alias("pieces"))
+    rows = rows.select("key", "refused", "steps", "pieces", F.explode(F.array(F.filter("pieces", lambda p: p["kind"].isin(*TAGS)))).alias("tags"))
+    root = lambda p: ((p["kind"] == "open") & (p["level"] == 1)) | ((p["kind"] == "empty") & (p["level"] == 0))
+    even = F.aggregate("steps", F.lit(0), lambda n, s: n + F.when(s < 2, s).otherwise(0)) == 0
+    readable = ~F.col("refused") & (F.size("pieces") > 0) & ~F.exists("pieces", lambda p: p["bad"]) & even & (F.size(F.filter("tags", root)) == 1)
+    return rows.select("key", "pieces", "tags", readable.alias("readable"))
 
 
 class Tree:
-    """Look-ups in a row's pieces; elements are pieces of kinds ``TAGS``."""
+    """Look-ups in a row's pieces; elements are pieces of kinds ``TAGS``, which look-ups by name read alone."""
 
-    def __init__(self, pieces: Column) -> None:
+    def __init__(self, pieces: Column, tags: Column | None = None) -> None:
         self.pieces = pieces
+        self.tags = F.filter(pieces, lambda p: p["kind"].isin(*TAGS)) if tags is None else tags
 
     def part(self, e: Column) -> Column:
         """An element's pieces, its own tags included."""
         return F.slice(self.pieces, e["pos"] + 1, e["end"] - e["pos"] + 1)
 
+    def below(self, e: Column) -> Column:
+        """An element and all elements in it."""
+        return F.slice(self.tags, e["nth"] + 1, e["within"])
+
     @staticmethod
-    def named(pieces: Column, *names: str) -> Column:
+    def named(tags: Column, *names: str) -> Column:
         low = [n.lower() for n in names]
-        return F.filter(pieces, lambda p: p["kind"].isin(*TAGS) & p["name"].isin(*low))
+        return F.filter(tags, lambda p: p["name"].isin(*low))
 
     def value(self, e: Column) -> Column:
         """All text of an element, white space as one space."""
@@ -84,13 +139,13 @@ class Tree:
         return F.trim(F.regexp_replace(F.array_join(F.transform(self.part(e), lambda p: p["raw"]), ""), r"(?U)\s+", " "))
 
     def first(self, e: Column, *names: str) -> Column:
-        return F.get(self.named(self.part(e), *names), F.lit(0))
+        return F.get(self.named(self.below(e), *names), F.lit(0))
 
     def text(self, e: Column, *names: str, listed: bool = True) -> Column:
         """The first text that is not blank of the elements of these names in an element, by the names' order or the document's; null without one."""
         low = F.array(*(F.lit(n.lower()) for n in names))
         order = lambda p: F.array_position(low, p["name"]).cast("int") if listed else F.lit(0)
-        found = F.transform(self.named(self.part(e), *names), lambda p: F.struct(order(p).alias("order"), p["pos"].alias("pos"), self.value(p).alias("value")))
+        found = F.transform(self.named(self.below(e), *names), lambda p: F.struct(order(p).alias("order"), p["pos"].alias("pos"), self.value(p).alias("value")))
         return F.array_min(F.filter(found, lambda f: f["value"] != ""))["value"]
 
     def inside(self, e: Column, containers: tuple[str, ...], leaves: tuple[str, ...]) -> Column:
@@ -103,17 +158,21 @@ def _said(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
-def _span(raw: Column, after: int, before: int) -> dict[str, Column]:
-    years = years_in(raw, after, before)
-    return {
-        "start_year": F.get(years, F.lit(0)), "end_year": F.when(F.size(years) > 1, F.try_element_at(years, F.lit(-1))), "is_current": F.coalesce(F.lower(raw).contains("present"), F.lit(False)),
-    }
-
-
 def _entry(**fields: Column) -> Column:
     return F.struct(*(c.alias(n) for n, c in fields.items()))
 
 
+def _spanned(raw: Column, after: int, before: int, **fields: Column) -> Column:
+    """An entry with the years of a text, which are worked out once."""
+
+    def dated(s: Column) -> Column:
+        years = s["years"]
+        return _entry(**fields, start_year=F.get(years, F.lit(0)), end_year=F.when(F.size(years) > 1, F.try_element_at(years, F.lit(-1))), is_current=s["now"])
+
+    found = lambda r: F.struct(years_in(r, after, before).alias("years"), F.coalesce(F.lower(r).contains("present"), F.lit(False)).alias("now"))
+    return let(let(raw, found), dated)
+
+
 def _first_token(value: Column) -> Column:
     """What stands before the first bar or slash, null if nothing does."""
     parts = F.filter(F.split(value, r"[|/]"), lambda x: x != "")
@@ -122,27 +181,25 @@ def _first_token(value: Column) -> Column:
 
 def _once(names: Column) -> Column:
     """Names that are not blank, each once in any case, the first as it is written."""
-    named = F.filter(names, lambda n: F.coalesce(n != "", F.lit(False)))
-    keys = F.transform(named, lambda n: F.lower(n))
-    return F.filter(named, lambda n, i: F.array_position(keys, F.lower(n)) == i + 1)
+    first = lambda named: lambda keys: F.filter(named, lambda n, i: F.array_position(keys, F.lower(n)) == i + 1)
+    return let(F.filter(names, lambda n: F.coalesce(n != "", F.lit(False))), lambda named: let(F.transform(named, lambda n: F.lower(n)), first(named)))
 
 
 def europass(t: Tree) -> dict[str, Column]:
     """Fields of a Europass document."""
-    all_ = t.pieces
+    all_ = t.tags
 
     def job(e: Column) -> Column:
-        span = t.raw(t.first(e, "Period", "TimeInterval"))
-        return _entry(
-            job_title=_said(t.text(e, "Position", "Profession", "OccupationProfile", "Title")), company=_said(F.coalesce(t.inside(e, ("Employer", "EmployerContactInfo"), ("Name", "Organisation")), t.text(e, "EmployerName"))),
+        span = let(t.first(e, "Period", "TimeInterval"), t.raw)
+        return _spanned(
+            span, 1950, 2150, job_title=_said(t.text(e, "Position", "Profession", "OccupationProfile", "Title")), company=_said(F.coalesce(t.inside(e, ("Employer", "EmployerContactInfo"), ("Name", "Organisation")), t.text(e, "EmployerName"))),
             location=_said(t.text(e, "Town", "Municipality", "City")), description=_said(t.text(e, "ActivitiesAndResponsibilities", "Activities", "Mission")), achievements=_said(t.text(e, "Achievement")), technologies=_said(t.text(e, "Sector")),
-            **_span(span, 1950, 2150),
         )
 
     def study(e: Column) -> Column:
-        return _entry(
-            institution=_said(t.inside(e, ("Organisation", "School"), ("Name",))), degree=_said(t.text(e, "EducationLevelEnum", "Level", "Title")), field_of_study=_said(t.text(e, "Field", "Subjects")), location=_said(t.text(e, "Country", "Town")),
-            description=_said(t.text(e, "ActivitiesAndResponsibilities", "Activities")), **_span(t.raw(t.first(e, "Period")), 1950, 2150),
+        return _spanned(
+            let(t.first(e, "Period"), t.raw), 1950, 2150, institution=_said(t.inside(e, ("Organisation", "School"), ("Name",))), degree=_said(t.text(e, "EducationLevelEnum", "Level", "Title")), field_of_study=_said(t.text(e, "Field", "Subjects")), location=_said(t.text(e, "Country", "Town")),
+            description=_said(t.text(e, "ActivitiesAndResponsibilities", "Activities")),
         )
 
     def certificate(e: Column) -> Column:
@@ -156,11 +213,10 @@ def europass(t: Tree) -> dict[str, Column]:
         return _entry(category=F.coalesce(heading, F.lit("General")), name=_said(F.coalesce(t.text(e, "Title", "Description", "Name"), _first_token(t.value(e)))))
 
     # Without a block for identification the whole document is one.
-    root = F.filter(all_, lambda p: p["kind"].isin(*TAGS))
-    blocks = let(t.named(all_, "Identification"), lambda b: F.when(F.size(b) > 0, b).otherwise(F.slice(root, 1, 1)))
+    blocks = let(t.named(all_, "Identification"), lambda b: F.when(F.size(b) > 0, b).otherwise(F.slice(all_, 1, 1)))
     of = lambda f: _said(F.get(F.filter(F.transform(blocks, f), lambda v: v.isNotNull()), F.lit(0)))
     scope = lambda b: F.coalesce(t.first(b, "PersonName"), b)
-    goals = t.first(F.get(root, F.lit(0)), "LearnerGoals", "Goals")
+    goals = t.first(F.get(all_, F.lit(0)), "LearnerGoals", "Goals")
 
     def kept(name: str) -> Column:
         return F.transform(t.named(all_, name), lambda e: F.concat(F.lit(f"{name}: "), t.raw(e)))
@@ -168,32 +224,33 @@ def europass(t: Tree) -> dict[str, Column]:
     misc = F.flatten(F.array(*map(kept, MISC)))
     spoken = F.transform(t.named(all_, "ForeignLanguage", "MotherTongue"), lambda e: F.coalesce(t.text(e, "Description", "Name"), _first_token(t.value(e))))
     found = F.filter(F.transform(t.named(all_, "Skill"), skill), lambda s: s["name"] != "")
-    groups = _once(F.transform(found, lambda s: s["category"]))
+    group = lambda found: lambda g: _entry(category=g, names=F.transform(F.filter(found, lambda s: F.lower(s["category"]) == F.lower(g)), lambda s: s["name"]))
+    grouped = let(found, lambda f: F.transform(_once(F.transform(f, lambda s: s["category"])), group(f)))
     return {
         "first_name": of(lambda b: t.text(scope(b), "FirstName", "GivenName")), "last_name": of(lambda b: t.text(scope(b), "Surname", "FamilyName")), "email": of(lambda b: t.text(b, "Email")),
         "phone": of(lambda b: t.text(b, "Telephone", "Mobile")), "location": of(lambda b: t.text(b, "Municipality", "City")), "title": of(lambda b: t.text(b, "Headline")), "summary": _said(F.when(goals.isNotNull(), t.value(goals))),
         "work": F.transform(t.named(all_, "WorkExperience", "WorkHistory"), job), "education": F.transform(t.named(all_, "Education"), study), "languages": _once(spoken),
         "certificates": F.filter(F.transform(t.named(all_, "Achievement", "Certificate", "Diploma"), certificate), lambda c: c["name"] != ""),
-        "skills": F.transform(groups, lambda g: _entry(category=g, names=F.transform(F.filter(found, lambda s: F.lower(s["category"]) == F.lower(g)), lambda s: s["name"]))),
+        "skills": grouped,
         "additional": F.array_join(misc, "\n\n"),
     }
 
 
 def hr_xml(t: Tree) -> dict[str, Column]:
     """Fields of an HR-XML document."""
-    all_ = t.pieces
-    root = F.get(F.filter(all_, lambda p: p["kind"].isin(*TAGS)), F.lit(0))
+    all_ = t.tags
+    root = F.get(all_, F.lit(0))
     of = lambda e, *names: _said(t.text(e, *names, listed=False))
 
     def job(e: Column) -> Column:
-        return _entry(
-            job_title=of(e, "PositionTitle", "Title"), company=of(e, "EmployerOrgName", "OrganizationName"), location=of(e, "PositionLocation", "Municipality", "PostalCode"), description=of(e, "Description", "PositionDescription"),
-            achievements=F.lit(""), technologies=F.lit(""), **_span(t.raw(e), 1900, 2200),
+        return _spanned(
+            t.raw(e), 1900, 2200, job_title=of(e, "PositionTitle", "Title"), company=of(e, "EmployerOrgName", "OrganizationName"), location=of(e, "PositionLocation", "Municipality", "PostalCode"), description=of(e, "Description", "PositionDescription"),
+            achievements=F.lit(""), technologies=F.lit(""),
         )
 
     def study(e: Column) -> Column:
-        return _entry(
-            institution=of(e, "SchoolName"), degree=of(e, "DegreeName", "EducationDegree"), field_of_study=of(e, "DegreeMajor"), location=F.lit(""), description=of(e, "EducationDescription"), **_span(t.raw(e), 1900, 2200)
+        return _spanned(
+            t.raw(e), 1900, 2200, institution=of(e, "SchoolName"), degree=of(e, "DegreeName", "EducationDegree"), field_of_study=of(e, "DegreeMajor"), location=F.lit(""), description=of(e, "EducationDescription"),
         )
 
     languages = F.transform(t.named(all_, "Language", "MotherTongue"), lambda e: F.coalesce(t.text(e, "LanguageCode", "LanguageName", listed=False), t.value(e)))
@@ -210,7 +267,7 @@ def hr_xml(t: Tree) -> dict[str, Column]:
 def xml_cv(docs: DataFrame, is_europass: bool, key: str = "cv_id", text: str = "text") -> DataFrame:
     """(key, first_name, …, additional, error) of Europass or HR XML texts; what is unreadable has an error and no fields."""
     found = elements(docs, key, text)
-    fields = (europass if is_europass else hr_xml)(Tree(F.col("pieces")))
+    fields = (europass if is_europass else hr_xml)(Tree(F.col("pieces"), F.col("tags")))
     filled = lambda e: F.exists(F.array(*(e[c] for c in ("location", "description"))), lambda x: x != "") | e["start_year"].isNotNull() | e["is_current"]
     fields["work"] = F.filter(fields["work"], lambda w: (w["job_title"] != "") | (w["company"] != "") | (w["achievements"] != "") | (w["technologies"] != "") | filled(w))
     fields["education"] = F.filter(fields["education"], lambda e: (e["institution"] != "") | (e["degree"] != "") | (e["field_of_study"] != "") | filled(e))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dossier.operators import extract, folds
-from dossier.sources import files, formats
+from dossier.sources import files, formats, xml_rows
 
 
 def test_a_longer_number_holds_no_last_year(spark):
@@ -52,3 +52,12 @@ def test_texts_are_read_a_few_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(extract, "AT_ONCE", 2)
     docs = spark.createDataFrame([((n, "k"), f"Jane Doe\njane{n}@example.com") for n in range(5)], "key struct<n:int,k:string>, text string").coalesce(1)
     assert {r["key"]["n"]: r["personal"]["email"] for r in extract.import_texts(docs, "key").collect()} == {n: f"jane{n}@example.com" for n in range(5)}
+
+
+def test_documents_of_one_key_are_read_each(spark):
+    docs = spark.createDataFrame([(1, "<a><b>x</b></a>"), (1, "<a><c/><b>y</b></a>"), (2, "<a><b></a></b>"), (3, None)], "id int, text string")
+    found = xml_rows.elements(docs, "id", "text")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString() and "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    got = [(r["key"], r["readable"], [(t["name"], t["end"], t["within"]) for t in r["tags"]]) for r in found.select("key", "readable", "tags").collect()]
+    assert got[:2] == [(1, True, [("a", 4, 2), ("b", 3, 1)]), (1, True, [("a", 5, 3), ("c", 1, 1), ("b", 4, 1)])]
+    assert [g[:2] for g in got[2:]] == [(2, False), (3, False)]
