@@ -3,59 +3,82 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Pages that a task holds as Python values at a time.
+AT_ONCE = 256
 
-def order_boxes(boxes: pd.DataFrame) -> list[str]:
-    """Lines of one page: a box starts a row when it is lower than the row's first box by more than the tolerance.
+
+def box_lines(boxes: list[tuple]) -> list[str]:
+    """Lines of one page of boxes (top, left, text, height) in that order: a box starts a row when it is lower than the row's
+    first box by more than the tolerance.
 
     The tolerance is one and a half of the upper median height, rounded up. Rows compare with their first box, so this
     is a fold and no window.
     """
-    heights = sorted((boxes["bottom"] - boxes["top"]).tolist())
-    tolerance = math.ceil(1.5 * heights[len(heights) // 2])
+    tolerance = math.ceil(1.5 * sorted(b[3] for b in boxes)[len(boxes) // 2])
     rows: list[list[tuple]] = []
-    for box in boxes.sort_values(["top", "left", "text"]).itertuples():
-        if not rows or abs(box.top - rows[-1][0][0]) > tolerance:
+    for top, left, text, _ in boxes:
+        if not rows or abs(top - rows[-1][0][1]) > tolerance:
             rows.append([])
-        rows[-1].append((box.top, box.left, box.text))
-    return [" ".join(t for _, _, t in sorted(r, key=lambda x: (x[1], x[0], x[2]))) for r in rows]
+        rows[-1].append((left, top, text))
+    return [" ".join([t for _, _, t in sorted(r)]) for r in rows]
 
 
-def reading_order(boxes: DataFrame) -> DataFrame:
-    """(page_id, pos, line) of boxes (page_id, text, top, left, bottom, right); a group is one page."""
+def order_boxes(boxes: pd.DataFrame) -> list[str]:
+    """Lines of one page of boxes (text, top, left, bottom)."""
+    sized = boxes.assign(height=boxes["bottom"] - boxes["top"]).sort_values(["top", "left", "text"])
+    return box_lines(list(sized[["top", "left", "text", "height"]].itertuples(index=False, name=None)))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lines = order_boxes(pdf)
-        return pd.DataFrame({"page_id": pdf["page_id"].iloc[0], "pos": range(len(lines)), "line": lines})
 
-    kept = boxes.where("text is not null and top is not null and bottom is not null and `left` is not null")
+def _page_lines(boxes: DataFrame, fields: tuple[str, ...], fold: Callable[[list[tuple]], list[str]]) -> DataFrame:
+    """(page_id, pos, line): what a fold makes of each page's boxes, ordered by some fields; many pages pass in a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(start, AT_ONCE)
+                ends = part.column(1).offsets.to_pylist()
+                flat = list(zip(*(c.to_pylist() for c in part.column(1).flatten().flatten()), strict=True))
+                found = [fold(flat[a - ends[0] : b - ends[0]]) for a, b in zip(ends, ends[1:], strict=False)]
+                page = part.column(0).take(pa.array([k for k, lines in enumerate(found) for _ in lines], pa.int32()))
+                pos = pa.array([n for lines in found for n in range(len(lines))], pa.int32())
+                yield pa.RecordBatch.from_arrays([page, pos, pa.array([x for lines in found for x in lines], pa.string())], ["page_id", "pos", "line"])
+
     kind = dict(boxes.dtypes)["page_id"]
-    return kept.groupBy("page_id").applyInPandas(run, f"page_id {kind}, pos int, line string")
+    pages = boxes.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("boxes"))
+    return pages.mapInArrow(run, f"page_id {kind}, pos int, line string")
 
 
-def line_words(words: pd.DataFrame, most: float = 3.0) -> list[str]:
-    """Lines of one column: words by baseline, a line until one lies ``most`` points or more from the line's first word."""
+def reading_order(boxes: DataFrame) -> DataFrame:
+    """(page_id, pos, line) of boxes (page_id, text, top, left, bottom, right); a group is one page."""
+    kept = boxes.where("text is not null and top is not null and bottom is not null and `left` is not null")
+    return _page_lines(kept.withColumn("height", F.col("bottom") - F.col("top")), ("top", "left", "text", "height"), box_lines)
+
+
+def word_rows(words: list[tuple], most: float = 3.0) -> list[str]:
+    """Lines of one column of words (y, x, text) in that order: a line lasts until a word lies ``most`` points or more from its first."""
     rows: list[list[tuple]] = []
-    for w in words.sort_values(["y", "x", "text"]).itertuples():
-        if not rows or abs(w.y - rows[-1][0][1]) >= most:
+    for y, x, text in words:
+        if not rows or abs(y - rows[-1][0][1]) >= most:
             rows.append([])
-        rows[-1].append((w.x, w.y, w.text))
-    return [" ".join(t for _, _, t in sorted(r)) for r in rows]
+        rows[-1].append((x, y, text))
+    return [" ".join([t for _, _, t in sorted(r)]) for r in rows]
 
 
-def word_lines(words: DataFrame) -> DataFrame:
-    """(page_id, pos, line) of the words (page_id, text, x, y) of pages or columns; a group is one page."""
+def line_words(words: pd.DataFrame, most: float = 3.0) -> list[str]:
+    """Lines of one column of words (text, x, y)."""
+    return word_rows(list(words.sort_values(["y", "x", "text"])[["y", "x", "text"]].itertuples(index=False, name=None)), most)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lines = line_words(pdf)
-        return pd.DataFrame({"page_id": pdf["page_id"].iloc[0], "pos": range(len(lines)), "line": lines})
 
-    kind = dict(words.dtypes)["page_id"]
-    return words.where("text is not null and x is not null and y is not null").groupBy("page_id").applyInPandas(run, f"page_id {kind}, pos int, line string")
+def word_lines(words: DataFrame) -> DataFrame:
+    """(page_id, pos, line) of the words (page_id, text, x, y) of pages or columns; a group is one page."""
+    return _page_lines(words.where("text is not null and x is not null and y is not null"), ("y", "x", "text"), word_rows)
 
 
 def columns(words: DataFrame, ratio: float = 0.5, least: int = 3) -> DataFrame:
