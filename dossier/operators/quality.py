@@ -7,6 +7,8 @@ link, each with cv_id and pos. Sections are counted once per CV and joined to pe
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from dossier.functions.text import has_text, is_generic, nonws_len
 from dossier.operators.linkage import dismissed_key, first_by, links_matching
 
 SECTIONS = ("work", "education", "skill", "language", "certificate", "project", "link")
+TEXTS = ("first_name", "last_name", "title", "email", "phone", "summary", "additional")
 COLUMNS = ("cv_id", "hint_id", "severity", "section", "field_key", "entry_id")
 #: Field prefixes and their sections, for confidences.
 PREFIXES = {
@@ -32,12 +35,14 @@ def section_of(field_key: Column) -> Column:
 
 
 def snapshot(cv: dict[str, DataFrame]) -> DataFrame:
-    """Personal rows with the number of entries of each section; rows in a table count as entries."""
-    out = cv["personal"]
-    for name in SECTIONS:
-        keys = cv[name].select("cv_id", "gpos").distinct() if name == "skill" else cv[name]
-        out = out.join(keys.groupBy("cv_id").agg(F.count("*").alias(f"n_{name}")), "cv_id", "left")
-    return out.fillna(0, [f"n_{s}" for s in SECTIONS])
+    """Personal rows with the number of entries of each section; rows in a table count as entries.
+
+    All sections are counted in one aggregate and joined once, so a task holds the buffers of few operators.
+    """
+    keys = {name: cv[name].select("cv_id", "gpos").distinct() if name == "skill" else cv[name] for name in SECTIONS}
+    marked = [keys[name].select("cv_id", F.lit(name).alias("_section")) for name in SECTIONS]
+    counts = reduce(DataFrame.unionByName, marked).groupBy("cv_id").agg(*(F.count_if(F.col("_section") == s).alias(f"n_{s}") for s in SECTIONS))
+    return cv["personal"].join(counts, "cv_id", "left").fillna(0, [f"n_{s}" for s in SECTIONS])
 
 
 def started() -> Column:
@@ -85,9 +90,13 @@ def _key(section: str, pos: Column, field: str) -> Column:
 
 def content_hints(cv: dict[str, DataFrame]) -> DataFrame:
     """Hints of all rules that read content."""
-    n = nonws_len("summary")
+    n = F.col("n_summary")
     on = F.col("started")
-    person = snapshot(cv).withColumn("started", started())
+    # Rules ask how long a summary is and whether other texts say anything: marks are joined, not texts, which may be long
+    # and, if they repeat themselves, look small to whatever sizes tasks by compressed bytes.
+    marks = [F.when(has_text(c), "x").otherwise("").alias(c) for c in TEXTS]
+    slim = cv["personal"].select("cv_id", nonws_len("summary").alias("n_summary"), *marks)
+    person = snapshot(cv | {"personal": slim}).withColumn("started", started())
     summary, title = F.lit("shortSummary"), F.lit("professionalTitle")
     has = lambda s: F.col(f"n_{s}") > 0
     out = _hints(

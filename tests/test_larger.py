@@ -5,9 +5,12 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from dossier.operators import extract, folds
+from dossier.operators import extract, folds, layout, quality
+from dossier.plans import cv_queries
 from dossier.sources import files, formats, xml_rows
 
+from .compare import SF
+
 
 def test_a_longer_number_holds_no_last_year(spark):
     given = ["HOUSEHOLD · x\n21006 y", "A · x\n2100", "A · x\n20191", "A · x\n21006 2019"]
@@ -61,3 +64,19 @@ def test_documents_of_one_key_are_read_each(spark):
     got = [(r["key"], r["readable"], [(t["name"], t["end"], t["within"]) for t in r["tags"]]) for r in found.select("key", "readable", "tags").collect()]
     assert got[:2] == [(1, True, [("a", 4, 2), ("b", 3, 1)]), (1, True, [("a", 5, 3), ("c", 1, 1), ("b", 4, 1)])]
     assert [g[:2] for g in got[2:]] == [(2, False), (3, False)]
+
+
+def test_pages_pass_many_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(layout, "AT_ONCE", 2)
+    words = spark.createDataFrame([(p if p else None, f"{t}{p}", float(x), y) for p in range(5) for t, x, y in (("b", 9, 1.0), ("a", 1, 2.0), ("c", 1, 4.0), ("d", 1, 7.0))], "page_id int, text string, x double, y double")
+    got = sorted(((r["page_id"] or 0, r["pos"], r["line"]) for r in layout.word_lines(words.coalesce(1)).collect()))
+    assert got == [(p, n, x) for p in range(5) for n, x in enumerate((f"a{p} b{p}", f"c{p}", f"d{p}"))]
+    assert "FlatMapGroups" not in layout.word_lines(words)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sections_are_counted_and_joined_once(spark):
+    cv = cv_queries.cvs(spark, SF)
+    plan = quality.snapshot(cv)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 1
+    got = {r["cv_id"]: r["n_education"] for r in quality.snapshot(cv).select("cv_id", "n_education").collect()}
+    assert all(n == (1 if k % 2 == 0 else 0) for k, n in got.items()) and got
