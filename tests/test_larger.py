@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +57,27 @@ def test_texts_are_read_a_few_at_a_time(spark, monkeypatch):
     assert {r["key"]["n"]: r["personal"]["email"] for r in extract.import_texts(docs, "key").collect()} == {n: f"jane{n}@example.com" for n in range(5)}
 
 
+def test_long_texts_are_read_one_at_a_time(spark, monkeypatch):
+    docs, given = spark.createDataFrame([(1, "Jane Doe")], "n long, text string"), []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, f, schema, real=type(docs).mapInArrow: given.append(f) or real(df, f, schema))
+    extract.import_texts(docs, "n")
+    jobs = "\n".join(f"Role {n} at Company {n}\n01/2019 - 02/2020\nDid work" for n in range(2000))
+    texts = [[("Header", f"Jane Doe\njane{n}@example.com"), ("WorkExperience", jobs)] for n in range(30)] + [None]
+    kind = pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())]))
+    sections = [t and [{"key": k, "value": v} for k, v in t] for t in texts]
+    batch = pa.record_batch([pa.array(range(31), pa.int64()), pa.array(sections, kind), pa.array([None] * 30 + ["no_sections"])], ["key", "sections", "warning"])
+    tracemalloc.start()
+    keys, most = [], 0
+    for part in given[0](iter([batch, batch.slice(0, 0)])):
+        assert all(x.as_py().count('"job_title"') == (2000 if k.as_py() < 30 else 0) for k, x in zip(*part.columns, strict=True))
+        keys += part.column(0).to_pylist()
+        most = max(most, part.nbytes)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert keys == list(range(31))
+    assert most < 3_000_000 and held < 12_000_000  # before, all were one part of 21 MB
+
+
 def test_documents_of_one_key_are_read_each(spark):
     docs = spark.createDataFrame([(1, "<a><b>x</b></a>"), (1, "<a><c/><b>y</b></a>"), (2, "<a><b></a></b>"), (3, None)], "id int, text string")
     found = xml_rows.elements(docs, "id", "text")
